@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, ngram_join, quality_fm, quality_rules, url_filter
+from . import exact_dedup, language_id, ngram_join, packing, quality_fm, quality_rules, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +37,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.identities(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_quality_rules, op4_ngram_join, op6_url_filter, op7_language_id, op8_exact_dedup)}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_quality_rules, op4_ngram_join, op6_url_filter, op7_language_id, op8_exact_dedup, op10_packing)}
 
 SQL = {
     "op4_ngram_join": r"""
