@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, ngram_join, packing, quality_fm, quality_rules, url_filter
+from . import exact_dedup, language_id, mixing, ngram_join, packing, quality_fm, quality_rules, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.prefixes(_read(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = _read(spark, sf_dir, "labels").where("quality = 1")
     return quality_rules.judged(_read(spark, sf_dir, "documents"), trusted)
@@ -41,7 +45,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_quality_rules, op4_ngram_join, op6_url_filter, op7_language_id, op8_exact_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_mixing, op3_quality_rules, op4_ngram_join, op6_url_filter, op7_language_id, op8_exact_dedup, op10_packing)}
 
 SQL = {
     "op4_ngram_join": r"""
