@@ -31,3 +31,55 @@ def mixed(docs, budgets, epochs, seed):
                 at += len(words(d[1]))
             break
     return out
+
+
+def _least_reached(nodes, links):
+    """Each node's least node reachable by links."""
+    least = {n: n for n in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(least[a], least[b])
+            if least[a] != m or least[b] != m:
+                least[a] = least[b] = m
+                changed = True
+    return least
+
+
+def lower(text: str) -> str:
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+def shingle_set(text, n=5):
+    w = words(lower(text or ""))
+    return {tuple(w)} - {()} if len(w) < n else {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+
+def similar(a: set, b: set, percent=80) -> bool:
+    k = len(a & b)
+    return bool(a) and bool(b) and 100 * k >= percent * (len(a) + len(b) - k)
+
+
+def ngram_components(docs):
+    """(doc_id, number of shingles, component) of documents (doc_id, text) with ids of their own."""
+    sets = {i: shingle_set(t) for i, t in docs}
+    ids = sorted(sets)
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if similar(sets[a], sets[b])]
+    least = _least_reached(ids, links)
+    return {(i, len(sets[i]), least[i]) for i in ids}
+
+
+def fuzzy_lines(docs, percent=80, size=5):
+    """doc_id: (number of lines, removed line numbers), comparing all pairs of lines."""
+    at = {(i, k): lower(s) for i, t in docs for k, s in enumerate((t or "").split("\n")) if re.search(r"[^\x20\x09-\x0D]", s)}
+    grams = {k: {s[i : i + size] for i in range(max(len(s) - size + 1, 1))} for k, s in at.items()}
+    keys = sorted(at)
+    first = {}
+    for k in keys:
+        first.setdefault(at[k], k)
+    links = [(first[at[k]], k) for k in keys if first[at[k]] != k]
+    distinct = sorted(first.values())
+    links += [(a, b) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if 5 * len(grams[a]) >= 4 * len(grams[b]) - 5 and 5 * len(grams[b]) >= 4 * len(grams[a]) - 5 and similar(grams[a], grams[b], percent)]
+    least = _least_reached(keys, links)
+    return {i: (sum(k[0] == i for k in keys), [k[1] for k in keys if k[0] == i and least[k] != k]) for i, _ in docs}
