@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import only, stored
 
 #: Bytes of a block.
 BLOCK = 4096
@@ -152,3 +152,9 @@ def _paired(row: DataFrame, parts: int) -> DataFrame:
     distinct = pairs.select("a", "b").distinct().repartition(parts, "a", "b").sortWithinPartitions("a", "b")
     names = distinct.withColumn("name", F.monotonically_increasing_id())
     return stored(pairs.join(names, ["a", "b"]).select("win", "text", "pos", "left", "name"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, without those that have an equal text with a smaller doc_id. Rows that share a doc_id go together; rows without one stay."""
+    dropped = stored(identities(docs).where("doc_id is not null and not kept").select("doc_id").distinct())
+    return only(docs, dropped, "doc_id", "left_anti").select(*docs.columns)

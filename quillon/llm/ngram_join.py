@@ -218,3 +218,9 @@ def components_of(docs: DataFrame) -> DataFrame:
     class_of = nodes.join(joined, "node", "left").select(*own, F.coalesce("comp", "node").alias("comp"))
     out = prepared.select("doc_id", *own).join(class_of, own, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, of which one document of each component stays, the one with the least doc_id. Rows that share a doc_id stay or go together; rows without one stay."""
+    dropped = stored(components_of(docs).where("doc_id is not null and component_id <> doc_id").select("doc_id").distinct())
+    return only(docs, dropped, "doc_id", "left_anti").select(*docs.columns)

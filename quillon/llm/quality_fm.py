@@ -166,3 +166,14 @@ def scored(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, thr
 
     out = docs.select(*columns).mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def kept(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, whose score reaches the threshold; see scored."""
+    machine = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, train_docs))
+
+    def run(batches):
+        for batch in slices(batches):
+            yield batch.filter(pa.array(machine.value.score(*features(batch)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
