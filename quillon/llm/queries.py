@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality_fm, quality_rules, url_filter
+from . import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, paragraph_dedup, quality_fm, quality_rules, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,11 +45,15 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.identities(_read(spark, sf_dir, "documents"))
 
 
+def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated(_read(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_mixing, op3_quality_rules, op4_ngram_join, op5_line_dedup, op6_url_filter, op7_language_id, op8_exact_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_mixing, op3_quality_rules, op4_ngram_join, op5_line_dedup, op6_url_filter, op7_language_id, op8_exact_dedup, op9_paragraph_dedup, op10_packing)}
 
 SQL = {
     "op4_ngram_join": r"""
