@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import data_queries, rule_queries, search_queries  # noqa: F401  registers
+from .plans.tables import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 FLAGSHIP = "match_status_rank"
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
