@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import LOWER, SPACE, U64, hash_spans, lists, mix, slices, table, utf8_bytes
-from .linking import connect
+from .linking import connect, met
 from .minhash import bands, tuned
-from .ngram_join import linked
+from .ngram_join import TOKENS, TOKENS_DDL
 from .scratch import small, stored
 
 #: Characters of a shingle, the least similarity in percent, and bands and rows for a recall of 99.5 % there.
@@ -78,18 +78,30 @@ def _lines(batches, shape: tuple[int, int]):
         yield table({"doc_id": batch.column("doc_id").take(pa.array(row)), "line": number.astype(np.int32), "h1": h1.view(np.int64), "h2": h2.view(np.int64), "keys": found}, FOUND)
 
 
-SETS = pa.schema([("node", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+def wanted_tokens(want: list[dict], shingles: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    """Rows of linking's tokens: the distinct shingles of each wanted span."""
+    tokens = [np.unique(shingles[a:b]).view(np.int64) for a, b in zip(rows, rows[1:])]
+    return table({**{c: pa.array([w[c] for w in want], TOKENS.field(c).type) for c in ("node", "a", "salt", "own")}, "tokens": lists(np.concatenate([np.empty(0, np.int64), *tokens]), np.concatenate([[0], np.cumsum([len(t) for t in tokens])]), pa.int64())}, TOKENS)
 
 
-def _sets(batches):
+def tokens_at(read: DataFrame, places: DataFrame, place: str, make):
+    """For connect: shingles of spans whose nodes lie at a place of a document."""
+
+    def tokens_of(rows: DataFrame) -> DataFrame:
+        located = stored(rows.join(places, "node").groupBy("doc_id").agg(F.collect_list(F.struct(place, "node", "a", "salt", "own")).alias("wanted")))
+        return read.join(F.broadcast(located) if small(rows) else located, "doc_id").select("text", "wanted").mapInArrow(make, TOKENS_DDL)
+
+    return tokens_of
+
+
+def _tokens(batches):
     for batch in slices(batches):
         data, starts, ends, row, number = split_lines(batch.column("text"))
-        want = {(i, w["line"]): w["node"] for i, ws in enumerate(batch.column("wanted").to_pylist()) for w in ws}
-        node = np.array([want.get(x, -1) for x in zip(row.tolist(), number.tolist())], np.int64)
-        pick = np.flatnonzero(node >= 0)
+        at = {x: k for k, x in enumerate(zip(row.tolist(), number.tolist()))}
+        want = [(at[i, w["line"]], w) for i, ws in enumerate(batch.column("wanted").to_pylist()) for w in ws if (i, w["line"]) in at]
+        pick = np.array([k for k, _ in want], np.int64)
         shingles, rows = char_shingles(data, starts[pick], ends[pick])
-        tokens = [np.unique(shingles[a:b]).view(np.int64) for a, b in zip(rows, rows[1:])]
-        yield table({"node": node[pick], "tokens": lists(np.concatenate([np.empty(0, np.int64), *tokens]), np.concatenate([[0], np.cumsum([len(t) for t in tokens])]), pa.int64())}, SETS)
+        yield wanted_tokens([w for _, w in want], shingles, rows)
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT, shape: tuple[int, int] = BANDS) -> DataFrame:
@@ -105,13 +117,9 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT, shape: tuple[int, int]
     at = F.struct("doc_id", "line")
     distinct = found.groupBy("h1", "h2").agg(F.min(at).alias("at"), F.count("*").alias("n"), F.min(F.when(F.size("keys") > 0, F.col("keys"))).alias("keys"))
     nodes = stored(distinct.withColumn("node", F.monotonically_increasing_id()))
-    rows = nodes.select("node", F.explode("keys").alias("sig"))
-    met = rows.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sig")
-    lists_ = stored(rows.join(met, "sig"))
-    met_nodes = stored(nodes.join(lists_.select("node").distinct(), "node", "left_semi").select("at.doc_id", "at.line", "node"))
-    wanted = stored(met_nodes.groupBy("doc_id").agg(F.collect_list(F.struct("line", "node")).alias("wanted")))
-    sets = stored(read.join(F.broadcast(wanted) if small(met_nodes) else wanted, "doc_id").select("text", "wanted").mapInArrow(_sets, "node long, tokens array<long>").dropDuplicates(["node"]))
-    joined = connect(lists_, lambda pairs: linked(pairs, sets, percent))
+    lists_ = stored(met(nodes.select("node", F.col("keys").alias("sigs"), F.lit(2**30).alias("first"))).withColumn("n", F.lit(1)))
+    places = nodes.select("node", "at.doc_id", "at.line")
+    joined = connect(lists_, tokens_at(read, places, "line", _tokens), percent)
     # Lines that are alone need no look-up: only nodes of larger components, and lines that occur again.
     grouped = nodes.select("node", "h1", "h2", "at", "n").join(joined, "node", "left").where("n > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "node"))
     several = stored(grouped.groupBy("comp").agg(F.min("at").alias("keep"), F.sum("n").alias("lines")).where("lines > 1"))

@@ -1,22 +1,88 @@
 """From shared signatures to components: candidate pairs, exact verification and distributed union-find.
 
 A signature that many nodes share would give pairs that grow with the square of its list. So every list is first linked
-as a star (each node with the list's least one; later rounds take other centres), and all pairs of a list are made only
-between nodes that the verified star links haven't joined yet. Components come out the same as with all pairs: a pair
-inside one component cannot join anything.
+as a star around one of its nodes, of all its stars a node tries the one with which it shares the most lists, and further
+rounds take other centres. All pairs of a list are made only between nodes that the verified star links haven't joined
+by then. Components come out the same as with all pairs: a pair inside one component cannot join anything.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import stored
 
-#: Rounds of star links before all remaining pairs.
-STARS = 3
+#: Rounds of star links before all remaining pairs, at most. They end earlier when two in turn join nothing, or when all
+#: remaining pairs are at most FEW for each row of the lists.
+STARS, FEW = 6, 4
+#: Pairs of a centre that one task verifies; a centre with more is sent to several.
+PAIRS = 512
+
+
+#: Signatures that a task gathers before it deals them out, and that a partition has on average.
+GATHERED, DEALT_TO = 1 << 20, 1 << 21
+DEALT = pa.schema([("part", pa.int32()), ("sigs", pa.binary()), ("nodes", pa.binary()), ("at", pa.binary())])
+MET = pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("at", pa.int32())])
+
+
+def _deal(batches, parts: int):
+    """Signatures by their partition, many in a row."""
+    held, size = [], 0
+
+    def out():
+        sigs, nodes, at = (np.concatenate(x) for x in zip(*held))
+        part = (sigs.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        here = np.flatnonzero(np.diff(cuts))
+        cut = lambda x: pa.array([x[order[cuts[p] : cuts[p + 1]]].tobytes() for p in here], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), cut(sigs), cut(nodes), cut(at)], schema=DEALT)
+
+    for batch in batches:
+        sigs = batch.column("sigs")
+        rows = np.asarray(sigs.offsets)
+        n = np.diff(rows)
+        place = np.arange(n.sum()) - np.repeat(rows[:-1] - rows[0], n)
+        held.append((np.asarray(sigs.flatten()), np.asarray(batch.column("node")).repeat(n), np.maximum(place - np.asarray(batch.column("first")).repeat(n), -1).astype(np.int32)))
+        size += len(place)
+        if size >= GATHERED:
+            yield out()
+            held, size = [], 0
+    if size:
+        yield out()
+
+
+def _meet(batches):
+    """Rows of the signatures that several nodes have."""
+    read: list[list] = [[], [], []]
+    for batch in batches:
+        for x, c, kind in zip(read, ("sigs", "nodes", "at"), (np.int64, np.int64, np.int32)):
+            x += [np.frombuffer(b, kind) for b in batch.column(c).to_pylist()]
+    if not read[0]:
+        return
+    sigs, nodes, place = (np.concatenate(x) for x in read)
+    order = np.argsort(sigs, kind="stable")
+    sigs = sigs[order]
+    first = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
+    size = np.diff(np.append(first, len(sigs)))
+    pick = np.flatnonzero(np.repeat(size > 1, size))
+    for at in range(0, len(pick), 1 << 18):
+        p = pick[at : at + (1 << 18)]
+        yield pa.RecordBatch.from_arrays([pa.array(sigs[p]), pa.array(nodes[order[p]]), pa.array(place[order[p]])], schema=MET)
+
+
+def met(nodes: DataFrame) -> DataFrame:
+    """(sig, node, at) of signatures that several nodes have, from rows (node, sigs: array of longs, first: int) without a null; at counts from ``first``, -1 before it.
+
+    Signatures are dealt to partitions by themselves, packed in binary rows: most are alone and go no further.
+    """
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), (nodes.agg(F.sum(F.size("sigs"))).first()[0] or 0) // DEALT_TO)
+    return nodes.mapInArrow(lambda it: _deal(it, parts), "part int, sigs binary, nodes binary, at binary").repartition(parts, "part").mapInArrow(_meet, "sig long, node long, at int")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -33,39 +99,110 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def connect(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link: Column | None = None) -> DataFrame:
+def _verify(batches, percent: int):
+    """Pairs of rows (a, salt, own, node, tokens) that come sorted, a centre's own row before its partners'."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    centre, tokens = None, None
+    for batch in batches:
+        a, salt, own, node = (batch.column(c).to_pylist() for c in ("a", "salt", "own", "node"))
+        sets = batch.column("tokens")
+        offsets, values = np.asarray(sets.offsets), np.asarray(sets.values)
+        found = []
+        for i in range(len(a)):
+            mine = values[offsets[i] : offsets[i + 1]]
+            if own[i] == 0:
+                centre, tokens = (a[i], salt[i]), mine.copy()
+            elif centre == (a[i], salt[i]):
+                k = len(np.intersect1d(tokens, mine, assume_unique=True))
+                if 100 * k >= percent * (len(tokens) + len(mine) - k):
+                    found.append((a[i], node[i]))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], schema=schema)
+
+
+def verified(pairs: DataFrame, tokens_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Those of the stored pairs (a, b) with 100 * intersection >= percent * union. tokens_of: adds tokens, distinct, to rows (node, a, salt, own). Each partner's set travels once, to its centre."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("salts"))
+    salted = pairs.join(degree, "a")
+    partners = salted.select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(1).alias("own"))
+    centres = degree.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("own"))
+    rows = tokens_of(stored(partners.union(centres))).select("a", "salt", "own", "node", "tokens")
+    return rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "own").mapInArrow(lambda it: _verify(it, percent), "a long, b long")
+
+
+def _most(k: Column, i: Column, j: Column, m: Column, n: Column) -> Column:
+    """The largest overlap of two sets of m and n tokens that have k of their signatures' tokens in common, the last at i and j: what follows is at most what is left of either."""
+    return k + F.least(m - 1 - i, n - 1 - j)
+
+
+def _enough(k: Column, i: Column, j: Column, m: Column, n: Column, percent: int) -> Column:
+    return (m == 1) | ((100 + percent) * _most(k, i, j, m, n) >= percent * (m + n))
+
+
+def plausible(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """Those of the stored pairs (a, b) that their common signatures don't rule out."""
+    of_b = lists.select(F.col("node").alias("b"), "sig", F.col("at").alias("j"), F.col("n").alias("nb"))
+    of_a = lists.select(F.col("node").alias("a"), "sig", F.col("at").alias("i"), F.col("n").alias("na"))
+    both = pairs.join(of_b, "b").join(of_a, ["a", "sig"])
+    token = F.col("i") >= 0
+    seen = both.groupBy("a", "b").agg(F.count_if(token).alias("k"), F.coalesce(F.max(F.when(token, F.col("i"))), F.lit(-1)).alias("i"), F.coalesce(F.max(F.when(token, F.col("j"))), F.lit(-1)).alias("j"), F.max("na").alias("m"), F.max("nb").alias("n"))
+    return seen.where(_enough(*(F.col(c) for c in "kijmn"), percent)).select("a", "b")
+
+
+def connect(lists: DataFrame, tokens_of: Callable[[DataFrame], DataFrame], percent: int = 80, may_link: Column | None = None) -> DataFrame:
     """(node, comp) of all nodes that verified links join.
 
-    lists: stored rows (sig, node) and whatever may_link reads, no row twice. Pairs (a, b), a < b, of nodes with a common
-    signature go to verify, which returns those that link. may_link: a condition on columns of l and r, both rows of
-    lists, without which two nodes of a list can't link.
+    lists: stored rows (sig, node, n, at), no (sig, node) twice; n is the size of the node's set, or 1 for all where it
+    isn't known. at is the place of the signature's token in the node's set, in an order that all sets share, or -1 for
+    other signatures; all tokens that two nodes have among their signatures must be in lists. Candidates are pairs of
+    nodes with a common signature whose sizes allow the similarity. may_link: a further condition on columns of l and r,
+    both rows of lists, that holds in one list at least of two nodes that link.
     """
-    links, joined, tried = None, None, None
+    links, tried, idle = None, None, 0
     now = lists.withColumn("comp", F.col("node"))
+    joined = None
+    able = lambda x, y: (100 * F.least(x, y)) >= (percent * F.greatest(x, y))
+    size = lists.count()
     for k in range(STARS):
-        order = F.struct(F.xxhash64("node", F.lit(k)), F.col("node")) if k else F.struct(F.lit(0), F.col("node"))
-        centres = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(order).getField("node").alias("centre")).where("lo < hi").select("sig", "centre")
-        pairs = now.join(centres, "sig").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        if k:
+            left = now.groupBy("sig").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").agg(F.sum(F.col("c") * F.col("c"))).first()[0]
+            if (left or 0) <= FEW * size:
+                break
+        order = F.struct(F.xxhash64("node", F.lit(k)), F.col("node"), F.col("n"), F.col("comp")) if k else F.struct(F.lit(0), F.col("node"), F.col("n"), F.col("comp"))
+        centres = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(order).alias("c")).where("lo < hi").select("sig", F.col("c.node").alias("centre"), F.col("c.n").alias("m"), F.col("c.comp").alias("there"))
+        pairs_met = now.join(centres, "sig").where((F.col("comp") != F.col("there")) & able(F.col("n"), F.col("m"))).groupBy("node", "centre").agg(F.count("*").alias("times"))
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
+            pairs_met = pairs_met.join(tried, [(pairs_met.node == tried.b) & (pairs_met.centre == tried.a)], "left_anti")
+        pairs = stored(pairs_met.groupBy("node").agg(F.max(F.struct("times", (-F.col("centre")).alias("c"))).alias("best")).select((-F.col("best.c")).alias("a"), F.col("node").alias("b")))
+        if pairs.isEmpty():
+            break
         tried = pairs if tried is None else tried.union(pairs)
-        found = stored(verify(pairs))
-        if found.isEmpty():
-            if links is None and pairs.isEmpty():
-                return found.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+        found = stored(verified(stored(plausible(pairs, lists, percent)), tokens_of, percent))
+        idle = idle + 1 if found.isEmpty() else 0
+        if idle == 2:
             break
+        if idle:
+            continue
         links = found if links is None else links.union(found)
-        joined = components(links)
+        joined = stored(components(links))
         now = stored(lists.join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     open_lists = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
     rest = stored(now.join(open_lists, "sig"))
-    if rest.isEmpty():
-        return joined
     l, r = rest.alias("l"), rest.alias("r")
-    able = (F.col("l.sig") == F.col("r.sig")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp"))
-    pairs = l.join(r, able if may_link is None else able & may_link).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    found = stored(verify(stored(pairs)))
-    if found.isEmpty():
-        return joined if joined is not None else found.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    return components(found if links is None else links.union(found))
+    condition = (F.col("l.sig") == F.col("r.sig")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp")) & able(F.col("l.n"), F.col("r.n"))
+    # Common tokens up to the last that both have among their signatures are counted; what follows it is at most what is left of either set.
+    able_here = F.lit(True) if may_link is None else may_link
+    token = F.col("l.at") >= 0
+    pairs_met = l.join(r, condition).groupBy(F.col("l.node").alias("a"), F.col("r.node").alias("b")).agg(
+        F.count_if(token).alias("k"), F.coalesce(F.max(F.when(token, F.col("l.at"))), F.lit(-1)).alias("i"), F.coalesce(F.max(F.when(token, F.col("r.at"))), F.lit(-1)).alias("j"), F.max("l.n").alias("m"), F.max("r.n").alias("n"), F.max(able_here).alias("able")
+    )
+    pairs = pairs_met.where("able").where(_enough(*(F.col(c) for c in "kijmn"), percent)).select("a", "b")
+    if tried is not None:
+        both = tried.select("a", "b").union(tried.select("b", "a"))
+        pairs = pairs.join(both, ["a", "b"], "left_anti")
+    pairs = stored(pairs)
+    if not pairs.isEmpty():
+        found = stored(verified(pairs, tokens_of, percent))
+        if not found.isEmpty():
+            return components(found if links is None else links.union(found))
+    return joined if joined is not None else pairs.select(F.col("a").alias("node"), F.col("b").alias("comp")).where(F.lit(False))

@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import U64, hash_spans, lists, mix, slices, table, windows, words_of
-from .linking import connect
-from .scratch import only, stored
+from .linking import connect, met
+from .scratch import only, small, stored
 
 SHINGLE = 5
 #: Hashed counts of shingles, over the whole corpus.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 #: A shingle is frequent if its bucket holds so many times the mean, and very frequent beyond the second; k of each class.
 FREQUENT, K = (1.5, 4.0), (1, 2, 3)
 #: Sets of at most so many tokens have a prefix of single tokens of their own besides.
@@ -76,7 +76,7 @@ COUNTS = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
 def _count(batches):
     n = np.zeros(BUCKETS, np.int64)
     for batch in slices(batches):
-        n += np.bincount((shingles(batch.column("text"))[0] >> U64(48)).astype(np.int64), minlength=BUCKETS)
+        n += np.bincount((shingles(batch.column("text"))[0] >> U64(46)).astype(np.int64), minlength=BUCKETS)
     seen = np.flatnonzero(n)
     yield table({"bucket": seen.astype(np.int32), "n": n[seen]}, COUNTS)
 
@@ -94,29 +94,23 @@ def size_bin(n: int) -> int:
     return int(np.floor(np.log(n) / np.log(1.25) + 1e-9))
 
 
-def signatures(tokens: np.ndarray, counts: np.ndarray, levels: tuple[float, float]) -> tuple[list[int], list[int]]:
-    """Signatures of a set of tokens with which it probes, and of them those with which it is indexed (whole hashes, as Python integers)."""
+def signatures(tokens: np.ndarray, counts: np.ndarray, levels: tuple[float, float]) -> tuple[list[int], int, list[int], int]:
+    """Signatures with which a set of tokens probes: single rare tokens, after how many of a tiny set's own; combinations, and how many of these, the first, it is indexed with."""
     n = len(tokens)
     if not n:
-        return [], []
+        return [], 0, [], 0
     probe, index = n - -(-4 * n // 5) + 1, n - -(-8 * n // 9) + 1
-    count = counts[(tokens >> U64(48)).astype(np.int64)]
+    count = counts[(tokens >> U64(46)).astype(np.int64)]
     order = np.lexsort((tokens, count))
     tokens, count = tokens[order], count[order]
     rare = int(np.searchsorted(count, levels[0], "right"))
-    single = tokens[: min(rare, probe)]
-    probes, indexed = single.tolist(), single[:index].tolist()
-    if n <= TINY:
-        tiny = mix(tokens + U64(0x7151))[: n - -(-4 * n // 5) + 1].tolist()
-        probes, indexed = probes + tiny, indexed + tiny
-    if rare < probe and n >= TINY:
-        own = size_bin(n)
-        for bin_ in (own, own - 1):
-            combined, at = _combined(tokens[rare:], count[rare:], probe - rare, index - rare, bin_, levels)
-            probes += combined
-            if bin_ == own:
-                indexed += combined[:at]
-    return probes, indexed
+    single = tokens[: min(rare, probe)].tolist()
+    tiny = mix(tokens + U64(0x7151))[:probe].tolist() if n <= TINY else []
+    if rare >= probe or n < TINY:
+        return tiny + single, len(tiny), [], 0
+    own, own_index = _combined(tokens[rare:], count[rare:], probe - rare, index - rare, size_bin(n), levels)
+    below, _ = _combined(tokens[rare:], count[rare:], probe - rare, index - rare, size_bin(n) - 1, levels)
+    return tiny + single, len(tiny), own + below, own_index
 
 
 def _combined(tokens: np.ndarray, count: np.ndarray, probe: int, index: int, bin_: int, levels: tuple[float, float]) -> tuple[list[int], int]:
@@ -149,8 +143,8 @@ def hash_of(numbers: tuple[int, ...]) -> int:
     return h
 
 
-PREPARED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("probes", pa.list_(pa.int64())), ("n_indexed", pa.int32())])
-PREPARED_DDL = "doc_id long, n long, f1 long, f2 long, probes array<long>, n_indexed int"
+PREPARED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("singles", pa.list_(pa.int64())), ("n_tiny", pa.int32()), ("combined", pa.list_(pa.int64())), ("combined_index", pa.int32())])
+PREPARED_DDL = "doc_id long, n long, f1 long, f2 long, singles array<long>, n_tiny int, combined array<long>, combined_index int"
 
 
 def _prepare(batches, counts: np.ndarray, levels: tuple[float, float]):
@@ -162,32 +156,33 @@ def _prepare(batches, counts: np.ndarray, levels: tuple[float, float]):
         for f, seed in zip(first, (1, 2)):  # of the whole set: sums of two hashes of each token
             if len(tokens):
                 f[some] = np.add.reduceat(mix(tokens + U64(seed * 0x51ED)), rows[:-1][some])
-        probes, sizes, cuts = [], [], []
-        for a, b in zip(rows[:-1], rows[1:]):
-            all_, indexed = signatures(tokens[a:b], counts, levels)
-            keep = set(indexed)
-            ordered = list(dict.fromkeys(indexed)) + list(dict.fromkeys(x for x in all_ if x not in keep))
-            probes.append(np.array(ordered, U64).view(np.int64))
-            sizes.append(len(ordered))
-            cuts.append(len(keep))
-        yield table({"doc_id": batch.column("doc_id"), "n": n, "f1": first[0].view(np.int64), "f2": first[1].view(np.int64), "probes": lists(np.concatenate([np.empty(0, np.int64), *probes]), np.concatenate([[0], np.cumsum(sizes)]), pa.int64()), "n_indexed": pa.array(cuts, pa.int32())}, PREPARED)
+        made = [signatures(tokens[a:b], counts, levels) for a, b in zip(rows[:-1], rows[1:])]
+        flat = lambda k: lists(np.array([x for m in made for x in m[k]], U64).view(np.int64), np.concatenate([[0], np.cumsum([len(m[k]) for m in made])]), pa.int64())  # noqa: B023, E731
+        yield table({"doc_id": batch.column("doc_id"), "n": n, "f1": first[0].view(np.int64), "f2": first[1].view(np.int64), "singles": flat(0), "n_tiny": pa.array([m[1] for m in made], pa.int32()), "combined": flat(2), "combined_index": pa.array([m[3] for m in made], pa.int32())}, PREPARED)
 
 
-SETS = pa.schema([("doc_id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+TOKENS = pa.schema([("node", pa.int64()), ("a", pa.int64()), ("salt", pa.int32()), ("own", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+TOKENS_DDL = "node long, a long, salt int, own int, tokens array<long>"
 
 
-def _sets(batches):
+def _tokens(batches):
     for batch in slices(batches):
         tokens, rows = token_sets(batch.column("text"))
-        yield table({"doc_id": batch.column("doc_id"), "tokens": lists(tokens.view(np.int64), rows, pa.int64())}, SETS)
+        want = batch.column("wanted").to_pylist()
+        pick = [(i, w) for i, ws in enumerate(want) for w in ws]
+        flat = np.concatenate([np.empty(0, U64), *(tokens[rows[i] : rows[i + 1]] for i, _ in pick)])
+        yield table({"node": batch.column("doc_id").take(pa.array([i for i, _ in pick], pa.int64())), **{c: pa.array([w[c] for _, w in pick], TOKENS.field(c).type) for c in ("a", "salt", "own")}, "tokens": lists(flat.view(np.int64), np.concatenate([[0], np.cumsum([rows[i + 1] - rows[i] for i, _ in pick])]), pa.int64())}, TOKENS)
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
-    """Pairs (a, b) whose sets (node, tokens; distinct) have 100 * intersection >= percent * union."""
-    a, b = (sets.select(F.col("node").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab")
-    both = F.size(F.array_intersect("ta", "tb"))
-    enough = (100 + percent) * both >= percent * (F.size("ta") + F.size("tb"))
-    return pairs.join(a, "a").join(b, "b").where(enough).select("a", "b")
+def tokens_from(docs: DataFrame):
+    """For connect: token sets of documents, made of their whole texts where they are asked for."""
+
+    def tokens_of(rows: DataFrame) -> DataFrame:
+        wanted = stored(rows.groupBy(F.col("node").alias("doc_id")).agg(F.collect_list(F.struct("a", "salt", "own")).alias("wanted")))
+        one = docs.select("doc_id", "text").join(F.broadcast(wanted) if small(rows) else wanted, "doc_id")
+        return one.mapInArrow(_tokens, TOKENS_DDL)
+
+    return tokens_of
 
 
 def components_of(docs: DataFrame) -> DataFrame:
@@ -207,14 +202,17 @@ def components_of(docs: DataFrame) -> DataFrame:
     nodes = stored(prepared.where("n > 0 and doc_id is not null").groupBy(*own).agg(F.min("doc_id").alias("node")))
     # A node is its least document; the others of its class only look up the component.
     others = stored(prepared.where("n > 0 and doc_id is not null").join(nodes, own).where("doc_id <> node").select("doc_id"))
-    of_nodes = only(prepared.where("n > 0 and doc_id is not null"), others, "doc_id", "left_anti").dropDuplicates(["doc_id", *own])
-    rows = of_nodes.select(F.col("doc_id").alias("node"), "n", "n_indexed", F.posexplode("probes").alias("at", "sig")).select("sig", "node", "n", (F.col("at") < F.col("n_indexed")).alias("indexed"))
-    met = rows.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("indexed").alias("any")).where("lo < hi and any").select("sig")
-    lists_ = stored(rows.join(met, "sig"))
-    sets = stored(only(docs.select("doc_id", "text"), stored(lists_.select(F.col("node").alias("doc_id")).distinct()), "doc_id").mapInArrow(_sets, "doc_id long, tokens array<long>").select(F.col("doc_id").alias("node"), "tokens"))
+    of_nodes = only(prepared.where("n > 0 and doc_id is not null"), others, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    singles = met(of_nodes.select(F.col("doc_id").alias("node"), F.col("singles").alias("sigs"), F.col("n_tiny").alias("first")))
+    # Lists of frequent tokens may be long: they are found by partial aggregation, and joined by the engine's skewed joins.
+    combined = of_nodes.select(F.col("doc_id").alias("node"), "combined_index", F.posexplode("combined").alias("at", "sig")).groupBy("sig", "node").agg(F.max(F.col("at") < F.col("combined_index")).alias("indexed"))
+    often = combined.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sig")
+    index = F.expr("n - ceil(8 * n / 9) + 1")
+    listed = singles.withColumn("combined", F.lit(None).cast("boolean")).union(combined.join(often, "sig").select("sig", "node", F.lit(-1).alias("at"), "indexed"))
+    lists_ = stored(listed.join(nodes.select("node", "n"), "node").select("sig", "node", "n", "at", F.coalesce("combined", F.col("at") < index).alias("indexed")))
     l_small = (F.col("l.n") < F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.node") < F.col("r.node")))
-    may_link = F.when(l_small, F.col("l.indexed") & (5 * F.col("l.n") >= 4 * F.col("r.n"))).otherwise(F.col("r.indexed") & (5 * F.col("r.n") >= 4 * F.col("l.n")))
-    joined = connect(lists_, lambda pairs: linked(pairs, sets), may_link)
+    may_link = F.when(l_small, F.col("l.indexed")).otherwise(F.col("r.indexed"))
+    joined = connect(lists_, tokens_from(docs), 80, may_link)
     class_of = nodes.join(joined, "node", "left").select(*own, F.coalesce("comp", "node").alias("comp"))
     out = prepared.select("doc_id", *own).join(class_of, own, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import U64, Words, lists, mix, hash_spans, slices, table, windows, words_of
-from .linking import components, connect
+from .line_dedup import tokens_at, wanted_tokens
+from .linking import components, connect, met
 from .minhash import bands, tuned
-from .ngram_join import SHINGLE, linked
-from .scratch import small, stored
+from .ngram_join import SHINGLE
+from .scratch import stored
 
 LEAST = 40
 GAP, UNIT = 20, 30
@@ -97,18 +98,14 @@ def _found(batches, shape: tuple[int, int]):
         yield table({"doc_id": batch.column("doc_id"), "units": lists((at - np.repeat(w.rows[:-1], np.diff(cut))).astype(np.int32), cut, pa.int32()), "unit_keys": lists(key.view(np.int64), cut, pa.int64()), "lines": pa.ListArray.from_arrays(by_row, line)}, FOUND)
 
 
-SETS = pa.schema([("node", pa.int64()), ("tokens", pa.list_(pa.int64()))])
-
-
-def _sets(batches):
+def _tokens(batches):
     for batch in slices(batches):
         w, h, first, size, row = paragraphs(batch.column("text"))
-        want = {(i, x["start"]): x["node"] for i, xs in enumerate(batch.column("wanted").to_pylist()) for x in xs}
-        node = np.array([want.get(x, -1) for x in zip(row.tolist(), (first - w.rows[row]).tolist() if len(first) else [])], np.int64)
-        pick = np.flatnonzero(node >= 0)
+        at = {x: k for k, x in enumerate(zip(row.tolist(), (first - w.rows[row]).tolist() if len(first) else []))}
+        want = [(at[i, x["start"]], x) for i, xs in enumerate(batch.column("wanted").to_pylist()) for x in xs if (i, x["start"]) in at]
+        pick = np.array([k for k, _ in want], np.int64)
         shingles, rows = of_lines(h, first[pick], size[pick])
-        tokens = [np.unique(shingles[a:b]).view(np.int64) for a, b in zip(rows, rows[1:])]
-        yield table({"node": node[pick], "tokens": lists(np.concatenate([np.empty(0, np.int64), *tokens]), np.concatenate([[0], np.cumsum([len(t) for t in tokens])]), pa.int64())}, SETS)
+        yield wanted_tokens([x for _, x in want], shingles, rows)
 
 
 def repeated(docs: DataFrame, percent: int = PERCENT, shape: tuple[int, int] = BANDS) -> DataFrame:
@@ -137,13 +134,8 @@ def _similar(read: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """Lines (doc_id, start, n) with the component of similar lines as their key; only those that another line equals or may resemble."""
     distinct = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "start")).alias("at"), F.min(F.when(F.size("keys") > 0, F.col("keys"))).alias("keys"))
     nodes = stored(distinct.withColumn("node", F.monotonically_increasing_id()))
-    rows = nodes.select("node", F.explode("keys").alias("sig"))
-    met = rows.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sig")
-    lists_ = stored(rows.join(met, "sig"))
-    met_nodes = stored(nodes.join(lists_.select("node").distinct(), "node", "left_semi").select("at.doc_id", "at.start", "node"))
-    wanted = stored(met_nodes.groupBy("doc_id").agg(F.collect_list(F.struct("start", "node")).alias("wanted")))
-    sets = stored(read.join(F.broadcast(wanted) if small(met_nodes) else wanted, "doc_id").select("text", "wanted").mapInArrow(_sets, "node long, tokens array<long>").dropDuplicates(["node"]))
-    joined = connect(lists_, lambda pairs: linked(pairs, sets, percent))
+    lists_ = stored(met(nodes.select("node", F.col("keys").alias("sigs"), F.lit(2**30).alias("first"))).withColumn("n", F.lit(1)))
+    joined = connect(lists_, tokens_at(read, nodes.select("node", "at.doc_id", "at.start"), "start", _tokens), percent)
     several = stored(nodes.join(joined, "node", "left").where("lo < hi or comp is not null").select("h1", "h2", F.xxhash64(F.lit("line"), F.coalesce("comp", "node")).alias("key")))
     return lines.join(several, ["h1", "h2"]).select("doc_id", "start", "n", "key")
 

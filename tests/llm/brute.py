@@ -83,3 +83,28 @@ def fuzzy_lines(docs, percent=80, size=5):
     links += [(a, b) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if 5 * len(grams[a]) >= 4 * len(grams[b]) - 5 and 5 * len(grams[b]) >= 4 * len(grams[a]) - 5 and similar(grams[a], grams[b], percent)]
     least = _least_reached(keys, links)
     return {i: (sum(k[0] == i for k in keys), [k[1] for k in keys if k[0] == i and least[k] != k]) for i, _ in docs}
+
+
+def base_rules(text):
+    """(words, their characters, symbols, repeated lines, words in repeated windows of five)."""
+    t = text or ""
+    w = words(t)
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if words(line):
+            dup += line in seen
+            seen.add(line)
+    spots: dict = {}
+    for i in range(len(w) - 4):
+        spots.setdefault(tuple(w[i : i + 5]), []).append(i)
+    covered = {j for s in spots.values() if len(s) > 1 for i in s for j in range(i, i + 5)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered)
+
+
+def same_texts(docs):
+    """doc_id: (smallest doc_id of the group, its size, sha256) of documents (doc_id, text)."""
+    plain = {i: re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for i, t in docs}
+    groups: dict = {}
+    for i, t in plain.items():
+        groups.setdefault(t, []).append(i)
+    return {i: (min(groups[t]), len(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for i, t in plain.items()}

@@ -1,0 +1,276 @@
+import zlib
+
+import brute
+import numpy as np
+import pyarrow as pa
+import pytest
+from conftest import edge_rows
+from pyspark.sql import functions as F
+
+from quillon.llm import exact_dedup, language_id, line_dedup, minhash, mixing, ngram_join, packing, paragraph_dedup, quality_fm, quality_rules, url_filter
+
+PAIRS = [(r[0], r[1]) for r in edge_rows()]
+
+
+def by_id(df, *columns):
+    return {r.doc_id: tuple(r[c] for c in columns) for r in df.collect()}
+
+
+def test_exact_dedup(docs, none):
+    got = by_id(exact_dedup.identities(docs, block=64, window_bytes=4096), "keep_id", "group_size", "text_sha256")
+    assert got == brute.same_texts(PAIRS)
+    assert exact_dedup.identities(none).count() == 0
+    kept = exact_dedup.deduplicated(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {v[0] for v in got.values()}
+
+
+def test_exact_dedup_of_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (None, None), (2, "")], "doc_id long, text string")
+    rows = [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.identities(df).collect()]
+    assert sorted(rows, key=str) == sorted([(1, 1, 2, True), (1, 1, 2, True), (None, None, 1, True), (None, 2, 2, False), (2, 2, 2, True)], key=str)
+
+
+def test_quality_rules_base(docs, none, labels):
+    got = by_id(quality_rules.judged(docs, labels.where("quality = 1")), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    for i, t in PAIRS:
+        want = brute.base_rules(t)
+        failed = want[0] < 10 or 100 * want[4] > 20 * want[0]
+        assert got[i][:6] == (*want, failed) and not (failed and got[i][6]), i
+    assert quality_rules.judged(none, labels).count() == 0
+    assert quality_rules.judged(docs, labels.where("false")).where("kept <> not base_failed").count() == 0
+
+
+def test_log_ratio_separates(spark):
+    clean = [(i, " ".join(f"word{(i * 7 + k) % 40}" for k in range(60))) for i in range(60)]
+    junk = [(100 + i, " ".join(f"word{(i * 7 + k) % 40}***" for k in range(60))) for i in range(20)]
+    df = spark.createDataFrame(clean + junk, "doc_id long, text string")
+    got = by_id(quality_rules.judged(df, df.where("doc_id < 30")), "log_ratio")
+    assert min(got[i][0] for i, _ in clean) > quality_rules.THRESHOLD > max(got[i][0] for i, _ in junk)
+
+
+def test_ngram_components(docs, none):
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.components_of(docs).collect()}
+    assert got == brute.ngram_components(PAIRS)
+    assert ngram_join.components_of(none).count() == 0
+
+
+def test_frequent_tokens_use_combinations(spark, monkeypatch):
+    """All tokens in frequent classes: the combinations alone must find every link."""
+    import random
+
+    r = random.Random(5)
+    base = [f"w{k}" for k in range(90)]
+    texts = []
+    for i in range(40):
+        w = list(base)
+        for _ in range(r.randrange(4)):
+            w[r.randrange(len(w))] = f"x{r.randrange(9)}"
+        texts.append((i, " ".join(w)))
+    monkeypatch.setattr(ngram_join, "FREQUENT", (-1e9, 1e9))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.components_of(df).collect()}
+    assert got == brute.ngram_components(texts)
+
+
+@pytest.mark.parametrize("levels", [(10.0, 20.0), (2.0, 5.0), (-1.0, 3.0), (-1.0, -0.5)])
+def test_similar_sets_share_a_signature(levels):
+    """Random pairs above the threshold: the smaller's index and the larger's probe always meet."""
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 12, ngram_join.BUCKETS)
+    for _ in range(400):
+        n = int(rng.integers(1, 80))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = a[rng.random(len(a)) > rng.random() * 0.2]
+        b = np.unique(np.concatenate([b, rng.integers(0, 2**63, int(rng.integers(0, n // 8 + 2))).astype(np.uint64)]))
+        x, y = sorted((a, b), key=len, reverse=True)
+        k = len(np.intersect1d(x, y))
+        if not len(y) or 100 * k < 80 * (len(x) + len(y) - k):
+            continue
+        index = len(y) - -(-8 * len(y) // 9) + 1
+        sx, tx, cx, _ = ngram_join.signatures(x, counts, levels)
+        sy, ty, cy, n_index = ngram_join.signatures(y, counts, levels)
+        shared = set(sx) & (set(sy[:ty]) | set(sy[ty : ty + index])) | set(cx) & set(cy[:n_index])
+        assert shared, (len(x), len(y), k)
+
+
+def test_fuzzy_lines(docs, none):
+    got = by_id(line_dedup.deduplicated(docs), "n_lines", "removed_lines")
+    assert {i: (n, list(x)) for i, (n, x) in got.items()} == brute.fuzzy_lines(PAIRS)
+    assert line_dedup.deduplicated(none).count() == 0
+
+
+def test_band_recall():
+    n, r = minhash.tuned(0.8, 0.995, 32)
+    assert minhash.recall(0.8, n, r) >= 0.995
+    rng = np.random.default_rng(1)
+    met = 0
+    for _ in range(300):
+        common = rng.integers(0, 2**63, 80).astype(np.uint64)
+        a, b = (np.concatenate([common, rng.integers(0, 2**63, 10).astype(np.uint64)]) for _ in "ab")
+        keys = minhash.bands(np.concatenate([a, b]), np.array([0, 90, 180]), n, r)
+        met += bool((keys[0] == keys[1]).any())
+    assert met >= 295
+
+
+def test_repeated_passages(docs, none):
+    rows = paragraph_dedup.repeated(docs).collect()
+    text = dict(PAIRS)
+    runs: dict = {}
+    for i, t in PAIRS:
+        w = brute.words(brute.lower(t or ""))
+        for k in range(len(w) - 48):
+            runs.setdefault(tuple(w[k : k + 49]), set()).add(i)
+    must = {i for v in runs.values() if len(v) > 1 for i in v}
+    assert must <= {r.doc_id for r in rows}
+    assert {r.doc_id for r in rows} <= {4, 5, 6, 7, 8, 9, 10, 11}
+    for r in rows:
+        assert 0 <= r.start and r.start + r.n_words <= len(brute.words(text[r.doc_id]))
+        assert r.cluster_id <= r.doc_id and (r.n_removed == 0) == (r.doc_id in (4, 8, 10)), r
+    assert paragraph_dedup.repeated(none).count() == 0
+
+
+def test_packing_is_an_exact_round_trip(docs, none):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(packing.tokenizer_json())
+    ids = {i: np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [2], "<u4") for i, t in PAIRS}
+    rows = packing.packed(docs, window=512, shard_bytes=20_000).collect()
+    for i, x in ids.items():
+        at = 0
+        for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(x), zlib.crc32(x[at : at + r.length].tobytes()))
+            at += r.length
+        assert at == len(x), i
+    sequences: dict = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == sequences.get(r.sequence_id, 0)
+        sequences[r.sequence_id] = r.offset + r.length
+    assert max(sequences.values()) <= 512 and sum(v < 512 for v in sequences.values()) <= len({s >> 32 for s in sequences})
+    assert packing.packed(none).count() == 0
+
+
+def test_packing_retrieves_neighbours():
+    rng = np.random.default_rng(2)
+    kinds = [rng.integers(k * 100, k * 100 + 100, 30).astype("<u4") for k in (0, 1, 0, 1, 0, 1)]
+    first = packing.windows_of(kinds, 90)[0]
+    assert {d for d, _, _ in first} == {0, 2, 4}
+
+
+def test_encoder_agrees_with_the_tokenizer():
+    encoder = packing.Encoder(packing.tokenizer_json())
+    words = ["Hello", "the***", "it's", "É", "ﬁ", "<|endoftext|>", "a<|startoftext|>b", "12ab3", "×", "ª", "x\x01y", "İ", "", "ß,"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(words, add_special_tokens=False)]
+    assert encoder.words(words) == want
+
+
+def test_mixing(docs, none):
+    rows = [(r[0], r[1], ("other" if r[3] is None else f"domain{int(r[3][3:]) % 4}", r[2], r[3])) for r in edge_rows()]
+    tokens: dict = {}
+    for _, t, leaf in rows:
+        tokens[leaf] = tokens.get(leaf, 0) + len(brute.words(t))
+    plan = mixing.budgets(tokens, 0.5 * sum(tokens.values()), epochs=2)
+    want = {(i, leaf, e, n) for i, leaf, e, n in brute.mixed(rows, plan, 2, mixing.SEED)}
+    got = {(r.doc_id, (r.domain, r.lang, r.source), r.epoch, r.taken) for r in mixing.prefixes(docs, 0.5).collect()}
+    assert got == want
+    assert mixing.prefixes(none).count() == 0 and mixing.selected(none).columns == none.columns
+    kept = mixing.selected(docs, 0.5)
+    assert kept.columns == docs.columns and kept.count() == kept.select("doc_id").distinct().count()
+
+
+def test_shortages_go_to_siblings_first():
+    tokens = {("a", "en", "s1"): 10, ("a", "en", "s2"): 1000, ("b", "en", "s3"): 1000}
+    got = mixing.budgets(tokens, 400, epochs=1)
+    assert got == {("a", "en", "s1"): 10, ("a", "en", "s2"): 190, ("b", "en", "s3"): 200}
+    assert mixing.budgets({("a", "x", "p"): 50, ("b", "x", "q"): 500}, 400, epochs=1) == {("a", "x", "p"): 50, ("b", "x", "q"): 350}
+    weighted = mixing.budgets(tokens, 400, lambda path: {("a",): 3.0}.get(path, 1.0), epochs=1)
+    assert weighted == {("a", "en", "s1"): 10, ("a", "en", "s2"): 290, ("b", "en", "s3"): 100}
+
+
+def test_factorisation_machine(docs, none, labels):
+    got = by_id(quality_fm.scored(docs, labels), "held_out", "score", "predicted")
+    assert set(got) == {i for i, _ in PAIRS}
+    assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= s <= 1 and p == (s >= 0.3) for i, (h, s, p) in got.items())
+    assert quality_fm.scored(none, labels).count() == 0
+    assert by_id(quality_fm.scored(docs.select("doc_id", "text"), labels.where("false")), "score")[4] == (0.5,)
+    assert quality_fm.kept(docs, labels.where("false")).columns == docs.columns
+
+
+def test_machine_score_is_the_sum_over_pairs():
+    rng = np.random.default_rng(4)
+    d = quality_fm.WORD_BUCKETS + 3
+    m = quality_fm.Machine(0.1, rng.normal(0, 1, d), rng.normal(0, 0.3, (d, 4)), np.zeros(3), np.ones(3))
+    bucket, weight, stats = np.array([5, 9, 5000]), np.array([0.3, 0.4, 0.2]), rng.normal(0, 1, (1, 3))
+    index, x = np.concatenate([bucket, [d - 3, d - 2, d - 1]]), np.concatenate([weight, stats[0]])
+    z = m.bias + m.weights[index] @ x + sum(m.factors[i] @ m.factors[j] * x[a] * x[b] for a, i in enumerate(index) for b, j in enumerate(index) if a < b)
+    assert np.isclose(m.score(bucket, weight, np.array([0, 3]), stats)[0], 1 / (1 + np.exp(-z)))
+
+
+def test_url_rules_and_model(spark):
+    urls = [None, "no scheme", "http://", "https://A.Example.ORG/es/1?x", "https://example.org/en/12", "https://example.org/en/2", "http://x.com/fr/casino", "http://x.com/de/", "http://org", "http://casino-win.example.net/en/1", "http://m.thereof.net/en/1#f", "notexample.org://example.org.net/es/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("html", F.lit(None).cast("string")).withColumn("host", F.lit("clash"))
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judged(df).collect()}
+    assert [got[i][0:2] for i in range(3)] == [("", "")] * 3 and got[0][2:] == (None, "allow")
+    assert got[3] == ("a.example.org", "/es/1", "example.org/es/", "block")
+    assert got[4][2:] == ("example.org/en/1", "block") and got[5][2:] == ("org/", "allow")
+    assert got[6][2:] == ("com/fr/", "allow") and got[7][2:] == ("com/de/", "block") and got[8][2] is None
+    assert got[9][2:] == (None, "block") and got[10][2:] == (None, "allow") and got[11][0] == "example.org.net"
+    assert url_filter.judged(df.where("false")).count() == 0
+
+
+def test_language_network(spark, docs, none):
+    got = by_id(language_id.identified(docs, 30), "held_out", "lang_pred", "score")
+    assert [got[i][1:] for i in range(4)] == [("und", 0.0)] * 4
+    assert all(h == (zlib.crc32(str(i).encode()) % 3 == 1) for i, (h, _, _) in got.items())
+    assert language_id.identified(none).count() == 0
+
+
+def test_language_accuracy_and_gradients():
+    rng = np.random.default_rng(0)
+    make = lambda letters, n: bytes(rng.choice(list(letters.encode()), n))
+    texts = [make("abcd efgh", 200) if k % 2 else make("mnop qrst", 200) for k in range(60)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.arange(61) * 200
+    windows, count = language_id.cut(data, offsets)
+    label = np.repeat(np.arange(60) % 2, 4)
+    net = language_id.fit(windows, count, label, ["x", "y"], epochs=3)
+    p = net.documents(pa.array([make("abcd efgh", 150).decode(), make("mnop qrst", 30).decode(), ""]))
+    assert p[0, 1] > 0.8 and p[1, 0] > 0.8 and p[2].sum() == 0
+    # Backpropagation through time against differences.
+    d = language_id.Direction(*(rng.normal(0, 0.5, s).astype(np.float64) for s in ((12, 256), (8, 4), (4, 4))))
+    steps, w = windows[:3, :6].T, rng.normal(0, 1, (6, 4, 3))
+    loss = lambda: float((d.states(steps) * w).sum())
+    _, kept = d.states(steps, True)
+    grads = d.backward(steps, kept, w)
+    for array, grad in zip((d.inputs, d.update, d.candidate), grads):
+        spot = np.unravel_index(np.abs(grad).argmax(), grad.shape)
+        old = array[spot]
+        array[spot] = old + 1e-2
+        up = loss()
+        array[spot] = old - 1e-2
+        assert np.isclose((up - loss()) / 2e-2, grad[spot], rtol=2e-2, atol=1e-3)
+        array[spot] = old
+
+
+def test_pipeline_stages(spark, docs, labels, tmp_path):
+    import corpus_pipeline
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    now, columns = spark.read.parquet(str(tmp_path / "documents.parquet")), docs.columns
+    seen = []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = {r.doc_id for r in now.select("doc_id").collect()}
+        out = stage(spark, now, str(tmp_path))
+        if k < 4:
+            assert out.columns == columns
+        out.write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        after = {r.doc_id for r in now.select("doc_id").collect()}
+        assert after <= before
+        seen.append((before, after))
+    text = dict(PAIRS)
+    before, after = seen[1]
+    same = brute.same_texts([(i, text[i]) for i in before])
+    assert after == {v[0] for v in same.values()}
+    before, after = seen[2]
+    assert after == {c for _, _, c in brute.ngram_components([(i, text[i]) for i in before])}
+    assert seen[4][0] == seen[4][1]
