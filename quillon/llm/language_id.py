@@ -21,7 +21,9 @@ HIDDEN = 8
 #: Documents that the network is trained on, at most (those with the smallest hashes of their ids), and windows of each, spread evenly over the whole text.
 TRAIN_DOCS = 2400
 TRAIN_WINDOWS = 6
+#: Passes over the windows, and least number of steps of BATCH windows.
 EPOCHS = 4
+STEPS = 300
 BATCH = 128
 #: Windows that are scored at once; their state stays in a core's cache.
 BLOCK = 2048
@@ -140,6 +142,7 @@ def fit(windows: np.ndarray, count: np.ndarray, label: np.ndarray, languages: li
     params = [net.forwards.inputs, net.forwards.update, net.forwards.candidate, net.backwards.inputs, net.backwards.update, net.backwards.candidate, net.output, net.bias]
     first, second, n = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     weight = (len(label) / (k * np.maximum(np.bincount(label, minlength=k), 1))).astype(np.float32)[label]
+    epochs = max(epochs, STEPS * BATCH // max(len(label), 1))
     for epoch in range(epochs):
         order = rng.permutation(len(label))
         for at in range(0, len(order), BATCH):

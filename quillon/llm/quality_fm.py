@@ -87,6 +87,7 @@ def fit(bucket: np.ndarray, weight: np.ndarray, rows: np.ndarray, stats: np.ndar
     d, n = WORD_BUCKETS + stats.shape[1], len(label)
     m = Machine(0.0, np.zeros(d), rng.normal(0, 0.02, (d, factors)), stats.mean(0) if n else np.zeros(stats.shape[1]), np.maximum(stats.std(0), 1e-3) if n else np.ones(stats.shape[1]))
     if not n:
+        m.factors[:] = 0
         return m
     rate_of = np.clip(label.mean(), 0.01, 0.99)
     m.bias = float(np.log(rate_of / (1 - rate_of)))
