@@ -17,10 +17,11 @@ from .minhash import bands, tuned
 from .ngram_join import TOKENS, TOKENS_DDL
 from .scratch import small, stored
 
-#: Characters of a shingle, the least similarity in percent, and bands and rows for a recall of 99.5 % there.
-SHINGLE = 5
+#: Characters of a shingle: so many that lines of one language seldom share one by chance.
+SHINGLE = 8
+#: The least similarity in percent, and bands and rows for a recall of 99.5 % there.
 PERCENT = 80
-BANDS = tuned(PERCENT / 100, 0.995, 32)
+BANDS = tuned(PERCENT / 100, 0.995, 48)
 
 
 def split_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

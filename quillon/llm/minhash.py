@@ -6,35 +6,36 @@ import numpy as np
 
 from .arrow_text import U64, mix
 
-U32 = np.uint32
+def bands(hashes: np.ndarray, rows: np.ndarray, n_bands: int, band_rows: int) -> np.ndarray:
+    """A 64-bit key of each band of each row (rows x n_bands). rows: first hash of each row, one more than rows; no row is empty.
 
-
-def multipliers(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return (rng.integers(0, 2**32, n, dtype=np.uint64) | U64(1)).astype(U32), rng.integers(0, 2**32, n, dtype=np.uint64).astype(U32)
-
-
-def bands(hashes: np.ndarray, rows: np.ndarray, n_bands: int, band_rows: int, at_once: int = 1 << 16) -> np.ndarray:
-    """A 64-bit key of each band of each row (rows x n_bands). rows: first hash of each row, one more than rows; no row is empty."""
-    n = len(rows) - 1
+    One permutation: each hash falls in one of n_bands * band_rows bins, each bin keeps its least, and an empty bin
+    borrows from the next that isn't, with the distance. So all hashes are computed and sorted once.
+    """
+    n, bins = len(rows) - 1, n_bands * band_rows
     out = np.empty((n, n_bands), U64)
-    if not n:
-        return out
-    x = (hashes ^ (hashes >> U64(32))).astype(U32)
-    mul, add = multipliers(n_bands * band_rows)
-    # A few rows at a time, so that their hashes stay in a core's cache for all permutations.
-    cuts = np.unique(np.concatenate([[0, n], np.searchsorted(rows, np.arange(at_once, len(x), at_once))]))
+    # As many rows at once as keep the place of row and bin in 32 bits and the work in a core's cache.
+    cuts = np.unique(np.concatenate([[0, n], np.searchsorted(rows, np.arange(1 << 18, rows[-1], 1 << 18))])) if n else [0]
     for a, b in zip(cuts, cuts[1:]):
-        part, first = x[rows[a] : rows[b]], rows[a:b] - rows[a]
+        x = mix(hashes[rows[a] : rows[b]])
+        row = np.repeat(np.arange(b - a, dtype=np.uint64), np.diff(rows[a : b + 1]))
+        place = row * U64(bins) + (x >> U64(32)) % U64(bins)
+        key = np.sort(place << U64(32) | x & U64(0xFFFFFFFF))
+        where = (key >> U64(32)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+        least = np.full((b - a) * bins, -1, np.int64)
+        least[where[first]] = (key[first] & U64(0xFFFFFFFF)).astype(np.int64)
+        least = least.reshape(b - a, bins)
+        # The next bin with a value, going round.
+        twice = np.concatenate([least, least], 1)
+        at = np.where(twice >= 0, np.arange(2 * bins), 4 * bins)
+        at = np.minimum.accumulate(at[:, ::-1], 1)[:, ::-1][:, :bins]
+        value = np.take_along_axis(twice, at, 1).astype(U64) + (at - np.arange(bins)).astype(U64) * U64(0x9E3779B97F4A7C15)
         for band in range(n_bands):
-            key = np.full(b - a, band + 1, U64)
+            h = np.full(b - a, band + 1, U64)
             for k in range(band * band_rows, (band + 1) * band_rows):
-                y = part * mul[k]
-                y += add[k]
-                y ^= y >> U32(15)
-                y *= U32(0x2C1B3C6D)
-                key = mix(key * U64(0x100000001B3) ^ np.minimum.reduceat(y, first).astype(U64))
-            out[a:b, band] = key
+                h = mix(h * U64(0x100000001B3) ^ value[:, k])
+            out[a:b, band] = h
     return out
 
 

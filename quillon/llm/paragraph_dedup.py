@@ -29,7 +29,7 @@ LEAST = 40
 GAP, UNIT = 20, 30
 PERCENT = 80
 #: For a recall of 99.5 % at that similarity.
-BANDS = tuned(PERCENT / 100, 0.995, 32)
+BANDS = tuned(PERCENT / 100, 0.995, 48)
 
 
 def anchored(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
