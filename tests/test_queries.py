@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
 def rows(frame, columns):
-    plain = lambda v: None if pd.isna(v) else float(v) if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "") in "iuf" else str(v)
+    plain = lambda v: None if pd.isna(v) else float(v) if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "") in ("i", "u", "f") else str(v)
     return sorted((tuple(map(plain, r)) for r in frame[columns].itertuples(index=False, name=None)), key=str)
 
 
