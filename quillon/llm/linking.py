@@ -149,6 +149,17 @@ def plausible(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     return seen.where(_enough(*(F.col(c) for c in "kijmn"), percent)).select("a", "b")
 
 
+def _joined(joined: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(node, comp) after further links: only the components that they touch are looked at."""
+    if joined is None:
+        return stored(components(found))
+    end = lambda c: joined.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
+    between = found.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    new = components(stored(between))
+    old = joined.join(new.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return stored(old.union(new.join(joined.select("node"), "node", "left_anti").select("node", "comp")))
+
+
 def connect(lists: DataFrame, tokens_of: Callable[[DataFrame], DataFrame], percent: int = 80, may_link: Column | None = None) -> DataFrame:
     """(node, comp) of all nodes that verified links join.
 
@@ -158,7 +169,7 @@ def connect(lists: DataFrame, tokens_of: Callable[[DataFrame], DataFrame], perce
     nodes with a common signature whose sizes allow the similarity. may_link: a further condition on columns of l and r,
     both rows of lists, that holds in one list at least of two nodes that link.
     """
-    links, tried, idle = None, None, 0
+    tried, idle = None, 0
     now = lists.withColumn("comp", F.col("node"))
     joined = None
     able = lambda x, y: (100 * F.least(x, y)) >= (percent * F.greatest(x, y))
@@ -183,8 +194,7 @@ def connect(lists: DataFrame, tokens_of: Callable[[DataFrame], DataFrame], perce
             break
         if idle:
             continue
-        links = found if links is None else links.union(found)
-        joined = stored(components(links))
+        joined = _joined(joined, found)
         now = stored(lists.join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     open_lists = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
     rest = stored(now.join(open_lists, "sig"))
@@ -204,5 +214,5 @@ def connect(lists: DataFrame, tokens_of: Callable[[DataFrame], DataFrame], perce
     if not pairs.isEmpty():
         found = stored(verified(pairs, tokens_of, percent))
         if not found.isEmpty():
-            return components(found if links is None else links.union(found))
+            return _joined(joined, found)
     return joined if joined is not None else pairs.select(F.col("a").alias("node"), F.col("b").alias("comp")).where(F.lit(False))
