@@ -10,9 +10,11 @@ def bands(hashes: np.ndarray, rows: np.ndarray, n_bands: int, band_rows: int) ->
     """A 64-bit key of each band of each row (rows x n_bands). rows: first hash of each row, one more than rows; no row is empty.
 
     One permutation: each hash falls in one of n_bands * band_rows bins, each bin keeps its least, and an empty bin
-    borrows from the next that isn't, with the distance. So all hashes are computed and sorted once.
+    borrows from the first that isn't in an order of its own, so that bins of a band borrow from different ones. So all
+    hashes are computed and sorted once.
     """
     n, bins = len(rows) - 1, n_bands * band_rows
+    lenders = np.argsort(mix(np.arange(bins * bins, dtype=np.uint64)).reshape(bins, bins), 1)
     out = np.empty((n, n_bands), U64)
     # As many rows at once as keep the place of row and bin in 32 bits and the work in a core's cache.
     cuts = np.unique(np.concatenate([[0, n], np.searchsorted(rows, np.arange(1 << 18, rows[-1], 1 << 18))])) if n else [0]
@@ -26,11 +28,15 @@ def bands(hashes: np.ndarray, rows: np.ndarray, n_bands: int, band_rows: int) ->
         least = np.full((b - a) * bins, -1, np.int64)
         least[where[first]] = (key[first] & U64(0xFFFFFFFF)).astype(np.int64)
         least = least.reshape(b - a, bins)
-        # The next bin with a value, going round.
-        twice = np.concatenate([least, least], 1)
-        at = np.where(twice >= 0, np.arange(2 * bins), 4 * bins)
-        at = np.minimum.accumulate(at[:, ::-1], 1)[:, ::-1][:, :bins]
-        value = np.take_along_axis(twice, at, 1).astype(U64) + (at - np.arange(bins)).astype(U64) * U64(0x9E3779B97F4A7C15)
+        value = least.ravel().copy()
+        empty = np.flatnonzero(value < 0)
+        for turn in range(bins):
+            if not len(empty):
+                break
+            lent = least.ravel()[empty - empty % bins + lenders[empty % bins, turn]]
+            value[empty] = lent
+            empty = empty[lent < 0]
+        value = value.reshape(b - a, bins).astype(U64)
         for band in range(n_bands):
             h = np.full(b - a, band + 1, U64)
             for k in range(band * band_rows, (band + 1) * band_rows):

@@ -28,8 +28,8 @@ from .scratch import stored
 LEAST = 40
 GAP, UNIT = 20, 30
 PERCENT = 80
-#: For a recall of 99.5 % at that similarity.
-BANDS = tuned(PERCENT / 100, 0.995, 48)
+#: For a recall of 99.9 % at that similarity.
+BANDS = tuned(PERCENT / 100, 0.999, 96)
 
 
 def anchored(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -112,6 +112,32 @@ def test_band_recall():
     assert met >= 295
 
 
+def test_fuzzy_lines_of_49_characters(spark):
+    """One changed inner character: similar by shingles of five characters, not by longer ones."""
+    line = "the quick brown fox jumps over the lazy dogs home"
+    docs = [(1, line), (2, line[:24] + "#" + line[25:]), (3, "an unrelated line that stands in a text by itself")]
+    got = by_id(line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")), "n_lines", "removed_lines")
+    assert len(line) == 49 and {i: (n, list(x)) for i, (n, x) in got.items()} == brute.fuzzy_lines(docs, size=5) == {1: (1, []), 2: (1, [0]), 3: (1, [])}
+
+
+@pytest.mark.parametrize("union", [25, 50, 200])
+def test_bands_of_short_sets(union):
+    """Sets with fewer hashes than bins: similar ones meet, unlike ones seldom do."""
+    rng = np.random.default_rng(8)
+
+    def share(similarity):
+        k = int(np.ceil(similarity * union))
+        sets = []
+        for _ in range(600):
+            x = rng.integers(0, 2**63, union).astype(np.uint64)
+            half = (union + k) // 2
+            sets += [x[:half], np.concatenate([x[:k], x[half:]])]
+        keys = minhash.bands(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), *line_dedup.BANDS)
+        return (keys[0::2] == keys[1::2]).any(1).mean()
+
+    assert share(0.8) >= 0.99 and share(0.25) <= 0.06
+
+
 def test_repeated_passages(docs, none):
     rows = paragraph_dedup.repeated(docs).collect()
     text = dict(PAIRS)
