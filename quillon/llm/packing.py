@@ -1,9 +1,11 @@
 """Lexical retrieval packing: a sharded BM25 inverted index returns unused neighbours for each seed document, which greedily fill its window.
 
-Documents with the same least word hash lie in the same locality bucket. Buckets are packed into shards of about
-SHARD_BYTES of text, a larger bucket is dealt out over several; so a shard fits one task, whatever one source or group of
-copies holds. Each shard is indexed and packed by itself. A neighbour that doesn't fit is cut: its head fills the window,
-its rest is the next seed. So all windows of a shard are full but its last.
+Documents with the same least word hash lie in the same cell. A cell over SHARD_BYTES of text is split by the least hash
+of another hash function, and so on; so a shard fits one task, whatever one source holds, and its documents are alike at
+every size of the corpus. Only copies so near that they agree in all LEVELS least hashes are dealt out. Small neighbouring
+cells share a shard. Counts of documents by term and the mean length are those of the whole corpus; each shard is indexed
+and packed by itself. A neighbour that doesn't fit is cut: its head fills the window, its rest is the next seed. So all
+windows of a shard are full but its last.
 """
 
 from __future__ import annotations
@@ -19,39 +21,128 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import U64, hash_spans, mix, per_row, slices, table, words_of
+from .arrow_text import U64, hash_spans, lists, mix, per_row, slices, table, words_of
+from .scratch import stored
 
 WINDOW = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 LOCALITY = 4096
 SHARD_BYTES = 4 << 20
-#: BM25's constants, and the terms of a seed that are looked up: those with its largest weights.
-K1, B, QUERY_TERMS = 1.2, 0.75, 32
+#: Least hashes of a document, and cells into which a large cell is split for each shard that it would fill.
+LEVELS, SPLIT = 8, 16
+#: BM25's constants.
+K1, B = 1.2, 0.75
 #: Words whose ids a task remembers.
 REMEMBERED = 1_000_000
 
 
 def locality(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's bucket, by the least hash of its words, and its bytes."""
+    """Each row's least word hashes by LEVELS hash functions (rows x LEVELS), and its bytes."""
     w = words_of(texts, lower=True)
-    out = np.zeros(len(texts), np.int64)
+    out = np.zeros((len(texts), LEVELS), np.int64)
     some = w.counts > 0
     if len(w.starts):
-        out[some] = (mix(np.minimum.reduceat(hash_spans(w.data, w.starts, w.ends), w.rows[:-1][some])) % U64(LOCALITY)).astype(np.int64)
+        h = hash_spans(w.data, w.starts, w.ends)
+        for k in range(LEVELS):
+            x = mix(h + U64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) if k else h
+            out[some, k] = (mix(np.minimum.reduceat(x, w.rows[:-1][some])) >> U64(1)).astype(np.int64)
     return out, per_row(w.solid, w.offsets) + 1
 
 
-SIZES = pa.schema([("bucket", pa.int32()), ("bytes", pa.int64())])
+class Cells:
+    """A tree of cells: the first LOCALITY are of the first least hash; a split cell's are ``count`` from ``base`` on, by the next one."""
+
+    def __init__(self):
+        self.base, self.count, self.sizes = np.full(LOCALITY, -1), np.ones(LOCALITY, np.int64), np.zeros(LOCALITY, np.int64)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """The cell of each row, the smallest there is by now."""
+        cell = hashes[:, 0] % LOCALITY
+        for k in range(1, LEVELS):
+            split = np.flatnonzero(self.base[cell] >= 0)
+            cell[split] = self.base[cell[split]] + hashes[split, k] % self.count[cell[split]]
+        return cell
+
+    def split(self, first: int, shard_bytes: int) -> bool:
+        """Splits the large ones of the cells from ``first`` on; whether there are any."""
+        large = first + np.flatnonzero(self.sizes[first:] > shard_bytes)
+        if not len(large):
+            return False
+        n = SPLIT * -(-self.sizes[large] // shard_bytes)
+        self.count[large] = n
+        self.base[large] = len(self.base) + np.concatenate([[0], np.cumsum(n)])[:-1]
+        new = int(n.sum())
+        self.base, self.count, self.sizes = np.append(self.base, np.full(new, -1)), np.append(self.count, np.ones(new, np.int64)), np.append(self.sizes, np.zeros(new, np.int64))
+        return True
+
+    def leaves(self) -> np.ndarray:
+        """Cells that aren't split, those of one split together."""
+        out, stack = [], list(range(LOCALITY - 1, -1, -1))
+        while stack:
+            i = stack.pop()
+            if self.base[i] < 0:
+                out.append(i)
+            else:
+                stack += range(self.base[i] + self.count[i] - 1, self.base[i] - 1, -1)
+        return np.array(out, np.int64)
+
+
+def least_hashes(column) -> np.ndarray:
+    return np.asarray(column.flatten()).reshape(len(column), LEVELS)
+
+
+SIZES = pa.schema([("cell", pa.int64()), ("bytes", pa.int64())])
+
+
+def _sizes(batches, cells: Cells, first: int):
+    n = np.zeros(len(cells.base), np.int64)
+    for batch in batches:
+        np.add.at(n, cells.of(least_hashes(batch.column("hashes"))), np.asarray(batch.column("bytes")))
+    seen = first + np.flatnonzero(n[first:])
+    yield table({"cell": seen, "bytes": n[seen]}, SIZES)
+
+
+def cells_of(encoded: DataFrame, shard_bytes: int) -> Cells:
+    """Cells of at most shard_bytes, as far as least hashes tell documents apart."""
+    cells, first = Cells(), 0
+    for k in range(LEVELS):
+        plan = encoded.sparkSession.sparkContext.broadcast(cells)
+        got = encoded.select("hashes", "bytes").mapInArrow(lambda it: _sizes(it, plan.value, first), "cell long, bytes long").groupBy("cell").agg(F.sum("bytes").alias("bytes")).toPandas()  # noqa: B023
+        cells.sizes[got["cell"]] = got["bytes"]
+        before = len(cells.base)
+        if k == LEVELS - 1 or not cells.split(first, shard_bytes):
+            return cells
+        first = before
+    return cells
+
+
+DF = pa.schema([("term", pa.int64()), ("df", pa.int64()), ("tokens", pa.int64())])
+
+
+def _terms(batches):
+    """Documents by term, and in the row of term -1 all documents and tokens."""
+    n, docs, tokens = np.zeros(0, np.int64), 0, 0
+    for batch in batches:
+        for x in batch.column("ids"):
+            ids = widened(x.as_py())
+            docs, tokens = docs + 1, tokens + len(ids)
+            here = np.unique(ids)
+            if here[-1] >= len(n):
+                n = np.append(n, np.zeros(int(here[-1]) + 1 - len(n), np.int64))
+            n[here] += 1
+    seen = np.flatnonzero(n)
+    yield table({"term": np.append(seen, -1), "df": np.append(n[seen], docs), "tokens": np.append(np.zeros(len(seen), np.int64), tokens)}, DF)
 
 
-def _sizes(batches):
-    n = np.zeros(LOCALITY, np.int64)
-    for batch in slices(batches):
-        bucket, size = locality(batch.column("text"))
-        np.add.at(n, bucket, size)
-    seen = np.flatnonzero(n)
-    yield table({"bucket": seen.astype(np.int32), "bytes": n[seen]}, SIZES)
+def corpus_terms(encoded: DataFrame) -> tuple[int, float, np.ndarray]:
+    """Documents, their mean length, and documents by term id; as many numbers as the vocabulary has come to the driver."""
+    got = encoded.select("ids").mapInArrow(_terms, "term long, df long, tokens long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens")).toPandas()
+    whole, terms = got[got["term"] < 0], got[got["term"] >= 0]
+    n = int(whole["df"].sum())
+    df = np.zeros(int(terms["term"].max()) + 1 if len(terms) else 0, np.int64)
+    df[terms["term"]] = terms["df"]
+    return n, int(whole["tokens"].sum()) / max(n, 1), df
 
 
 def shards(sizes: np.ndarray, shard_bytes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,17 +232,25 @@ class Encoder:
         return [out[a:b].tobytes() + end for a, b in zip(cuts, cuts[1:])]
 
 
-ENCODED = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
+ENCODED = pa.schema([("doc_id", pa.int64()), ("bytes", pa.int64()), ("hashes", pa.list_(pa.int64())), ("ids", pa.binary())])
+DEALT = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
 
-def _encode(batches, definition: str, first: np.ndarray, number: np.ndarray):
+def _encode(batches, definition: str):
     encoder = Encoder(definition)
     for batch in slices(batches, limit=8 << 20):
-        bucket, size = locality(batch.column("text"))
-        ids = batch.column("doc_id")
-        dealt = mix(ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(U64) + size.astype(U64) * U64(0x9E3779B97F4A7C15)) % number[bucket].astype(U64)
+        hashes, size = locality(batch.column("text"))
         # Ids of the vocabulary need 16 bits; wider ones keep 32.
-        yield table({"shard": first[bucket] + dealt.astype(np.int64), "doc_id": ids, "ids": pa.array([narrow(x) for x in encoder.texts(batch.column("text"))], pa.binary())}, ENCODED)
+        ids = pa.array([narrow(x) for x in encoder.texts(batch.column("text"))], pa.binary())
+        yield table({"doc_id": batch.column("doc_id"), "bytes": size.astype(np.int64), "hashes": lists(hashes.ravel(), np.arange(len(hashes) + 1) * LEVELS, pa.int64()), "ids": ids}, ENCODED)
+
+
+def _deal(batches, cells: Cells, first: np.ndarray, number: np.ndarray):
+    for batch in batches:
+        cell, size = cells.of(least_hashes(batch.column("hashes"))), np.asarray(batch.column("bytes"))
+        ids = batch.column("doc_id")
+        dealt = mix(ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(U64) + size.astype(U64) * U64(0x9E3779B97F4A7C15)) % number[cell].astype(U64)
+        yield table({"shard": first[cell] + dealt.astype(np.int64), "doc_id": ids, "ids": batch.column("ids")}, DEALT)
 
 
 def narrow(ids: bytes) -> bytes:
@@ -165,41 +264,49 @@ def widened(packed: bytes) -> np.ndarray:
 
 
 class Index:
-    """Postings of a shard with their BM25 weights, by term and by document."""
+    """Terms of a shard's documents with their BM25 weights. corpus: documents, mean length and documents by term of the whole corpus; without it, of the shard."""
 
-    def __init__(self, docs: list[np.ndarray]):
-        n = len(docs)
+    def __init__(self, docs: list[np.ndarray], corpus: tuple[int, float, np.ndarray] | None = None):
         terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs))
         size = np.array([len(t) for t in terms])
         self.rows = np.concatenate([[0], np.cumsum(size)])
-        self.terms = np.concatenate(terms).astype(np.int64)
-        doc = np.repeat(np.arange(n), size)
-        used, place, df = np.unique(self.terms, return_inverse=True, return_counts=True)
+        used, self.place, df = np.unique(np.concatenate(terms).astype(np.int64), return_inverse=True, return_counts=True)
         length = np.array([len(d) for d in docs], float)
+        n, mean = len(docs), length.mean()
+        if corpus is not None:
+            n, mean, df = corpus[0], corpus[1], corpus[2][used]
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         tf = np.concatenate(counts).astype(float)
-        self.weights = idf[place] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / length.mean())[doc])
-        order = np.argsort(place, kind="stable")
-        self.place, self.df = place, df
-        self.first = np.concatenate([[0], np.cumsum(df)])
-        self.docs, self.by_term = doc[order], self.weights[order]
+        self.weights = idf[self.place] * tf * (K1 + 1) / (tf + np.repeat(K1 * (1 - B + B * length / mean), size))
+        self.asked = np.zeros(len(used), bool)
+        # Documents that are looked up, and their part of the terms.
+        self.docs, self.part = np.arange(len(docs)), (self.place, self.weights, self.rows[:-1])
+
+    def keep(self, free: np.ndarray) -> None:
+        """Looks up free documents only, once half of them are not."""
+        some = free[self.docs]
+        if 2 * some.sum() > len(some) or not some.any():
+            return
+        self.docs = self.docs[some]
+        size = np.diff(self.rows)[self.docs]
+        first = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(self.rows[self.docs] - first[:-1], size) + np.arange(first[-1])
+        self.part = self.place[at], self.weights[at], first[:-1]
 
     def scores(self, seed: int) -> np.ndarray:
-        own = slice(self.rows[seed], self.rows[seed + 1])
-        place, weight = self.place[own], self.weights[own]
-        shared = np.flatnonzero(self.df[place] > 1)
-        if len(shared) > QUERY_TERMS:
-            shared = shared[np.argpartition(-weight[shared], QUERY_TERMS)[:QUERY_TERMS]]
+        """Scores by all terms of the seed; 0 for documents that aren't looked up."""
+        own = self.place[self.rows[seed] : self.rows[seed + 1]]
+        place, weights, first = self.part
+        self.asked[own] = True
         score = np.zeros(len(self.rows) - 1)
-        for p in place[np.sort(shared)].tolist():
-            a, b = self.first[p], self.first[p + 1]
-            score[self.docs[a:b]] += self.by_term[a:b]
+        score[self.docs] = np.add.reduceat(weights * self.asked[place], first)
+        self.asked[own] = False
         return score
 
 
-def windows_of(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+def windows_of(docs: list[np.ndarray], window: int = WINDOW, corpus: tuple[int, float, np.ndarray] | None = None) -> list[list[tuple[int, int, int]]]:
     """Windows of pieces (document, start, length), each full but for the last."""
-    index, n = Index(docs), len(docs)
+    index, n = Index(docs, corpus), len(docs)
     free = np.ones(n, bool)
     at, out, carry = 0, [], None
     while True:
@@ -215,6 +322,7 @@ def windows_of(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[
         pieces, room = [(seed, start, take)], window - take
         carry = (seed, start + take) if start + take < len(docs[seed]) else None
         if room and free.any():
+            index.keep(free)
             score = np.where(free, index.scores(seed), -1.0)
             # Equal scores go by the order of documents; those without a common term come last.
             for other in _ranked(score):
@@ -245,12 +353,12 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _pack(shard: pa.Table, window: int) -> pa.Table:
+def _pack(shard: pa.Table, window: int, corpus: tuple[int, float, np.ndarray]) -> pa.Table:
     rows = sorted(zip(shard.column("doc_id").to_pylist(), shard.column("ids").to_pylist()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
     docs = [widened(x) for _, x in rows]
     base = shard.column("shard")[0].as_py() << 32
     out = []
-    for k, pieces in enumerate(windows_of(docs, window)):
+    for k, pieces in enumerate(windows_of(docs, window, corpus)):
         offset = 0
         for doc, start, length in pieces:
             out.append((rows[doc][0], start, length, zlib.crc32(docs[doc][start : start + length].tobytes()), len(docs[doc]), base + k, offset))
@@ -275,9 +383,13 @@ def packed(docs: DataFrame, tokenizer_path: str | None = None, window: int = WIN
     itself, with their ids as they are. An empty table gives no rows. Other columns are not read.
     """
     sc = docs.sparkSession.sparkContext
-    got = docs.select("text").mapInArrow(_sizes, "bucket int, bytes long").groupBy("bucket").agg(F.sum("bytes").alias("bytes")).toPandas()
-    sizes = np.zeros(LOCALITY, np.int64)
-    sizes[got["bucket"]] = got["bytes"]
-    plan = sc.broadcast((tokenizer_json(tokenizer_path), *shards(sizes, shard_bytes)))
-    encoded = docs.select("doc_id", "text").mapInArrow(lambda it: _encode(it, *plan.value), "shard long, doc_id long, ids binary")
-    return encoded.groupBy("shard").applyInArrow(lambda t: _pack(t, window), PIECES_DDL)
+    definition = sc.broadcast(tokenizer_json(tokenizer_path))
+    encoded = stored(docs.select("doc_id", "text").mapInArrow(lambda it: _encode(it, definition.value), "doc_id long, bytes long, hashes array<long>, ids binary"))
+    corpus = sc.broadcast(corpus_terms(encoded))
+    cells = cells_of(encoded, shard_bytes)
+    leaves = cells.leaves()
+    first, number = np.zeros(len(cells.base), np.int64), np.ones(len(cells.base), np.int64)
+    first[leaves], number[leaves] = shards(cells.sizes[leaves], shard_bytes)
+    plan = sc.broadcast((cells, first, number))
+    dealt = encoded.mapInArrow(lambda it: _deal(it, *plan.value), "shard long, doc_id long, ids binary")
+    return dealt.groupBy("shard").applyInArrow(lambda t: _pack(t, window, corpus.value), PIECES_DDL)

@@ -182,6 +182,40 @@ def test_packing_retrieves_neighbours():
     assert {d for d, _, _ in first} == {0, 2, 4}
 
 
+def test_all_terms_of_a_seed_are_looked_up():
+    """The neighbour shares the 40 of a seed's 100 terms that weigh least; 40 others share one each of those that weigh most."""
+    seed = np.concatenate([np.repeat(np.arange(60), 3), np.arange(60, 100)]).astype("<u4")
+    others = [np.concatenate([[k], np.arange(1000 + 40 * k, 1039 + 40 * k)]).astype("<u4") for k in range(40)]
+    neighbour = np.arange(60, 100).astype("<u4")
+    first = packing.windows_of([seed, *others, neighbour], len(seed) + 40)[0]
+    assert first == [(0, 0, len(seed)), (41, 0, 40)]
+
+
+def test_weights_are_those_of_the_corpus():
+    """Term 1 is rare in the shard and common in the corpus, term 2 the other way round."""
+    docs = [np.array(d, "<u4") for d in ([1, 2], [1, 8], [2, 9], [2, 10], [2, 11])]
+    df = np.ones(12, np.int64)
+    df[[1, 2]] = 900, 5
+    best = lambda corpus: int(packing.Index(docs, corpus).scores(0)[1:].argmax()) + 1
+    assert best(None) == 1 and best((1000, 2.0, df)) == 2
+
+
+def test_large_cells_are_split_by_content(spark):
+    """Pairs of near copies that all begin with one least hash stay together, whatever their ids are."""
+    words = [f"w{k}" for k in range(4000)]
+    h = packing.locality(pa.array(words))[0]
+    raw = packing.hash_spans(*(lambda w: (w.data, w.starts, w.ends))(packing.words_of(pa.array(words), lower=True)))
+    least = words[int(raw.argmin())]
+    assert h.shape == (4000, packing.LEVELS)
+    rng = np.random.default_rng(6)
+    texts = [" ".join([least, *(words[i] for i in rng.integers(0, 4000, 60))]) for _ in range(150)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + 7 * i, t + " and") for i, t in enumerate(texts)]
+    got = packing.packed(spark.createDataFrame(rows, "doc_id long, text string"), window=256, shard_bytes=4000).collect()
+    shard = {r.doc_id: r.sequence_id >> 32 for r in got}
+    assert len(set(shard.values())) >= 8
+    assert sum(shard[i] == shard[1000 + 7 * i] for i in range(150)) >= 130
+
+
 def test_encoder_agrees_with_the_tokenizer():
     encoder = packing.Encoder(packing.tokenizer_json())
     words = ["Hello", "the***", "it's", "É", "ﬁ", "<|endoftext|>", "a<|startoftext|>b", "12ab3", "×", "ª", "x\x01y", "İ", "", "ß,"]
