@@ -113,12 +113,16 @@ def block_headings(spark, sf_dir):
 @query("SELECT d.doc_id, b.item_id, CAST(instr(d.text, left(b.text, 80)) - 1 AS INTEGER) AS text_start FROM documents d JOIN benchmark b ON contains(d.text, left(b.text, 80))")
 def quote_locate(spark, sf_dir):
     # Quotes meet texts at one word, their longest inner one; whether a text holds the whole quote is then looked up.
+    # The first and the last word may be parts of a text's words, so quotes without an inner one are looked up in all texts.
     d, b = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     quotes = b.select("item_id", F.left("text", F.lit(80)).alias("quote"))
-    inner = F.slice(F.split("quote", r"\s+"), F.lit(2), F.greatest(F.size(F.split("quote", r"\s+")) - 2, F.lit(1)))
+    parts = F.split("quote", r"\s+")
+    inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
     keyed = quotes.withColumn("word", F.get(F.array_sort(inner, lambda x, y: F.length(y) - F.length(x)), 0))
     words = d.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    hits = words.join(keyed, "word").where(F.contains("text", F.col("quote")))
+    held = F.contains("text", F.col("quote"))
+    columns = ["doc_id", "text", "item_id", "quote"]
+    hits = words.join(keyed, "word").where(held).select(columns).union(d.join(keyed.where("word is null"), held).select(columns))
     return hits.select("doc_id", "item_id", (F.instr(F.col("text"), F.col("quote")) - 1).alias("text_start"))
 
 

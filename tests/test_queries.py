@@ -32,3 +32,13 @@ def test_query_gives_what_sql_gives(spark, duck, name):
     assert sorted(got.columns) == sorted(want.columns)
     columns = sorted(want.columns)
     assert rows(got, columns) == rows(want, columns)
+
+
+def test_short_quotes_are_located(spark, tmp_path):
+    """Quotes of one word, and of two cut at the end, stand in texts as parts of words."""
+    texts = [(1, "an unbreakable sentence follows"), (2, "nothing of the kind"), (3, "some break sentences here"), (4, None)]
+    quotes = [(10, "break"), (11, "break sent"), (12, "unbreakable sentence foll"), (13, "absent"), (14, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(quotes, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(map(tuple, registry.QUERIES["quote_locate"](spark, str(tmp_path)).collect()))
+    assert got == sorted((i, k, t.index(q)) for i, t in texts for k, q in quotes if t and q and q in t)
