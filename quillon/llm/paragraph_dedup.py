@@ -33,7 +33,7 @@ BANDS = tuned(PERCENT / 100, 0.999, 96)
 
 
 def anchored(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First word (in all words) and hash of each row's anchored paragraphs, each hash once in a row."""
+    """First word (in all words) and hash of each row's anchored paragraphs, every occurrence of them."""
     row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
     if len(h) < GAP:
         return np.empty(0, np.int64), np.empty(0, U64)
@@ -43,8 +43,7 @@ def anchored(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key = np.full(len(at), 9, U64)
     for k in range(UNIT):
         key = mix(key ^ h[at + k])
-    once = np.sort(np.unique(mix(key ^ mix(row[at].astype(U64))), return_index=True)[1])
-    return at[once], key[once]
+    return at, key
 
 
 def line_words(w: Words) -> np.ndarray:

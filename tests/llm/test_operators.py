@@ -155,6 +155,17 @@ def test_repeated_passages(docs, none):
     assert paragraph_dedup.repeated(none).count() == 0
 
 
+def test_a_passage_twice_in_a_document(spark):
+    """Both occurrences are for removal, as another document keeps the passage."""
+    from conftest import prose
+
+    passage = prose(21, 100)
+    texts = [(1, prose(22, 60) + " " + passage), (2, " ".join([prose(23, 60), passage, prose(24, 60), passage, prose(25, 60)]))]
+    got = paragraph_dedup.repeated(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    second = sorted((r.start, r.n_removed) for r in got if r.doc_id == 2)
+    assert len(second) == 2 and 60 <= second[0][0] < 160 and 220 <= second[1][0] < 320 and min(n for _, n in second) >= 62
+
+
 def test_packing_is_an_exact_round_trip(docs, none):
     from tokenizers import Tokenizer
 
