@@ -11,11 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import LOWER, SPACE, U64, hash_spans, lists, mix, slices, table, utf8_bytes
-from .linking import connect, met
-from .minhash import bands, tuned
-from .ngram_join import TOKENS, TOKENS_DDL
-from .scratch import small, stored
+from .arrow_text import LOWER, SPACE, U64, mix, utf8_bytes
+from .minhash import tuned
+from .scratch import Scratch, stored
+from .spans import Spans, found, long_hashes, similar
 
 #: Characters of a shingle. It says what a near copy is, so it is not for tuning the cost.
 SHINGLE = 5
@@ -41,93 +40,64 @@ def split_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return data, starts[some], ends[some], row[some], number[some]
 
 
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and the first byte of each."""
+    if not len(data) or data.max() < 0x80:
+        return data.astype(U64), np.arange(len(data))
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    code = data[at].astype(U64)
+    for size, mask in ((2, 0x1F), (3, 0x0F), (4, 0x07)):
+        those = np.flatnonzero((code >= (0xC0, 0xE0, 0xF0)[size - 2]) & (code < (0xE0, 0xF0, 0x100)[size - 2]) & (np.diff(np.append(at, len(data))) == size))
+        x = data[at[those]].astype(U64) & U64(mask)
+        for k in range(1, size):
+            x = x << U64(6) | (data[at[those] + k].astype(U64) & U64(0x3F))
+        code[those] = x
+    return code, at
+
+
 def char_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each span's shingles of SHINGLE characters, with repetitions, and each span's first; a shorter span is one shingle."""
-    lead = (data & 0xC0) != 0x80
-    at = np.flatnonzero(lead)
-    code = np.zeros(len(at) + SHINGLE, U64)
-    for k in range(4):  # the bytes of each character, as one number
-        place = at + k
-        inside = place < np.append(at[1:], len(data))
-        code[: len(at)][inside] = code[: len(at)][inside] << U64(8) | data[place[inside]]
-    a, b = np.searchsorted(at, starts), np.searchsorted(at, ends)
+    code, at = code_points(data)
+    c = np.concatenate([code, np.zeros(SHINGLE, U64)])
+    pack = lambda v, w, x, y, z: mix((v | w << U64(21) | x << U64(42)) ^ mix(y | z << U64(21)))
+    every = pack(*(c[k : len(code) + k] for k in range(SHINGLE)))
+    a, b = (at.searchsorted(x) if len(code) < len(data) else x for x in (starts, ends))
     n = np.maximum(b - a - SHINGLE + 1, 1)
     rows = np.concatenate([[0], np.cumsum(n)])
-    first = np.repeat(a - rows[:-1], n) + np.arange(rows[-1])
-    last = np.repeat(b, n)
-    h = np.full(len(first), 7, U64)
-    for k in range(SHINGLE):
-        h = (h ^ np.where(first + k < last, code[first + k], U64(0))) * U64(0x9E3779B97F4A7C15)
-        h ^= h >> U64(29)
-    return mix(h), rows
-
-
-FOUND = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", pa.list_(pa.int64()))])
-FOUND_DDL = "doc_id long, line int, h1 long, h2 long, keys array<long>"
-
-
-def _lines(batches, shape: tuple[int, int]):
-    for batch in slices(batches):
-        data, starts, ends, row, number = split_lines(batch.column("text"))
-        h1, h2 = hash_spans(data, starts, ends, 1), hash_spans(data, starts, ends, 2)
-        fresh = np.sort(np.unique(h1 ^ mix(h2), return_index=True)[1])  # a slice signs equal lines once
-        shingles, rows = char_shingles(data, starts[fresh], ends[fresh])
-        keys = bands(shingles, rows, *shape)
-        size = np.zeros(len(starts), np.int64)
-        size[fresh] = shape[0]
-        found = lists(keys.view(np.int64).ravel(), np.concatenate([[0], np.cumsum(size)]), pa.int64())
-        yield table({"doc_id": batch.column("doc_id").take(pa.array(row)), "line": number.astype(np.int32), "h1": h1.view(np.int64), "h2": h2.view(np.int64), "keys": found}, FOUND)
-
-
-def wanted_tokens(want: list[dict], shingles: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-    """Rows of linking's tokens: the distinct shingles of each wanted span."""
-    tokens = [np.unique(shingles[a:b]).view(np.int64) for a, b in zip(rows, rows[1:])]
-    return table({**{c: pa.array([w[c] for w in want], TOKENS.field(c).type) for c in ("node", "a", "salt", "own")}, "tokens": lists(np.concatenate([np.empty(0, np.int64), *tokens]), np.concatenate([[0], np.cumsum([len(t) for t in tokens])]), pa.int64())}, TOKENS)
-
-
-def tokens_at(read: DataFrame, places: DataFrame, place: str, make):
-    """For connect: shingles of spans whose nodes lie at a place of a document."""
-
-    def tokens_of(rows: DataFrame) -> DataFrame:
-        located = stored(rows.join(places, "node").groupBy("doc_id").agg(F.collect_list(F.struct(place, "node", "a", "salt", "own")).alias("wanted")))
-        return read.join(F.broadcast(located) if small(rows) else located, "doc_id").select("text", "wanted").mapInArrow(make, TOKENS_DDL)
-
-    return tokens_of
+    out = every[np.repeat(a - rows[:-1], n) + np.arange(rows[-1])]
+    short = np.flatnonzero(b - a < SHINGLE)
+    out[rows[short]] = pack(*(np.where(a[short] + k < b[short], c[a[short] + k], U64(0)) for k in range(SHINGLE)))
+    return out, rows
 
 
-def _tokens(batches):
-    for batch in slices(batches):
-        data, starts, ends, row, number = split_lines(batch.column("text"))
-        at = {x: k for k, x in enumerate(zip(row.tolist(), number.tolist()))}
-        want = [(at[i, w["line"]], w) for i, ws in enumerate(batch.column("wanted").to_pylist()) for w in ws if (i, w["line"]) in at]
-        pick = np.array([k for k, _ in want], np.int64)
-        shingles, rows = char_shingles(data, starts[pick], ends[pick])
-        yield wanted_tokens([w for _, w in want], shingles, rows)
+def lines(texts: pa.Array) -> Spans:
+    data, starts, ends, row, number = split_lines(texts)
+    return Spans(row, number, ends - starts, *long_hashes(data, starts, ends), lambda some: char_shingles(data, starts[some], ends[some]))
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT, shape: tuple[int, int] = BANDS) -> DataFrame:
     """One row for each doc_id of docs (doc_id, text): doc_id, n_lines, n_removed, removed_lines (their numbers from 0, ascending).
 
     Lines are split at ``\\n``; those without a character other than white space are not counted and never removed. Lines
-    are compared with A-Z lower-cased; equal ones are one node, told apart by 128 bits. Null and empty texts have no
-    lines. Rows that share a doc_id are one document: lines of the same number share a verdict. Rows without a doc_id
-    are left out. Other columns are not read.
+    are compared with A-Z lower-cased; equal ones are one node. Null and empty texts have no lines. Rows that share a
+    doc_id are one document: lines of the same number share a verdict. Rows without a doc_id are left out. Other columns
+    are not read.
     """
+    scratch = Scratch(docs.sparkSession)
     read = docs.select("doc_id", "text").where("doc_id is not null")
-    found = stored(read.mapInArrow(lambda it: _lines(it, shape), FOUND_DDL))
+    spans = scratch.stored(found(read, lines).withColumnRenamed("place", "line"))
+    joined = similar(read, spans.withColumnRenamed("line", "place"), lines, percent, shape, scratch)
     at = F.struct("doc_id", "line")
-    distinct = found.groupBy("h1", "h2").agg(F.min(at).alias("at"), F.count("*").alias("n"), F.min(F.when(F.size("keys") > 0, F.col("keys"))).alias("keys"))
-    nodes = stored(distinct.withColumn("node", F.monotonically_increasing_id()))
-    lists_ = stored(met(nodes.select("node", F.col("keys").alias("sigs"), F.lit(2**30).alias("first"))).withColumn("n", F.lit(1)))
-    places = nodes.select("node", "at.doc_id", "at.line")
-    joined = connect(lists_, tokens_at(read, places, "line", _tokens), percent)
+    distinct = spans.groupBy("h1", "h2").agg(F.min(at).alias("at"), F.count("*").alias("n")).withColumn("node", F.col("h1"))
     # Lines that are alone need no look-up: only nodes of larger components, and lines that occur again.
-    grouped = nodes.select("node", "h1", "h2", "at", "n").join(joined, "node", "left").where("n > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "node"))
-    several = stored(grouped.groupBy("comp").agg(F.min("at").alias("keep"), F.sum("n").alias("lines")).where("lines > 1"))
-    keep = stored(grouped.join(several, "comp").select("h1", "h2", "keep"))
-    removed = found.join(keep, ["h1", "h2"]).where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line") != F.col("keep.line"))).select("doc_id", "line").distinct()
+    grouped = scratch.stored(distinct.join(joined, "node", "left").where("n > 1 or comp is not null").select("h1", "h2", "at", "n", F.coalesce("comp", "h1").alias("comp"), F.when(F.col("comp").isNull(), F.col("h2")).otherwise(0).alias("comp2")))
+    several = grouped.groupBy("comp", "comp2").agg(F.min("at").alias("keep"), F.sum("n").alias("lines")).where("lines > 1")
+    keep = scratch.stored(grouped.join(several, ["comp", "comp2"]).select("h1", "h2", "keep"))
+    removed = spans.join(keep, ["h1", "h2"]).where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line") != F.col("keep.line"))).select("doc_id", "line").distinct()
     by_doc = removed.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("removed_lines"))
-    counts = found.groupBy("doc_id").agg(F.count_distinct("line").alias("n_lines"))
+    counts = spans.groupBy("doc_id").agg(F.count_distinct("line").alias("n_lines"))
     every = docs.select("doc_id").where("doc_id is not null").distinct().join(counts, "doc_id", "left").join(by_doc, "doc_id", "left")
-    lines = F.coalesce("removed_lines", F.array().cast("array<int>"))
-    return every.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.size(lines).cast("long").alias("n_removed"), lines.alias("removed_lines"))
+    gone = F.coalesce("removed_lines", F.array().cast("array<int>"))
+    out = stored(every.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), gone.alias("removed_lines")))
+    scratch.clear()
+    return out

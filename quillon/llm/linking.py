@@ -1,54 +1,73 @@
 """From shared signatures to components: candidate pairs, exact verification and distributed union-find.
 
-A signature that many nodes share would give pairs that grow with the square of its list. So every list is first linked
-as a star around one of its nodes, of all its stars a node tries the one with which it shares the most lists, and further
-rounds take other centres. All pairs of a list are made only between nodes that the verified star links haven't joined
-by then. Components come out the same as with all pairs: a pair inside one component cannot join anything.
+Nodes that share a signature form its list. Short lists give pairs. The nodes of longer lists are compared by an exact
+prefix join of their own instead: tokens that only one of these nodes has can't be common to any two and are left out, the
+rest is ordered by exact counts among these nodes. Its lists are linked as stars around the node with the fewest tokens of
+its own, nodes whose common tokens cannot suffice are pruned, and pairs are made only between nodes that the verified star
+links haven't joined; long lists that are still open are split by combinations of tokens first. Components come out the
+same as with all pairs: a pair inside one component cannot join anything.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
-
-#: Rounds of star links before all remaining pairs, at most. They end earlier when two in turn join nothing, or when all
-#: remaining pairs are at most FEW for each row of the lists.
-STARS, FEW = 6, 4
-#: Pairs of a centre that one task verifies; a centre with more is sent to several.
-PAIRS = 512
-
+from .arrow_text import U64, lists, mix, table
+from .scratch import Scratch, small
 
+#: Nodes of a list that gives pairs; those of longer lists go to the prefix join.
+CAP = 32
 #: Signatures that a task gathers before it deals them out, and that a partition has on average.
-GATHERED, DEALT_TO = 1 << 20, 1 << 21
-DEALT = pa.schema([("part", pa.int32()), ("sigs", pa.binary()), ("nodes", pa.binary()), ("at", pa.binary())])
-MET = pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("at", pa.int32())])
+GATHERED, DEALT_TO = 1 << 19, 1 << 20
+#: Rounds of star links in the prefix join, at most; they end when all remaining pairs are at most FEW for each row of the lists.
+STARS, FEW = 3, 4
+#: A token that so many nodes have is combined with one other of its class, and beyond the second number with two.
+COMMON = (CAP, 32 * CAP)
+
+DEALT = pa.schema([("part", pa.int32()), ("sigs", pa.binary()), ("nodes", pa.binary()), ("at", pa.binary()), ("n", pa.binary()), ("many", pa.binary())])
+MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("m", pa.int32()), ("n", pa.int32())])
 
 
 def _deal(batches, parts: int):
-    """Signatures by their partition, many in a row."""
+    """Signatures by their partition, many in a row. Of a signature that one gathering holds more than CAP times, one row goes there, and its nodes are known to belong to a long list."""
     held, size = [], 0
 
     def out():
-        sigs, nodes, at = (np.concatenate(x) for x in zip(*held))
-        part = (sigs.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(parts + 1))
-        here = np.flatnonzero(np.diff(cuts))
-        cut = lambda x: pa.array([x[order[cuts[p] : cuts[p + 1]]].tobytes() for p in here], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), cut(sigs), cut(nodes), cut(at)], schema=DEALT)
+        sigs, nodes, at, n = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(sigs, kind="stable")
+        sigs = sigs[order]
+        first = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
+        count = np.diff(np.append(first, len(sigs)))
+        many = np.repeat(count > CAP, count)
+        lead = np.zeros(len(sigs), bool)
+        lead[first] = True
+        of_many = np.unique(nodes[order[many]])
+        pick = order[~many | lead]
+        key = sigs[~many | lead]
+        flag = (many & lead)[~many | lead]
+        part = (mix(key.view(U64)) % U64(parts)).astype(np.int64)
+        by = np.argsort(part, kind="stable")
+        part_of_many = (mix(of_many.view(U64)) % U64(parts)).astype(np.int64)
+        by_many = np.argsort(part_of_many, kind="stable")
+        cuts, cuts_many = np.searchsorted(part[by], np.arange(parts + 1)), np.searchsorted(part_of_many[by_many], np.arange(parts + 1))
+        here = np.flatnonzero((np.diff(cuts) > 0) | (np.diff(cuts_many) > 0))
+        cut = lambda x: pa.array([x[by[cuts[p] : cuts[p + 1]]].tobytes() for p in here], pa.binary())
+        sent = pa.array([of_many[by_many[cuts_many[p] : cuts_many[p + 1]]].tobytes() for p in here], pa.binary())
+        # A row that stands for a long list is marked by a size below 0.
+        return pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), cut(key), cut(nodes[pick]), cut(at[pick]), cut(np.where(flag, -1, n[pick]).astype(np.int32)), sent], schema=DEALT)
 
     for batch in batches:
         sigs = batch.column("sigs")
         rows = np.asarray(sigs.offsets)
-        n = np.diff(rows)
-        place = np.arange(n.sum()) - np.repeat(rows[:-1] - rows[0], n)
-        held.append((np.asarray(sigs.flatten()), np.asarray(batch.column("node")).repeat(n), np.maximum(place - np.asarray(batch.column("first")).repeat(n), -1).astype(np.int32)))
+        k = np.diff(rows)
+        place = (np.arange(k.sum()) - np.repeat(rows[:-1] - rows[0], k)).astype(np.int32)
+        held.append((np.asarray(sigs.flatten()), np.asarray(batch.column("node")).repeat(k), place, np.asarray(batch.column("n")).astype(np.int32).repeat(k)))
         size += len(place)
         if size >= GATHERED:
             yield out()
@@ -57,77 +76,75 @@ def _deal(batches, parts: int):
         yield out()
 
 
-def _meet(batches):
-    """Rows of the signatures that several nodes have."""
-    read: list[list] = [[], [], []]
+def _meet(batches, percent: int):
+    """Pairs of short lists (a < b), and nodes of long ones as rows with b null."""
+    read: list[list] = [[], [], [], [], []]
+    kinds = (("sigs", np.int64), ("nodes", np.int64), ("at", np.int32), ("n", np.int32), ("many", np.int64))
     for batch in batches:
-        for x, c, kind in zip(read, ("sigs", "nodes", "at"), (np.int64, np.int64, np.int32)):
+        for x, (c, kind) in zip(read, kinds):
             x += [np.frombuffer(b, kind) for b in batch.column(c).to_pylist()]
     if not read[0]:
         return
-    sigs, nodes, place = (np.concatenate(x) for x in read)
-    order = np.argsort(sigs, kind="stable")
-    sigs = sigs[order]
+    sigs, nodes, place, n, many = (np.concatenate(x) for x in read)
+    del read
+    order = np.lexsort((nodes, sigs))
+    sigs, nodes, place, n = sigs[order], nodes[order], place[order], n[order]
+    again = np.zeros(len(sigs), bool)
+    again[1:] = (sigs[1:] == sigs[:-1]) & (nodes[1:] == nodes[:-1])
+    if again.any():  # a node that has a signature twice; a mark of a long list counts for both
+        n[np.flatnonzero(again) - 1] = np.minimum(n[np.flatnonzero(again) - 1], n[again])
+        sigs, nodes, place, n = sigs[~again], nodes[~again], place[~again], n[~again]
     first = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
     size = np.diff(np.append(first, len(sigs)))
-    pick = np.flatnonzero(np.repeat(size > 1, size))
-    for at in range(0, len(pick), 1 << 18):
-        p = pick[at : at + (1 << 18)]
-        yield pa.RecordBatch.from_arrays([pa.array(sigs[p]), pa.array(nodes[order[p]]), pa.array(place[order[p]])], schema=MET)
-
-
-def met(nodes: DataFrame) -> DataFrame:
-    """(sig, node, at) of signatures that several nodes have, from rows (node, sigs: array of longs, first: int) without a null; at counts from ``first``, -1 before it.
-
-    Signatures are dealt to partitions by themselves, packed in binary rows: most are alone and go no further.
+    long = (size > CAP) | (np.minimum.reduceat(n, first) < 0)
+    nothing = lambda x: pa.array(np.zeros(len(x), np.int32))
+    of_long = np.unique(np.concatenate([many, nodes[np.repeat(long, size)]]))
+    for at in range(0, len(of_long), 1 << 17):
+        x = of_long[at : at + (1 << 17)]
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.nulls(len(x), pa.int64()), *[nothing(x)] * 4], schema=MET)
+    for c in range(2, CAP + 1):
+        those = first[(size == c) & ~long]
+        left, right = np.triu_indices(c, 1)
+        step = max(1, (1 << 17) // len(left))
+        for at in range(0, len(those), step):
+            a, b = (those[at : at + step, None] + left).ravel(), (those[at : at + step, None] + right).ravel()
+            able = 100 * np.minimum(n[a], n[b]).astype(np.int64) >= percent * np.maximum(n[a], n[b]).astype(np.int64)
+            a, b = a[able], b[able]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b]), pa.array(place[a]), pa.array(place[b]), pa.array(n[a]), pa.array(n[b])], schema=MET)
+
+
+def met(signed: DataFrame, percent: int, sigs: int | None = None) -> DataFrame:
+    """From rows (node, sigs: array of longs, n: size of its set, or 1 for all where it isn't known), without a null: pairs (a, b, i, j, m, n) of each short list, with the places of the signature and the sizes; and nodes a of long lists, where b is null.
+
+    Signatures are dealt to partitions by themselves, packed in binary rows: most are alone and go no further. sigs: how
+    many they are, if that is known.
     """
-    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), (nodes.agg(F.sum(F.size("sigs"))).first()[0] or 0) // DEALT_TO)
-    return nodes.mapInArrow(lambda it: _deal(it, parts), "part int, sigs binary, nodes binary, at binary").repartition(parts, "part").mapInArrow(_meet, "sig long, node long, at int")
+    if sigs is None:
+        sigs = signed.agg(F.sum(F.size("sigs"))).first()[0] or 0
+    parts = max(int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")), sigs // DEALT_TO)
+    columns = "part int, sigs binary, nodes binary, at binary, n binary, many binary"
+    return signed.select("node", "sigs", "n").mapInArrow(lambda it: _deal(it, parts), columns).repartition(parts, "part").mapInArrow(lambda it: _meet(it, percent), "a long, b long, i int, j int, m int, n int")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp) of every node of links (a, b): comp is the least node that links reach. Least labels of neighbours and jumps along labels, until nothing changes."""
     both = links.select("a", "b").union(links.select("b", "a")).union(links.select("a", F.col("a"))).union(links.select("b", F.col("b"))).toDF("a", "b").distinct()
-    edges = stored(both)
-    labels = stored(edges.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("node"), "comp"))
+    edges = scratch.stored(both)
+    labels = scratch.stored(edges.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("node"), "comp"))
     while True:
         near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("least"), F.max(F.when(F.col("a") == F.col("b"), F.col("comp"))).alias("old"))
         jump = labels.select(F.col("node").alias("least"), F.col("comp").alias("next"))
-        moved = stored(near.join(jump, "least").select(F.col("a").alias("node"), F.col("next").alias("comp"), "old"))
+        moved = scratch.stored(near.join(jump, "least").select(F.col("a").alias("node"), F.col("next").alias("comp"), "old"))
         labels = moved.select("node", "comp")
         if moved.where("comp <> old").isEmpty():
             return labels
 
 
-def _verify(batches, percent: int):
-    """Pairs of rows (a, salt, own, node, tokens) that come sorted, a centre's own row before its partners'."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    centre, tokens = None, None
-    for batch in batches:
-        a, salt, own, node = (batch.column(c).to_pylist() for c in ("a", "salt", "own", "node"))
-        sets = batch.column("tokens")
-        offsets, values = np.asarray(sets.offsets), np.asarray(sets.values)
-        found = []
-        for i in range(len(a)):
-            mine = values[offsets[i] : offsets[i + 1]]
-            if own[i] == 0:
-                centre, tokens = (a[i], salt[i]), mine.copy()
-            elif centre == (a[i], salt[i]):
-                k = len(np.intersect1d(tokens, mine, assume_unique=True))
-                if 100 * k >= percent * (len(tokens) + len(mine) - k):
-                    found.append((a[i], node[i]))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], schema=schema)
-
-
-def verified(pairs: DataFrame, tokens_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """Those of the stored pairs (a, b) with 100 * intersection >= percent * union. tokens_of: adds tokens, distinct, to rows (node, a, salt, own). Each partner's set travels once, to its centre."""
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("salts"))
-    salted = pairs.join(degree, "a")
-    partners = salted.select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(1).alias("own"))
-    centres = degree.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("own"))
-    rows = tokens_of(stored(partners.union(centres))).select("a", "salt", "own", "node", "tokens")
-    return rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "own").mapInArrow(lambda it: _verify(it, percent), "a long, b long")
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) with 100 * intersection >= percent * union. sets: (node, tokens), tokens distinct."""
+    of = lambda node, tokens: sets.select(F.col("node").alias(node), F.col("tokens").alias(tokens))
+    common = F.size(F.array_intersect("x", "y"))
+    return pairs.select("a", "b").join(of("b", "y"), "b").join(of("a", "x"), "a").where((100 + percent) * common >= percent * (F.size("x") + F.size("y"))).select("a", "b")
 
 
 def _most(k: Column, i: Column, j: Column, m: Column, n: Column) -> Column:
@@ -139,80 +156,180 @@ def _enough(k: Column, i: Column, j: Column, m: Column, n: Column, percent: int)
     return (m == 1) | ((100 + percent) * _most(k, i, j, m, n) >= percent * (m + n))
 
 
-def plausible(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
-    """Those of the stored pairs (a, b) that their common signatures don't rule out."""
-    of_b = lists.select(F.col("node").alias("b"), "sig", F.col("at").alias("j"), F.col("n").alias("nb"))
-    of_a = lists.select(F.col("node").alias("a"), "sig", F.col("at").alias("i"), F.col("n").alias("na"))
-    both = pairs.join(of_b, "b").join(of_a, ["a", "sig"])
-    token = F.col("i") >= 0
-    seen = both.groupBy("a", "b").agg(F.count_if(token).alias("k"), F.coalesce(F.max(F.when(token, F.col("i"))), F.lit(-1)).alias("i"), F.coalesce(F.max(F.when(token, F.col("j"))), F.lit(-1)).alias("j"), F.max("na").alias("m"), F.max("nb").alias("n"))
-    return seen.where(_enough(*(F.col(c) for c in "kijmn"), percent)).select("a", "b")
+def _able(m: str, n: str, l_m: str, l_n: str, percent: int) -> Column:
+    """Whether the sizes allow the similarity, and the tokens that either shares with any node at all."""
+    m, n, most = F.col(m), F.col(n), F.least(l_m, l_n)
+    return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & ((100 + percent) * most >= percent * (m + n))
 
 
-def _joined(joined: DataFrame | None, found: DataFrame) -> DataFrame:
-    """(node, comp) after further links: only the components that they touch are looked at."""
-    if joined is None:
-        return stored(components(found))
-    end = lambda c: joined.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
-    between = found.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
-    new = components(stored(between))
-    old = joined.join(new.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-    return stored(old.union(new.join(joined.select("node"), "node", "left_anti").select("node", "comp")))
-
-
-def connect(lists: DataFrame, tokens_of: Callable[[DataFrame], DataFrame], percent: int = 80, may_link: Column | None = None) -> DataFrame:
-    """(node, comp) of all nodes that verified links join.
-
-    lists: stored rows (sig, node, n, at), no (sig, node) twice; n is the size of the node's set, or 1 for all where it
-    isn't known. at is the place of the signature's token in the node's set, in an order that all sets share, or -1 for
-    other signatures; all tokens that two nodes have among their signatures must be in lists. Candidates are pairs of
-    nodes with a common signature whose sizes allow the similarity. may_link: a further condition on columns of l and r,
-    both rows of lists, that holds in one list at least of two nodes that link.
+COMBINED = pa.schema([("node", pa.int64()), ("sigs", pa.list_(pa.int64())), ("indexed", pa.int32())])
+
+
+def hash_of(numbers: tuple[int, ...]) -> int:
+    h = 0
+    for x in numbers:
+        h = (h ^ (x & 0xFFFFFFFFFFFFFFFF)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+        h ^= h >> 29
+    return h
+
+
+def size_bin(n: int) -> int:
+    """Bins of ratio 5/4: a set that overlaps enough with a set of n tokens is in the same bin or a neighbour's."""
+    return int(np.floor(np.log(n) / np.log(1.25) + 1e-9))
+
+
+def combined(tokens: np.ndarray, count: np.ndarray, n: int, percent: int) -> tuple[list[int], int]:
+    """Signatures of a set of n tokens with which it probes, and how many of these, the first, it is indexed with.
+
+    tokens: those that it shares with any node, by rising count. Rare ones are signatures by themselves, those of the
+    classes of COMMON in combinations within hashed groups. A group with c tokens covers c - k + 1 of them; the prefix is
+    extended until it covers one token more than may be missing from a partner. Groups depend on the size: the smaller
+    set of a pair names the bin, and a set probes its own bin and the one below.
     """
-    tried, idle = None, 0
-    now = lists.withColumn("comp", F.col("node"))
-    joined = None
-    able = lambda x, y: (100 * F.least(x, y)) >= (percent * F.greatest(x, y))
-    size = lists.count()
+    kept = len(tokens)
+    probe, index = kept + percent * n // -100 + 1, kept + 2 * percent * n // -(100 + percent) + 1
+    if probe <= 0:
+        return [], 0
+    rare = min(int(np.searchsorted(count, COMMON[0], "right")), probe)
+    single = tokens[:rare].tolist()
+    if n <= 5:  # combinations can't cover so few: all single tokens besides
+        single = tokens[:probe].tolist()
+    if rare >= probe or n < 5:
+        return single, min(max(index, 0), len(single))
+    own, own_index = _groups(tokens[rare:], count[rare:], probe - rare, index - rare, size_bin(n))
+    below, _ = _groups(tokens[rare:], count[rare:], probe - rare, 0, size_bin(n) - 1)
+    if index <= rare:
+        return single + own + below, max(index, 0)
+    return single + own + below, len(single) + own_index
+
+
+def _groups(tokens: np.ndarray, count: np.ndarray, probe: int, index: int, bin_: int) -> tuple[list[int], int]:
+    """Combinations within groups until ``probe`` tokens are covered, and how many of them come before ``index`` are."""
+    groups = max(1, int(1.25**bin_ / 20))
+    group = (mix(tokens.view(U64) ^ U64(bin_ + 1)) % U64(groups)).astype(np.int64)
+    level = 1 + (count > COMMON[1])
+    seen: dict[tuple[int, int], list[int]] = {}
+    out: list[int] = []
+    covered, cut = 0, 0 if index <= 0 else None
+    for token, g, k in zip(tokens.tolist(), group.tolist(), (level + 1).tolist()):
+        before = seen.setdefault((k, g), [])
+        if len(before) >= k - 1:
+            out += [hash_of((bin_, *more, token)) for more in combinations(before, k - 1)]
+            covered += 1
+        before.append(token)
+        if cut is None and covered >= index:
+            cut = len(out)
+        if covered >= probe:
+            break
+    return out, len(out) if cut is None else cut
+
+
+def _combine(batches, percent: int):
+    for batch in batches:
+        kept = batch.column("kept")
+        rows = np.asarray(kept.offsets)
+        flat = kept.values
+        count, token = np.asarray(flat.field("df")), np.asarray(flat.field("t"))
+        made = [combined(token[a:b], count[a:b], n, percent) for a, b, n in zip(rows, rows[1:], batch.column("n").to_pylist())]
+        sigs = np.array([x for m in made for x in m[0]], object)
+        sigs = np.array([int(x) & 0xFFFFFFFFFFFFFFFF for x in sigs], U64).view(np.int64)
+        yield table({"node": batch.column("node"), "sigs": lists(sigs, np.concatenate([[0], np.cumsum([len(m[0]) for m in made])]), pa.int64()), "indexed": np.array([m[1] for m in made], np.int32)}, COMBINED)
+
+
+def _with_comp(rows: DataFrame, joined: DataFrame | None) -> DataFrame:
+    if joined is None:
+        return rows.withColumn("comp", F.col("node"))
+    return rows.join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def _open(now: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Rows of the lists that hold several components, without nodes that have too few tokens for any partner there; c: the list's length."""
+    least = now.groupBy("sig").agg(F.min("n").alias("least"))
+    partner = F.greatest("least", F.ceil(percent * F.col("n") / 100))
+    fit = now.join(least, "sig").where((100 + percent) * F.col("l") >= percent * (F.col("n") + partner)).drop("least")
+    several = fit.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("indexed").alias("some"), F.count("*").alias("c")).where("lo < hi and some").select("sig", "c")
+    return scratch.stored(fit.join(several, "sig"))
+
+
+def _pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of rows of a list whose components differ; the smaller set of a pair is the indexed one."""
+    l, r = rows.alias("l"), rows.alias("r")
+    smaller = F.when((F.col("l.n") < F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & F.col("l.indexed")), F.col("l.indexed")).otherwise(F.col("r.indexed"))
+    condition = (F.col("l.sig") == F.col("r.sig")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp")) & smaller & _able("l.n", "r.n", "l.l", "r.l", percent)
+    return l.join(r, condition).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+
+
+def prefix_join(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
+    """Links (a, b) that join every component of the stored sets (node, tokens) under the similarity; None if there are none."""
+    each = sets.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
+    df = each.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
+    kept = each.join(df, "t").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("kept")).withColumn("l", F.size("kept"))
+    kept = scratch.stored(kept.where(100 * F.col("l") >= percent * F.col("n")))
+    probe = F.expr(f"cast(l - ceil({percent} * n / 100) + 1 as int)")
+    index = F.expr(f"l - ceil({2 * percent} * n / {100 + percent}) + 1")
+    rows = scratch.stored(kept.select("node", "n", "l", index.alias("index"), F.posexplode(F.slice("kept", F.lit(1), probe)).alias("at", "x")).select(F.col("x.t").alias("sig"), "node", "n", "l", (F.col("at") < F.col("index")).alias("indexed")))
+    links, joined, tried = None, None, None
+    now = _open(_with_comp(rows, None), percent, scratch)
     for k in range(STARS):
-        if k:
-            left = now.groupBy("sig").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").agg(F.sum(F.col("c") * F.col("c"))).first()[0]
-            if (left or 0) <= FEW * size:
-                break
-        order = F.struct(F.xxhash64("node", F.lit(k)), F.col("node"), F.col("n"), F.col("comp")) if k else F.struct(F.lit(0), F.col("node"), F.col("n"), F.col("comp"))
-        centres = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(order).alias("c")).where("lo < hi").select("sig", F.col("c.node").alias("centre"), F.col("c.n").alias("m"), F.col("c.comp").alias("there"))
-        pairs_met = now.join(centres, "sig").where((F.col("comp") != F.col("there")) & able(F.col("n"), F.col("m"))).groupBy("node", "centre").agg(F.count("*").alias("times"))
+        lengths = now.groupBy("sig").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * F.col("c")).alias("pairs"), F.sum("c").alias("rows")).first()
+        if not lengths["rows"] or (k and lengths["pairs"] <= FEW * lengths["rows"]):
+            break
+        rank = F.struct(F.xxhash64("node", F.lit(k)) if k else F.col("n") - F.col("l"), "node", "n", "l", "comp")
+        centres = now.groupBy("sig").agg(F.min(rank).alias("c")).select("sig", *(F.col(f"c.{x}").alias(f"c_{x}") for x in ("node", "n", "l", "comp")))
+        near = now.join(centres, "sig").where((F.col("comp") != F.col("c_comp")) & _able("n", "c_n", "l", "c_l", percent)).groupBy("node", F.col("c_node").alias("centre")).agg(F.count("*").alias("times"))
         if tried is not None:
-            pairs_met = pairs_met.join(tried, [(pairs_met.node == tried.b) & (pairs_met.centre == tried.a)], "left_anti")
-        pairs = stored(pairs_met.groupBy("node").agg(F.max(F.struct("times", (-F.col("centre")).alias("c"))).alias("best")).select((-F.col("best.c")).alias("a"), F.col("node").alias("b")))
+            near = near.join(tried, (near.node == tried.b) & (near.centre == tried.a), "left_anti")
+        pairs = scratch.stored(near.groupBy("node").agg(F.max(F.struct("times", (-F.col("centre")).alias("c"))).alias("best")).select((-F.col("best.c")).alias("a"), F.col("node").alias("b")))
         if pairs.isEmpty():
             break
         tried = pairs if tried is None else tried.union(pairs)
-        found = stored(verified(stored(plausible(pairs, lists, percent)), tokens_of, percent))
-        idle = idle + 1 if found.isEmpty() else 0
-        if idle == 2:
+        found = scratch.stored(verified(pairs, sets, percent))
+        if found.isEmpty():
             break
-        if idle:
-            continue
-        joined = _joined(joined, found)
-        now = stored(lists.join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-    open_lists = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-    rest = stored(now.join(open_lists, "sig"))
-    l, r = rest.alias("l"), rest.alias("r")
-    condition = (F.col("l.sig") == F.col("r.sig")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp")) & able(F.col("l.n"), F.col("r.n"))
-    # Common tokens up to the last that both have among their signatures are counted; what follows it is at most what is left of either set.
-    able_here = F.lit(True) if may_link is None else may_link
-    token = F.col("l.at") >= 0
-    pairs_met = l.join(r, condition).groupBy(F.col("l.node").alias("a"), F.col("r.node").alias("b")).agg(
-        F.count_if(token).alias("k"), F.coalesce(F.max(F.when(token, F.col("l.at"))), F.lit(-1)).alias("i"), F.coalesce(F.max(F.when(token, F.col("r.at"))), F.lit(-1)).alias("j"), F.max("l.n").alias("m"), F.max("r.n").alias("n"), F.max(able_here).alias("able")
-    )
-    pairs = pairs_met.where("able").where(_enough(*(F.col(c) for c in "kijmn"), percent)).select("a", "b")
+        links = found if links is None else links.union(found)
+        joined = components(links, scratch)
+        now = _open(_with_comp(now.drop("comp", "c"), joined), percent, scratch)
+    pairs = _pairs(now.where(F.col("c") <= CAP), percent)
+    long = scratch.stored(now.where(F.col("c") > CAP).select("node").distinct())
+    if not long.isEmpty():
+        made = kept.join(long, "node").select("node", "n", "kept").mapInArrow(lambda it: _combine(it, percent), "node long, sigs array<long>, indexed int")
+        split = made.select("node", "indexed", F.posexplode("sigs").alias("at", "sig")).groupBy("node", "sig").agg(F.max(F.col("at") < F.col("indexed")).alias("indexed"))
+        several = split.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
+        lists_ = split.join(several, "sig").join(kept.select("node", "n", "l"), "node")
+        pairs = pairs.union(_pairs(_open(_with_comp(lists_, joined), percent, scratch), percent))
+    pairs = pairs.distinct()
     if tried is not None:
-        both = tried.select("a", "b").union(tried.select("b", "a"))
-        pairs = pairs.join(both, ["a", "b"], "left_anti")
-    pairs = stored(pairs)
+        pairs = pairs.join(tried.select("a", "b").union(tried.select("b", "a")), ["a", "b"], "left_anti")
+    pairs = scratch.stored(pairs)
     if not pairs.isEmpty():
-        found = stored(verified(pairs, tokens_of, percent))
-        if not found.isEmpty():
-            return _joined(joined, found)
-    return joined if joined is not None else pairs.select(F.col("a").alias("node"), F.col("b").alias("comp")).where(F.lit(False))
+        found = scratch.stored(verified(pairs, sets, percent))
+        links = found if links is None else links.union(found)
+    return links
+
+
+def connect(signed: DataFrame, tokens_of: Callable[[DataFrame], DataFrame], scratch: Scratch, percent: int = 80, busy: DataFrame | None = None, sigs: int | None = None) -> DataFrame:
+    """Verified links (a, b), a table of scratch; their components are those of all links.
+
+    signed: rows (node, sigs, n) as for ``met``; a node may come again with the same signatures. Where n is given, sigs are a prefix of the node's tokens in
+    an order that all sets share, by which two sets that are similar meet, and any tokens left out of it come last; then
+    pairs that the places of common tokens rule out are dropped. busy: further nodes (node) for the prefix join, which
+    finds their links among themselves and with nodes of long lists. tokens_of: (node, tokens) of rows (node), tokens distinct.
+    """
+    found = scratch.stored(met(signed, percent, sigs))
+    long = found.where("b is null").select(F.col("a").alias("node"))
+    long = scratch.stored((long if busy is None else long.union(busy.select("node"))).distinct())
+    pairs = found.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("k"), F.max("i").alias("i"), F.max("j").alias("j"), F.max("m").alias("m"), F.max("n").alias("n"))
+    pairs = pairs.where(_enough(*(F.col(c) for c in "kijmn"), percent))
+    # Two nodes of long lists are left to the prefix join: their common tokens aren't all counted here.
+    few = small(long)
+    for c in ("a", "b"):
+        marked = long.select(F.col("node").alias(c), F.lit(True).alias(f"long_{c}"))
+        pairs = pairs.join(F.broadcast(marked) if few else marked, c, "left")
+    pairs = scratch.stored(pairs.where("long_a is null or long_b is null").select("a", "b"))
+    need = scratch.stored(long.union(pairs.select("a")).union(pairs.select("b")).distinct())
+    sets = scratch.stored(tokens_of(need))
+    links = verified(pairs, sets, percent)
+    if not long.isEmpty():
+        more = prefix_join(scratch.stored(sets.join(long, "node", "left_semi")), percent, scratch)
+        links = links if more is None else links.union(more)
+    return scratch.stored(links.distinct())

@@ -1,37 +1,31 @@
 """N-gram Jaccard join by token-combination prefixes.
 
 The tokens of a document are its distinct shingles of five words, ordered from rare to frequent by hashed counts over
-the whole corpus. A prefix of that order is indexed: rare tokens singly, tokens of the frequent classes in combinations
-of k within hashed groups of a class. A class or group with c prefix tokens covers c - k + 1 of them; a prefix is
-extended until it covers one token more than may be missing from a partner. Two sets that share no signature then miss
-each other's threshold, whatever the counts are; candidates are verified exactly on their whole sets.
-
-With t = 4/5: a set x of n tokens overlaps any partner by at least ceil(4n/5), and a partner y that is no larger
-overlaps by at least ceil(8m/9) of its m tokens. So x probes with n - ceil(4n/5) + 1 covered tokens, and y is indexed
-with m - ceil(8m/9) + 1. Groups depend on the size: sets fall in bins of ratio 5/4, the smaller set of a pair names
-the bin, and a set probes its own bin and the one below.
+the whole corpus. Two sets that are similar share a token of their prefixes. Rare tokens are indexed singly; documents
+whose prefix holds frequent ones, or rare ones with a long list, are joined among themselves by ``linking.prefix_join``:
+there tokens are ordered by exact counts and frequent classes are indexed in combinations of two or three, with the
+prefix extended for that. Candidates are verified exactly on their whole sets.
+
+With t = 4/5: a set x of n tokens overlaps any partner by at least ceil(4n/5), so it probes with its first
+n - ceil(4n/5) + 1 tokens; a partner y of m tokens that is no larger overlaps by at least ceil(8m/9).
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import U64, hash_spans, lists, mix, slices, table, windows, words_of
-from .linking import connect, met
-from .scratch import only, small, stored
+from .linking import components, connect
+from .scratch import Scratch, only, small, stored
 
 SHINGLE = 5
 #: Hashed counts of shingles, over the whole corpus.
 BUCKETS = 1 << 18
-#: A shingle is frequent if its bucket holds so many times the mean, and very frequent beyond the second; k of each class.
-FREQUENT, K = (1.5, 4.0), (1, 2, 3)
-#: Sets of at most so many tokens have a prefix of single tokens of their own besides.
-TINY = 5
+#: A shingle is frequent if its bucket holds so many times the mean, and what chance adds to that.
+FREQUENT = 1.5
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,65 +83,23 @@ def token_counts(docs: DataFrame) -> np.ndarray:
     return n
 
 
-def size_bin(n: int) -> int:
-    """Bins of ratio 5/4: a set that overlaps enough with a set of n tokens is in the same bin or a neighbour's."""
-    return int(np.floor(np.log(n) / np.log(1.25) + 1e-9))
-
-
-def signatures(tokens: np.ndarray, counts: np.ndarray, levels: tuple[float, float]) -> tuple[list[int], int, list[int], int]:
-    """Signatures with which a set of tokens probes: single rare tokens, after how many of a tiny set's own; combinations, and how many of these, the first, it is indexed with."""
+def prefix(tokens: np.ndarray, counts: np.ndarray, level: float) -> tuple[np.ndarray, bool]:
+    """The rare tokens, in order, of the prefix with which a set of tokens probes, and whether the prefix holds frequent ones besides."""
     n = len(tokens)
     if not n:
-        return [], 0, [], 0
-    probe, index = n - -(-4 * n // 5) + 1, n - -(-8 * n // 9) + 1
+        return tokens, False
+    probe = n - -(-4 * n // 5) + 1
     count = counts[(tokens >> U64(46)).astype(np.int64)]
-    order = np.lexsort((tokens, count))
-    tokens, count = tokens[order], count[order]
-    rare = int(np.searchsorted(count, levels[0], "right"))
-    single = tokens[: min(rare, probe)].tolist()
-    tiny = mix(tokens + U64(0x7151))[:probe].tolist() if n <= TINY else []
-    if rare >= probe or n < TINY:
-        return tiny + single, len(tiny), [], 0
-    own, own_index = _combined(tokens[rare:], count[rare:], probe - rare, index - rare, size_bin(n), levels)
-    below, _ = _combined(tokens[rare:], count[rare:], probe - rare, index - rare, size_bin(n) - 1, levels)
-    return tiny + single, len(tiny), own + below, own_index
-
-
-def _combined(tokens: np.ndarray, count: np.ndarray, probe: int, index: int, bin_: int, levels: tuple[float, float]) -> tuple[list[int], int]:
-    """Combinations within groups until ``probe`` tokens are covered, and how many of them come before ``index`` are."""
-    groups = max(1, int(1.25**bin_ / 20))
-    group = (mix(tokens ^ U64(bin_ + 1)) % U64(groups)).astype(np.int64)
-    level = 1 + (count > levels[1])
-    seen: dict[tuple[int, int], list[int]] = {}
-    out: list[int] = []
-    covered, cut = 0, 0 if index <= 0 else None
-    for token, g, lv in zip(tokens.tolist(), group.tolist(), level.tolist()):
-        k = K[lv]
-        before = seen.setdefault((lv, g), [])
-        if len(before) >= k - 1:
-            out += [hash_of((bin_, *more, token)) for more in combinations(before, k - 1)]
-            covered += 1
-        before.append(token)
-        if cut is None and covered >= index:
-            cut = len(out)
-        if covered >= probe:
-            break
-    return out, len(out) if cut is None else cut
-
-
-def hash_of(numbers: tuple[int, ...]) -> int:
-    h = 0
-    for x in numbers:
-        h = (h ^ (x & 0xFFFFFFFFFFFFFFFF)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
-        h ^= h >> 29
-    return h
-
-
-PREPARED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("singles", pa.list_(pa.int64())), ("n_tiny", pa.int32()), ("combined", pa.list_(pa.int64())), ("combined_index", pa.int32())])
-PREPARED_DDL = "doc_id long, n long, f1 long, f2 long, singles array<long>, n_tiny int, combined array<long>, combined_index int"
-
-
-def _prepare(batches, counts: np.ndarray, levels: tuple[float, float]):
+    order = np.lexsort((tokens, count))[:probe]
+    rare = int(np.searchsorted(count[order], level, "right"))
+    return tokens[order[:rare]], rare < probe
+
+
+PREPARED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sigs", pa.list_(pa.int64())), ("busy", pa.bool_())])
+PREPARED_DDL = "doc_id long, text_key long, n long, f1 long, f2 long, sigs array<long>, busy boolean"
+
+
+def _prepare(batches, counts: np.ndarray, level: float):
     for batch in slices(batches):
         tokens, rows = token_sets(batch.column("text"))
         n = np.diff(rows)
@@ -156,66 +108,55 @@ def _prepare(batches, counts: np.ndarray, levels: tuple[float, float]):
         for f, seed in zip(first, (1, 2)):  # of the whole set: sums of two hashes of each token
             if len(tokens):
                 f[some] = np.add.reduceat(mix(tokens + U64(seed * 0x51ED)), rows[:-1][some])
-        made = [signatures(tokens[a:b], counts, levels) for a, b in zip(rows[:-1], rows[1:])]
-        flat = lambda k: lists(np.array([x for m in made for x in m[k]], U64).view(np.int64), np.concatenate([[0], np.cumsum([len(m[k]) for m in made])]), pa.int64())  # noqa: B023, E731
-        yield table({"doc_id": batch.column("doc_id"), "n": n, "f1": first[0].view(np.int64), "f2": first[1].view(np.int64), "singles": flat(0), "n_tiny": pa.array([m[1] for m in made], pa.int32()), "combined": flat(2), "combined_index": pa.array([m[3] for m in made], pa.int32())}, PREPARED)
+        made = [prefix(tokens[a:b], counts, level) for a, b in zip(rows, rows[1:])]
+        sigs = lists(np.concatenate([np.empty(0, U64), *(m[0] for m in made)]).view(np.int64), np.concatenate([[0], np.cumsum([len(m[0]) for m in made])]), pa.int64())
+        yield table({"doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "n": n, "f1": first[0].view(np.int64), "f2": first[1].view(np.int64), "sigs": sigs, "busy": pa.array([m[1] for m in made], pa.bool_())}, PREPARED)
 
 
-TOKENS = pa.schema([("node", pa.int64()), ("a", pa.int64()), ("salt", pa.int32()), ("own", pa.int32()), ("tokens", pa.list_(pa.int64()))])
-TOKENS_DDL = "node long, a long, salt int, own int, tokens array<long>"
+SETS = pa.schema([("node", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+SETS_DDL = "node long, tokens array<long>"
 
 
-def _tokens(batches):
+def _sets(batches):
     for batch in slices(batches):
         tokens, rows = token_sets(batch.column("text"))
-        want = batch.column("wanted").to_pylist()
-        pick = [(i, w) for i, ws in enumerate(want) for w in ws]
-        flat = np.concatenate([np.empty(0, U64), *(tokens[rows[i] : rows[i + 1]] for i, _ in pick)])
-        yield table({"node": batch.column("doc_id").take(pa.array([i for i, _ in pick], pa.int64())), **{c: pa.array([w[c] for _, w in pick], TOKENS.field(c).type) for c in ("a", "salt", "own")}, "tokens": lists(flat.view(np.int64), np.concatenate([[0], np.cumsum([rows[i + 1] - rows[i] for i, _ in pick])]), pa.int64())}, TOKENS)
-
-
-def tokens_from(docs: DataFrame):
-    """For connect: token sets of documents, made of their whole texts where they are asked for."""
-
-    def tokens_of(rows: DataFrame) -> DataFrame:
-        wanted = stored(rows.groupBy(F.col("node").alias("doc_id")).agg(F.collect_list(F.struct("a", "salt", "own")).alias("wanted")))
-        one = docs.select("doc_id", "text").join(F.broadcast(wanted) if small(rows) else wanted, "doc_id")
-        return one.mapInArrow(_tokens, TOKENS_DDL)
-
-    return tokens_of
+        yield table({"node": batch.column("node"), "tokens": lists(tokens.view(np.int64), rows, pa.int64())}, SETS)
 
 
 def components_of(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id.
 
     Null, empty and wordless texts have an empty set and are components of their own. Equal sets are one node, so copies
-    are never paired. Rows with a null doc_id are counted and link nothing; rows that share a doc_id are taken as they
-    come, each with its own set, and the component is the least doc_id. Other columns are not read.
+    are never paired. Rows with a null doc_id are counted and link nothing. Rows that share a doc_id each have their own
+    set; what links to one of these sets links to the others, and the component is the least doc_id. Other columns are
+    not read.
     """
+    scratch = Scratch(docs.sparkSession)
     counts = token_counts(docs)
     mean = counts.sum() / BUCKETS
-    noise = 6 * np.sqrt(mean)
-    levels = tuple(float(f * mean + noise + 2) for f in FREQUENT)
+    level = float(FREQUENT * mean + 6 * np.sqrt(mean) + 2)
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    prepared = stored(docs.select("doc_id", "text").mapInArrow(lambda it: _prepare(it, shared.value, levels), PREPARED_DDL))
-    own = ["n", "f1", "f2"]
-    nodes = stored(prepared.where("n > 0 and doc_id is not null").groupBy(*own).agg(F.min("doc_id").alias("node")))
-    # A node is its least document; the others of its class only look up the component.
-    others = stored(prepared.where("n > 0 and doc_id is not null").join(nodes, own).where("doc_id <> node").select("doc_id"))
-    of_nodes = only(prepared.where("n > 0 and doc_id is not null"), others, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    singles = met(of_nodes.select(F.col("doc_id").alias("node"), F.col("singles").alias("sigs"), F.col("n_tiny").alias("first")))
-    # Lists of frequent tokens may be long: they are found by partial aggregation, and joined by the engine's skewed joins.
-    combined = of_nodes.select(F.col("doc_id").alias("node"), "combined_index", F.posexplode("combined").alias("at", "sig")).groupBy("sig", "node").agg(F.max(F.col("at") < F.col("combined_index")).alias("indexed"))
-    often = combined.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sig")
-    index = F.expr("n - ceil(8 * n / 9) + 1")
-    listed = singles.withColumn("combined", F.lit(None).cast("boolean")).union(combined.join(often, "sig").select("sig", "node", F.lit(-1).alias("at"), "indexed"))
-    lists_ = stored(listed.join(nodes.select("node", "n"), "node").select("sig", "node", "n", "at", F.coalesce("combined", F.col("at") < index).alias("indexed")))
-    l_small = (F.col("l.n") < F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.node") < F.col("r.node")))
-    may_link = F.when(l_small, F.col("l.indexed")).otherwise(F.col("r.indexed"))
-    joined = connect(lists_, tokens_from(docs), 80, may_link)
-    class_of = nodes.join(joined, "node", "left").select(*own, F.coalesce("comp", "node").alias("comp"))
-    out = prepared.select("doc_id", *own).join(class_of, own, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    read = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    prepared = scratch.stored(read.mapInArrow(lambda it: _prepare(it, shared.value, level), PREPARED_DDL).withColumn("row", F.monotonically_increasing_id()))
+    whole, own = prepared.where("n > 0 and doc_id is not null"), ["n", "f1", "f2"]
+    # A node is a distinct set; it is named after one of the rows that have it.
+    nodes = scratch.stored(whole.groupBy(*own).agg(F.min("row").alias("node")))
+    signed = only(whole, nodes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "sigs", "n", "busy")
+
+    def sets_of(need: DataFrame) -> DataFrame:
+        at = scratch.stored(only(prepared, need.select(F.col("node").alias("row")), "row").select("doc_id", "text_key", F.col("row").alias("node")))
+        return read.join(F.broadcast(at) if small(at) else at, ["doc_id", "text_key"]).select("node", "text").mapInArrow(_sets, SETS_DDL).dropDuplicates(["node"])
+
+    links = connect(signed, sets_of, scratch, 80, signed.where("busy"))
+    of_rows = scratch.stored(prepared.select("doc_id", *own).join(nodes, own, "left").withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node"))))
+    twice = of_rows.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc_id", "a")
+    same_id = of_rows.join(twice, "doc_id").where("node > a").select("a", F.col("node").alias("b"))
+    joined = components(links.union(same_id), scratch)
+    comp = of_rows.join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = comp.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    out = stored(comp.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")))
+    scratch.clear()
+    return out
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -1,14 +1,19 @@
 """Substring deduplication by paragraphs.
 
-Paragraphs are of two kinds: the lines of a text with at least LEAST words, and anchored ones, UNIT words long, which
-begin at words that are chosen by their own hash (the least of each GAP words). A passage of GAP + UNIT - 1 words or
-more holds a whole anchored paragraph wherever it stands in a line, and the same one in every document.
-
-Lines meet by the bands of their MinHash signatures, tuned for a high recall, and are verified by exact Jaccard
-similarity of their five-word shingles; anchored paragraphs meet by a 64-bit hash of all their words. A paragraph that
-only one document has is left alone. The first document (least doc_id) of each group of paragraphs keeps it, the words of
-the others are for removal, so some document keeps every passage. Paragraphs that overlap in a document make one passage,
-and passages that share a paragraph are one cluster.
+Paragraphs cover every word of a text: a line of LEAST to MOST words is one; runs of shorter lines are joined and longer
+lines are cut, both at words that content alone chooses (the least hash within REACH words to either side). Paragraphs
+meet by the bands of their MinHash signatures, tuned for a high recall, and are verified by exact Jaccard similarity of
+their five-word shingles.
+
+So that a passage is found where it begins and ends inside paragraphs, each text also has overlapping anchored ones, UNIT
+words long, which begin at words that are chosen by their own hash (the least of each GAP words): a passage of
+GAP + UNIT - 1 words or more holds a whole one wherever it stands, and the same one in every document. They meet by a
+64-bit hash of all their words, and are extended word by word as far as their first document agrees.
+
+A paragraph that only one document has is left alone. The first document (least doc_id) of each group of paragraphs keeps
+it, the words of the others are for removal, so some document keeps every passage. Paragraphs that overlap or touch in a
+document make one passage, and passages that share a paragraph are one cluster. Passages of less than LEAST words are left
+to line deduplication.
 """
 
 from __future__ import annotations
@@ -18,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow_text import U64, Words, lists, mix, hash_spans, slices, table, windows, words_of
-from .line_dedup import tokens_at, wanted_tokens
-from .linking import components, connect, met
-from .minhash import bands, tuned
+from .arrow_text import U64, Words, hash_spans, lists, mix, slices, table, windows, words_of
+from .linking import components
+from .minhash import tuned
 from .ngram_join import SHINGLE
-from .scratch import stored
+from .scratch import Scratch, stored
+from .spans import Spans, found, similar
 
-LEAST = 40
+LEAST, MOST, REACH = 40, 160, 30
 GAP, UNIT = 20, 30
 PERCENT = 80
 #: For a recall of 99.9 % at that similarity.
@@ -55,56 +60,61 @@ def line_words(w: Words) -> np.ndarray:
     return np.append(np.flatnonzero(new), len(line))
 
 
-def paragraphs(texts: pa.Array):
-    """Words, their hashes, and first word and row of each line of LEAST words or more, with its number of words."""
-    w = words_of(texts, lower=True)
-    h = hash_spans(w.data, w.starts, w.ends)
+def paragraphs(w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and number of words of each paragraph; together they are all words."""
     runs = line_words(w)
-    size = np.diff(runs)
-    first = runs[:-1][size >= LEAST]
-    return w, h, first, size[size >= LEAST], w.row_of[first] if len(first) else first
-
-
-def of_lines(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of each line, with repetitions, and each line's first."""
+    first, size = runs[:-1], np.diff(runs)
+    if not len(first):
+        return first, size
+    row = w.row_of[first]
+    alone = (size >= LEAST) & (size <= MOST)
+    start = np.ones(len(first), bool)  # of a region: a line by itself, a longer one, or a run of short ones
+    start[1:] = ~((size[1:] < LEAST) & (size[:-1] < LEAST) & (row[1:] == row[:-1]))
+    region = first[start]
+    end = np.append(region[1:], len(h))
+    cuttable = np.repeat(~alone[start], end - region)
+    x = mix(h ^ mix(np.append(h[1:], h[:1])))
+    width = 2 * REACH + 1
+    if len(x) < width:
+        return region, end - region
+    # The first of equal least hashes, so that a repeated word is no cut each time.
+    least = np.lib.stride_tricks.sliding_window_view(x, width).argmin(1) == REACH
+    at = np.flatnonzero(least) + REACH
+    to_start = at - np.repeat(region, end - region)[at]
+    to_end = np.repeat(end, end - region)[at] - at
+    at = at[cuttable[at] & (to_start > REACH) & (to_end > REACH)]
+    first = np.union1d(region, at)
+    return first, np.diff(np.append(first, len(h)))
+
+
+def of_words(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of each run of words, with repetitions, and each run's first."""
     rows = np.concatenate([[0], np.cumsum(size)])
     at = np.repeat(first - rows[:-1], size) + np.arange(rows[-1])
     return windows(h[at], rows, SHINGLE)
 
 
-FOUND = pa.schema([("doc_id", pa.int64()), ("units", pa.list_(pa.int32())), ("unit_keys", pa.list_(pa.int64())), ("lines", pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", pa.list_(pa.int64()))])))])
-FOUND_DDL = "doc_id long, units array<int>, unit_keys array<long>, lines array<struct<start: int, n: int, h1: long, h2: long, keys: array<long>>>"
+def spans_of(texts: pa.Array) -> Spans:
+    """The paragraphs of SHINGLE words or more; their place is their first word."""
+    w = words_of(texts, lower=True)
+    h = hash_spans(w.data, w.starts, w.ends)
+    first, size = paragraphs(w, h)
+    first, size = first[size >= SHINGLE], size[size >= SHINGLE]
+    shingles, rows = of_words(h, first, size)
+    total = lambda x: np.add.reduceat(x, rows[:-1]) if len(first) else np.zeros(0, U64)
+    row = w.row_of[first] if len(first) else first
+    return Spans(row, first - w.rows[row], size, total(mix(shingles)), total(mix(shingles + U64(3))), lambda some: of_words(h, first[some], size[some]))
 
 
-def _found(batches, shape: tuple[int, int]):
-    for batch in slices(batches):
-        w, h, first, size, row = paragraphs(batch.column("text"))
-        at, key = anchored(h, w.rows)
-        cut = np.searchsorted(at, w.rows)
-        shingles, rows = of_lines(h, first, size)
-        if len(rows) > 1:
-            h1, h2 = np.add.reduceat(mix(shingles), rows[:-1]), np.add.reduceat(mix(shingles + U64(3)), rows[:-1])
-        else:
-            h1 = h2 = np.empty(0, U64)
-        fresh = np.sort(np.unique(h1 ^ mix(h2), return_index=True)[1])  # a slice signs equal lines once
-        some = np.concatenate([np.arange(rows[i], rows[i + 1]) for i in fresh]) if len(fresh) else np.empty(0, np.int64)
-        keys = bands(shingles[some], np.concatenate([[0], np.cumsum(np.diff(rows)[fresh])]), *shape)
-        given = np.zeros(len(first), np.int64)
-        given[fresh] = shape[0]
-        keys = lists(keys.view(np.int64).ravel(), np.concatenate([[0], np.cumsum(given)]), pa.int64())
-        line = pa.StructArray.from_arrays([pa.array((first - w.rows[row]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), keys], fields=list(FOUND.field("lines").type.value_type))
-        by_row = pa.array(np.searchsorted(first, w.rows).astype(np.int32))
-        yield table({"doc_id": batch.column("doc_id"), "units": lists((at - np.repeat(w.rows[:-1], np.diff(cut))).astype(np.int32), cut, pa.int32()), "unit_keys": lists(key.view(np.int64), cut, pa.int64()), "lines": pa.ListArray.from_arrays(by_row, line)}, FOUND)
-
-
-def _tokens(batches):
+UNITS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("key", pa.int64())])
+
+
+def _units(batches):
     for batch in slices(batches):
-        w, h, first, size, row = paragraphs(batch.column("text"))
-        at = {x: k for k, x in enumerate(zip(row.tolist(), (first - w.rows[row]).tolist() if len(first) else []))}
-        want = [(at[i, x["start"]], x) for i, xs in enumerate(batch.column("wanted").to_pylist()) for x in xs if (i, x["start"]) in at]
-        pick = np.array([k for k, _ in want], np.int64)
-        shingles, rows = of_lines(h, first[pick], size[pick])
-        yield wanted_tokens([x for _, x in want], shingles, rows)
+        w = words_of(batch.column("text"), lower=True)
+        at, key = anchored(hash_spans(w.data, w.starts, w.ends), w.rows)
+        row = w.row_of[at] if len(at) else at
+        yield table({"doc_id": batch.column("doc_id").take(pa.array(row)), "start": (at - w.rows[row]).astype(np.int32), "key": key.view(np.int64)}, UNITS)
 
 
 def repeated(docs: DataFrame, percent: int = PERCENT, shape: tuple[int, int] = BANDS) -> DataFrame:
@@ -115,12 +125,15 @@ def repeated(docs: DataFrame, percent: int = PERCENT, shape: tuple[int, int] = B
     texts, and texts that nothing else repeats, give no rows. Rows that share a doc_id are one document; rows without
     one are left out. Other columns are not read.
     """
+    scratch = Scratch(docs.sparkSession)
     read = docs.select("doc_id", "text").where("doc_id is not null")
-    found = stored(read.mapInArrow(lambda it: _found(it, shape), FOUND_DDL))
-    units = found.select("doc_id", F.explode(F.arrays_zip("units", "unit_keys")).alias("u")).select("doc_id", F.col("u.units").alias("start"), F.lit(UNIT).alias("n"), F.col("u.unit_keys").alias("key"))
-    lines = found.select("doc_id", F.explode("lines").alias("x")).select("doc_id", "x.*")
-    intervals = _shared(units).union(_shared(_similar(read, lines, percent)))
-    return _passages(stored(intervals))
+    units = scratch.stored(read.mapInArrow(_units, "doc_id long, start int, key long"))
+    shared = scratch.stored(_shared(units.withColumn("n", F.lit(UNIT))))
+    spans = scratch.stored(found(read, spans_of))
+    intervals = scratch.stored(shared.union(_shared(_similar(read, spans, percent, shape, scratch))))
+    out = stored(_passages(intervals, scratch))
+    scratch.clear()
+    return out
 
 
 def _shared(intervals: DataFrame) -> DataFrame:
@@ -129,17 +142,15 @@ def _shared(intervals: DataFrame) -> DataFrame:
     return intervals.join(keys, "key").select("doc_id", "start", "n", "key", "first")
 
 
-def _similar(read: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """Lines (doc_id, start, n) with the component of similar lines as their key; only those that another line equals or may resemble."""
-    distinct = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "start")).alias("at"), F.min(F.when(F.size("keys") > 0, F.col("keys"))).alias("keys"))
-    nodes = stored(distinct.withColumn("node", F.monotonically_increasing_id()))
-    lists_ = stored(met(nodes.select("node", F.col("keys").alias("sigs"), F.lit(2**30).alias("first"))).withColumn("n", F.lit(1)))
-    joined = connect(lists_, tokens_at(read, nodes.select("node", "at.doc_id", "at.start"), "start", _tokens), percent)
-    several = stored(nodes.join(joined, "node", "left").where("lo < hi or comp is not null").select("h1", "h2", F.xxhash64(F.lit("line"), F.coalesce("comp", "node")).alias("key")))
-    return lines.join(several, ["h1", "h2"]).select("doc_id", "start", "n", "key")
+def _similar(read: DataFrame, spans: DataFrame, percent: int, shape: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """Paragraphs (doc_id, start, n) with the component of similar ones as their key; only those that another document's equals or resembles."""
+    joined = similar(read, spans, spans_of, percent, shape, scratch)
+    distinct = spans.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).withColumn("node", F.col("h1"))
+    several = distinct.join(joined, "node", "left").where("lo < hi or comp is not null").select("h1", "h2", F.when(F.col("comp").isNull(), F.xxhash64("h1", "h2")).otherwise(F.xxhash64(F.lit("paragraph"), "comp")).alias("key"))
+    return spans.join(several, ["h1", "h2"]).select("doc_id", F.col("place").alias("start"), F.col("size").alias("n"), "key")
 
 
-def _passages(intervals: DataFrame) -> DataFrame:
+def _passages(intervals: DataFrame, scratch: Scratch) -> DataFrame:
     before = Window.partitionBy("doc_id").orderBy("start", "n", "key").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("doc_id").orderBy("start", "n", "key").rowsBetween(Window.unboundedPreceding, 0)
     end = F.col("start") + F.col("n")
@@ -147,11 +158,11 @@ def _passages(intervals: DataFrame) -> DataFrame:
     # Words of an interval that no earlier one has removed: intervals come by their start, so those reach to the furthest end.
     fresh = F.when(gone.isNotNull(), F.greatest(end - F.greatest(F.col("start"), F.coalesce(F.max(gone).over(before), F.lit(0))), F.lit(0))).otherwise(0)
     marked = intervals.select("*", fresh.alias("fresh"), F.coalesce(F.col("start") > F.max(end).over(before), F.lit(True)).cast("int").alias("new")).withColumn("passage", F.sum("new").over(upto))
-    marked = stored(marked.select("doc_id", "passage", "start", "n", "key", "fresh"))
-    whole = stored(marked.groupBy("doc_id", "passage").agg(F.min("start").alias("start"), F.max(end).alias("end"), F.sum("fresh").alias("n_removed")).withColumn("node", F.monotonically_increasing_id()))
-    of_key = stored(marked.select("doc_id", "passage", "key").join(whole.select("doc_id", "passage", "node"), ["doc_id", "passage"]).select("key", "node").distinct())
+    marked = scratch.stored(marked.select("doc_id", "passage", "start", "n", "key", "fresh"))
+    whole = scratch.stored(marked.groupBy("doc_id", "passage").agg(F.min("start").alias("start"), F.max(end).alias("end"), F.sum("fresh").alias("n_removed")).where(F.col("end") - F.col("start") >= LEAST).withColumn("node", F.monotonically_increasing_id()))
+    of_key = scratch.stored(marked.select("doc_id", "passage", "key").join(whole.select("doc_id", "passage", "node"), ["doc_id", "passage"]).select("key", "node").distinct())
     centre = of_key.groupBy("key").agg(F.min("node").alias("centre"))
-    joined = components(of_key.join(centre, "key").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct())
+    joined = components(of_key.join(centre, "key").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), scratch)
     named = whole.join(joined, "node")
     least = named.groupBy("comp").agg(F.min("doc_id").alias("cluster_id"))
     return named.join(least, "comp").select("doc_id", F.col("start").cast("long").alias("start"), (F.col("end") - F.col("start")).cast("long").alias("n_words"), "cluster_id", F.col("n_removed").cast("long").alias("n_removed"))

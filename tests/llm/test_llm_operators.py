@@ -7,7 +7,7 @@ import pytest
 from conftest import edge_rows
 from pyspark.sql import functions as F
 
-from quillon.llm import exact_dedup, language_id, line_dedup, minhash, mixing, ngram_join, packing, paragraph_dedup, quality_fm, quality_rules, url_filter
+from quillon.llm import exact_dedup, language_id, line_dedup, linking, minhash, mixing, ngram_join, packing, paragraph_dedup, quality_fm, quality_rules, url_filter
 
 PAIRS = [(r[0], r[1]) for r in edge_rows()]
 
@@ -55,7 +55,7 @@ def test_ngram_components(docs, none):
 
 
 def test_frequent_tokens_use_combinations(spark, monkeypatch):
-    """All tokens in frequent classes: the combinations alone must find every link."""
+    """All tokens in frequent classes and no stars: the combinations alone must find every link."""
     import random
 
     r = random.Random(5)
@@ -66,31 +66,80 @@ def test_frequent_tokens_use_combinations(spark, monkeypatch):
         for _ in range(r.randrange(4)):
             w[r.randrange(len(w))] = f"x{r.randrange(9)}"
         texts.append((i, " ".join(w)))
-    monkeypatch.setattr(ngram_join, "FREQUENT", (-1e9, 1e9))
+    monkeypatch.setattr(ngram_join, "FREQUENT", -1e9)
+    monkeypatch.setattr(linking, "CAP", 1)
+    monkeypatch.setattr(linking, "COMMON", (1, 10))
+    monkeypatch.setattr(linking, "STARS", 0)
     df = spark.createDataFrame(texts, "doc_id long, text string")
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.components_of(df).collect()}
     assert got == brute.ngram_components(texts)
 
 
-@pytest.mark.parametrize("levels", [(10.0, 20.0), (2.0, 5.0), (-1.0, 3.0), (-1.0, -0.5)])
-def test_similar_sets_share_a_signature(levels):
-    """Random pairs above the threshold: the smaller's index and the larger's probe always meet."""
-    rng = np.random.default_rng(3)
-    counts = rng.integers(0, 12, ngram_join.BUCKETS)
+def random_pairs(rng, most=80):
+    """Sets of tokens, the larger first, many of them similar."""
     for _ in range(400):
-        n = int(rng.integers(1, 80))
-        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, most))).astype(np.uint64))
         b = a[rng.random(len(a)) > rng.random() * 0.2]
-        b = np.unique(np.concatenate([b, rng.integers(0, 2**63, int(rng.integers(0, n // 8 + 2))).astype(np.uint64)]))
+        b = np.unique(np.concatenate([b, rng.integers(0, 2**63, int(rng.integers(0, len(a) // 8 + 2))).astype(np.uint64)]))
         x, y = sorted((a, b), key=len, reverse=True)
         k = len(np.intersect1d(x, y))
-        if not len(y) or 100 * k < 80 * (len(x) + len(y) - k):
-            continue
-        index = len(y) - -(-8 * len(y) // 9) + 1
-        sx, tx, cx, _ = ngram_join.signatures(x, counts, levels)
-        sy, ty, cy, n_index = ngram_join.signatures(y, counts, levels)
-        shared = set(sx) & (set(sy[:ty]) | set(sy[ty : ty + index])) | set(cx) & set(cy[:n_index])
-        assert shared, (len(x), len(y), k)
+        if len(y) and 100 * k >= 80 * (len(x) + len(y) - k):
+            yield x, y
+
+
+@pytest.mark.parametrize("level", [-1.0, 4.0, 20.0])
+def test_similar_sets_share_a_prefix_token(level):
+    """Rare ones meet; else both have frequent ones and go to the prefix join."""
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 12, ngram_join.BUCKETS)
+    for x, y in random_pairs(rng):
+        (sx, bx), (sy, by) = ngram_join.prefix(x, counts, level), ngram_join.prefix(y, counts, level)
+        assert set(sx.tolist()) & set(sy.tolist()) or (bx and by)
+
+
+@pytest.mark.parametrize("common", [(0, 0), (0, 6), (3, 6), (20, 40)])
+def test_similar_sets_share_a_combination(common, monkeypatch):
+    """The smaller set's index and the larger's probe always meet, with or without tokens that no other set has."""
+    monkeypatch.setattr(linking, "COMMON", common)
+    rng = np.random.default_rng(5)
+    for x, y in random_pairs(rng):
+        alone = rng.random() < 0.5
+        some = np.intersect1d(x, y)
+        of = {t: int(rng.integers(1, 13)) for t in np.union1d(x, y).tolist()}
+        made = []
+        for s in (x, y):
+            t = np.array(sorted((some if alone else s).tolist(), key=lambda t: (of[t], t)), np.uint64)
+            made.append(linking.combined(t.view(np.int64), np.array([of[i] for i in t.tolist()]), len(s), 80))
+        (probe, _), (index, n) = made
+        assert set(probe) & set(index[:n]), (len(x), len(y), len(some))
+
+
+def test_long_lists_give_the_same_components(spark, monkeypatch):
+    """Near copies of a text that is not among them, with shared and with single edits, against all pairs."""
+    import random
+
+    monkeypatch.setattr(linking, "CAP", 3)
+    monkeypatch.setattr(linking, "COMMON", (3, 20))
+    r = random.Random(11)
+    texts = []
+    for i in range(70):
+        w = [f"w{k}" for k in range(60 + i % 3)]
+        for _ in range(r.randrange(1, 5)):
+            w[r.randrange(len(w))] = f"x{r.randrange(4 if i % 2 else 4000)}"
+        texts.append((i, " ".join(w)))
+    texts += [(100 + i, " ".join(f"y{r.randrange(400)}" for _ in range(30))) for i in range(30)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.components_of(df).collect()}
+    assert got == brute.ngram_components(texts)
+
+
+def test_rows_that_share_a_doc_id_keep_all_links(spark):
+    from conftest import prose
+
+    a, b = prose(31, 40), prose(32, 40)
+    rows = [(3, a), (5, a), (5, b), (5, b), (7, b + " more"), (None, b), (9, ""), (9, "x y z")]
+    got = {(r.doc_id, r.component_id) for r in ngram_join.components_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(3, 3), (5, 3), (7, 3), (None, None), (9, 9)}
 
 
 def test_fuzzy_lines(docs, none):
