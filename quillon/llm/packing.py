@@ -17,11 +17,10 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import U64, hash_spans, lists, mix, per_row, slices, table, words_of
+from .arrow_text import LOWER, U64, Words, hash_spans, lists, mix, per_row, slices, table, words_of
 from .scratch import stored
 
 WINDOW = 4096
@@ -33,17 +32,16 @@ SHARD_BYTES = 4 << 20
 LEVELS, SPLIT = 8, 16
 #: BM25's constants.
 K1, B = 1.2, 0.75
-#: Words whose ids a task remembers.
-REMEMBERED = 1_000_000
+#: Pieces of words, and places of words, whose ids a worker remembers.
+REMEMBERED, PLACES = 500_000, 1 << 20
 
 
-def locality(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's least word hashes by LEVELS hash functions (rows x LEVELS), and its bytes."""
-    w = words_of(texts, lower=True)
-    out = np.zeros((len(texts), LEVELS), np.int64)
+def locality(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's least word hashes (A-Z lower-cased) by LEVELS hash functions (rows x LEVELS), and its bytes."""
     some = w.counts > 0
+    out = np.zeros((len(some), LEVELS), np.int64)
     if len(w.starts):
-        h = hash_spans(w.data, w.starts, w.ends)
+        h = hash_spans(LOWER[w.data], w.starts, w.ends)
         for k in range(LEVELS):
             x = mix(h + U64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) if k else h
             out[some, k] = (mix(np.minimum.reduceat(x, w.rows[:-1][some])) >> U64(1)).astype(np.int64)
@@ -177,7 +175,8 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """Token ids of texts by words: the tokenizer drops white space and never joins across it, so equal words have equal ids everywhere.
 
-    Plain words go to the tokenizer's model piece by piece, which is several times faster; all others go through the whole tokenizer.
+    Ids of words are remembered in a table of fixed size, by two places of their hash; a word is known again by 128 bits.
+    New plain words go to the tokenizer's model piece by piece, which is several times faster than the whole tokenizer.
     """
 
     def __init__(self, definition: str):
@@ -189,8 +188,13 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         letters = byte_letters()
         self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
-        self.known: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
         self.pieces: dict[str, bytes] = {}
+        self.key, self.check = np.zeros(PLACES, U64), np.zeros(PLACES, U64)
+        self.begin, self.size = np.zeros(PLACES, np.int64), np.zeros(PLACES, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
 
     def piece(self, text: str) -> bytes:
         if (ids := self.pieces.get(text)) is None:
@@ -199,50 +203,79 @@ class Encoder:
         return ids
 
     def words(self, words: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known, self.pieces = {}, {}
-        known, other = self.known, []
-        for x in words:
-            if x not in known:
-                if PLAIN.fullmatch(x) and not any(t in x for t in self.special):
-                    known[x] = b"".join(map(self.piece, PIECE.findall(x.lower())))
-                else:
-                    other.append(x)
+        """Ids of each word, not remembered."""
+        out: list[bytes | None] = [None] * len(words)
+        other = []
+        for i, x in enumerate(words):
+            if PLAIN.fullmatch(x) and not any(t in x for t in self.special):
+                out[i] = b"".join(map(self.piece, PIECE.findall(x.lower())))
+            else:
+                other.append(i)
         for at in range(0, len(other), 10_000):
             part = other[at : at + 10_000]
-            for x, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[x] = array("I", e.ids).tobytes()
-        return [known[x] for x in words]
-
-    def texts(self, texts: pa.Array) -> list[bytes]:
-        """Unsigned 32-bit ids of each text, the closing id included."""
-        split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(texts, "")).cast(pa.large_string()))
-        rows = np.asarray(split.offsets)
-        coded = split.flatten().dictionary_encode()
-        code = np.asarray(coded.indices)
-        ids = self.words(coded.dictionary.to_pylist())
-        size = np.array([len(x) // 4 for x in ids], np.int64)
+            for i, e in zip(part, self.tokenizer.encode_batch([words[i] for i in part], add_special_tokens=False)):
+                out[i] = array("I", e.ids).tobytes()
+        return out
+
+    def learned(self, w: Words, new: np.ndarray, h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in ids and number of ids of words that aren't known yet; they are put in the table."""
+        _, first, which = np.unique(h[new], return_index=True, return_inverse=True)
+        one = new[first]
+        raw = w.data.tobytes()
+        ids = self.words([raw[a:b].decode() for a, b in zip(w.starts[one].tolist(), w.ends[one].tolist())])
+        size = np.array([len(x) // 4 for x in ids], np.int32)
         flat = np.frombuffer(b"".join(ids), "<u4")
-        start = np.concatenate([[0], np.cumsum(size)])[:-1] if len(size) else np.zeros(0, np.int64)
-        n = size[code]
-        total = np.concatenate([[0], np.cumsum(n)])
-        out = flat[np.repeat(start[code] - total[:-1], n) + np.arange(total[-1])] if total[-1] else np.empty(0, "<u4")
-        cuts = total[rows - rows[0]]
-        end = np.array([END_ID], "<u4").tobytes()
-        return [out[a:b].tobytes() + end for a, b in zip(cuts, cuts[1:])]
-
-
+        begin = self.used + np.concatenate([[0], np.cumsum(size)])[:-1]
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        place, second = places(h[one])
+        place = np.where((self.key[place] == 0) | (self.key[second] != 0), place, second)
+        for own, x in ((self.key, h[one]), (self.check, check[one]), (self.begin, begin), (self.size, size)):
+            own[place] = x
+        # Words that fell on one place overwrote each other in one order for all columns.
+        return begin[which], size[which]
+
+    def texts(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and the first of each text, one more than texts; without the closing ids."""
+        if len(self.pieces) > REMEMBERED or self.used > 8 * REMEMBERED:
+            self.forget()
+        h, check = hash_spans(w.data, w.starts, w.ends, 11), hash_spans(w.data, w.starts, w.ends, 12)
+        place, second = places(h)
+        other = np.flatnonzero((self.key[place] != h) | (self.check[place] != check))
+        place[other] = second[other]
+        new = other[(self.key[place[other]] != h[other]) | (self.check[place[other]] != check[other])]
+        begin, size = self.begin[place], self.size[place]
+        if len(new):
+            begin[new], size[new] = self.learned(w, new, h, check)
+        total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        out = self.ids[np.repeat(begin - total[:-1], size) + np.arange(total[-1])] if total[-1] else np.empty(0, "<u4")
+        return out, total[w.rows]
+
+
+def places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (h % U64(PLACES)).astype(np.int64), (h >> U64(40)).astype(np.int64) % PLACES
+
+
+#: Marks of packed ids, and the closing id.
+NARROW, WIDE = b"s", b"l"
+NARROW_END, WIDE_END = np.array([END_ID], "<u2").tobytes(), np.array([END_ID], "<u4").tobytes()
 ENCODED = pa.schema([("doc_id", pa.int64()), ("bytes", pa.int64()), ("hashes", pa.list_(pa.int64())), ("ids", pa.binary())])
 DEALT = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
 
-def _encode(batches, definition: str):
-    encoder = Encoder(definition)
-    for batch in slices(batches, limit=8 << 20):
-        hashes, size = locality(batch.column("text"))
+def _encode(batches, memory: dict):
+    # A worker that is used again still has what it remembered.
+    encoder = memory.get("encoder") or memory.setdefault("encoder", Encoder(memory["definition"]))
+    for batch in slices(batches):
+        w = words_of(batch.column("text"))
+        hashes, size = locality(w)
+        ids, rows = encoder.texts(w)
+        narrow_, wide = ids.astype("<u2"), np.maximum.reduceat(np.append(ids, 0), rows[:-1]) >= 65536 if len(ids) else np.zeros(len(size), bool)
         # Ids of the vocabulary need 16 bits; wider ones keep 32.
-        ids = pa.array([narrow(x) for x in encoder.texts(batch.column("text"))], pa.binary())
-        yield table({"doc_id": batch.column("doc_id"), "bytes": size.astype(np.int64), "hashes": lists(hashes.ravel(), np.arange(len(hashes) + 1) * LEVELS, pa.int64()), "ids": ids}, ENCODED)
+        made = [WIDE + ids[a:b].tobytes() + WIDE_END if x else NARROW + narrow_[a:b].tobytes() + NARROW_END for a, b, x in zip(rows.tolist(), rows[1:].tolist(), wide.tolist())]
+        yield table({"doc_id": batch.column("doc_id"), "bytes": size.astype(np.int64), "hashes": lists(hashes.ravel(), np.arange(len(hashes) + 1) * LEVELS, pa.int64()), "ids": pa.array(made, pa.binary())}, ENCODED)
 
 
 def _deal(batches, cells: Cells, first: np.ndarray, number: np.ndarray):
@@ -253,14 +286,8 @@ def _deal(batches, cells: Cells, first: np.ndarray, number: np.ndarray):
         yield table({"shard": first[cell] + dealt.astype(np.int64), "doc_id": ids, "ids": batch.column("ids")}, DEALT)
 
 
-def narrow(ids: bytes) -> bytes:
-    """A mark and the ids in 16 bits if all fit, else in 32."""
-    wide = np.frombuffer(ids, "<u4")
-    return b"s" + wide.astype("<u2").tobytes() if wide.max(initial=0) < 65536 else b"l" + ids
-
-
 def widened(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, "<u2" if packed[:1] == b"s" else "<u4", offset=1).astype("<u4")
+    return np.frombuffer(packed, "<u2" if packed[:1] == NARROW else "<u4", offset=1).astype("<u4")
 
 
 class Index:
@@ -383,8 +410,8 @@ def packed(docs: DataFrame, tokenizer_path: str | None = None, window: int = WIN
     itself, with their ids as they are. An empty table gives no rows. Other columns are not read.
     """
     sc = docs.sparkSession.sparkContext
-    definition = sc.broadcast(tokenizer_json(tokenizer_path))
-    encoded = stored(docs.select("doc_id", "text").mapInArrow(lambda it: _encode(it, definition.value), "doc_id long, bytes long, hashes array<long>, ids binary"))
+    memory = sc.broadcast({"definition": tokenizer_json(tokenizer_path)})
+    encoded = stored(docs.select("doc_id", "text").mapInArrow(lambda it: _encode(it, memory.value), "doc_id long, bytes long, hashes array<long>, ids binary"))
     corpus = sc.broadcast(corpus_terms(encoded))
     cells = cells_of(encoded, shard_bytes)
     leaves = cells.leaves()

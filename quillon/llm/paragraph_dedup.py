@@ -27,7 +27,7 @@ from .arrow_text import U64, Words, hash_spans, lists, mix, slices, table, windo
 from .linking import components
 from .minhash import tuned
 from .ngram_join import SHINGLE
-from .scratch import Scratch, stored
+from .scratch import Scratch, small, stored
 from .spans import Spans, found, similar
 
 LEAST, MOST, REACH = 40, 160, 30
@@ -117,6 +117,62 @@ def _units(batches):
         yield table({"doc_id": batch.column("doc_id").take(pa.array(row)), "start": (at - w.rows[row]).astype(np.int32), "key": key.view(np.int64)}, UNITS)
 
 
+CONTEXT = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("key", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
+
+
+def _context(batches):
+    """The wanted anchored paragraphs with 32-bit hashes of up to GAP words before and after them, outwards."""
+    for batch in slices(batches):
+        w = words_of(batch.column("text"), lower=True)
+        h = hash_spans(w.data, w.starts, w.ends)
+        short = (h >> U64(32)).astype("<u4")
+        at, key = anchored(h, w.rows)
+        place = {x: k for k, x in enumerate(zip(*((w.row_of[at].tolist(), (at - w.rows[w.row_of[at]]).tolist()) if len(at) else ([], []))))}
+        pick = np.array([place[i, s] for i, starts in enumerate(batch.column("wanted").to_pylist()) for s in starts if (i, s) in place], np.int64)
+        at, key = at[pick], key[pick]
+        row = w.row_of[at] if len(at) else at
+        low, high = w.rows[row], w.rows[row + 1] if len(at) else at
+        left = [short[max(a, x - GAP) : x][::-1].tobytes() for a, x in zip(low.tolist(), at.tolist())]
+        right = [short[x + UNIT : min(b, x + UNIT + GAP)].tobytes() for b, x in zip(high.tolist(), at.tolist())]
+        yield table({"doc_id": batch.column("doc_id").take(pa.array(row)), "start": (at - low).astype(np.int32), "key": key.view(np.int64), "left": pa.array(left, pa.binary()), "right": pa.array(right, pa.binary())}, CONTEXT)
+
+
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of up to GAP words of each row (rows x GAP), and how many there are."""
+    texts = column.to_pylist()
+    return np.frombuffer(b"".join(x.ljust(4 * GAP, b"\0") for x in texts), "<u4").reshape(len(texts), GAP), np.array([len(x) // 4 for x in texts], np.int64)
+
+
+AGREED = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("key", pa.int64()), ("first", pa.int64()), ("kept", pa.bool_()), ("l", pa.int32()), ("r", pa.int32())])
+
+
+def _agreed(batches):
+    """How many words before and after an anchored paragraph agree with those of its first occurrence."""
+    for batch in batches:
+        out = []
+        for side in ("left", "right"):
+            (x, n), (y, m) = _words(batch.column(side)), _words(batch.column(f"keep_{side}"))
+            same = (x == y) & (np.arange(GAP) < np.minimum(n, m)[:, None])
+            out.append(np.logical_and.accumulate(same, 1).sum(1).astype(np.int32))
+        yield table({**{c: batch.column(c) for c in ("doc_id", "start", "key", "first", "kept")}, "l": out[0], "r": out[1]}, AGREED)
+
+
+def _exact(read: DataFrame, scratch: Scratch) -> DataFrame:
+    """Intervals (doc_id, start, n, key, first) of the anchored paragraphs that several documents have, extended as far as their first occurrence agrees; that one as far as any other does."""
+    units = scratch.stored(read.mapInArrow(_units, "doc_id long, start int, key long"))
+    keys = units.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("keep"), F.max("doc_id").alias("last")).where("keep.doc_id < last").select("key", "keep")
+    shared = scratch.stored(units.join(keys, "key"))
+    wanted = scratch.stored(shared.groupBy("doc_id").agg(F.collect_set("start").alias("wanted")))
+    context = scratch.stored(read.join(F.broadcast(wanted) if small(shared) else wanted, "doc_id").mapInArrow(_context, "doc_id long, start int, key long, left binary, right binary").dropDuplicates(["doc_id", "start", "key"]))
+    first = shared.where("doc_id = keep.doc_id and start = keep.start").select("doc_id", "start", "key").distinct()
+    first = context.join(first, ["doc_id", "start", "key"]).select("key", F.col("doc_id").alias("first"), F.col("start").alias("at"), F.col("left").alias("keep_left"), F.col("right").alias("keep_right"))
+    both = context.join(first, "key").withColumn("kept", (F.col("doc_id") == F.col("first")) & (F.col("start") == F.col("at"))).drop("at")
+    agreed = scratch.stored(both.mapInArrow(_agreed, "doc_id long, start int, key long, first long, kept boolean, l int, r int"))
+    most = agreed.where("not kept").groupBy("key").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    every = agreed.where("not kept").unionByName(agreed.where("kept").drop("l", "r").join(most, "key"))
+    return every.select("doc_id", (F.col("start") - F.col("l")).alias("start"), (F.col("l") + F.col("r") + UNIT).alias("n"), "key", "first")
+
+
 def repeated(docs: DataFrame, percent: int = PERCENT, shape: tuple[int, int] = BANDS) -> DataFrame:
     """One row for each passage that more than one document has: doc_id, start, n_words, cluster_id, n_removed.
 
@@ -127,10 +183,9 @@ def repeated(docs: DataFrame, percent: int = PERCENT, shape: tuple[int, int] = B
     """
     scratch = Scratch(docs.sparkSession)
     read = docs.select("doc_id", "text").where("doc_id is not null")
-    units = scratch.stored(read.mapInArrow(_units, "doc_id long, start int, key long"))
-    shared = scratch.stored(_shared(units.withColumn("n", F.lit(UNIT))))
+    exact = _exact(read, scratch)
     spans = scratch.stored(found(read, spans_of))
-    intervals = scratch.stored(shared.union(_shared(_similar(read, spans, percent, shape, scratch))))
+    intervals = scratch.stored(exact.union(_shared(_similar(read, spans, percent, shape, scratch))))
     out = stored(_passages(intervals, scratch))
     scratch.clear()
     return out

@@ -263,7 +263,7 @@ def test_weights_are_those_of_the_corpus():
 def test_large_cells_are_split_by_content(spark):
     """Pairs of near copies that all begin with one least hash stay together, whatever their ids are."""
     words = [f"w{k}" for k in range(4000)]
-    h = packing.locality(pa.array(words))[0]
+    h = packing.locality(packing.words_of(pa.array(words)))[0]
     raw = packing.hash_spans(*(lambda w: (w.data, w.starts, w.ends))(packing.words_of(pa.array(words), lower=True)))
     least = words[int(raw.argmin())]
     assert h.shape == (4000, packing.LEVELS)
@@ -276,11 +276,21 @@ def test_large_cells_are_split_by_content(spark):
     assert sum(shard[i] == shard[1000 + 7 * i] for i in range(150)) >= 130
 
 
-def test_encoder_agrees_with_the_tokenizer():
+def test_encoder_agrees_with_the_tokenizer(monkeypatch):
+    """Words known and new, places that several words share, and a table that is emptied."""
     encoder = packing.Encoder(packing.tokenizer_json())
-    words = ["Hello", "the***", "it's", "É", "ﬁ", "<|endoftext|>", "a<|startoftext|>b", "12ab3", "×", "ª", "x\x01y", "İ", "", "ß,"]
-    want = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(words, add_special_tokens=False)]
-    assert encoder.words(words) == want
+    words = ["Hello", "the***", "it's", "É", "ﬁ", "<|endoftext|>", "a<|startoftext|>b", "12ab3", "×", "ª", "x\x01y", "İ", "ß,"]
+    of = lambda x: np.array(encoder.tokenizer.encode(x, add_special_tokens=False).ids, "<u4")
+    assert encoder.words(words) == [of(x).tobytes() for x in words]
+    monkeypatch.setattr(packing, "PLACES", 8)
+    monkeypatch.setattr(packing, "REMEMBERED", 10)
+    encoder.forget()
+    rng = np.random.default_rng(9)
+    for _ in range(6):
+        texts = [" ".join(rng.choice(words, rng.integers(0, 30))) for _ in range(5)] + [None, "", " \n"]
+        ids, rows = encoder.texts(packing.words_of(pa.array(texts)))
+        for i, x in enumerate(texts):
+            assert ids[rows[i] : rows[i + 1]].tolist() == of(x or "").tolist()
 
 
 def test_mixing(docs, none):
