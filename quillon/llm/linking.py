@@ -26,9 +26,13 @@ CAP = 32
 #: Signatures that a task gathers before it deals them out, and that a partition has on average.
 GATHERED, DEALT_TO = 1 << 19, 1 << 20
 #: Rounds of star links in the prefix join, at most; they end when all remaining pairs are at most FEW for each row of the lists.
-STARS, FEW = 3, 4
-#: A token that so many nodes have is combined with one other of its class, and beyond the second number with two.
-COMMON = (CAP, 32 * CAP)
+STARS, FEW = 2, 4
+#: Nodes of a list whose pairs the prefix join looks at, one by one, to make those that may be similar; longer lists are split first.
+WIDE = 4096
+#: A frequent token is combined with another one; those that more nodes have with two others.
+COMMON = 32 * CAP
+#: Places in a table of bits for the signatures of long lists; 64 of them are a row that comes to the driver.
+LONG_PLACES = 1 << 24
 
 DEALT = pa.schema([("part", pa.int32()), ("sigs", pa.binary()), ("nodes", pa.binary()), ("at", pa.binary()), ("n", pa.binary()), ("many", pa.binary())])
 MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("m", pa.int32()), ("n", pa.int32())])
@@ -77,7 +81,7 @@ def _deal(batches, parts: int):
 
 
 def _meet(batches, percent: int):
-    """Pairs of short lists (a < b), and nodes of long ones as rows with b null."""
+    """Pairs of short lists (a < b); nodes of long ones as rows with b null, and these lists' signatures as rows with a size of -1 besides."""
     read: list[list] = [[], [], [], [], []]
     kinds = (("sigs", np.int64), ("nodes", np.int64), ("at", np.int32), ("n", np.int32), ("many", np.int64))
     for batch in batches:
@@ -97,11 +101,10 @@ def _meet(batches, percent: int):
     first = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
     size = np.diff(np.append(first, len(sigs)))
     long = (size > CAP) | (np.minimum.reduceat(n, first) < 0)
-    nothing = lambda x: pa.array(np.zeros(len(x), np.int32))
-    of_long = np.unique(np.concatenate([many, nodes[np.repeat(long, size)]]))
-    for at in range(0, len(of_long), 1 << 17):
-        x = of_long[at : at + (1 << 17)]
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.nulls(len(x), pa.int64()), *[nothing(x)] * 4], schema=MET)
+    for kind, of_long in ((0, np.unique(np.concatenate([many, nodes[np.repeat(long, size)]]))), (-1, sigs[first[long]])):
+        for at in range(0, len(of_long), 1 << 17):
+            x = of_long[at : at + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.nulls(len(x), pa.int64()), *[pa.array(np.full(len(x), kind, np.int32))] * 4], schema=MET)
     for c in range(2, CAP + 1):
         those = first[(size == c) & ~long]
         left, right = np.triu_indices(c, 1)
@@ -114,7 +117,7 @@ def _meet(batches, percent: int):
 
 
 def met(signed: DataFrame, percent: int, sigs: int | None = None) -> DataFrame:
-    """From rows (node, sigs: array of longs, n: size of its set, or 1 for all where it isn't known), without a null: pairs (a, b, i, j, m, n) of each short list, with the places of the signature and the sizes; and nodes a of long lists, where b is null.
+    """From rows (node, sigs: array of longs, n: size of its set, or 1 for all where it isn't known), without a null: pairs (a, b, i, j, m, n) of each short list, with the places of the signature and the sizes; nodes a of long lists, where b is null; and their signatures a, where n is -1.
 
     Signatures are dealt to partitions by themselves, packed in binary rows: most are alone and go no further. sigs: how
     many they are, if that is known.
@@ -181,37 +184,31 @@ def size_bin(n: int) -> int:
 def combined(tokens: np.ndarray, count: np.ndarray, n: int, percent: int) -> tuple[list[int], int]:
     """Signatures of a set of n tokens with which it probes, and how many of these, the first, it is indexed with.
 
-    tokens: those that it shares with any node, by rising count. Rare ones are signatures by themselves, those of the
-    classes of COMMON in combinations within hashed groups. A group with c tokens covers c - k + 1 of them; the prefix is
-    extended until it covers one token more than may be missing from a partner. Groups depend on the size: the smaller
-    set of a pair names the bin, and a set probes its own bin and the one below.
+    tokens: those that may be common to a partner, by rising count. They are combined within hashed groups of their class
+    (COMMON). A group with c tokens covers c - k + 1 of them; the prefix is extended until it covers one token more than
+    may be missing from a partner. Groups depend on the size: the smaller set of a pair names the bin, and a set probes
+    its own bin and the one below.
     """
-    kept = len(tokens)
-    probe, index = kept + percent * n // -100 + 1, kept + 2 * percent * n // -(100 + percent) + 1
+    probe, index = len(tokens) + percent * n // -100 + 1, len(tokens) + 2 * percent * n // -(100 + percent) + 1
     if probe <= 0:
         return [], 0
-    rare = min(int(np.searchsorted(count, COMMON[0], "right")), probe)
-    single = tokens[:rare].tolist()
-    if n <= 5:  # combinations can't cover so few: all single tokens besides
-        single = tokens[:probe].tolist()
-    if rare >= probe or n < 5:
+    # Combinations can't cover so few: single tokens.
+    single = tokens[:probe].tolist() if n <= 5 else []
+    if n < 5:
         return single, min(max(index, 0), len(single))
-    own, own_index = _groups(tokens[rare:], count[rare:], probe - rare, index - rare, size_bin(n))
-    below, _ = _groups(tokens[rare:], count[rare:], probe - rare, 0, size_bin(n) - 1)
-    if index <= rare:
-        return single + own + below, max(index, 0)
-    return single + own + below, len(single) + own_index
+    own, cut = _groups(tokens, count, probe, index, size_bin(n))
+    below, _ = _groups(tokens, count, probe, 0, size_bin(n) - 1)
+    return single + own + below, len(single) + cut if index > 0 else 0
 
 
 def _groups(tokens: np.ndarray, count: np.ndarray, probe: int, index: int, bin_: int) -> tuple[list[int], int]:
     """Combinations within groups until ``probe`` tokens are covered, and how many of them come before ``index`` are."""
     groups = max(1, int(1.25**bin_ / 20))
     group = (mix(tokens.view(U64) ^ U64(bin_ + 1)) % U64(groups)).astype(np.int64)
-    level = 1 + (count > COMMON[1])
     seen: dict[tuple[int, int], list[int]] = {}
     out: list[int] = []
     covered, cut = 0, 0 if index <= 0 else None
-    for token, g, k in zip(tokens.tolist(), group.tolist(), (level + 1).tolist()):
+    for token, g, k in zip(tokens.tolist(), group.tolist(), np.where(count > COMMON, 3, 2).tolist()):
         before = seen.setdefault((k, g), [])
         if len(before) >= k - 1:
             out += [hash_of((bin_, *more, token)) for more in combinations(before, k - 1)]
@@ -251,28 +248,42 @@ def _open(now: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     return scratch.stored(fit.join(several, "sig"))
 
 
-def _pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of rows of a list whose components differ; the smaller set of a pair is the indexed one."""
+def _pairs(rows: DataFrame, percent: int, centred: bool = False) -> DataFrame:
+    """Pairs of rows of a list whose components differ and whose sizes allow it; the smaller set of a pair is the indexed one. centred: with the bound of ``_about``."""
     l, r = rows.alias("l"), rows.alias("r")
     smaller = F.when((F.col("l.n") < F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & F.col("l.indexed")), F.col("l.indexed")).otherwise(F.col("r.indexed"))
     condition = (F.col("l.sig") == F.col("r.sig")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp")) & smaller & _able("l.n", "r.n", "l.l", "r.l", percent)
+    if centred:
+        most = F.least("l.inside", "r.inside") + F.least(F.col("l.l") - F.col("l.inside"), F.col("r.l") - F.col("r.inside"))
+        condition &= (F.col("l.centre") != F.col("r.centre")) | ((100 + percent) * most >= percent * (F.col("l.n") + F.col("r.n")))
     return l.join(r, condition).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
 
 
+def _about(pairs: DataFrame, kept: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, centre, inside) of star pairs (a: centre, b: node): how many of the node's frequent tokens the centre has. Two nodes of one centre share no more of them inside it, and outside it, than either has there."""
+    of = kept.select(F.col("node").alias("b"), F.transform("frequent", lambda x: x.t).alias("own"))
+    return pairs.join(of, "b").join(sets.select(F.col("node").alias("a"), "tokens"), "a").select(F.col("b").alias("node"), F.col("a").alias("centre"), F.size(F.array_intersect("own", "tokens")).alias("inside"))
+
+
 def prefix_join(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
-    """Links (a, b) that join every component of the stored sets (node, tokens) under the similarity; None if there are none."""
+    """Links (a, b) that join every component of the stored sets (node, tokens) under the similarity; None if there are none.
+
+    Two sets that are similar share a token of their prefixes. If they share none that CAP nodes or fewer have, then all
+    that they share are frequent tokens: by the number of these, most nodes of long lists are seen to have no partner.
+    """
     each = sets.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
     df = each.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
     kept = each.join(df, "t").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("kept")).withColumn("l", F.size("kept"))
-    kept = scratch.stored(kept.where(100 * F.col("l") >= percent * F.col("n")))
+    kept = scratch.stored(kept.where(100 * F.col("l") >= percent * F.col("n")).withColumn("frequent", F.filter("kept", lambda x: x.df > CAP)))
     probe = F.expr(f"cast(l - ceil({percent} * n / 100) + 1 as int)")
     index = F.expr(f"l - ceil({2 * percent} * n / {100 + percent}) + 1")
-    rows = scratch.stored(kept.select("node", "n", "l", index.alias("index"), F.posexplode(F.slice("kept", F.lit(1), probe)).alias("at", "x")).select(F.col("x.t").alias("sig"), "node", "n", "l", (F.col("at") < F.col("index")).alias("indexed")))
-    links, joined, tried = None, None, None
+    placed = kept.select("node", "n", "l", F.size("frequent").alias("f"), index.alias("index"), F.posexplode(F.slice("kept", F.lit(1), probe)).alias("at", "x"))
+    rows = scratch.stored(placed.select(F.col("x.t").alias("sig"), "node", "n", F.when(F.col("x.df") > CAP, F.col("f")).otherwise(F.col("l")).alias("l"), (F.col("at") < F.col("index")).alias("indexed")))
+    links, joined, tried, about = None, None, None, None
     now = _open(_with_comp(rows, None), percent, scratch)
     for k in range(STARS):
         lengths = now.groupBy("sig").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * F.col("c")).alias("pairs"), F.sum("c").alias("rows")).first()
-        if not lengths["rows"] or (k and lengths["pairs"] <= FEW * lengths["rows"]):
+        if not lengths["rows"] or lengths["pairs"] <= FEW * lengths["rows"]:
             break
         rank = F.struct(F.xxhash64("node", F.lit(k)) if k else F.col("n") - F.col("l"), "node", "n", "l", "comp")
         centres = now.groupBy("sig").agg(F.min(rank).alias("c")).select("sig", *(F.col(f"c.{x}").alias(f"c_{x}") for x in ("node", "n", "l", "comp")))
@@ -283,6 +294,8 @@ def prefix_join(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame |
         if pairs.isEmpty():
             break
         tried = pairs if tried is None else tried.union(pairs)
+        if about is None:
+            about = scratch.stored(_about(pairs, kept, sets))
         found = scratch.stored(verified(pairs, sets, percent))
         if found.isEmpty():
             break
@@ -290,12 +303,17 @@ def prefix_join(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame |
         joined = components(links, scratch)
         now = _open(_with_comp(now.drop("comp", "c"), joined), percent, scratch)
     pairs = _pairs(now.where(F.col("c") <= CAP), percent)
-    long = scratch.stored(now.where(F.col("c") > CAP).select("node").distinct())
+    if about is not None:
+        wide = now.where((F.col("c") > CAP) & (F.col("c") <= WIDE)).join(about, "node", "left").withColumns({"centre": F.coalesce("centre", "node"), "inside": F.coalesce("inside", "l")})
+        pairs = pairs.union(_pairs(wide, percent, centred=True))
+    else:
+        pairs = pairs.union(_pairs(now.where((F.col("c") > CAP) & (F.col("c") <= WIDE)), percent))
+    long = scratch.stored(now.where(F.col("c") > WIDE).select("node").distinct())
     if not long.isEmpty():
-        made = kept.join(long, "node").select("node", "n", "kept").mapInArrow(lambda it: _combine(it, percent), "node long, sigs array<long>, indexed int")
+        made = kept.join(long, "node").select("node", "n", F.col("frequent").alias("kept")).mapInArrow(lambda it: _combine(it, percent), "node long, sigs array<long>, indexed int")
         split = made.select("node", "indexed", F.posexplode("sigs").alias("at", "sig")).groupBy("node", "sig").agg(F.max(F.col("at") < F.col("indexed")).alias("indexed"))
         several = split.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
-        lists_ = split.join(several, "sig").join(kept.select("node", "n", "l"), "node")
+        lists_ = split.join(several, "sig").join(kept.select("node", "n", F.size("frequent").alias("l")), "node")
         pairs = pairs.union(_pairs(_open(_with_comp(lists_, joined), percent, scratch), percent))
     pairs = pairs.distinct()
     if tried is not None:
@@ -307,27 +325,99 @@ def prefix_join(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame |
     return links
 
 
-def connect(signed: DataFrame, tokens_of: Callable[[DataFrame], DataFrame], scratch: Scratch, percent: int = 80, busy: DataFrame | None = None, sigs: int | None = None) -> DataFrame:
-    """Verified links (a, b), a table of scratch; their components are those of all links.
+def places_of(sigs: np.ndarray) -> np.ndarray:
+    return (mix(sigs.view(U64)) % U64(LONG_PLACES)).astype(np.int64)
 
-    signed: rows (node, sigs, n) as for ``met``; a node may come again with the same signatures. Where n is given, sigs are a prefix of the node's tokens in
-    an order that all sets share, by which two sets that are similar meet, and any tokens left out of it come last; then
-    pairs that the places of common tokens rule out are dropped. busy: further nodes (node) for the prefix join, which
-    finds their links among themselves and with nodes of long lists. tokens_of: (node, tokens) of rows (node), tokens distinct.
-    """
-    found = scratch.stored(met(signed, percent, sigs))
-    long = found.where("b is null").select(F.col("a").alias("node"))
-    long = scratch.stored((long if busy is None else long.union(busy.select("node"))).distinct())
+
+def _long_places(batches):
+    for batch in batches:
+        at = np.unique(places_of(np.asarray(batch.column("a"))))
+        word, first = np.unique(at >> 6, return_index=True)
+        bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(U64), first) if len(at) else np.zeros(0, U64)
+        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+
+def long_places(found: DataFrame) -> np.ndarray:
+    """A table of LONG_PLACES booleans, true where the signature of a long list falls; it has the same size for every input."""
+    got = found.where("b is null and n = -1").select("a").mapInArrow(_long_places, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    table_ = np.zeros(LONG_PLACES // 64, "<u8")
+    table_[got["word"]] = got["bits"].to_numpy(np.int64).view(U64)
+    return np.unpackbits(table_.view(np.uint8), bitorder="little").astype(bool)
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """Bits at the places of a set's tokens, two to four times as many bits as tokens."""
+    k = max(6, int(2 * len(tokens) - 1).bit_length())
+    bits = np.zeros(1 << k, bool)
+    bits[(mix(tokens.view(U64)) >> U64(64 - k)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def alike(x: bytes, y: bytes, m: int, n: int, percent: int) -> bool:
+    """Whether the sketches of sets of m and n tokens leave room for the similarity: a place that only one of them has is a token that the other lacks."""
+    a, b = (np.unpackbits(np.frombuffer(s, np.uint8)) for s in (x, y))
+    size = min(len(a), len(b))
+    a, b = (s.reshape(size, -1).any(1) for s in (a, b))
+    most = min(m - int((a & ~b).sum()), n - int((b & ~a).sum()))
+    return (100 + percent) * most >= percent * (m + n)
+
+
+def _sketched(batches, percent: int):
+    for batch in batches:
+        x, y, m, n = (batch.column(c).to_pylist() for c in ("x", "y", "m", "n"))
+        yield batch.select(["a", "b"]).filter(pa.array([alike(*z, percent) for z in zip(x, y, m, n)], pa.bool_()))
+
+
+def _candidates(found: DataFrame, long: DataFrame, percent: int, sketches: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) that met and that neither the places of their common tokens nor their sketches rule out; two nodes of long lists are left to others, as their common tokens aren't all counted here."""
     pairs = found.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("k"), F.max("i").alias("i"), F.max("j").alias("j"), F.max("m").alias("m"), F.max("n").alias("n"))
     pairs = pairs.where(_enough(*(F.col(c) for c in "kijmn"), percent))
-    # Two nodes of long lists are left to the prefix join: their common tokens aren't all counted here.
     few = small(long)
     for c in ("a", "b"):
         marked = long.select(F.col("node").alias(c), F.lit(True).alias(f"long_{c}"))
         pairs = pairs.join(F.broadcast(marked) if few else marked, c, "left")
-    pairs = scratch.stored(pairs.where("long_a is null or long_b is null").select("a", "b"))
+    pairs = pairs.where("long_a is null or long_b is null").select("a", "b", "m", "n")
+    if sketches is not None:
+        pairs = scratch.stored(pairs)
+        of = lambda node, bits: sketches.select(F.col("node").alias(node), F.col("sketch").alias(bits))
+        pairs = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "m", "n", "x", "y").mapInArrow(lambda it: _sketched(it, percent), "a long, b long")
+    return scratch.stored(pairs.select("a", "b"))
+
+
+def _long(found: DataFrame, busy: DataFrame | None, scratch: Scratch) -> DataFrame:
+    long = found.where("b is null and n = 0").select(F.col("a").alias("node"))
+    return scratch.stored((long if busy is None else long.union(busy.select("node"))).distinct())
+
+
+def connect(
+    signed: DataFrame,
+    tokens_of: Callable[[DataFrame], DataFrame],
+    scratch: Scratch,
+    percent: int = 80,
+    busy: DataFrame | None = None,
+    sketches: DataFrame | None = None,
+    again: Callable[[DataFrame, np.ndarray], DataFrame] | None = None,
+    sigs: int | None = None,
+) -> DataFrame:
+    """Verified links (a, b), a table of scratch; their components are those of all links.
+
+    signed: rows (node, sigs, n) as for ``met``; a node may come again with the same signatures. Where n is given, sigs
+    are a prefix of the node's tokens in an order that all sets share, by which two sets that are similar meet, and any
+    tokens left out of it come last; then pairs that the places of common tokens rule out are dropped. busy: nodes (node)
+    that left tokens out. tokens_of: (node, tokens) of rows (node), tokens distinct. sketches: (node, sketch) of all nodes.
+    Nodes of long lists and busy ones are compared by ``prefix_join``; with again they are signed once more before, from
+    rows (node, tokens) and ``long_places``, in an order in which tokens of long lists come last, as (node, sigs, n, busy).
+    """
+    found = scratch.stored(met(signed, percent, sigs))
+    long = _long(found, busy, scratch)
+    pairs = _candidates(found, long, percent, sketches, scratch)
     need = scratch.stored(long.union(pairs.select("a")).union(pairs.select("b")).distinct())
     sets = scratch.stored(tokens_of(need))
+    if again is not None and not long.isEmpty():
+        signed = scratch.stored(again(sets.join(long, "node", "left_semi"), long_places(found)))
+        found = scratch.stored(met(signed, percent))
+        long = _long(found, signed.where("busy"), scratch)
+        pairs = pairs.union(_candidates(found, long, percent, None, scratch))
     links = verified(pairs, sets, percent)
     if not long.isEmpty():
         more = prefix_join(scratch.stored(sets.join(long, "node", "left_semi")), percent, scratch)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import U64, hash_spans, lists, mix, slices, table, windows, words_of
-from .linking import components, connect
+from .linking import components, connect, places_of, sketch
 from .scratch import Scratch, only, small, stored
 
 SHINGLE = 5
@@ -83,20 +83,23 @@ def token_counts(docs: DataFrame) -> np.ndarray:
     return n
 
 
-def prefix(tokens: np.ndarray, counts: np.ndarray, level: float) -> tuple[np.ndarray, bool]:
-    """The rare tokens, in order, of the prefix with which a set of tokens probes, and whether the prefix holds frequent ones besides."""
+def prefix(tokens: np.ndarray, counts: np.ndarray, level: float, long: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
+    """The rare tokens, in order, of the prefix with which a set of tokens probes, and whether the prefix holds others besides. long: ``linking.long_places``."""
     n = len(tokens)
     if not n:
         return tokens, False
     probe = n - -(-4 * n // 5) + 1
     count = counts[(tokens >> U64(46)).astype(np.int64)]
-    order = np.lexsort((tokens, count))[:probe]
-    rare = int(np.searchsorted(count[order], level, "right"))
-    return tokens[order[:rare]], rare < probe
+    rare = count <= level
+    if long is not None:
+        rare &= ~long[places_of(tokens)]
+    order = np.lexsort((tokens, count, ~rare))[:probe]
+    order = order[rare[order]]
+    return tokens[order], len(order) < probe
 
 
-PREPARED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sigs", pa.list_(pa.int64())), ("busy", pa.bool_())])
-PREPARED_DDL = "doc_id long, text_key long, n long, f1 long, f2 long, sigs array<long>, busy boolean"
+PREPARED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sigs", pa.list_(pa.int64())), ("busy", pa.bool_()), ("sketch", pa.binary())])
+PREPARED_DDL = "doc_id long, text_key long, n long, f1 long, f2 long, sigs array<long>, busy boolean, sketch binary"
 
 
 def _prepare(batches, counts: np.ndarray, level: float):
@@ -110,7 +113,19 @@ def _prepare(batches, counts: np.ndarray, level: float):
                 f[some] = np.add.reduceat(mix(tokens + U64(seed * 0x51ED)), rows[:-1][some])
         made = [prefix(tokens[a:b], counts, level) for a, b in zip(rows, rows[1:])]
         sigs = lists(np.concatenate([np.empty(0, U64), *(m[0] for m in made)]).view(np.int64), np.concatenate([[0], np.cumsum([len(m[0]) for m in made])]), pa.int64())
-        yield table({"doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "n": n, "f1": first[0].view(np.int64), "f2": first[1].view(np.int64), "sigs": sigs, "busy": pa.array([m[1] for m in made], pa.bool_())}, PREPARED)
+        yield table({"doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "n": n, "f1": first[0].view(np.int64), "f2": first[1].view(np.int64), "sigs": sigs, "busy": pa.array([m[1] for m in made], pa.bool_()), "sketch": pa.array([sketch(tokens[a:b]) for a, b in zip(rows, rows[1:])], pa.binary())}, PREPARED)
+
+
+SIGNED = pa.schema([("node", pa.int64()), ("sigs", pa.list_(pa.int64())), ("n", pa.int64()), ("busy", pa.bool_())])
+
+
+def _sign_again(batches, counts: np.ndarray, level: float, long: np.ndarray):
+    for batch in batches:
+        sets = batch.column("tokens")
+        rows, flat = np.asarray(sets.offsets), np.asarray(sets.values).view(U64)
+        made = [prefix(flat[a:b], counts, level, long) for a, b in zip(rows, rows[1:])]
+        sigs = lists(np.concatenate([np.empty(0, U64), *(m[0] for m in made)]).view(np.int64), np.concatenate([[0], np.cumsum([len(m[0]) for m in made])]), pa.int64())
+        yield table({"node": batch.column("node"), "sigs": sigs, "n": np.diff(rows).astype(np.int64), "busy": pa.array([m[1] for m in made], pa.bool_())}, SIGNED)
 
 
 SETS = pa.schema([("node", pa.int64()), ("tokens", pa.list_(pa.int64()))])
@@ -141,13 +156,19 @@ def components_of(docs: DataFrame) -> DataFrame:
     whole, own = prepared.where("n > 0 and doc_id is not null"), ["n", "f1", "f2"]
     # A node is a distinct set; it is named after one of the rows that have it.
     nodes = scratch.stored(whole.groupBy(*own).agg(F.min("row").alias("node")))
-    signed = only(whole, nodes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "sigs", "n", "busy")
+    signed = only(whole, nodes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "sigs", "n", "busy", "sketch")
 
     def sets_of(need: DataFrame) -> DataFrame:
         at = scratch.stored(only(prepared, need.select(F.col("node").alias("row")), "row").select("doc_id", "text_key", F.col("row").alias("node")))
-        return read.join(F.broadcast(at) if small(at) else at, ["doc_id", "text_key"]).select("node", "text").mapInArrow(_sets, SETS_DDL).dropDuplicates(["node"])
+        sets = read.join(F.broadcast(at) if small(at) else at, ["doc_id", "text_key"]).select("node", "text").mapInArrow(_sets, SETS_DDL)
+        twice = only(prepared, at, "text_key").join(at, ["doc_id", "text_key"]).groupBy("node").count().where("count > 1")
+        return sets if twice.isEmpty() else sets.dropDuplicates(["node"])
+
+    def again(sets: DataFrame, long: np.ndarray) -> DataFrame:
+        places = docs.sparkSession.sparkContext.broadcast(np.packbits(long))
+        return sets.mapInArrow(lambda it: _sign_again(it, shared.value, level, np.unpackbits(places.value).astype(bool)), "node long, sigs array<long>, n long, busy boolean")
 
-    links = connect(signed, sets_of, scratch, 80, signed.where("busy"))
+    links = connect(signed, sets_of, scratch, 80, signed.where("busy"), signed.select("node", "sketch"), again)
     of_rows = scratch.stored(prepared.select("doc_id", *own).join(nodes, own, "left").withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node"))))
     twice = of_rows.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc_id", "a")
     same_id = of_rows.join(twice, "doc_id").where("node > a").select("a", F.col("node").alias("b"))

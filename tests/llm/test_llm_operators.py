@@ -68,7 +68,8 @@ def test_frequent_tokens_use_combinations(spark, monkeypatch):
         texts.append((i, " ".join(w)))
     monkeypatch.setattr(ngram_join, "FREQUENT", -1e9)
     monkeypatch.setattr(linking, "CAP", 1)
-    monkeypatch.setattr(linking, "COMMON", (1, 10))
+    monkeypatch.setattr(linking, "WIDE", 1)
+    monkeypatch.setattr(linking, "COMMON", 10)
     monkeypatch.setattr(linking, "STARS", 0)
     df = spark.createDataFrame(texts, "doc_id long, text string")
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.components_of(df).collect()}
@@ -88,16 +89,19 @@ def random_pairs(rng, most=80):
 
 
 @pytest.mark.parametrize("level", [-1.0, 4.0, 20.0])
-def test_similar_sets_share_a_prefix_token(level):
-    """Rare ones meet; else both have frequent ones and go to the prefix join."""
+@pytest.mark.parametrize("long", [None, 0.3])
+def test_similar_sets_share_a_prefix_token(level, long):
+    """Rare ones meet; else both have others and go to the prefix join. Sketches leave room for them."""
     rng = np.random.default_rng(3)
     counts = rng.integers(0, 12, ngram_join.BUCKETS)
-    for x, y in random_pairs(rng):
-        (sx, bx), (sy, by) = ngram_join.prefix(x, counts, level), ngram_join.prefix(y, counts, level)
+    places = None if long is None else rng.random(linking.LONG_PLACES) < long
+    for x, y in random_pairs(rng, 300):
+        (sx, bx), (sy, by) = ngram_join.prefix(x, counts, level, places), ngram_join.prefix(y, counts, level, places)
+        assert linking.alike(linking.sketch(x), linking.sketch(y), len(x), len(y), 80)
         assert set(sx.tolist()) & set(sy.tolist()) or (bx and by)
 
 
-@pytest.mark.parametrize("common", [(0, 0), (0, 6), (3, 6), (20, 40)])
+@pytest.mark.parametrize("common", [0, 6, 20])
 def test_similar_sets_share_a_combination(common, monkeypatch):
     """The smaller set's index and the larger's probe always meet, with or without tokens that no other set has."""
     monkeypatch.setattr(linking, "COMMON", common)
@@ -114,12 +118,21 @@ def test_similar_sets_share_a_combination(common, monkeypatch):
         assert set(probe) & set(index[:n]), (len(x), len(y), len(some))
 
 
-def test_long_lists_give_the_same_components(spark, monkeypatch):
-    """Near copies of a text that is not among them, with shared and with single edits, against all pairs."""
+def test_sketches_of_unlike_sets():
+    rng = np.random.default_rng(12)
+    draw = lambda n: linking.sketch(rng.integers(0, 2**63, n).astype(np.uint64))
+    assert not any(linking.alike(draw(n), draw(int(n * 0.9)), n, int(n * 0.9), 80) for n in (30, 100, 1000))
+
+
+@pytest.mark.parametrize("wide", [3, 20, 4096])
+@pytest.mark.parametrize("base", [False, True])
+def test_long_lists_give_the_same_components(spark, monkeypatch, wide, base):
+    """Near copies of a text that is among them or not, with shared and with single edits, against all pairs."""
     import random
 
     monkeypatch.setattr(linking, "CAP", 3)
-    monkeypatch.setattr(linking, "COMMON", (3, 20))
+    monkeypatch.setattr(linking, "WIDE", wide)
+    monkeypatch.setattr(linking, "COMMON", 20)
     r = random.Random(11)
     texts = []
     for i in range(70):
@@ -127,6 +140,8 @@ def test_long_lists_give_the_same_components(spark, monkeypatch):
         for _ in range(r.randrange(1, 5)):
             w[r.randrange(len(w))] = f"x{r.randrange(4 if i % 2 else 4000)}"
         texts.append((i, " ".join(w)))
+    if base:
+        texts.append((99, " ".join(f"w{k}" for k in range(60))))
     texts += [(100 + i, " ".join(f"y{r.randrange(400)}" for _ in range(30))) for i in range(30)]
     df = spark.createDataFrame(texts, "doc_id long, text string")
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.components_of(df).collect()}
