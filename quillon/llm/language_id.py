@@ -18,11 +18,10 @@ from .scratch import stored
 
 SPAN = 64
 HIDDEN = 8
-#: Documents that the network is trained on, at most (those with the smallest hashes of their ids), and windows of each, spread evenly over the whole text.
-TRAIN_DOCS = 2400
-TRAIN_WINDOWS = 6
+#: Documents that the network is trained on, at most (those with the smallest hashes of their ids), with their whole texts.
+TRAIN_DOCS = 400
 #: Passes over the windows, and least number of steps of BATCH windows.
-EPOCHS = 4
+EPOCHS = 2
 STEPS = 300
 BATCH = 128
 #: Windows that are scored at once; their state stays in a core's cache.
@@ -170,34 +169,33 @@ def fit(windows: np.ndarray, count: np.ndarray, label: np.ndarray, languages: li
     return net
 
 
-SAMPLE = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("windows", pa.binary()), ("counts", pa.list_(pa.int32()))])
-
-
-def _sampled(batches, each: int):
-    for batch in slices(batches):
-        data, offsets = utf8_bytes(batch.column("text"))
-        windows, count = cut(data, offsets)
-        rows = np.concatenate([[0], np.cumsum(-(-np.diff(offsets) // SPAN))])
-        picks = [np.unique(np.linspace(a, b - 1, min(each, b - a)).astype(int)) if b > a else np.empty(0, int) for a, b in zip(rows, rows[1:])]
-        yield table({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "windows": pa.array([windows[x].tobytes() for x in picks], pa.binary()), "counts": pa.array([count[x].tolist() for x in picks], pa.list_(pa.int32()))}, SAMPLE)
-
-
 def held_out(doc_id):
     return F.crc32(doc_id.cast("string")) % 3 == 1
 
 
-def trained(docs: DataFrame, train_docs: int = TRAIN_DOCS, each: int = TRAIN_WINDOWS) -> Network | None:
-    """A network trained on at most ``train_docs`` documents with a language that are not held out; None without any."""
+def trained(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Network | None:
+    """A network trained on at most ``train_docs`` documents with a language that are not held out; None without any. Of several rows of one id the first by language and text teaches."""
     usable = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out(F.col("doc_id")))
     sample = stored(usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs))
-    got = usable.select("doc_id", "lang", "text").join(F.broadcast(sample), "doc_id").mapInArrow(lambda it: _sampled(it, each), "doc_id long, lang string, windows binary, counts array<int>").toPandas()
-    got = got[[len(x) > 0 for x in got["counts"]]].sort_values(["doc_id", "lang", "windows"]) if len(got) else got
-    if not len(got):
+    rows = usable.select("doc_id", "lang", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("row")).select("doc_id", "row.*")
+    got = sorted((r for r in rows.collect() if r["text"]), key=lambda r: r["doc_id"])
+    if not got:
         return None
-    languages = sorted(got["lang"].unique())
-    windows = np.frombuffer(b"".join(got["windows"]), np.uint8).reshape(-1, SPAN)
-    label = np.repeat(np.searchsorted(languages, got["lang"]), [len(x) for x in got["counts"]])
-    return fit(windows, np.concatenate(list(got["counts"])), label, languages)
+    languages = sorted({r["lang"] for r in got})
+    data, offsets = utf8_bytes(pa.array([r["text"] for r in got], pa.string()))
+    windows, count = cut(data, offsets)
+    label = np.repeat([languages.index(r["lang"]) for r in got], -(-np.diff(offsets) // SPAN))
+    return fit(windows, count, label, languages)
+
+
+def plain(net: Network) -> tuple:
+    """The network as a tuple of arrays; workers need no class of this package to read it."""
+    arrays = lambda d: (d.inputs, d.update, d.candidate)
+    return net.languages, arrays(net.forwards), arrays(net.backwards), net.output, net.bias
+
+
+def rebuilt(x: tuple) -> Network:
+    return Network(x[0], Direction(*x[1]), Direction(*x[2]), x[3], x[4])
 
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -209,10 +207,11 @@ def identified(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     lang is read for training only. A null text and one without a letter get ``und`` and score 0, as does every text if
     nothing can be learned; held_out is false for a null doc_id. Repeated rows get a row each. Other columns are not read.
     """
-    network = docs.sparkSession.sparkContext.broadcast(trained(docs, train_docs))
+    net = trained(docs, train_docs)
+    network = docs.sparkSession.sparkContext.broadcast(net and plain(net))
 
     def run(batches):
-        net = network.value
+        net = network.value and rebuilt(network.value)
         for batch in slices(batches):
             letters = np.asarray(batch.column("letters").to_numpy(zero_copy_only=False), bool)
             if net is None:

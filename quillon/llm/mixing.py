@@ -16,7 +16,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import only, stored
+from .scratch import small, stored
 
 LEVELS = ("domain", "lang", "source")
 SEED = 20
@@ -39,6 +39,11 @@ def equal_weight(path: tuple[str | None, ...]) -> float:
     return 1.0
 
 
+def targets(weights: Mapping[tuple, float]) -> Callable[[tuple], float]:
+    """Weights by path; 1 where none is given."""
+    return lambda path: weights.get(path, 1.0)
+
+
 def poured(amount: float, children: list, weight: Callable, capacity: Callable) -> dict:
     """The amount dealt by weight, no child above its capacity; what full children leave goes to the others, again by weight. Without any weight above 0 nothing is dealt."""
     given, open_ = dict.fromkeys(children, 0.0), [c for c in children if weight(c) > 0]
@@ -81,9 +86,9 @@ def _place(epoch: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed).cast("string"), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
 
 
-def _leaf(docs: DataFrame) -> DataFrame:
-    """docs with columns _domain, _lang and _source."""
-    return docs.withColumns({"_domain": domain(F.col("source")), "_lang": F.col("lang"), "_source": F.col("source")})
+def _leaf(docs: DataFrame) -> list[Column]:
+    """The leaf of each row, as columns that are named by NAMES."""
+    return [domain(docs["source"]).alias("_domain"), docs["lang"].alias("_lang"), docs["source"].alias("_source")]
 
 
 def _same(a: str, b: str) -> list[Column]:
@@ -96,7 +101,7 @@ NAMES = [f"_{x}" for x in LEVELS]
 def planned(docs: DataFrame, share: float = SHARE, weight: Callable[[tuple], float] = equal_weight, epochs: int = EPOCHS, seed: int = SEED, total_tokens: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents with their tokens (doc_id, leaf, tokens); for each leaf and epoch that takes something, where its prefix ends (want, n, upto: the first digits of the places in which it ends, null if it takes all; before: tokens before those); and the documents in the end bins that are reached (with start)."""
     spark = docs.sparkSession
-    counted = stored(_leaf(docs).select("doc_id", *NAMES, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("tokens")))
+    counted = stored(docs.select("doc_id", *_leaf(docs), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("tokens")))
     sums = counted.groupBy(*NAMES).agg(F.sum("tokens").alias("n")).limit(MAX_LEAVES + 1).collect()
     if len(sums) > MAX_LEAVES:
         raise ValueError(f"more than {MAX_LEAVES} leaves")
@@ -130,7 +135,7 @@ def _near(counted: DataFrame, ends: DataFrame, seed: int) -> DataFrame:
 def _whole(docs: DataFrame, limits: DataFrame, seed: int) -> DataFrame:
     """Documents (with their leaf) that lie before their leaf's end, once for each epoch."""
     c, e = docs.alias("c"), F.broadcast(limits).alias("e")
-    joined = c.join(e, _same("c", "e")).select("c.*", "epoch", "upto")
+    joined = c.join(e, _same("c", "e")).select(*(f"c.{x}" for x in docs.columns), "e.epoch", "e.upto")
     place = _place(F.col("epoch"), seed)
     return joined.where(F.col("upto").isNull() | ((place < F.col("upto")) & ~place.startswith(F.col("upto")))).drop("upto")
 
@@ -152,13 +157,13 @@ def prefixes(docs: DataFrame, share: float = SHARE, weight: Callable[[tuple], fl
 def selected(docs: DataFrame, share: float = SHARE, weight: Callable[[tuple], float] = equal_weight, seed: int = SEED) -> DataFrame:
     """The rows of docs, all columns, of which one epoch's prefixes take a part or all; the last document of a leaf stays whole.
 
-    Rows that share a doc_id at the end of a leaf's budget stay or go together; rows there without a doc_id go.
+    Rows of a leaf that share a doc_id, or have none, stay or go together at the end of its budget.
     """
     _, limits, edge = planned(docs, share, weight, 1, seed)
-    columns = docs.columns
-    inside = _whole(_leaf(docs), limits, seed).select(*columns)
-    # At most EDGE documents of a leaf, and MAX_LEAVES leaves: small; a count decides all the same.
-    last = only(_leaf(docs), stored(edge.select("doc_id").where("doc_id is not null").distinct()), "doc_id")
-    ends = F.broadcast(limits.where("upto is not null")).alias("e")
-    l = last.alias("c").join(ends, _same("c", "e")).where(_place(F.col("epoch"), seed).startswith(F.col("upto")))
-    return inside.union(l.select(*(f"c.{x}" for x in columns)))
+    # The row's own columns travel in one, so that no name of theirs can clash.
+    rows = docs.select("doc_id", *_leaf(docs), F.struct(*docs.columns).alias("row"))
+    inside = _whole(rows, limits, seed).select("row.*")
+    last = stored(edge.select("doc_id", *NAMES).distinct())
+    e = (F.broadcast(last) if small(last) else last).alias("e")
+    r = rows.alias("r")
+    return inside.union(r.join(e, [*_same("r", "e"), F.col("r.doc_id").eqNullSafe(F.col("e.doc_id"))], "left_semi").select("row.*"))

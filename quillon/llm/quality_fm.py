@@ -138,17 +138,24 @@ def held_out(doc_id, folds: int = 5):
 
 
 def trained(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Machine:
-    """A machine fitted on at most ``train_docs`` labelled documents that are not held out. Rows with a null id or label, or a label other than 0 and 1, teach nothing; of several labels of one id the least counts."""
+    """A machine fitted on at most ``train_docs`` labelled documents that are not held out. Rows with a null id or label, or a label other than 0 and 1, teach nothing; of several labels of one id the least counts, of several rows the first by text and n_chars."""
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("label"))
     sample = stored(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs))
     columns = ["doc_id", "text", *(["n_chars"] if "n_chars" in docs.columns else [])]
-    got = docs.select(*columns).join(F.broadcast(sample), "doc_id").mapInArrow(_sampled, SAMPLE_DDL).toPandas()
-    got = got.sort_values("doc_id", kind="stable").drop_duplicates("doc_id") if len(got) else got
+    read = docs.select(*columns).join(F.broadcast(sample), "doc_id")
+    one = read.groupBy("doc_id").agg(F.min(F.struct(*columns[1:], "label")).alias("row")).select("doc_id", "row.*")
+    got = one.mapInArrow(_sampled, SAMPLE_DDL).toPandas().sort_values("doc_id")
     size = [len(x) for x in got["bucket"]]
     flat = lambda column, kind: np.concatenate([np.empty(0, kind), *got[column]]).astype(kind)
     return fit(flat("bucket", np.int64), flat("weight", np.float64), np.concatenate([[0], np.cumsum(size)]).astype(np.int64), flat("stats", np.float64).reshape(-1, len(STATS)), got["label"].to_numpy(np.float64))
 
 
+def _sent(docs: DataFrame, labels: DataFrame, train_docs: int):
+    """A broadcast of the machine's plain arrays; workers need no class of this package to read it."""
+    m = trained(docs, labels, train_docs)
+    return docs.sparkSession.sparkContext.broadcast((m.bias, m.weights, m.factors, m.mean, m.scale))
+
+
 SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -158,12 +165,12 @@ def scored(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, thr
     Null and empty texts have no words and are scored by their statistics; a null or missing n_chars is a feature of its
     own; held_out is false for a null doc_id. Without a label every score is 1/2. Other columns are not read.
     """
-    machine = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, train_docs))
+    machine = _sent(docs, labels, train_docs)
     columns = ["doc_id", "text", *(["n_chars"] if "n_chars" in docs.columns else [])]
 
     def run(batches):
         for batch in slices(batches):
-            yield table({"doc_id": batch.column("doc_id"), "score": machine.value.score(*features(batch))}, SCORED)
+            yield table({"doc_id": batch.column("doc_id"), "score": Machine(*machine.value).score(*features(batch))}, SCORED)
 
     out = docs.select(*columns).mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -171,10 +178,10 @@ def scored(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, thr
 
 def kept(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, whose score reaches the threshold; see scored."""
-    machine = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, train_docs))
+    machine = _sent(docs, labels, train_docs)
 
     def run(batches):
         for batch in slices(batches):
-            yield batch.filter(pa.array(machine.value.score(*features(batch)) >= threshold))
+            yield batch.filter(pa.array(Machine(*machine.value).score(*features(batch)) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -12,12 +12,16 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Target weights of the mixture, by path in the tree of domains, languages and sources; all others are 1.
+TARGETS = {("domain0",): 2.0, ("domain1",): 1.5, ("domain0", "en"): 3.0, ("domain1", "en"): 2.0, ("domain2", "de"): 2.0}
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.prefixes(_read(spark, sf_dir, "documents"))
+    return mixing.prefixes(_read(spark, sf_dir, "documents"), weight=mixing.targets(TARGETS))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
