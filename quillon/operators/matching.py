@@ -28,21 +28,63 @@ def leaf_truths(nodes: DataFrame, profiles: DataFrame, key: str, fields: dict[st
     return known.unionByName(everyone)
 
 
+def compact(nodes: DataFrame) -> DataFrame:
+    """One row for each rule: rule_id, leaves (each with the nodes from itself up to its top node), groups from the deepest up, and top nodes."""
+    depth = nodes.agg(F.max("depth")).first()[0] or 0
+    up = R.ancestors(nodes, depth).groupBy("rule_id", F.col("leaf").alias("node_id")).agg(F.collect_list("node_id").alias("up"))
+    leaf = F.struct("node_id", F.col("kind").alias("type"), "field", "op", "value_arr", F.col("scale").try_cast("decimal(9,3)").alias("want_scale"), "up")
+    leaves = nodes.where(~F.col("kind").isin("all", "any")).join(up, ["rule_id", "node_id"]).groupBy("rule_id").agg(F.collect_list(leaf).alias("leaves"))
+    children = nodes.where("parent_id is not null").groupBy("rule_id", F.col("parent_id").alias("node_id")).agg(F.collect_list("node_id").alias("children"))
+    groups = nodes.where(F.col("kind").isin("all", "any")).join(children, ["rule_id", "node_id"]).groupBy("rule_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("up"), "node_id", "kind", "children"))).alias("groups"))
+    tops = nodes.where("parent_id is null").groupBy("rule_id").agg(F.collect_list("node_id").alias("tops"))
+    return tops.join(leaves, "rule_id").join(groups, "rule_id", "left").withColumn("groups", F.coalesce("groups", F.expr("array()").cast("array<struct<up:int,node_id:int,kind:string,children:array<int>>>")))
+
+
+#: Rules that every executor may hold; more are joined without a broadcast.
+BROADCAST_RULES = 20_000
+
+
 def matched(nodes: DataFrame, profiles: DataFrame, key: str, fields: dict[str, str], scale: str | None = None) -> DataFrame:
     """(key, rule_id, truth, match_status, missing_fields) of every profile and rule.
 
-    nodes: as rules.flatten makes them, of the mandatory and unstructured sections; a rule without any is not here.
+    nodes: as rules.flatten makes them, of the mandatory and unstructured sections; a rule without any is not here. Rules
+    are the small side: each profile is evaluated where it is, and only rules travel. A field that rules name and
+    profiles don't have is missing.
     """
     mandatory = nodes.where("section in ('mandatory', 'unstructured')")
-    depth = mandatory.agg(F.max("depth")).first()[0] or 0
-    leaves = leaf_truths(mandatory, profiles, key, fields, scale)
-    folded = R.fold(mandatory, leaves.select(key, "rule_id", "node_id", "truth"), key)
-    outcomes = R.outcome(folded, key, mandatory.select("rule_id").distinct(), mandatory.where("section = 'unstructured'").select("rule_id"))
-    blame = R.blamed(folded, R.ancestors(mandatory, depth), outcomes, key).where(F.col("truth") == R.UNKNOWN)
-    asked = blame.join(leaves.select(key, "rule_id", F.col("node_id").alias("leaf"), "field", "reason"), [key, "rule_id", "leaf"])
-    reasons = asked.groupBy(key, "rule_id").agg(F.max(F.col("reason").isin(*R.PROVIDER_REASONS)).alias("provider"), F.array_sort(F.collect_set(F.when(F.col("reason").isin(*R.PROFILE_REASONS), F.col("field")))).alias("missing"))
-    out = outcomes.join(reasons, [key, "rule_id"], "left")
-    return out.select(key, "rule_id", "truth", R.status(F.col("truth"), F.coalesce("provider", F.lit(False))).alias("match_status"), F.when(F.col("truth") == R.UNKNOWN, F.coalesce("missing", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")).alias("missing_fields"))
+    trees = compact(mandatory)
+    kinds = dict(profiles.dtypes)
+    as_array = lambda c: F.col(c).cast("array<string>") if kinds[c].startswith("array") else F.when(F.col(c).isNotNull(), F.array(F.col(c).cast("string")))
+    said = F.create_map(*(x for f, k in fields.items() for x in (F.lit(f), F.struct(F.lit(k).alias("kind"), as_array(f).alias("have")))))
+    mine = F.lit(None).cast("decimal(9,3)") if scale is None else F.col(scale).cast("decimal(9,3)")
+    who = profiles.select(key, said.alias("said"), mine.alias("have_scale"))
+    both = who.crossJoin(F.broadcast(trees) if trees.count() <= BROADCAST_RULES else trees)
+
+    def judged(leaf: Column) -> Column:
+        of = F.try_element_at("said", leaf.field)
+        known = leaf.type == "predicate"
+        truth = F.when(known, R.leaf_truth(of.kind, leaf.op, of.have, leaf.value_arr, F.col("have_scale") == leaf.want_scale)).otherwise(R.UNKNOWN)
+        mismatch = of.kind == "decimal"
+        reason = F.when(~known, "source_unknown").when(of.have.isNull() | (mismatch & F.col("have_scale").isNull()), "profile_missing").when(mismatch, "profile_scale_mismatch").otherwise("mapping_ambiguous")
+        return F.struct(leaf.node_id.alias("id"), truth.cast("int").alias("truth"), F.when(known, leaf.field).alias("field"), reason.alias("reason"), leaf.up.alias("up"))
+
+    def add(m: Column, g: Column) -> Column:
+        values = F.transform(g.children, lambda c: F.try_element_at(m, c))
+        return F.map_concat(m, F.create_map(g.node_id, F.when(g.kind == "all", F.array_min(values)).otherwise(F.array_max(values))))
+
+    leaves = both.select(key, "rule_id", "groups", "tops", F.transform("leaves", judged).alias("l"))
+    first = F.map_from_entries(F.transform("l", lambda x: F.struct(x.id, x.truth)))
+    # The result of the fold is referred to again and again; as an array's only element it is computed once.
+    folded = leaves.select(key, "rule_id", "tops", "l", F.array(F.aggregate("groups", first, add)).alias("m"))
+
+    def summed(m: Column) -> Column:
+        truth = F.array_min(F.transform("tops", lambda t: F.try_element_at(m, t)))
+        open_ = F.filter("l", lambda x: F.forall(x.up, lambda n: F.try_element_at(m, n) == R.UNKNOWN))
+        return F.struct(truth.alias("truth"), F.exists(open_, lambda x: x.reason.isin(*R.PROVIDER_REASONS)).alias("provider"), F.array_sort(F.array_distinct(F.transform(F.filter(open_, lambda x: x.reason.isin(*R.PROFILE_REASONS)), lambda x: x.field))).alias("missing"))
+
+    out = folded.select(key, "rule_id", F.inline(F.transform("m", summed)))
+    unknown = F.col("truth") == R.UNKNOWN
+    return out.select(key, "rule_id", "truth", R.status(F.col("truth"), unknown & F.col("provider")).alias("match_status"), F.when(unknown, F.col("missing")).otherwise(F.array().cast("array<string>")).alias("missing_fields"))
 
 
 def ordering(status: Column, next_deadline: Column, record: Column, cycle: Column) -> list[Column]:

@@ -10,11 +10,11 @@ from ..streaming import events as streams
 from .tables import query, read
 
 
-@query("""WITH b AS (SELECT upper(left(text, 60)) AS t, item_id FROM benchmark), d AS (SELECT doc_id, upper(left(text, 60)) AS t, source FROM documents)
-    SELECT DISTINCT d.doc_id FROM d LEFT JOIN b ON b.item_id = d.doc_id LEFT JOIN b c ON c.t = d.t WHERE b.item_id IS NOT NULL OR c.item_id IS NOT NULL""")
+@query("""WITH b AS (SELECT lower(text) AS t, item_id, 'src' || CAST(item_id % 10 AS VARCHAR) AS p FROM benchmark), d AS (SELECT doc_id, lower(text) AS t, source FROM documents)
+    SELECT DISTINCT d.doc_id FROM d LEFT JOIN b ON b.item_id = d.doc_id LEFT JOIN b c ON c.t = d.t AND (contains(d.source, c.p) OR contains(c.p, d.source)) WHERE b.item_id IS NOT NULL OR c.item_id IS NOT NULL""")
 def supersession_anti_join(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.upper(F.left("text", F.lit(60))).alias("title"), F.lit("provider of a").alias("provider"))
-    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.upper(F.left("text", F.lit(60))).alias("title"), F.lit("provider").alias("provider"))
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("title"), F.col("source").alias("provider"))
+    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lower("text").alias("title"), F.concat(F.lit("src"), F.col("item_id") % 10).alias("provider"))
     return merge.superseded(d, b, "id", "title", "provider").select(F.col("id").alias("doc_id"))
 
 
@@ -35,14 +35,14 @@ def duplicate_keys(spark, sf_dir):
 
 
 def slices(spark, sf_dir):
-    """Two overlapping slices of orders: the stored one, and one that comes in with some changes."""
-    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    old = o.where("o_orderkey % 3 <> 0")
-    new = o.where("o_orderkey % 5 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus")))
+    """All orders as they are stored, and as they come in: some with another status, some under a new key, so that these are new and the old ones retained."""
+    old = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    key = F.col("o_orderkey")
+    new = old.withColumns({"o_orderstatus": F.when(key % 7 == 0, "X").otherwise(F.col("o_orderstatus")), "o_orderkey": F.when(key % 5 == 0, -key).otherwise(key)})
     return old, new
 
 
-SLICES = """o AS (SELECT * FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT * REPLACE (CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus) FROM orders WHERE o_orderkey % 5 <> 0)"""
+SLICES = """o AS (SELECT * FROM orders), n AS (SELECT * REPLACE (CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN -o_orderkey ELSE o_orderkey END AS o_orderkey) FROM orders)"""
 
 
 @query(f"""WITH {SLICES} SELECT coalesce(n.o_orderkey, o.o_orderkey) AS o_orderkey, CASE WHEN n.o_orderkey IS NOT NULL THEN n.o_orderstatus ELSE o.o_orderstatus END AS o_orderstatus,
@@ -110,19 +110,20 @@ def block_headings(spark, sf_dir):
     return marked.select("doc_id", F.col("pos").cast("long").alias("pos"), "heading", "section")
 
 
-@query("SELECT d.doc_id, b.item_id, CAST(instr(d.text, left(b.text, 80)) - 1 AS INTEGER) AS text_start FROM documents d JOIN benchmark b ON contains(d.text, left(b.text, 80))")
+@query("SELECT d.doc_id, b.item_id, CAST(instr(d.text, b.text) - 1 AS INTEGER) AS text_start FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def quote_locate(spark, sf_dir):
     # Quotes meet texts at one word, their longest inner one; whether a text holds the whole quote is then looked up.
     # The first and the last word may be parts of a text's words, so quotes without an inner one are looked up in all texts.
-    d, b = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
-    quotes = b.select("item_id", F.left("text", F.lit(80)).alias("quote"))
+    d, b = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
     parts = F.split("quote", r"\s+")
     inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
-    keyed = quotes.withColumn("word", F.get(F.array_sort(inner, lambda x, y: F.length(y) - F.length(x)), 0))
-    words = d.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    keyed = b.withColumn("word", F.get(F.array_sort(inner, lambda x, y: F.length(y) - F.length(x)), 0))
+    # Texts stay out of the join by words: only ids and words are shuffled.
+    words = d.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    pairs = words.join(keyed.where("word is not null").select("word", "item_id"), "word").select("doc_id", "item_id").distinct()
     held = F.contains("text", F.col("quote"))
     columns = ["doc_id", "text", "item_id", "quote"]
-    hits = words.join(keyed, "word").where(held).select(columns).union(d.join(keyed.where("word is null"), held).select(columns))
+    hits = d.join(pairs, "doc_id").join(b, "item_id").where(held).select(columns).union(d.join(keyed.where("word is null"), held).select(columns))
     return hits.select("doc_id", "item_id", (F.instr(F.col("text"), F.col("quote")) - 1).alias("text_start"))
 
 
@@ -157,15 +158,15 @@ def slug_ids(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", text.record_id(F.lit("part"), F.col("p_name")).alias("id"))
 
 
-@query("SELECT doc_id, CASE WHEN length(left(text, 120)) <= 100 THEN left(text, 120) ELSE left(text, 89) || '-' || left(sha1(left(text, 120)), 10) END AS id FROM documents")
+@query("SELECT doc_id, CASE WHEN length(text) <= 100 THEN text ELSE left(text, 89) || '-' || left(sha1(text), 10) END AS id FROM documents")
 def stable_ids(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", text.stable_id(F.left("text", F.lit(120))).alias("id"))
+    return read(spark, sf_dir, "documents").select("doc_id", text.stable_id(F.col("text")).alias("id"))
 
 
-@query("SELECT doc_id, 'snap_' || left(sha256(text), 20) AS snapshot, left(sha256('/summary' || chr(31) || 'snap_' || left(sha256(text), 20) || chr(31) || left(text, 40)), 16) AS evidence FROM documents")
+@query("SELECT doc_id, 'snap_' || left(sha256(text), 20) AS snapshot, left(sha256('/summary' || chr(31) || 'snap_' || left(sha256(text), 20) || chr(31) || text), 16) AS evidence FROM documents")
 def evidence_ids(spark, sf_dir):
     d = read(spark, sf_dir, "documents").withColumn("snapshot", hashing.snapshot_id(F.col("text")))
-    return d.select("doc_id", "snapshot", hashing.evidence_id(F.lit("/summary"), F.col("snapshot"), F.left("text", F.lit(40))).alias("evidence"))
+    return d.select("doc_id", "snapshot", hashing.evidence_id(F.lit("/summary"), F.col("snapshot"), F.col("text")).alias("evidence"))
 
 
 @query("""WITH o AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS x FROM orders) SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'fixed' WHEN 1 THEN 'maximum' WHEN 2 THEN 'range' ELSE 'unspecified' END AS kind,

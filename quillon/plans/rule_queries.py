@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
@@ -64,11 +65,16 @@ def kleene_nested_fold(spark, sf_dir):
     return rules.outcome(folded, "c_custkey", tree.select("rule_id").distinct(), tree.where("section = 'unstructured'").select("rule_id"))
 
 
-@query(f"""{TRUTH} SELECT c_custkey, rule_id, CAST(truth AS INTEGER) AS truth,
-    CASE truth WHEN 0 THEN 'not_eligible' WHEN 2 THEN 'potential_fit' ELSE CASE WHEN rule_id = 'open' THEN 'needs_provider_confirmation' ELSE 'needs_information' END END AS match_status FROM w""")
+@query(f"""{TRUTH}, x AS (SELECT w.*, segment, level, s2, r2, l2, r1, l1 FROM w JOIN t USING (c_custkey) JOIN p USING (c_custkey))
+    SELECT c_custkey, rule_id, CAST(truth AS INTEGER) AS truth,
+    CASE truth WHEN 0 THEN 'not_eligible' WHEN 2 THEN 'potential_fit' ELSE CASE WHEN rule_id = 'open' THEN 'needs_provider_confirmation' ELSE 'needs_information' END END AS match_status,
+    CASE WHEN truth <> 1 THEN '' ELSE concat_ws(',', CASE WHEN level IS NULL AND ((rule_id = 'either') OR (rule_id = 'nested' AND greatest(r2, l2) = 1)) THEN 'level' END,
+        CASE WHEN segment IS NULL AND rule_id IN ('building', 'nested', 'open') THEN 'segment' END) END AS missing_fields,
+    CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY CASE WHEN truth = 2 THEN 0 WHEN truth = 0 THEN 3 WHEN rule_id = 'open' THEN 2 ELSE 1 END, rule_id) AS INTEGER) AS place FROM x""")
 def match_status_rank(spark, sf_dir):
     found = matching.matched(nodes(spark), profiles(spark, sf_dir), "c_custkey", KINDS)
-    return found.select("c_custkey", "rule_id", "truth", "match_status")
+    order = matching.ordering(F.col("match_status"), F.lit(None).cast("string"), F.col("rule_id"), F.lit(""))
+    return found.select("c_custkey", "rule_id", "truth", "match_status", F.concat_ws(",", "missing_fields").alias("missing_fields"), F.row_number().over(Window.partitionBy("c_custkey").orderBy(*order)).alias("place"))
 
 
 @query(f"""{TRUTH}, l AS (SELECT c_custkey, 'building' AS rule_id, 0 AS leaf, s1 AS x, s1 AS up FROM t UNION ALL SELECT c_custkey, 'either', 1, r1, greatest(r1, l1) FROM t UNION ALL SELECT c_custkey, 'either', 2, l1, greatest(r1, l1) FROM t
