@@ -105,13 +105,15 @@ def zone_of(text: Column, day: Column) -> Column:
         return F.struct(
             plain.alias("plain"),
             day.alias("day"),
-            (F.array_contains(F.array(*map(F.lit, REGION_NAMES)), plain) | (F.upper(plain) == "UTC")).alias("named"),
+            (plain.isin(*REGION_NAMES) | (F.upper(plain) == "UTC")).alias("named"),
             _lookup(GENERIC, F.lower(plain)).alias("generic"),
             _lookup({k: v[0] for k, v in ABBREVIATIONS.items()}, F.upper(plain)).alias("minutes"),
             _lookup({k: v[1] for k, v in ABBREVIATIONS.items() if v[1]}, F.upper(plain)).alias("usual"),
         )
 
-    return bound(F.trim(F.coalesce(text, F.lit(""))), lambda plain: bound(looked_up(plain), read))
+    # Most deadlines have no zone: nothing is looked up for them.
+    nothing = F.struct(F.lit("unknown").alias("status"), F.lit(None).cast("string").alias("region"), F.lit(None).cast("int").alias("minutes"))
+    return bound(F.trim(F.coalesce(text, F.lit(""))), lambda plain: F.when(plain == "", nothing).otherwise(bound(looked_up(plain), read)))
 
 
 def close_window(kind: Column, date: Column, local_time: Column, zone: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +30,13 @@ def leaf_truths(nodes: DataFrame, profiles: DataFrame, key: str, fields: dict[st
     return known.unionByName(everyone)
 
 
-def compact(nodes: DataFrame) -> DataFrame:
-    """One row for each rule: rule_id, leaves (each with the nodes from itself up to its top node), groups from the deepest up, and top nodes."""
+def compact(nodes: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """One row for each rule: rule_id, leaves (each with the nodes from itself up to its top node, and its values normalised and as numbers), groups from the deepest up, and top nodes."""
     depth = nodes.agg(F.max("depth")).first()[0] or 0
     up = R.ancestors(nodes, depth).groupBy("rule_id", F.col("leaf").alias("node_id")).agg(F.collect_list("node_id").alias("up"))
-    leaf = F.struct("node_id", F.col("kind").alias("type"), "field", "op", "value_arr", F.col("scale").try_cast("decimal(9,3)").alias("want_scale"), "up")
+    kind = reduce(lambda rest, kv: F.when(F.col("field") == kv[0], kv[1]).otherwise(rest), fields.items(), F.lit(None).cast("string"))
+    theirs = F.transform("value_arr", lambda v: R.normalised(kind, v))
+    leaf = F.struct("node_id", F.col("kind").alias("type"), "field", "op", theirs.alias("theirs"), F.transform("value_arr", R.number).alias("numbers"), F.col("scale").try_cast("decimal(9,3)").alias("want_scale"), "up")
     leaves = nodes.where(~F.col("kind").isin("all", "any")).join(up, ["rule_id", "node_id"]).groupBy("rule_id").agg(F.collect_list(leaf).alias("leaves"))
     children = nodes.where("parent_id is not null").groupBy("rule_id", F.col("parent_id").alias("node_id")).agg(F.collect_list("node_id").alias("children"))
     groups = nodes.where(F.col("kind").isin("all", "any")).join(children, ["rule_id", "node_id"]).groupBy("rule_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("up"), "node_id", "kind", "children"))).alias("groups"))
@@ -52,10 +56,10 @@ def matched(nodes: DataFrame, profiles: DataFrame, key: str, fields: dict[str, s
     profiles don't have is missing.
     """
     mandatory = nodes.where("section in ('mandatory', 'unstructured')")
-    trees = compact(mandatory)
+    trees = compact(mandatory, fields)
     kinds = dict(profiles.dtypes)
     as_array = lambda c: F.col(c).cast("array<string>") if kinds[c].startswith("array") else F.when(F.col(c).isNotNull(), F.array(F.col(c).cast("string")))
-    said = F.create_map(*(x for f, k in fields.items() for x in (F.lit(f), F.struct(F.lit(k).alias("kind"), as_array(f).alias("have")))))
+    said = F.create_map(*(x for f, k in fields.items() for x in (F.lit(f), F.struct(F.lit(k).alias("kind"), as_array(f).isNotNull().alias("said"), F.transform(as_array(f), lambda v: R.normalised(F.lit(k), v)).alias("mine"), R.number(F.get(as_array(f), 0)).alias("number")))))  # noqa: B023
     mine = F.lit(None).cast("decimal(9,3)") if scale is None else F.col(scale).cast("decimal(9,3)")
     who = profiles.select(key, said.alias("said"), mine.alias("have_scale"))
     both = who.crossJoin(F.broadcast(trees) if trees.count() <= BROADCAST_RULES else trees)
@@ -63,9 +67,9 @@ def matched(nodes: DataFrame, profiles: DataFrame, key: str, fields: dict[str, s
     def judged(leaf: Column) -> Column:
         of = F.try_element_at("said", leaf.field)
         known = leaf.type == "predicate"
-        truth = F.when(known, R.leaf_truth(of.kind, leaf.op, of.have, leaf.value_arr, F.col("have_scale") == leaf.want_scale)).otherwise(R.UNKNOWN)
+        truth = F.when(known, R.truth_of(of.kind, leaf.op, F.coalesce(of.said, F.lit(False)), of.mine, of.number, leaf.theirs, leaf.numbers, F.col("have_scale") == leaf.want_scale)).otherwise(R.UNKNOWN)
         mismatch = of.kind == "decimal"
-        reason = F.when(~known, "source_unknown").when(of.have.isNull() | (mismatch & F.col("have_scale").isNull()), "profile_missing").when(mismatch, "profile_scale_mismatch").otherwise("mapping_ambiguous")
+        reason = F.when(~known, "source_unknown").when(~F.coalesce(of.said, F.lit(False)) | (mismatch & F.col("have_scale").isNull()), "profile_missing").when(mismatch, "profile_scale_mismatch").otherwise("mapping_ambiguous")
         return F.struct(leaf.node_id.alias("id"), truth.cast("int").alias("truth"), F.when(known, leaf.field).alias("field"), reason.alias("reason"), leaf.up.alias("up"))
 
     def add(m: Column, g: Column) -> Column:

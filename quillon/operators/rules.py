@@ -107,12 +107,20 @@ def leaf_truth(kind: Column, op: Column, have: Column, want: Column, scale_match
     """Truth of a predicate: unknown if nothing was said; a free-text name that doesn't match is unknown too, and so is a figure on another scale."""
     mine = F.transform(have, lambda v: normalised(kind, v))
     theirs = F.transform(want, lambda v: normalised(kind, v))
-    a, b = F.get(have, 0).try_cast("decimal(18,6)"), F.get(want, 0).try_cast("decimal(18,6)")
-    numeric = F.when(op == "gte", a >= b).when(op == "lte", a <= b).when(op == "eq", a == b).otherwise(F.exists(want, lambda v: v.try_cast("decimal(18,6)") == a))
-    meets = F.size(F.array_intersect(mine, theirs)) > 0
-    passed = F.when(kind.isin("int", "decimal"), numeric).otherwise(meets)
+    return truth_of(kind, op, have.isNotNull(), mine, number(F.get(have, 0)), theirs, F.transform(want, number), scale_matches)
+
+
+def number(value: Column) -> Column:
+    return value.try_cast("decimal(18,6)")
+
+
+def truth_of(kind: Column, op: Column, said: Column, mine: Column, a: Column, theirs: Column, numbers: Column, scale_matches: Column | None = None) -> Column:
+    """leaf_truth, of values that are normalised and read as numbers already."""
+    b = F.get(numbers, 0)
+    numeric = F.when(op == "gte", a >= b).when(op == "lte", a <= b).when(op == "eq", a == b).otherwise(F.exists(numbers, lambda v: v == a))
+    passed = F.when(kind.isin("int", "decimal"), numeric).otherwise((F.size(F.array_intersect(mine, theirs)) > 0))
     scale = F.lit(True) if scale_matches is None else F.coalesce(scale_matches, F.lit(False))
-    return F.when(have.isNull() | ((kind == "decimal") & ~scale), UNKNOWN).when(passed, TRUE).when(passed.isNull() | (kind == "soft"), UNKNOWN).otherwise(FALSE)
+    return F.when(~said | ((kind == "decimal") & ~scale), UNKNOWN).when(passed, TRUE).when(passed.isNull() | (kind == "soft"), UNKNOWN).otherwise(FALSE)
 
 
 def fold(nodes: DataFrame, leaves: DataFrame, key: str) -> DataFrame:
