@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 REVIEW_RANKS = {"pending": 0, "machine_checked": 1, "human_reviewed": 2}
 ACTIONS = ("created", "updated", "unchanged", "rejected", "pending_review")
@@ -108,3 +111,52 @@ def superseded(listed: DataFrame, preferred: DataFrame, key: str, title: str, pr
 def versions(changes: DataFrame, key: str, order: Column) -> DataFrame:
     """Changes with the version each makes, from 1."""
     return changes.withColumn("version", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("value", T.StringType())])))
+def json_leaves(s: pd.Series) -> pd.Series:
+    """JSON pointer and JSON text of each scalar and each empty list or object of a document, in order of the pointers; null where it can't be read."""
+
+    def walk(x, path):
+        items = x.items() if isinstance(x, dict) else enumerate(x) if isinstance(x, list) else ()
+        if not items or (isinstance(x, (dict, list)) and not x):
+            return [(path, json.dumps(x, ensure_ascii=False))]
+        return [leaf for k, v in items for leaf in walk(v, f"{path}/{str(k).replace('~', '~0').replace('/', '~1')}")]
+
+    def leaves(text):
+        try:
+            return [{"path": p, "value": v} for p, v in sorted(walk(json.loads(text), ""))]
+        except ValueError:
+            return None
+
+    return s.map(leaves, na_action="ignore")
+
+
+def document_diff(old: DataFrame, new: DataFrame, key: str, document: str) -> DataFrame:
+    """(key, path, change, old, new) of the leaves that differ between JSON documents of one key; those of a document that only one table has, or that can't be read, are all added or removed."""
+    each = lambda df, name: df.select(key, F.explode(json_leaves(document)).alias("e")).select(key, "e.path", F.col("e.value").alias(name))
+    both = each(old, "old").join(each(new, "new"), [key, "path"], "full").where(~F.col("old").eqNullSafe(F.col("new")))
+    return both.select(key, "path", F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("modified").alias("change"), "old", "new")
+
+
+def import_gate(planned: DataFrame, issues: DataFrame, key: str, mode: str = "all_or_nothing") -> DataFrame:
+    """The plan after findings: rows with an error are rejected; with all_or_nothing, one error rejects every row; dry_run marks what would be done.
+
+    planned: (key, action, ...). Adds a column outcome: applied, rejected, held (not done because of others) or planned.
+    """
+    if mode not in ("all_or_nothing", "partial", "dry_run"):
+        raise ValueError(mode)
+    bad = issues.where("severity = 'error'").select(F.col("record_id").alias("_id")).distinct()
+    marked = planned.join(bad, planned[key].cast("string") == bad["_id"], "left").withColumn("_bad", F.col("_id").isNotNull() | (F.col("action") == "rejected")).drop("_id")
+    if mode == "all_or_nothing":
+        any_bad = marked.agg(F.coalesce(F.max("_bad"), F.lit(False)).alias("_any"))
+        outcome = F.when(F.col("_bad"), "rejected").when(F.col("_any"), "held").otherwise("applied")
+        return marked.crossJoin(F.broadcast(any_bad)).withColumn("outcome", outcome).drop("_bad", "_any")  # one row
+    return marked.withColumn("outcome", F.when(F.col("_bad"), "rejected").otherwise("planned" if mode == "dry_run" else "applied")).drop("_bad")
+
+
+def quarantined(records: DataFrame, issues: DataFrame, key: str) -> DataFrame:
+    """One row for each error of a rejected record, with the record as canonical text for a later look."""
+    errors = issues.where("severity = 'error'").select(F.col("record_id").alias("_id"), "path", "code")
+    kept = records.select(F.col(key).cast("string").alias("_id"), F.to_json(F.struct(*sorted(records.columns))).alias("record"))
+    return errors.join(kept, "_id").select(F.col("_id").alias("record_id"), "path", "code", "record")

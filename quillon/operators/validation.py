@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,22 +47,66 @@ def exploded(rows: DataFrame, record: Column, codes: Column, path: Column, sever
     """Issues of an array of codes; what follows a colon in a code ends the path."""
     each = rows.select(record.cast("string").alias("record_id"), path.alias("path"), F.explode(codes).alias("c"))
     tail = F.substring_index("c", ":", -1)
-    return each.select("record_id", F.when(F.contains(F.col("c"), F.lit(":")), F.concat("path", F.lit("/"), tail)).otherwise(F.col("path")).alias("path"), F.substring_index("c", ":", 1).alias("code"), F.lit(severity).alias("severity"))
-
-
-def deadline_codes(d: Column, raw_required: bool = True) -> Column:
-    """What a deadline struct (kind, date, local_time, annual_month, annual_day, raw_text) violates."""
-    dated = d.kind.isin("date", "datetime")
-    return F.array_compact(
-        F.array(
-            F.when(dated & dates.iso_date(d.date).isNull(), "deadline.date_required"),
-            F.when((d.kind == "datetime") & (F.coalesce(d.local_time, F.lit("")) == ""), "deadline.time_required"),
-            F.when(~dated & d.date.isNotNull(), "deadline.unexpected_date"),
-            F.when((d.kind == "annual_rule") & ~F.coalesce(dates.valid_annual_day(d.annual_month, d.annual_day), F.lit(False)), "deadline.annual_day_invalid"),
-            F.when((d.kind != "annual_rule") & (d.annual_month.isNotNull() | d.annual_day.isNotNull()), "deadline.unexpected_annual_rule"),
-            F.when(F.lit(raw_required) & (d.kind != "unspecified") & (F.trim(F.coalesce(d.raw_text, F.lit(""))) == ""), "deadline.raw_text_required"),
-        )
-    )
+    return each.select("record_id", F.when(F.contains(F.col("c"), F.lit(":")), F.concat("path", F.lit("/"), tail)).otherwise(F.col("path")).alias("path"), F.substring_index("c", ":", 1).alias("code"), F.when(F.substring_index("c", ":", 1).isin(*WARNINGS), "warning").otherwise(severity).alias("severity"))
+
+
+#: Precisions that a kind of deadline may have.
+PRECISIONS = {"date": ("day",), "datetime": ("minute", "second"), "annual_rule": ("month_day",)}
+#: Two clocks differ by so many seconds at most when the rules of daylight saving change.
+DRIFT = 2 * 3600
+WARNINGS = ("deadline.timezone_unrecognised", "deadline.utc_tz_rules_changed", "deadline.precision_mismatch", "amount.value_not_in_quote", "eligibility.no_rules")
+
+
+def deadline_codes(d: Column, quotes: Column, cycle_key: Column, label: Column) -> Column:
+    """What a deadline violates, as ``code`` or ``code:field``; those of WARNINGS are warnings.
+
+    d: a struct with kind, date, local_time, annual_month, annual_day, deadline_at_utc, timezone, precision and
+    derived_from. quotes: texts of the evidence that it cites.
+    """
+    dated, annual = d.kind.isin("date", "datetime"), d.kind == "annual_rule"
+    given = lambda c: F.coalesce(c, F.lit("")) != ""
+    concrete = [d.date, d.local_time, d.deadline_at_utc]
+    yearly = {"annual_month": d.annual_month, "annual_day": d.annual_day}
+    window = dates.close_window(d.kind, d.date, d.local_time, d.timezone)
+
+    def by_clock(w: Column) -> Column:
+        exact = F.when(w.earliest == w.latest, w.latest)
+        stated = F.unix_seconds(d.deadline_at_utc.try_cast("timestamp"))
+        there = dated & dates.iso_date(d.date).isNotNull() & d.deadline_at_utc.isNotNull()
+        off = F.abs(stated - exact)
+        return F.when(there, F.when(exact.isNull(), "deadline.utc_not_exact:deadline_at_utc").when((off > 0) & (off <= DRIFT), "deadline.utc_tz_rules_changed:deadline_at_utc").when(F.coalesce(off > DRIFT, F.lit(True)), "deadline.utc_mismatch:deadline_at_utc"))
+
+    year = F.substring(d.date, 1, 4)
+    supported = F.exists(F.coalesce(quotes, F.array().cast("array<string>")), lambda q: F.contains(q, year)) | (d.derived_from.isNotNull() & (F.contains(cycle_key, year) | F.contains(label, year)))
+    precise = reduce(lambda rest, kv: F.when(d.kind == kv[0], d.precision.isin(*kv[1])).otherwise(rest), PRECISIONS.items(), d.precision == "none")
+    checks = [
+        F.when(dated & d.date.isNull(), "deadline.date_required:date"),
+        F.when((d.kind == "datetime") & ~given(d.local_time), "deadline.time_required:local_time"),
+        F.when((d.kind == "date") & given(d.local_time), "deadline.kind_time_mismatch:local_time"),
+        *(F.when(dated & c.isNotNull(), f"deadline.unexpected_field:{f}") for f, c in yearly.items()),
+        F.when(annual & F.greatest(*(c.isNull() for c in yearly.values())), "deadline.annual_fields"),
+        F.when(annual & ~dates.valid_annual_day(d.annual_month, d.annual_day) & d.annual_month.isNotNull() & d.annual_day.isNotNull(), "deadline.annual_invalid"),
+        *(F.when(annual & c.isNotNull(), f"deadline.annual_no_concrete_date:{f}") for f, c in zip(("date", "local_time", "deadline_at_utc"), concrete)),
+        F.when(~dated & ~annual & F.coalesce(*(c.cast("string") for c in (*concrete, *yearly.values()))).isNotNull(), "deadline.unexpected_fields"),
+        F.when(dated & given(d.timezone) & (dates.zone_of(d.timezone, dates.iso_date(d.date)).status == "unknown"), "deadline.timezone_unrecognised:timezone"),
+        dates.bound(window, by_clock),
+        F.when(dated & d.date.isNotNull() & ~F.coalesce(supported, F.lit(False)), "deadline.year_not_supported"),
+        F.when(~F.coalesce(precise, F.lit(False)), "deadline.precision_mismatch:precision"),
+    ]
+    return F.array_compact(F.array(*checks))
+
+
+def amount_in_quotes(values: dict[str, Column], quotes: Column, raw_text: Column) -> Column:
+    """Figures (by field) whose whole digits stand in no cited quote and not in the amount's own text."""
+    text = F.replace(F.replace(F.array_join(quotes, " "), F.lit(","), F.lit("")), F.lit(" "), F.lit(""))
+    own = F.replace(F.coalesce(raw_text, F.lit("")), F.lit(","), F.lit(""))
+    missing = lambda v: v.isNotNull() & (F.size(quotes) > 0) & ~F.contains(text, F.substring_index(v, ".", 1)) & ~F.contains(own, F.substring_index(v, ".", 1))
+    return F.array_compact(F.array(*(F.when(missing(v), F.lit(f"amount.value_not_in_quote:{f}")) for f, v in values.items())))
+
+
+def uncited(rows: DataFrame, record: Column, path: Column, ids: Column, required: Column, code: str = "evidence.missing") -> DataFrame:
+    """Findings for things that need evidence and cite none."""
+    return found(rows.where(required & (F.size(F.coalesce(ids, F.array().cast("array<string>"))) == 0)), record, path, F.lit(code))
 
 
 def cycle_codes(starts_on: Column, ends_on: Column) -> Column:
