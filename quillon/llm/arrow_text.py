@@ -5,6 +5,7 @@ A word is a run of bytes outside ``\\x20`` and ``\\x09-\\x0D``. A null text is a
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,13 @@ LOWER[65:91] += 32
 SLICE_BYTES = 4 << 20
 
 
+def tidy() -> None:
+    """Gives memory that a Python worker no longer needs back to the system; workers wait for other tasks while others run."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows of at most ``limit`` text bytes, or one row."""
     for batch in batches:
@@ -32,6 +40,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+    tidy()
 
 
 def utf8_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -72,7 +72,7 @@ def char_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
 
 def lines(texts: pa.Array) -> Spans:
     data, starts, ends, row, number = split_lines(texts)
-    return Spans(row, number, ends - starts, *long_hashes(data, starts, ends), lambda some: char_shingles(data, starts[some], ends[some]))
+    return Spans(row, number, ends - starts, *long_hashes(data, starts, ends), data, starts, ends, lambda some: char_shingles(data, starts[some], ends[some]))
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT, shape: tuple[int, int] = BANDS) -> DataFrame:
@@ -86,7 +86,7 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT, shape: tuple[int, int]
     scratch = Scratch(docs.sparkSession)
     read = docs.select("doc_id", "text").where("doc_id is not null")
     spans = scratch.stored(found(read, lines).withColumnRenamed("place", "line"))
-    joined = similar(read, spans.withColumnRenamed("line", "place"), lines, percent, shape, scratch)
+    joined = similar(read, spans.withColumnRenamed("line", "place"), lines, lines, percent, shape, scratch)
     at = F.struct("doc_id", "line")
     distinct = spans.groupBy("h1", "h2").agg(F.min(at).alias("at"), F.count("*").alias("n")).withColumn("node", F.col("h1"))
     # Lines that are alone need no look-up: only nodes of larger components, and lines that occur again.

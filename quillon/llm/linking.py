@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import U64, lists, mix, table
-from .scratch import Scratch, small
+from .arrow_text import U64, lists, mix, table, tidy
+from .scratch import Scratch, only, small
 
 #: Nodes of a list that gives pairs; those of longer lists go to the prefix join.
 CAP = 32
@@ -78,6 +78,8 @@ def _deal(batches, parts: int):
             held, size = [], 0
     if size:
         yield out()
+        held = []
+    tidy()
 
 
 def _meet(batches, percent: int):
@@ -114,6 +116,8 @@ def _meet(batches, percent: int):
             able = 100 * np.minimum(n[a], n[b]).astype(np.int64) >= percent * np.maximum(n[a], n[b]).astype(np.int64)
             a, b = a[able], b[able]
             yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b]), pa.array(place[a]), pa.array(place[b]), pa.array(n[a]), pa.array(n[b])], schema=MET)
+    del sigs, nodes, place, n, many, order, again
+    tidy()
 
 
 def met(signed: DataFrame, percent: int, sigs: int | None = None) -> DataFrame:
@@ -150,6 +154,20 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(of("b", "y"), "b").join(of("a", "x"), "a").where((100 + percent) * common >= percent * (F.size("x") + F.size("y"))).select("a", "b")
 
 
+class TokenSets:
+    """Sets of nodes, held as a stored table (node, tokens)."""
+
+    def __init__(self, held: DataFrame):
+        self.held = held
+
+    def verified(self, pairs: DataFrame, percent: int) -> DataFrame:
+        return verified(pairs, self.held, percent)
+
+    def of(self, nodes: DataFrame) -> DataFrame:
+        """(node, tokens) of stored nodes."""
+        return only(self.held, nodes, "node")
+
+
 def _most(k: Column, i: Column, j: Column, m: Column, n: Column) -> Column:
     """The largest overlap of two sets of m and n tokens that have k of their signatures' tokens in common, the last at i and j: what follows is at most what is left of either."""
     return k + F.least(m - 1 - i, n - 1 - j)
@@ -391,7 +409,7 @@ def _long(found: DataFrame, busy: DataFrame | None, scratch: Scratch) -> DataFra
 
 def connect(
     signed: DataFrame,
-    tokens_of: Callable[[DataFrame], DataFrame],
+    sets_of: Callable[[DataFrame], TokenSets],
     scratch: Scratch,
     percent: int = 80,
     busy: DataFrame | None = None,
@@ -404,7 +422,7 @@ def connect(
     signed: rows (node, sigs, n) as for ``met``; a node may come again with the same signatures. Where n is given, sigs
     are a prefix of the node's tokens in an order that all sets share, by which two sets that are similar meet, and any
     tokens left out of it come last; then pairs that the places of common tokens rule out are dropped. busy: nodes (node)
-    that left tokens out. tokens_of: (node, tokens) of rows (node), tokens distinct. sketches: (node, sketch) of all nodes.
+    that left tokens out. sets_of: the sets of rows (node), or what has the methods of TokenSets. sketches: (node, sketch) of all nodes.
     Nodes of long lists and busy ones are compared by ``prefix_join``; with again they are signed once more before, from
     rows (node, tokens) and ``long_places``, in an order in which tokens of long lists come last, as (node, sigs, n, busy).
     """
@@ -412,14 +430,14 @@ def connect(
     long = _long(found, busy, scratch)
     pairs = _candidates(found, long, percent, sketches, scratch)
     need = scratch.stored(long.union(pairs.select("a")).union(pairs.select("b")).distinct())
-    sets = scratch.stored(tokens_of(need))
+    sets = sets_of(need)
     if again is not None and not long.isEmpty():
-        signed = scratch.stored(again(sets.join(long, "node", "left_semi"), long_places(found)))
+        signed = scratch.stored(again(sets.of(long), long_places(found)))
         found = scratch.stored(met(signed, percent))
         long = _long(found, signed.where("busy"), scratch)
         pairs = pairs.union(_candidates(found, long, percent, None, scratch))
-    links = verified(pairs, sets, percent)
+    links = sets.verified(pairs, percent)
     if not long.isEmpty():
-        more = prefix_join(scratch.stored(sets.join(long, "node", "left_semi")), percent, scratch)
+        more = prefix_join(scratch.stored(sets.of(long)), percent, scratch)
         links = links if more is None else links.union(more)
     return scratch.stored(links.distinct())

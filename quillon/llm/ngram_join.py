@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import U64, hash_spans, lists, mix, slices, table, windows, words_of
-from .linking import components, connect, places_of, sketch
+from .linking import TokenSets, components, connect, places_of, sketch
 from .scratch import Scratch, only, small, stored
 
 SHINGLE = 5
@@ -158,11 +158,11 @@ def components_of(docs: DataFrame) -> DataFrame:
     nodes = scratch.stored(whole.groupBy(*own).agg(F.min("row").alias("node")))
     signed = only(whole, nodes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "sigs", "n", "busy", "sketch")
 
-    def sets_of(need: DataFrame) -> DataFrame:
+    def sets_of(need: DataFrame) -> TokenSets:
         at = scratch.stored(only(prepared, need.select(F.col("node").alias("row")), "row").select("doc_id", "text_key", F.col("row").alias("node")))
         sets = read.join(F.broadcast(at) if small(at) else at, ["doc_id", "text_key"]).select("node", "text").mapInArrow(_sets, SETS_DDL)
         twice = only(prepared, at, "text_key").join(at, ["doc_id", "text_key"]).groupBy("node").count().where("count > 1")
-        return sets if twice.isEmpty() else sets.dropDuplicates(["node"])
+        return TokenSets(scratch.stored(sets if twice.isEmpty() else sets.dropDuplicates(["node"])))
 
     def again(sets: DataFrame, long: np.ndarray) -> DataFrame:
         places = docs.sparkSession.sparkContext.broadcast(np.packbits(long))

@@ -32,8 +32,8 @@ SHARD_BYTES = 4 << 20
 LEVELS, SPLIT = 8, 16
 #: BM25's constants.
 K1, B = 1.2, 0.75
-#: Pieces of words, and places of words, whose ids a worker remembers.
-REMEMBERED, PLACES = 500_000, 1 << 20
+#: Pieces of words that a worker remembers, places in its table of words (18 bytes each), and ids of such words.
+REMEMBERED, PLACES, MOST_IDS = 100_000, 1 << 21, 1 << 23
 
 
 def locality(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +175,7 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """Token ids of texts by words: the tokenizer drops white space and never joins across it, so equal words have equal ids everywhere.
 
-    Ids of words are remembered in a table of fixed size, by two places of their hash; a word is known again by 128 bits.
+    Ids of words are remembered in a table of fixed size, by two places of their hash; a word is known again by 96 bits.
     New plain words go to the tokenizer's model piece by piece, which is several times faster than the whole tokenizer.
     """
 
@@ -192,8 +192,8 @@ class Encoder:
 
     def forget(self) -> None:
         self.pieces: dict[str, bytes] = {}
-        self.key, self.check = np.zeros(PLACES, U64), np.zeros(PLACES, U64)
-        self.begin, self.size = np.zeros(PLACES, np.int64), np.zeros(PLACES, np.int32)
+        self.key, self.check = np.zeros(PLACES, U64), np.zeros(PLACES, np.uint32)
+        self.begin, self.size = np.zeros(PLACES, np.uint32), np.zeros(PLACES, np.uint16)
         self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
 
     def piece(self, text: str) -> bytes:
@@ -232,21 +232,24 @@ class Encoder:
         self.used += len(flat)
         place, second = places(h[one])
         place = np.where((self.key[place] == 0) | (self.key[second] != 0), place, second)
+        short = np.flatnonzero(size < 1 << 16)  # a longer one is made anew each time
         for own, x in ((self.key, h[one]), (self.check, check[one]), (self.begin, begin), (self.size, size)):
-            own[place] = x
+            own[place[short]] = x[short]
         # Words that fell on one place overwrote each other in one order for all columns.
         return begin[which], size[which]
 
     def texts(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and the first of each text, one more than texts; without the closing ids."""
-        if len(self.pieces) > REMEMBERED or self.used > 8 * REMEMBERED:
+        if len(self.pieces) > REMEMBERED:
+            self.pieces = {}
+        if self.used > MOST_IDS:
             self.forget()
-        h, check = hash_spans(w.data, w.starts, w.ends, 11), hash_spans(w.data, w.starts, w.ends, 12)
+        h, check = hash_spans(w.data, w.starts, w.ends, 11), hash_spans(w.data, w.starts, w.ends, 12).astype(np.uint32)
         place, second = places(h)
         other = np.flatnonzero((self.key[place] != h) | (self.check[place] != check))
         place[other] = second[other]
         new = other[(self.key[place[other]] != h[other]) | (self.check[place[other]] != check[other])]
-        begin, size = self.begin[place], self.size[place]
+        begin, size = self.begin[place].astype(np.int64), self.size[place].astype(np.int64)
         if len(new):
             begin[new], size[new] = self.learned(w, new, h, check)
         total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
@@ -291,44 +294,40 @@ def widened(packed: bytes) -> np.ndarray:
 
 
 class Index:
-    """Terms of a shard's documents with their BM25 weights. corpus: documents, mean length and documents by term of the whole corpus; without it, of the shard."""
+    """An inverted index of a shard: for each term its documents with their BM25 weights. corpus: documents, mean length and documents by term of the whole corpus; without it, of the shard."""
 
     def __init__(self, docs: list[np.ndarray], corpus: tuple[int, float, np.ndarray] | None = None):
         terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs))
         size = np.array([len(t) for t in terms])
         self.rows = np.concatenate([[0], np.cumsum(size)])
         used, self.place, df = np.unique(np.concatenate(terms).astype(np.int64), return_inverse=True, return_counts=True)
+        self.first = np.concatenate([[0], np.cumsum(df)])
         length = np.array([len(d) for d in docs], float)
         n, mean = len(docs), length.mean()
         if corpus is not None:
             n, mean, df = corpus[0], corpus[1], corpus[2][used]
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         tf = np.concatenate(counts).astype(float)
-        self.weights = idf[self.place] * tf * (K1 + 1) / (tf + np.repeat(K1 * (1 - B + B * length / mean), size))
-        self.asked = np.zeros(len(used), bool)
-        # Documents that are looked up, and their part of the terms.
-        self.docs, self.part = np.arange(len(docs)), (self.place, self.weights, self.rows[:-1])
+        weights = idf[self.place] * tf * (K1 + 1) / (tf + np.repeat(K1 * (1 - B + B * length / mean), size))
+        order = np.argsort(self.place, kind="stable")
+        self.doc, self.weight = np.repeat(np.arange(len(docs)), size)[order], weights[order]
+        self.listed = len(docs)
 
     def keep(self, free: np.ndarray) -> None:
-        """Looks up free documents only, once half of them are not."""
-        some = free[self.docs]
-        if 2 * some.sum() > len(some) or not some.any():
+        """Lists free documents only, once half of the listed ones are not."""
+        n = int(free.sum())
+        if 2 * n > self.listed:
             return
-        self.docs = self.docs[some]
-        size = np.diff(self.rows)[self.docs]
-        first = np.concatenate([[0], np.cumsum(size)])
-        at = np.repeat(self.rows[self.docs] - first[:-1], size) + np.arange(first[-1])
-        self.part = self.place[at], self.weights[at], first[:-1]
+        some = free[self.doc]
+        self.first = np.concatenate([[0], np.cumsum(some)])[self.first]
+        self.doc, self.weight, self.listed = self.doc[some], self.weight[some], n
 
     def scores(self, seed: int) -> np.ndarray:
-        """Scores by all terms of the seed; 0 for documents that aren't looked up."""
+        """Scores by all terms of the seed; 0 for documents that aren't listed."""
         own = self.place[self.rows[seed] : self.rows[seed + 1]]
-        place, weights, first = self.part
-        self.asked[own] = True
-        score = np.zeros(len(self.rows) - 1)
-        score[self.docs] = np.add.reduceat(weights * self.asked[place], first)
-        self.asked[own] = False
-        return score
+        size = self.first[own + 1] - self.first[own]
+        at = np.repeat(self.first[own] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        return np.bincount(self.doc[at], self.weight[at], minlength=len(self.rows) - 1)
 
 
 def windows_of(docs: list[np.ndarray], window: int = WINDOW, corpus: tuple[int, float, np.ndarray] | None = None) -> list[list[tuple[int, int, int]]]:

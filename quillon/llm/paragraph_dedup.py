@@ -103,18 +103,91 @@ def spans_of(texts: pa.Array) -> Spans:
     shingles, rows = of_words(h, first, size)
     total = lambda x: np.add.reduceat(x, rows[:-1]) if len(first) else np.zeros(0, U64)
     row = w.row_of[first] if len(first) else first
-    return Spans(row, first - w.rows[row], size, total(mix(shingles)), total(mix(shingles + U64(3))), lambda some: of_words(h, first[some], size[some]))
+    return Spans(row, first - w.rows[row], size, total(mix(shingles)), total(mix(shingles + U64(3))), w.data, w.starts[first], w.ends[first + size - 1] if len(first) else first, lambda some: of_words(h, first[some], size[some]))
 
 
-UNITS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("key", pa.int64())])
-
+def whole(texts: pa.Array) -> Spans:
+    """Each text as one paragraph."""
+    w = words_of(texts, lower=True)
+    h = hash_spans(w.data, w.starts, w.ends)
+    none = np.zeros(0, np.int64)
+    return Spans(none, none, none, none, none, w.data, none, none, lambda some: of_words(h, w.rows[:-1][some], w.counts[some]))
+
+
+DEALT = pa.schema([("part", pa.int32()), ("units", pa.binary())])
+#: An anchored paragraph: its key, document and first word. A loose one was dealt out by itself; a lead stands for such ones at its key's place.
+UNIT_KIND = np.dtype([("key", "<i8"), ("doc", "<i8"), ("start", "<i4"), ("role", "u1")])
+OWN, LOOSE, LEAD = 0, 1, 2
+#: Anchored paragraphs that a task gathers, those of one key among them that go to its place, and those that a partition has on average.
+GATHERED, TOGETHER, DEALT_TO = 1 << 19, 32, 1 << 20
+SHARED = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("key", pa.int64()), ("first", pa.int64()), ("at", pa.int32()), ("role", pa.int32())])
+SHARED_DDL = "doc_id long, start int, key long, first long, at int, role int"
+
+
+def _by_key(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units in order of key, document and place, and first and number of each key's."""
+    x = x[np.lexsort((x["start"], x["doc"], x["key"]))]
+    first = np.flatnonzero(np.concatenate([[True], x["key"][1:] != x["key"][:-1]])) if len(x) else np.zeros(0, np.int64)
+    return x, first, np.diff(np.append(first, len(x)))
+
+
+def _units(batches, parts: int):
+    """Anchored paragraphs by their key's partition, many in a row. Where a gathering has more than TOGETHER of a key, they are dealt out at random and only the first and the last go to the key's place besides."""
+    held, size = [], 0
+
+    def out():
+        x, first, n = _by_key(np.concatenate(held))
+        many = n > TOGETHER
+        x["role"] = np.where(np.repeat(many, n), LOOSE, OWN)
+        leads = x[np.concatenate([first[many], (first + n - 1)[many]])]
+        leads["role"] = LEAD
+        x = np.concatenate([x, leads])
+        place = np.where(x["role"] == LOOSE, mix(x["doc"].view(U64) + x["start"].astype(U64)), x["key"].view(U64))
+        part = (mix(place) % U64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        here = np.flatnonzero(np.diff(cuts))
+        return table({"part": here.astype(np.int32), "units": pa.array([x[order[cuts[p] : cuts[p + 1]]].tobytes() for p in here], pa.binary())}, DEALT)
 
-def _units(batches):
     for batch in slices(batches):
         w = words_of(batch.column("text"), lower=True)
         at, key = anchored(hash_spans(w.data, w.starts, w.ends), w.rows)
         row = w.row_of[at] if len(at) else at
-        yield table({"doc_id": batch.column("doc_id").take(pa.array(row)), "start": (at - w.rows[row]).astype(np.int32), "key": key.view(np.int64)}, UNITS)
+        x = np.zeros(len(at), UNIT_KIND)
+        x["key"], x["doc"], x["start"] = key.view(np.int64), batch.column("doc_id").to_numpy()[row], at - w.rows[row]
+        held.append(x)
+        size += len(x)
+        if size >= GATHERED:
+            yield out()
+            held, size = [], 0
+    if size:
+        yield out()
+
+
+def _shared_units(batches):
+    """Paragraphs whose key several documents have, with the key's first document and place; loose ones without these, and for them a row of each key that has leads."""
+    read = [x for batch in batches for x in batch.column("units").to_pylist()]
+    if not read:
+        return
+    x = np.frombuffer(b"".join(read), UNIT_KIND)
+    del read
+
+    def rows(x, first=None, role=OWN):
+        for at in range(0, len(x), 1 << 17):
+            y = x[at : at + (1 << 17)]
+            z = None if first is None else first[at : at + (1 << 17)]
+            yield table({"doc_id": y["doc"], "start": y["start"], "key": y["key"], "first": pa.nulls(len(y), pa.int64()) if z is None else pa.array(z["doc"]), "at": pa.nulls(len(y), pa.int32()) if z is None else pa.array(z["start"]), "role": np.full(len(y), role, np.int32)}, SHARED)
+
+    yield from rows(x[x["role"] == LOOSE], role=LOOSE)
+    x, first, n = _by_key(x[x["role"] != LOOSE])
+    if not len(x):
+        return
+    several = x["doc"][first] != x["doc"][first + n - 1]
+    lead = x[np.repeat(first, n)]
+    mine = np.repeat(several, n) & (x["role"] == OWN)
+    yield from rows(x[mine], lead[mine])
+    keys = x[first[several & (np.maximum.reduceat(x["role"], first) == LEAD)]]
+    yield from rows(keys, keys, LEAD)
 
 
 CONTEXT = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("key", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
@@ -143,34 +216,49 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(x.ljust(4 * GAP, b"\0") for x in texts), "<u4").reshape(len(texts), GAP), np.array([len(x) // 4 for x in texts], np.int64)
 
 
-AGREED = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("key", pa.int64()), ("first", pa.int64()), ("kept", pa.bool_()), ("l", pa.int32()), ("r", pa.int32())])
+AGREED = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("last", pa.int32()), ("key", pa.int64()), ("first", pa.int64()), ("at", pa.int32()), ("l", pa.int32()), ("r", pa.int32())])
 
 
 def _agreed(batches):
-    """How many words before and after an anchored paragraph agree with those of its first occurrence."""
+    """How many words before and after a run agree with those of the first document."""
     for batch in batches:
         out = []
         for side in ("left", "right"):
             (x, n), (y, m) = _words(batch.column(side)), _words(batch.column(f"keep_{side}"))
             same = (x == y) & (np.arange(GAP) < np.minimum(n, m)[:, None])
             out.append(np.logical_and.accumulate(same, 1).sum(1).astype(np.int32))
-        yield table({**{c: batch.column(c) for c in ("doc_id", "start", "key", "first", "kept")}, "l": out[0], "r": out[1]}, AGREED)
+        yield table({**{c: batch.column(c) for c in ("doc_id", "start", "last", "key", "first", "at")}, "l": out[0], "r": out[1]}, AGREED)
 
 
 def _exact(read: DataFrame, scratch: Scratch) -> DataFrame:
-    """Intervals (doc_id, start, n, key, first) of the anchored paragraphs that several documents have, extended as far as their first occurrence agrees; that one as far as any other does."""
-    units = scratch.stored(read.mapInArrow(_units, "doc_id long, start int, key long"))
-    keys = units.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("keep"), F.max("doc_id").alias("last")).where("keep.doc_id < last").select("key", "keep")
-    shared = scratch.stored(units.join(keys, "key"))
-    wanted = scratch.stored(shared.groupBy("doc_id").agg(F.collect_set("start").alias("wanted")))
-    context = scratch.stored(read.join(F.broadcast(wanted) if small(shared) else wanted, "doc_id").mapInArrow(_context, "doc_id long, start int, key long, left binary, right binary").dropDuplicates(["doc_id", "start", "key"]))
-    first = shared.where("doc_id = keep.doc_id and start = keep.start").select("doc_id", "start", "key").distinct()
-    first = context.join(first, ["doc_id", "start", "key"]).select("key", F.col("doc_id").alias("first"), F.col("start").alias("at"), F.col("left").alias("keep_left"), F.col("right").alias("keep_right"))
-    both = context.join(first, "key").withColumn("kept", (F.col("doc_id") == F.col("first")) & (F.col("start") == F.col("at"))).drop("at")
-    agreed = scratch.stored(both.mapInArrow(_agreed, "doc_id long, start int, key long, first long, kept boolean, l int, r int"))
-    most = agreed.where("not kept").groupBy("key").agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    every = agreed.where("not kept").unionByName(agreed.where("kept").drop("l", "r").join(most, "key"))
-    return every.select("doc_id", (F.col("start") - F.col("l")).alias("start"), (F.col("l") + F.col("r") + UNIT).alias("n"), "key", "first")
+    """Intervals (doc_id, start, n, key, first) of the runs of anchored paragraphs that a document has in common with another one, the first that has them, extended as far as both agree; and those of the first one."""
+    parts = max(int(read.sparkSession.conf.get("spark.sql.shuffle.partitions")), (read.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 60 // DEALT_TO)
+    found_ = scratch.stored(read.mapInArrow(lambda it: _units(it, parts), "part int, units binary").repartition(parts, "part").mapInArrow(_shared_units, SHARED_DDL))
+    keys = found_.where(F.col("role") == LEAD).select("key", "first", "at")
+    loose = found_.where(F.col("role") == LOOSE).select("doc_id", "start", "key")
+    loose = loose.join(F.broadcast(keys) if small(keys) else keys, "key").select("doc_id", "start", "key", "first", "at")
+    shared = found_.where(F.col("role") == OWN).drop("role").union(loose)
+    # Paragraphs of a run overlap or touch, and lie alike in both documents; the first one's own are left out.
+    apart = (F.col("doc_id") != F.col("first")) | (F.col("start") != F.col("at"))
+    along = Window.partitionBy("doc_id", "first", "offset").orderBy("start")
+    new = F.coalesce(F.col("start") - F.lag("start").over(along) > UNIT, F.lit(True)).cast("int")
+    run = shared.where(apart).distinct().withColumn("offset", F.col("start") - F.col("at")).withColumn("new", new).withColumn("run", F.sum("new").over(along))
+    runs = scratch.stored(run.groupBy("doc_id", "first", "offset", "run").agg(F.min("start").alias("start"), F.max("start").alias("last"), F.min_by("key", "start").alias("key")).withColumns({"at": F.col("start") - F.col("offset"), "at_last": F.col("last") - F.col("offset")}).drop("offset", "run"))
+    ends = [("doc_id", "start"), ("doc_id", "last"), ("first", "at"), ("first", "at_last")]
+    asked = None
+    for d, p in ends:
+        one = runs.select(F.col(d).alias("doc_id"), F.col(p).alias("start"))
+        asked = one if asked is None else asked.union(one)
+    wanted = scratch.stored(asked.distinct().groupBy("doc_id").agg(F.collect_list("start").alias("wanted")))
+    context = scratch.stored(read.join(F.broadcast(wanted) if small(runs, 200_000) else wanted, "doc_id").mapInArrow(_context, "doc_id long, start int, key long, left binary, right binary").dropDuplicates(["doc_id", "start"]))
+    both = runs
+    for (d, p), side, name in zip(ends, ("left", "right", "left", "right"), ("left", "right", "keep_left", "keep_right")):
+        both = both.join(context.select(F.col("doc_id").alias(d), F.col("start").alias(p), F.col(side).alias(name)), [d, p])
+    agreed = scratch.stored(both.select("doc_id", "start", "last", "key", "first", "at", "left", "right", "keep_left", "keep_right").mapInArrow(_agreed, "doc_id long, start int, last int, key long, first long, at int, l int, r int"))
+    size = F.col("last") - F.col("start") + UNIT + F.col("r")
+    own = agreed.select("doc_id", (F.col("start") - F.col("l")).alias("start"), (size + F.col("l")).alias("n"), "key", "first")
+    kept = agreed.groupBy("key", "first", "at").agg(F.max("l").alias("l"), F.max(size).alias("n"))
+    return own.union(kept.select(F.col("first").alias("doc_id"), (F.col("at") - F.col("l")).alias("start"), (F.col("n") + F.col("l")).alias("n"), "key", "first"))
 
 
 def repeated(docs: DataFrame, percent: int = PERCENT, shape: tuple[int, int] = BANDS) -> DataFrame:
@@ -199,7 +287,7 @@ def _shared(intervals: DataFrame) -> DataFrame:
 
 def _similar(read: DataFrame, spans: DataFrame, percent: int, shape: tuple[int, int], scratch: Scratch) -> DataFrame:
     """Paragraphs (doc_id, start, n) with the component of similar ones as their key; only those that another document's equals or resembles."""
-    joined = similar(read, spans, spans_of, percent, shape, scratch)
+    joined = similar(read, spans, spans_of, whole, percent, shape, scratch)
     distinct = spans.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).withColumn("node", F.col("h1"))
     several = distinct.join(joined, "node", "left").where("lo < hi or comp is not null").select("h1", "h2", F.when(F.col("comp").isNull(), F.xxhash64("h1", "h2")).otherwise(F.xxhash64(F.lit("paragraph"), "comp")).alias("key"))
     return spans.join(several, ["h1", "h2"]).select("doc_id", F.col("place").alias("start"), F.col("size").alias("n"), "key")

@@ -18,7 +18,7 @@ from .arrow_text import U64, lists, mix, slices, table
 from .linking import components, connect
 from .minhash import bands
 from .ngram_join import SETS, SETS_DDL
-from .scratch import Scratch, small
+from .scratch import Scratch, only, small
 
 #: Text bytes that are signed at once: their shingles take some hundred times as much.
 AT_ONCE = 1 << 20
@@ -31,6 +31,9 @@ class Spans:
     size: np.ndarray
     h1: np.ndarray
     h2: np.ndarray
+    data: np.ndarray  #: bytes of all texts, as they are compared
+    start: np.ndarray  #: of each span in the bytes
+    end: np.ndarray
     shingles: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]  #: of some spans: hashes with repetitions, and each span's first, one more than spans
 
 
@@ -55,21 +58,65 @@ def _sign(batches, kind: Kind, shape: tuple[int, int]):
         yield table({"node": s.h1[fresh].view(np.int64), "sigs": lists(keys.view(np.int64).ravel(), np.arange(len(fresh) + 1) * shape[0], pa.int64()), "n": np.ones(len(fresh), np.int64)}, SIGNED)
 
 
-def _sets(batches, kind: Kind):
+TEXTS = pa.schema([("node", pa.int64()), ("text", pa.string())])
+
+
+def _texts(batches, kind: Kind):
+    """The texts of wanted spans; they are as long as their spans, where sets would take eight bytes a token."""
     for batch in slices(batches, limit=AT_ONCE):
         s = kind(batch.column("text"))
         at = {x: k for k, x in enumerate(zip(s.row.tolist(), s.place.tolist()))}
         node = s.h1.view(np.int64)
         pick = [at[i, w["place"]] for i, ws in enumerate(batch.column("wanted").to_pylist()) for w in ws if (i, w["place"]) in at and node[at[i, w["place"]]] == w["node"]]
-        if not pick:
-            continue
-        shingles, rows = s.shingles(np.array(pick, np.int64))
-        row = np.repeat(np.arange(len(pick)), np.diff(rows))
-        order = np.lexsort((shingles, row))
-        shingles, row = shingles[order], row[order]
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (shingles[1:] != shingles[:-1])
-        yield table({"node": node[pick], "tokens": lists(shingles[new].view(np.int64), np.searchsorted(row[new], np.arange(len(pick) + 1)), pa.int64())}, SETS)
+        raw = s.data.tobytes()
+        yield table({"node": node[pick], "text": pa.array([raw[a:b].decode() for a, b in zip(s.start[pick].tolist(), s.end[pick].tolist())], pa.string())}, TEXTS)
+
+
+def _distinct(texts: pa.Array, one: Kind) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct tokens of texts that are a span each, sorted, and each one's first."""
+    shingles, rows = one(texts).shingles(np.arange(len(texts)))
+    row = np.repeat(np.arange(len(texts)), np.diff(rows))
+    order = np.lexsort((shingles, row))
+    shingles, row = shingles[order], row[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (shingles[1:] != shingles[:-1])
+    return shingles[new], np.searchsorted(row[new], np.arange(len(texts) + 1))
+
+
+def _tokens(batches, one: Kind):
+    for batch in slices(batches, limit=AT_ONCE):
+        tokens, rows = _distinct(batch.column("text"), one)
+        yield table({"node": batch.column("node"), "tokens": lists(tokens.view(np.int64), rows, pa.int64())}, SETS)
+
+
+def _alike(batches, one: Kind, percent: int):
+    for big in batches:
+        for batch in slices([big], "x", AT_ONCE // 2):
+            (x, x_rows), (y, y_rows) = _distinct(batch.column("x"), one), _distinct(batch.column("y"), one)
+            m, n = np.diff(x_rows), np.diff(y_rows)
+            pair = np.concatenate([np.repeat(np.arange(len(m)), m), np.repeat(np.arange(len(n)), n)])
+            token = np.concatenate([x, y])
+            order = np.lexsort((token, pair))
+            pair, token = pair[order], token[order]
+            both = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (token[1:] == token[:-1])], minlength=len(m))
+            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * both >= percent * (m + n)))
+
+
+class TextSets:
+    """Sets of spans, held as a stored table (node, text); what a text's tokens are, ``one`` says."""
+
+    def __init__(self, held: DataFrame, one: Kind):
+        self.held, self.one = held, one
+
+    def verified(self, pairs: DataFrame, percent: int) -> DataFrame:
+        of = lambda node, text: self.held.select(F.col("node").alias(node), F.col("text").alias(text))
+        both = pairs.select("a", "b").join(of("b", "y"), "b").join(of("a", "x"), "a").select("a", "b", "x", "y")
+        one = self.one
+        return both.mapInArrow(lambda it: _alike(it, one, percent), "a long, b long")
+
+    def of(self, nodes: DataFrame) -> DataFrame:
+        one = self.one
+        return only(self.held, nodes, "node").select("node", "text").mapInArrow(lambda it: _tokens(it, one), SETS_DDL)
 
 
 def found(read: DataFrame, kind: Kind) -> DataFrame:
@@ -77,14 +124,15 @@ def found(read: DataFrame, kind: Kind) -> DataFrame:
     return read.mapInArrow(lambda it: _find(it, kind), FOUND_DDL)
 
 
-def similar(read: DataFrame, spans: DataFrame, kind: Kind, percent: int, shape: tuple[int, int], scratch: Scratch) -> DataFrame:
-    """(node, comp) of the classes of the stored spans of read that links of that similarity join; node is their h1."""
+def similar(read: DataFrame, spans: DataFrame, kind: Kind, one: Kind, percent: int, shape: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """(node, comp) of the classes of the stored spans of read that links of that similarity join; node is their h1. one: the kind in which a span's own text is one span."""
     signed = read.select("text").mapInArrow(lambda it: _sign(it, kind, shape), "node long, sigs array<long>, n long")
 
-    def sets_of(need: DataFrame) -> DataFrame:
-        of_node = spans.select(F.col("h1").alias("node"), F.struct("doc_id", "place").alias("at")).join(F.broadcast(need) if small(need) else need, "node").groupBy("node").agg(F.min("at").alias("at"))
+    def sets_of(need: DataFrame) -> TextSets:
+        of_node = only(spans.select(F.col("h1").alias("node"), F.struct("doc_id", "place").alias("at")), need, "node").groupBy("node").agg(F.min("at").alias("at"))
         wanted = scratch.stored(of_node.groupBy("at.doc_id").agg(F.collect_list(F.struct("at.place", "node")).alias("wanted")))
-        return read.join(F.broadcast(wanted) if small(need) else wanted, "doc_id").select("text", "wanted").mapInArrow(lambda it: _sets(it, kind), SETS_DDL).dropDuplicates(["node"])
+        texts = read.join(F.broadcast(wanted) if small(need, 200_000) else wanted, "doc_id").select("text", "wanted").mapInArrow(lambda it: _texts(it, kind), "node long, text string")
+        return TextSets(scratch.stored(texts.dropDuplicates(["node"])), one)
 
     return components(connect(signed, sets_of, scratch, percent, sigs=spans.count() * shape[0]), scratch)
 

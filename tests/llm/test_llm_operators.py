@@ -299,6 +299,7 @@ def test_encoder_agrees_with_the_tokenizer(monkeypatch):
     assert encoder.words(words) == [of(x).tobytes() for x in words]
     monkeypatch.setattr(packing, "PLACES", 8)
     monkeypatch.setattr(packing, "REMEMBERED", 10)
+    monkeypatch.setattr(packing, "MOST_IDS", 60)
     encoder.forget()
     rng = np.random.default_rng(9)
     for _ in range(6):
@@ -419,3 +420,21 @@ def test_pipeline_stages(spark, docs, labels, tmp_path):
     before, after = seen[2]
     assert after == {c for _, _, c in brute.ngram_components([(i, text[i]) for i in before])}
     assert seen[4][0] == seen[4][1]
+
+
+@pytest.mark.parametrize("together", [0, 1, 2])
+def test_paragraphs_of_many_documents_are_dealt_out(spark, docs, monkeypatch, together):
+    """Whether a key's paragraphs meet at its place or come by themselves changes nothing."""
+    from conftest import prose
+
+    passage = prose(41, 70)
+    more = spark.createDataFrame([(50 + i, f"{prose(60 + i, 20 + i)} {passage} {prose(90 + i, 12)} {passage if i == 3 else ''}") for i in range(9)] + [(70, f"{passage} x {passage}")], "doc_id long, text string")
+    df = docs.select("doc_id", "text").union(more)
+    rows = lambda: {tuple(r) for r in paragraph_dedup.repeated(df).collect()}
+    want = rows()
+    assert sum(r[3] == 50 for r in want) >= 11
+    monkeypatch.setattr(paragraph_dedup, "TOGETHER", together)
+    assert rows() == want
+    for r in want:  # a planted passage is covered whole
+        if 50 <= r[0] < 59:
+            assert r[2] >= 70
