@@ -90,7 +90,7 @@ class _Page(HTMLParser):
             self.cells.append(" ".join("".join(self.text).split()))
             self.text = []
         elif tag == "tr" and self.cells is not None:
-            row, self.cells = " | ".join(self.cells), None
+            row, self.cells = " | ".join(c for c in self.cells if c), None
             if row.replace("|", "").strip():
                 self.blocks.append(("table_row", row, 0))
         elif tag in BREAKING or tag == "li" or (len(tag) == 2 and tag[0] == "h" and tag[1] in "123456"):

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, money
+from ..sources.tables import materialised
 from .statistics import REGIONS
 
 NATIONAL = "all"
-# Communities, in their order, and the levels that listings join.
+# Communities, in their order.
 COMMUNITIES = {"first_nations": "First Nations", "inuit": "Inuit", "metis": "Métis"}
 SPOKEN = {"first nations": "First Nations", "inuit": "Inuit", "métis": "Métis", "metis": "Métis"}
-LEVELS = {"masters": "graduate", "doctoral": "graduate", "phd": "graduate"}
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 
 
@@ -95,10 +95,14 @@ def amount(kind: Column, fixed: Column, minimum: Column, maximum: Column) -> Col
 
 
 def display_order(records: DataFrame, key: str, *order: Column) -> DataFrame:
-    """Records with a place in steps of 10 by an order. A published catalogue is small; the order is one sort of its keys."""
-    places = records.select(key, *(o.alias(f"_o{i}") for i, o in enumerate(order)))
-    w = Window.orderBy(*(f"_o{i}" for i in range(len(order))), key)
-    return records.join(places.select(key, ((F.row_number().over(w) - 1) * 10).alias("display_order")), key)
+    """Records with a place in steps of 10 by an order. Keys are sorted in ranges; a range's places begin after those before it."""
+    names = [f"_o{i}" for i in range(len(order))]
+    ordered = materialised(records.select(key, *(o.alias(n) for n, o in zip(names, order))).orderBy(*names, key).select(key, F.monotonically_increasing_id().alias("_id")))
+    range_, inside = F.shiftright("_id", 33), F.col("_id") - F.shiftleft(F.shiftright("_id", 33), 33)
+    sizes = ordered.groupBy(range_.alias("_range")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # as many rows as ranges
+    places = ordered.withColumn("_range", range_).join(F.broadcast(before), "_range").select(key, ((F.col("_before") + inside) * 10).alias("display_order"))
+    return records.join(places, key)
 
 
 def refreshed(stored: DataFrame, bodies: DataFrame, key: str, body: str) -> DataFrame:

@@ -90,16 +90,11 @@ def figures(records: DataFrame, amount: Column, kind: Column | None = None, curr
     return records.where(keep).select(amount.try_cast("double").alias("x"))
 
 
-def quantiles(values: DataFrame, x: str, shares: Sequence[float]) -> DataFrame:
-    """Quantiles with linear interpolation, one column for each share; null without a value."""
-    return values.agg(*(F.percentile(x, F.lit(q)).alias(f"q{round(q * 100):02d}") for q in shares))
-
+def running(values: DataFrame, x: str, bins: int = 64) -> DataFrame:
+    """(x, n, upto, total) of each distinct value: how many there are, how many up to it, and how many in all.
 
-def ecdf(values: DataFrame, x: str, bins: int = 64) -> DataFrame:
-    """(x, share): the share of values up to each distinct one.
-
-    The running total goes by bins of the value's hash-free order: distinct values are summed first, ranges of them get
-    their offsets from totals of at most ``bins`` ranges, and each range is summed by itself.
+    Distinct values are summed first, ranges of them get their offsets from totals of at most ``bins`` ranges, and each
+    range is summed by itself, so no task sees all of them.
     """
     counts = values.where(F.col(x).isNotNull()).groupBy(x).agg(F.count("*").alias("n"))
     ends = counts.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.sum("n").alias("total"))
@@ -108,7 +103,22 @@ def ecdf(values: DataFrame, x: str, bins: int = 64) -> DataFrame:
     sums = binned.groupBy("bin").agg(F.sum("n").alias("in_bin"))
     before = sums.select("bin", (F.sum("in_bin").over(Window.orderBy("bin")) - F.col("in_bin")).alias("before"))  # at most `bins` rows
     within = F.sum("n").over(Window.partitionBy("bin").orderBy(x))
-    return binned.join(F.broadcast(before), "bin").select(x, ((F.col("before") + within) / F.col("total")).alias("share"))
+    return binned.join(F.broadcast(before), "bin").select(x, "n", (F.col("before") + within).alias("upto"), "total")
+
+
+def quantiles(values: DataFrame, x: str, shares: Sequence[float]) -> DataFrame:
+    """Quantiles with linear interpolation, one column for each share; null without a value."""
+    at = lambda q: F.lit(float(q)) * (F.col("total") - 1)
+    value = F.col(x).cast("double")
+    ends = [F.min(F.when(F.col("upto") > k, value)).alias(f"{side}{i}") for i, q in enumerate(shares) for side, k in (("a", F.floor(at(q))), ("b", F.ceil(at(q))))]
+    found = running(values, x).agg(F.max("total").alias("total"), *ends)
+    part = lambda q: at(q) - F.floor(at(q))
+    return found.select(*((F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * part(q)).alias(f"q{round(q * 100):02d}") for i, q in enumerate(shares)))
+
+
+def ecdf(values: DataFrame, x: str, bins: int = 64) -> DataFrame:
+    """(x, share): the share of values up to each distinct one."""
+    return running(values, x, bins).select(x, (F.col("upto") / F.col("total")).alias("share"))
 
 
 def density(values: DataFrame, x: str, points: int = 32) -> DataFrame:
@@ -117,7 +127,8 @@ def density(values: DataFrame, x: str, points: int = 32) -> DataFrame:
     The bandwidth is 0.9 min(SD, IQR / 1.34) n^(-1/5). Equal values are summed first, and the grid is small.
     """
     logs = values.where(F.col(x).isNotNull()).select(F.log1p(x).alias("v"))
-    stats = logs.agg(F.count("*").alias("n"), F.stddev_samp("v").alias("sd"), F.percentile("v", F.lit(0.25)).alias("a"), F.percentile("v", F.lit(0.75)).alias("b"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("n > 1")
+    stats = logs.agg(F.count("*").alias("n"), F.stddev_samp("v").alias("sd"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("n > 1")
+    stats = stats.crossJoin(quantiles(logs, "v", (0.25, 0.75)).select(F.col("q25").alias("a"), F.col("q75").alias("b")))  # one row each
     iqr = (F.col("b") - F.col("a")) / 1.34
     spread = F.when(iqr > 0, F.least("sd", iqr)).otherwise(F.col("sd"))
     stats = stats.select("n", "lo", "hi", F.greatest(F.lit(0.9) * spread * F.pow("n", F.lit(-0.2)), F.lit(0.05)).alias("h"))
