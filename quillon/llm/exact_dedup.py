@@ -25,6 +25,8 @@ from .scratch import only, stored
 BLOCK = 4096
 #: Text bytes in a window of rows, within which equal blocks are folded by a dictionary.
 WINDOW_BYTES = 24 << 20
+#: Bytes of blocks, and pairs of names, in a partition where there are more partitions than the session asks for.
+PART_BYTES, PART_PAIRS = 128 << 20, 4 << 20
 
 ROWS = pa.schema([("kind", pa.int32()), ("win", pa.int64()), ("code", pa.int32()), ("block", pa.binary()), ("doc_id", pa.int64()), ("codes", pa.list_(pa.int32())), ("n_docs", pa.int64()), ("text_sha256", pa.string())])
 ROWS_DDL = "kind int, win long, code int, block binary, doc_id long, codes array<int>, n_docs long, text_sha256 string"
@@ -120,6 +122,7 @@ def identities(docs: DataFrame, block: int = BLOCK, window_bytes: int = WINDOW_B
     folded = stored(docs.select("doc_id", "text").mapInArrow(lambda it: _folded(it, block, window_bytes), ROWS_DDL))
     of = lambda kind: folded.where(F.col("kind") == kind)
     # The number of partitions is given, and the sort makes their order a function of the content alone: a task that runs again gives the same names.
+    parts = max(parts, of(BLOCKS).count() * block // PART_BYTES)
     names = of(BLOCKS).select("win", "code", "block").repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_name_blocks, "win long, code int, name long")
     texts = of(TEXTS).select("win", F.col("code").alias("text"), "codes", "doc_id", "n_docs")
     at = texts.select("win", "text", F.posexplode("codes").alias("pos", "code"), F.size("codes").alias("left"))
@@ -149,7 +152,7 @@ def _paired(row: DataFrame, parts: int) -> DataFrame:
         ((F.max("left") + 1) / 2).cast("int").alias("left"),
     )
     pairs = stored(pairs)
-    distinct = pairs.select("a", "b").distinct().repartition(parts, "a", "b").sortWithinPartitions("a", "b")
+    distinct = pairs.select("a", "b").distinct().repartition(max(parts, pairs.count() // PART_PAIRS), "a", "b").sortWithinPartitions("a", "b")
     names = distinct.withColumn("name", F.monotonically_increasing_id())
     return stored(pairs.join(names, ["a", "b"]).select("win", "text", "pos", "left", "name"))
 

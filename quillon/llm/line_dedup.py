@@ -20,7 +20,7 @@ from .spans import Spans, found, long_hashes, similar
 SHINGLE = 5
 #: The least similarity in percent, and bands and rows for a recall of 99.9 % there.
 PERCENT = 80
-BANDS = tuned(PERCENT / 100, 0.999, 96)
+BANDS = tuned(PERCENT / 100, 0.999, 144)
 
 
 def split_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

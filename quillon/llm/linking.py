@@ -38,7 +38,18 @@ DEALT = pa.schema([("part", pa.int32()), ("sigs", pa.binary()), ("nodes", pa.bin
 MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("m", pa.int32()), ("n", pa.int32())])
 
 
-def _deal(batches, parts: int):
+def _cut(x: np.ndarray, width: int) -> bytes:
+    """Of each 64-bit number the lower bytes."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _uncut(x: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(x) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(x, np.uint8).reshape(-1, width)
+    return out.view(np.int64).ravel()
+
+
+def _deal(batches, parts: int, width: int):
     """Signatures by their partition, many in a row. Of a signature that one gathering holds more than CAP times, one row goes there, and its nodes are known to belong to a long list."""
     held, size = [], 0
 
@@ -62,9 +73,10 @@ def _deal(batches, parts: int):
         cuts, cuts_many = np.searchsorted(part[by], np.arange(parts + 1)), np.searchsorted(part_of_many[by_many], np.arange(parts + 1))
         here = np.flatnonzero((np.diff(cuts) > 0) | (np.diff(cuts_many) > 0))
         cut = lambda x: pa.array([x[by[cuts[p] : cuts[p + 1]]].tobytes() for p in here], pa.binary())
+        key = pa.array([_cut(key[by[cuts[p] : cuts[p + 1]]], width) for p in here], pa.binary())
         sent = pa.array([of_many[by_many[cuts_many[p] : cuts_many[p + 1]]].tobytes() for p in here], pa.binary())
         # A row that stands for a long list is marked by a size below 0.
-        return pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), cut(key), cut(nodes[pick]), cut(at[pick]), cut(np.where(flag, -1, n[pick]).astype(np.int32)), sent], schema=DEALT)
+        return pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), key, cut(nodes[pick]), cut(at[pick]), cut(np.where(flag, -1, n[pick]).astype(np.int32)), sent], schema=DEALT)
 
     for batch in batches:
         sigs = batch.column("sigs")
@@ -82,13 +94,13 @@ def _deal(batches, parts: int):
     tidy()
 
 
-def _meet(batches, percent: int):
+def _meet(batches, percent: int, width: int):
     """Pairs of short lists (a < b); nodes of long ones as rows with b null, and these lists' signatures as rows with a size of -1 besides."""
     read: list[list] = [[], [], [], [], []]
     kinds = (("sigs", np.int64), ("nodes", np.int64), ("at", np.int32), ("n", np.int32), ("many", np.int64))
     for batch in batches:
         for x, (c, kind) in zip(read, kinds):
-            x += [np.frombuffer(b, kind) for b in batch.column(c).to_pylist()]
+            x += [_uncut(b, width) if c == "sigs" else np.frombuffer(b, kind) for b in batch.column(c).to_pylist()]
     if not read[0]:
         return
     sigs, nodes, place, n, many = (np.concatenate(x) for x in read)
@@ -120,17 +132,18 @@ def _meet(batches, percent: int):
     tidy()
 
 
-def met(signed: DataFrame, percent: int, sigs: int | None = None) -> DataFrame:
+def met(signed: DataFrame, percent: int, sigs: int | None = None, width: int = 8) -> DataFrame:
     """From rows (node, sigs: array of longs, n: size of its set, or 1 for all where it isn't known), without a null: pairs (a, b, i, j, m, n) of each short list, with the places of the signature and the sizes; nodes a of long lists, where b is null; and their signatures a, where n is -1.
 
     Signatures are dealt to partitions by themselves, packed in binary rows: most are alone and go no further. sigs: how
-    many they are, if that is known.
+    many they are, if that is known. width: bytes of a signature that are compared within its partition; less than all
+    make some more pairs, and the places of their signatures then say nothing.
     """
     if sigs is None:
         sigs = signed.agg(F.sum(F.size("sigs"))).first()[0] or 0
     parts = max(int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")), sigs // DEALT_TO)
     columns = "part int, sigs binary, nodes binary, at binary, n binary, many binary"
-    return signed.select("node", "sigs", "n").mapInArrow(lambda it: _deal(it, parts), columns).repartition(parts, "part").mapInArrow(lambda it: _meet(it, percent), "a long, b long, i int, j int, m int, n int")
+    return signed.select("node", "sigs", "n").mapInArrow(lambda it: _deal(it, parts, width), columns).repartition(parts, "part").mapInArrow(lambda it: _meet(it, percent, width), "a long, b long, i int, j int, m int, n int")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -297,6 +310,7 @@ def prefix_join(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame |
     index = F.expr(f"l - ceil({2 * percent} * n / {100 + percent}) + 1")
     placed = kept.select("node", "n", "l", F.size("frequent").alias("f"), index.alias("index"), F.posexplode(F.slice("kept", F.lit(1), probe)).alias("at", "x"))
     rows = scratch.stored(placed.select(F.col("x.t").alias("sig"), "node", "n", F.when(F.col("x.df") > CAP, F.col("f")).otherwise(F.col("l")).alias("l"), (F.col("at") < F.col("index")).alias("indexed")))
+    scratch.settle()
     links, joined, tried, about = None, None, None, None
     now = _open(_with_comp(rows, None), percent, scratch)
     for k in range(STARS):
@@ -338,7 +352,10 @@ def prefix_join(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame |
         pairs = pairs.join(tried.select("a", "b").union(tried.select("b", "a")), ["a", "b"], "left_anti")
     pairs = scratch.stored(pairs)
     if not pairs.isEmpty():
-        found = scratch.stored(verified(pairs, sets, percent))
+        sketches = scratch.stored(sets.mapInArrow(_sketches, "node long, n long, sketch binary"))
+        of = lambda node, n, bits: sketches.select(F.col("node").alias(node), F.col("n").alias(n), F.col("sketch").alias(bits))
+        pairs = pairs.join(of("a", "m", "x"), "a").join(of("b", "n", "y"), "b").mapInArrow(lambda it: _sketched(it, percent), "a long, b long")
+        found = scratch.stored(verified(scratch.stored(pairs), sets, percent))
         links = found if links is None else links.union(found)
     return links
 
@@ -380,6 +397,13 @@ def alike(x: bytes, y: bytes, m: int, n: int, percent: int) -> bool:
     return (100 + percent) * most >= percent * (m + n)
 
 
+def _sketches(batches):
+    for batch in batches:
+        sets = batch.column("tokens")
+        rows, flat = np.asarray(sets.offsets), np.asarray(sets.values)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.diff(rows).astype(np.int64)), pa.array([sketch(flat[a:b]) for a, b in zip(rows, rows[1:])], pa.binary())], names=["node", "n", "sketch"])
+
+
 def _sketched(batches, percent: int):
     for batch in batches:
         x, y, m, n = (batch.column(c).to_pylist() for c in ("x", "y", "m", "n"))
@@ -416,6 +440,7 @@ def connect(
     sketches: DataFrame | None = None,
     again: Callable[[DataFrame, np.ndarray], DataFrame] | None = None,
     sigs: int | None = None,
+    width: int = 8,
 ) -> DataFrame:
     """Verified links (a, b), a table of scratch; their components are those of all links.
 
@@ -423,20 +448,25 @@ def connect(
     are a prefix of the node's tokens in an order that all sets share, by which two sets that are similar meet, and any
     tokens left out of it come last; then pairs that the places of common tokens rule out are dropped. busy: nodes (node)
     that left tokens out. sets_of: the sets of rows (node), or what has the methods of TokenSets. sketches: (node, sketch) of all nodes.
-    Nodes of long lists and busy ones are compared by ``prefix_join``; with again they are signed once more before, from
-    rows (node, tokens) and ``long_places``, in an order in which tokens of long lists come last, as (node, sigs, n, busy).
+    Nodes of long lists and busy ones are compared by ``prefix_join``; with again they are signed once more before, as
+    (node, sigs, n, busy) from rows (node, tokens) and ``long_places``: in an order in which tokens of long lists come
+    last, or by more selective signatures.
     """
-    found = scratch.stored(met(signed, percent, sigs))
+    found = scratch.stored(met(signed, percent, sigs, width))
+    scratch.settle()
     long = _long(found, busy, scratch)
     pairs = _candidates(found, long, percent, sketches, scratch)
+    scratch.settle()
     need = scratch.stored(long.union(pairs.select("a")).union(pairs.select("b")).distinct())
     sets = sets_of(need)
+    scratch.settle()
     if again is not None and not long.isEmpty():
         signed = scratch.stored(again(sets.of(long), long_places(found)))
         found = scratch.stored(met(signed, percent))
         long = _long(found, signed.where("busy"), scratch)
         pairs = pairs.union(_candidates(found, long, percent, None, scratch))
-    links = sets.verified(pairs, percent)
+    links = scratch.stored(sets.verified(pairs, percent))
+    scratch.settle()
     if not long.isEmpty():
         more = prefix_join(scratch.stored(sets.of(long)), percent, scratch)
         links = links if more is None else links.union(more)

@@ -34,7 +34,7 @@ LEAST, MOST, REACH = 40, 160, 30
 GAP, UNIT = 20, 30
 PERCENT = 80
 #: For a recall of 99.9 % at that similarity.
-BANDS = tuned(PERCENT / 100, 0.999, 96)
+BANDS = tuned(PERCENT / 100, 0.999, 144)
 
 
 def anchored(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,6 +234,7 @@ def _exact(read: DataFrame, scratch: Scratch) -> DataFrame:
     """Intervals (doc_id, start, n, key, first) of the runs of anchored paragraphs that a document has in common with another one, the first that has them, extended as far as both agree; and those of the first one."""
     parts = max(int(read.sparkSession.conf.get("spark.sql.shuffle.partitions")), (read.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 60 // DEALT_TO)
     found_ = scratch.stored(read.mapInArrow(lambda it: _units(it, parts), "part int, units binary").repartition(parts, "part").mapInArrow(_shared_units, SHARED_DDL))
+    scratch.settle()
     keys = found_.where(F.col("role") == LEAD).select("key", "first", "at")
     loose = found_.where(F.col("role") == LOOSE).select("doc_id", "start", "key")
     loose = loose.join(F.broadcast(keys) if small(keys) else keys, "key").select("doc_id", "start", "key", "first", "at")
@@ -249,6 +250,7 @@ def _exact(read: DataFrame, scratch: Scratch) -> DataFrame:
     for d, p in ends:
         one = runs.select(F.col(d).alias("doc_id"), F.col(p).alias("start"))
         asked = one if asked is None else asked.union(one)
+    scratch.settle()
     wanted = scratch.stored(asked.distinct().groupBy("doc_id").agg(F.collect_list("start").alias("wanted")))
     context = scratch.stored(read.join(F.broadcast(wanted) if small(runs, 200_000) else wanted, "doc_id").mapInArrow(_context, "doc_id long, start int, key long, left binary, right binary").dropDuplicates(["doc_id", "start"]))
     both = runs
@@ -271,9 +273,10 @@ def repeated(docs: DataFrame, percent: int = PERCENT, shape: tuple[int, int] = B
     """
     scratch = Scratch(docs.sparkSession)
     read = docs.select("doc_id", "text").where("doc_id is not null")
-    exact = _exact(read, scratch)
+    exact = scratch.stored(_exact(read, scratch))
+    scratch.settle()
     spans = scratch.stored(found(read, spans_of))
-    intervals = scratch.stored(exact.union(_shared(_similar(read, spans, percent, shape, scratch))))
+    intervals = scratch.stored(exact.unionByName(_shared(_similar(read, spans, percent, shape, scratch))))
     out = stored(_passages(intervals, scratch))
     scratch.clear()
     return out
