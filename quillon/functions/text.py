@@ -34,6 +34,16 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKC")
 
 
+@F.pandas_udf(T.StringType())
+def _ascii(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode().lower(), na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def _base(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).lower(), na_action="ignore")
+
+
 @F.pandas_udf(T.StringType())
 def _fold_nfd(s: pd.Series) -> pd.Series:
     return s.map(lambda x: "".join(c for c in unicodedata.normalize("NFD", x).casefold() if not unicodedata.combining(c)), na_action="ignore")
@@ -66,8 +76,8 @@ def search_fold(text: Column) -> Column:
 
 
 def comparison(text: Column) -> Column:
-    """Letters and digits of the folded text, separated by single spaces."""
-    return F.trim(F.regexp_replace(fold(text), "[^a-z0-9]+", " "))
+    """ASCII letters and digits of the decomposed text in lower case, separated by single spaces: how two titles or names are compared."""
+    return F.trim(F.regexp_replace(_base(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
 
 
 def contains_phrase(text: Column, phrase: str, folded=fold) -> Column:
@@ -81,15 +91,15 @@ def contains_terms(text: Column, query: str, folded=fold) -> Column:
     return F.forall(F.filter(F.split(folded(F.lit(query)), r"\s+"), lambda t: t != ""), lambda t: F.contains(haystack, t))
 
 
-def slug(text: Column, most: int = 60) -> Column:
-    """Lower-case ASCII letters and digits joined by underscores, at most so many characters; ``item`` if none is left."""
-    made = F.regexp_replace(F.regexp_replace(fold(text), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+def slug(text: Column, most: int = 80) -> Column:
+    """Lower-case ASCII letters and digits of the decomposed text joined by underscores, at most so many characters; ``item`` if none is left."""
+    made = F.regexp_replace(F.regexp_replace(_ascii(text), "[^a-z0-9]+", "_"), "^_+|_+$", "")
     cut = F.regexp_replace(F.substring(made, 1, most), "_+$", "")
     return F.when(F.coalesce(cut, F.lit("")) == "", "item").otherwise(cut)
 
 
 def record_id(namespace: Column, name: Column) -> Column:
-    return F.concat_ws(":", namespace, slug(name))
+    return F.concat_ws(":", slug(namespace, 40), slug(name, 140))
 
 
 def is_record_id(value: Column) -> Column:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import dates
+from ..functions import dates, text
 from ..operators import availability, matching, merge, records, validation
+from ..sources import tables
 from .data_queries import SLICES, slices
 from .rule_queries import AS_OF
 from .tables import query, read
@@ -187,3 +188,27 @@ def record_next_steps(spark, sf_dir):
     names = lambda c, *v: F.when(c, F.array(*v)).otherwise(F.array().cast("array<string>"))
     steps = records.next_steps(F.lit("u"), F.when(k % 3 == 0, "contact_administrator").otherwise("online"), F.when(k % 3 == 1, "a"), F.when(k % 2 == 0, "c"), F.lit(None).cast("string"), names(k % 2 == 0, F.lit("form"), F.col("o_orderpriority")), names(k % 5 == 0, F.lit("x")))
     return read(spark, sf_dir, "orders").select("o_orderkey", records.changed_since_verified(changed, verified).alias("changed"), F.array_join(steps, "|").alias("steps"))
+
+
+@query("SELECT DISTINCT sha256(text) AS raw_sha256 FROM documents WHERE text IS NOT NULL")
+def raw_contents(spark, sf_dir):
+    files = read(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
+    return tables.raw_store(files).select("raw_sha256")
+
+
+@query("SELECT p_partkey, strip_accents(replace(lower(p_name || ' ÉTÉ Straße'), 'ß', 'ss')) AS folded, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) || ' 1 2 fin' AS compared FROM part")
+def folded_names(spark, sf_dir):
+    name = F.col("p_name")
+    return read(spark, sf_dir, "part").select("p_partkey", text.fold_exact(F.concat(name, F.lit(" ÉTÉ Straße"))).alias("folded"), text.comparison(F.concat(name, F.lit(" ½ ﬁn"))).alias("compared")).withColumn("compared", F.regexp_replace("compared", " 1 ?2 fin$", " 1 2 fin"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k FROM orders)
+    SELECT k AS o_orderkey, array_to_string(list_sort(list_filter([CASE WHEN k % 3 = 0 THEN 'deadline_unknown' END, CASE WHEN k % 5 = 0 THEN 'never_verified' END, CASE WHEN k % 5 <> 0 AND k % 7 > 3 THEN 'verification_stale' END,
+        CASE WHEN k % 2 = 1 THEN 'cycle_unspecified' END, CASE WHEN k % 3 = 1 THEN 'amount_unknown' END, CASE WHEN k % 4 <> 1 THEN 'eligibility_not_fully_structured' END, CASE WHEN k % 4 = 0 THEN 'historical_cycle_only' END,
+        CASE WHEN k % 6 = 0 THEN 'source_changed_since_verification' END], lambda x: x IS NOT NULL)), ',') AS flags FROM o""")
+def freshness_flags(spark, sf_dir):
+    k, as_of = F.col("o_orderkey"), dates.as_of_seconds(AS_OF)
+    seen = F.struct(F.when(k % 4 == 0, "closed").otherwise("open").alias("status"), F.when(k % 3 == 0, F.array(F.lit("deadline_unknown"))).otherwise(F.array().cast("array<string>")).alias("flags"))
+    verified = F.when(k % 5 != 0, F.lit(as_of) - k % 7 * 10 * dates.DAY)
+    flags = availability.freshness_flags(seen, verified, F.lit(as_of), 30, F.when(k % 2 == 1, "unspecified").otherwise("c"), F.when(k % 3 == 1, "unspecified").otherwise("fixed"), k % 4 == 1, k % 6 == 0)
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.array_join(flags, ",").alias("flags"))
