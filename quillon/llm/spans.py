@@ -91,34 +91,39 @@ def _texts(batches, kind: Kind):
         yield table({"node": node[pick], "text": pa.array([raw[a:b].decode() for a, b in zip(s.start[pick].tolist(), s.end[pick].tolist())], pa.string())}, TEXTS)
 
 
-def _distinct(texts: pa.Array, one: Kind) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct tokens of texts that are a span each, sorted, and each one's first."""
+#: Bits of a token by which tokens of one text, or of a pair of texts, are told apart; the others hold the row.
+TOKEN_BITS = 48
+ROWS = 1 << (64 - TOKEN_BITS)
+
+
+def _distinct(texts: pa.Array, one: Kind) -> np.ndarray:
+    """The distinct tokens of at most ROWS texts that are a span each, as sorted numbers with the row in their upper bits."""
     shingles, rows = one(texts).shingles(np.arange(len(texts)))
-    row = np.repeat(np.arange(len(texts)), np.diff(rows))
-    order = np.lexsort((shingles, row))
-    shingles, row = shingles[order], row[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (shingles[1:] != shingles[:-1])
-    return shingles[new], np.searchsorted(row[new], np.arange(len(texts) + 1))
+    key = np.sort(np.repeat(np.arange(len(texts), dtype=U64), np.diff(rows)) << U64(TOKEN_BITS) | shingles >> U64(64 - TOKEN_BITS))
+    return key[np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]])]
+
+
+def _few(batches, column: str, limit: int):
+    """Slices of at most so many text bytes and ROWS rows."""
+    for batch in slices(batches, column, limit):
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
 
 
 def _tokens(batches, one: Kind):
-    for batch in slices(batches, limit=AT_ONCE):
-        tokens, rows = _distinct(batch.column("text"), one)
-        yield table({"node": batch.column("node"), "tokens": lists(tokens.view(np.int64), rows, pa.int64())}, SETS)
+    for batch in _few(batches, "text", AT_ONCE):
+        key = _distinct(batch.column("text"), one)
+        rows = np.searchsorted(key >> U64(TOKEN_BITS), np.arange(batch.num_rows + 1, dtype=U64))
+        yield table({"node": batch.column("node"), "tokens": lists(mix(key & U64((1 << TOKEN_BITS) - 1)).view(np.int64), rows, pa.int64())}, SETS)
 
 
 def _alike(batches, one: Kind, percent: int):
-    for big in batches:
-        for batch in slices([big], "x", AT_ONCE // 2):
-            (x, x_rows), (y, y_rows) = _distinct(batch.column("x"), one), _distinct(batch.column("y"), one)
-            m, n = np.diff(x_rows), np.diff(y_rows)
-            pair = np.concatenate([np.repeat(np.arange(len(m)), m), np.repeat(np.arange(len(n)), n)])
-            token = np.concatenate([x, y])
-            order = np.lexsort((token, pair))
-            pair, token = pair[order], token[order]
-            both = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (token[1:] == token[:-1])], minlength=len(m))
-            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * both >= percent * (m + n)))
+    for batch in _few(batches, "x", AT_ONCE // 2):
+        x, y = _distinct(batch.column("x"), one), _distinct(batch.column("y"), one)
+        count = lambda key: np.bincount((key >> U64(TOKEN_BITS)).astype(np.int64), minlength=batch.num_rows)  # noqa: B023, E731
+        every = np.sort(np.concatenate([x, y]))
+        both = count(every[1:][every[1:] == every[:-1]])
+        yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * both >= percent * (count(x) + count(y))))
 
 
 class TextSets:
