@@ -36,14 +36,18 @@ K1, B = 1.2, 0.75
 REMEMBERED, PLACES, MOST_IDS = 100_000, 1 << 21, 1 << 23
 
 
-def locality(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's least word hashes (A-Z lower-cased) by LEVELS hash functions (rows x LEVELS), and its bytes."""
+def lower_hashes(w: Words) -> np.ndarray:
+    """Of each word, A-Z lower-cased."""
+    return hash_spans(LOWER[w.data], w.starts, w.ends)
+
+
+def locality(w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's least word hashes by LEVELS hash functions (rows x LEVELS), and its bytes. h: lower_hashes of its words, which odd factors permute."""
     some = w.counts > 0
     out = np.zeros((len(some), LEVELS), np.int64)
-    if len(w.starts):
-        h = hash_spans(LOWER[w.data], w.starts, w.ends)
+    if len(h):
         for k in range(LEVELS):
-            x = mix(h + U64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) if k else h
+            x = h * U64(k * 0x9E3779B97F4A7C15 * 2 + 1 & 0xFFFFFFFFFFFFFFFF)
             out[some, k] = (mix(np.minimum.reduceat(x, w.rows[:-1][some])) >> U64(1)).astype(np.int64)
     return out, per_row(w.solid, w.offsets) + 1
 
@@ -118,17 +122,24 @@ def cells_of(encoded: DataFrame, shard_bytes: int) -> Cells:
 DF = pa.schema([("term", pa.int64()), ("df", pa.int64()), ("tokens", pa.int64())])
 
 
+def counted(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms of each document, how often each occurs, and each document's first, one more than documents."""
+    size = np.array([len(d) for d in docs], np.int64)
+    key = np.sort(np.repeat(np.arange(len(docs), dtype=U64), size) << U64(32) | np.concatenate([np.empty(0, "<u4"), *docs]).astype(U64))
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]]))
+    return (key[first] & U64(0xFFFFFFFF)).astype(np.int64), np.diff(np.append(first, len(key))), np.searchsorted(key[first] >> U64(32), np.arange(len(docs) + 1, dtype=U64))
+
+
 def _terms(batches):
     """Documents by term, and in the row of term -1 all documents and tokens."""
     n, docs, tokens = np.zeros(0, np.int64), 0, 0
     for batch in batches:
-        for x in batch.column("ids"):
-            ids = widened(x.as_py())
-            docs, tokens = docs + 1, tokens + len(ids)
-            here = np.unique(ids)
-            if here[-1] >= len(n):
-                n = np.append(n, np.zeros(int(here[-1]) + 1 - len(n), np.int64))
-            n[here] += 1
+        for at in range(0, batch.num_rows, 1000):
+            here = [widened(x) for x in batch.column("ids").slice(at, 1000).to_pylist()]
+            docs, tokens = docs + len(here), tokens + sum(map(len, here))
+            more = np.bincount(counted(here)[0])
+            n, more = (np.append(x, np.zeros(max(len(n), len(more)) - len(x), np.int64)) for x in (n, more))
+            n = n + more
     seen = np.flatnonzero(n)
     yield table({"term": np.append(seen, -1), "df": np.append(n[seen], docs), "tokens": np.append(np.zeros(len(seen), np.int64), tokens)}, DF)
 
@@ -206,9 +217,14 @@ class Encoder:
         """Ids of each word, not remembered."""
         out: list[bytes | None] = [None] * len(words)
         other = []
+        known, piece, plain = self.pieces, self.piece, PLAIN.fullmatch
         for i, x in enumerate(words):
-            if PLAIN.fullmatch(x) and not any(t in x for t in self.special):
-                out[i] = b"".join(map(self.piece, PIECE.findall(x.lower())))
+            if plain(x) and not ("<" in x and any(t in x for t in self.special)):
+                y = x.lower()
+                if y.isalpha():  # one piece
+                    out[i] = known.get(y) or piece(y)
+                else:
+                    out[i] = b"".join([known.get(p) or piece(p) for p in PIECE.findall(y)])
             else:
                 other.append(i)
         for at in range(0, len(other), 10_000):
@@ -238,13 +254,13 @@ class Encoder:
         # Words that fell on one place overwrote each other in one order for all columns.
         return begin[which], size[which]
 
-    def texts(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, and the first of each text, one more than texts; without the closing ids."""
+    def texts(self, w: Words, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and the first of each text, one more than texts; without the closing ids. lower: lower_hashes of the words."""
         if len(self.pieces) > REMEMBERED:
             self.pieces = {}
         if self.used > MOST_IDS:
             self.forget()
-        h, check = hash_spans(w.data, w.starts, w.ends, 11), hash_spans(w.data, w.starts, w.ends, 12).astype(np.uint32)
+        h, check = hash_spans(w.data, w.starts, w.ends, 11), lower.astype(np.uint32)
         place, second = places(h)
         other = np.flatnonzero((self.key[place] != h) | (self.check[place] != check))
         place[other] = second[other]
@@ -273,8 +289,9 @@ def _encode(batches, memory: dict):
     encoder = memory.get("encoder") or memory.setdefault("encoder", Encoder(memory["definition"]))
     for batch in slices(batches):
         w = words_of(batch.column("text"))
-        hashes, size = locality(w)
-        ids, rows = encoder.texts(w)
+        lower = lower_hashes(w)
+        hashes, size = locality(w, lower)
+        ids, rows = encoder.texts(w, lower)
         narrow_, wide = ids.astype("<u2"), np.maximum.reduceat(np.append(ids, 0), rows[:-1]) >= 65536 if len(ids) else np.zeros(len(size), bool)
         # Ids of the vocabulary need 16 bits; wider ones keep 32.
         made = [WIDE + ids[a:b].tobytes() + WIDE_END if x else NARROW + narrow_[a:b].tobytes() + NARROW_END for a, b, x in zip(rows.tolist(), rows[1:].tolist(), wide.tolist())]
@@ -297,19 +314,22 @@ class Index:
     """An inverted index of a shard: for each term its documents with their BM25 weights. corpus: documents, mean length and documents by term of the whole corpus; without it, of the shard."""
 
     def __init__(self, docs: list[np.ndarray], corpus: tuple[int, float, np.ndarray] | None = None):
-        terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs))
-        size = np.array([len(t) for t in terms])
-        self.rows = np.concatenate([[0], np.cumsum(size)])
-        used, self.place, df = np.unique(np.concatenate(terms).astype(np.int64), return_inverse=True, return_counts=True)
+        terms, counts, self.rows = counted(docs)
+        size = np.diff(self.rows)
+        df = np.bincount(terms)
+        used = np.flatnonzero(df)
+        number = np.zeros(len(df), np.int64)
+        number[used] = np.arange(len(used))
+        self.place, df = number[terms], df[used]
         self.first = np.concatenate([[0], np.cumsum(df)])
         length = np.array([len(d) for d in docs], float)
         n, mean = len(docs), length.mean()
         if corpus is not None:
             n, mean, df = corpus[0], corpus[1], corpus[2][used]
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        tf = np.concatenate(counts).astype(float)
+        tf = counts.astype(float)
         weights = idf[self.place] * tf * (K1 + 1) / (tf + np.repeat(K1 * (1 - B + B * length / mean), size))
-        order = np.argsort(self.place, kind="stable")
+        order = (np.sort(self.place.astype(U64) << U64(32) | np.arange(len(terms), dtype=U64)) & U64(0xFFFFFFFF)).astype(np.int64)
         self.doc, self.weight = np.repeat(np.arange(len(docs)), size)[order], weights[order]
         self.listed = len(docs)
 

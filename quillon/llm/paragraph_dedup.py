@@ -37,13 +37,31 @@ PERCENT = 80
 BANDS = tuned(PERCENT / 100, 0.999, 144)
 
 
+def least_of(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` numbers in a row, by windows that double."""
+    done = 1
+    while 2 * done <= width:
+        x, done = np.minimum(x[: len(x) - done], x[done:]), 2 * done
+    rest = width - done
+    return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
+
+
+#: Bits of a word's place that are packed with its hash; texts are worked on in slices, so places are small.
+PLACE_BITS = 28
+
+
 def anchored(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First word (in all words) and hash of each row's anchored paragraphs, every occurrence of them."""
     row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
     if len(h) < GAP:
         return np.empty(0, np.int64), np.empty(0, U64)
-    least = np.lib.stride_tricks.sliding_window_view(mix(h), GAP).argmin(1) + np.arange(len(h) - GAP + 1)
-    at = np.unique(least[row[: len(least)] == row[GAP - 1 :]])
+    # Hashes with their places below: of equal words the first is the least.
+    packed = mix(h) >> U64(PLACE_BITS) << U64(PLACE_BITS) | np.arange(len(h), dtype=U64)
+    least = (least_of(packed, GAP) & U64((1 << PLACE_BITS) - 1)).astype(np.int64)
+    least = least[row[: len(least)] == row[GAP - 1 :]]
+    chosen = np.zeros(len(h), bool)
+    chosen[least] = True
+    at = np.flatnonzero(chosen)
     at = at[at + UNIT <= rows[row[at] + 1]]
     key = np.full(len(at), 9, U64)
     for k in range(UNIT):
@@ -78,8 +96,8 @@ def paragraphs(w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(x) < width:
         return region, end - region
     # The first of equal least hashes, so that a repeated word is no cut each time.
-    least = np.lib.stride_tricks.sliding_window_view(x, width).argmin(1) == REACH
-    at = np.flatnonzero(least) + REACH
+    middle = x[REACH : len(x) - REACH]
+    at = np.flatnonzero((middle == least_of(x, width)) & (middle < least_of(x, REACH)[: len(middle)])) + REACH
     to_start = at - np.repeat(region, end - region)[at]
     to_end = np.repeat(end, end - region)[at] - at
     at = at[cuttable[at] & (to_start > REACH) & (to_end > REACH)]

@@ -277,7 +277,8 @@ def test_weights_are_those_of_the_corpus():
 def test_large_cells_are_split_by_content(spark):
     """Pairs of near copies that all begin with one least hash stay together, whatever their ids are."""
     words = [f"w{k}" for k in range(4000)]
-    h = packing.locality(packing.words_of(pa.array(words)))[0]
+    w = packing.words_of(pa.array(words))
+    h = packing.locality(w, packing.lower_hashes(w))[0]
     raw = packing.hash_spans(*(lambda w: (w.data, w.starts, w.ends))(packing.words_of(pa.array(words), lower=True)))
     least = words[int(raw.argmin())]
     assert h.shape == (4000, packing.LEVELS)
@@ -303,7 +304,8 @@ def test_encoder_agrees_with_the_tokenizer(monkeypatch):
     rng = np.random.default_rng(9)
     for _ in range(6):
         texts = [" ".join(rng.choice(words, rng.integers(0, 30))) for _ in range(5)] + [None, "", " \n"]
-        ids, rows = encoder.texts(packing.words_of(pa.array(texts)))
+        w = packing.words_of(pa.array(texts))
+        ids, rows = encoder.texts(w, packing.lower_hashes(w))
         for i, x in enumerate(texts):
             assert ids[rows[i] : rows[i + 1]].tolist() == of(x or "").tolist()
 
