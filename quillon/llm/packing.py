@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
 from array import array
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ LEVELS, SPLIT = 8, 16
 #: BM25's constants.
 K1, B = 1.2, 0.75
 #: Pieces of words that a worker remembers, places in its table of words (18 bytes each), and ids of such words.
-REMEMBERED, PLACES, MOST_IDS = 100_000, 1 << 21, 1 << 23
+REMEMBERED, PLACES, MOST_IDS = 150_000, 1 << 20, 1 << 22
 
 
 def lower_hashes(w: Words) -> np.ndarray:
@@ -284,9 +286,16 @@ ENCODED = pa.schema([("doc_id", pa.int64()), ("bytes", pa.int64()), ("hashes", p
 DEALT = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
 
-def _encode(batches, memory: dict):
-    # A worker that is used again still has what it remembered.
-    encoder = memory.get("encoder") or memory.setdefault("encoder", Encoder(memory["definition"]))
+def remembered(definition: str) -> Encoder:
+    """The encoder of this worker process: one that is used again still has what it learned. Only one is held."""
+    held = sys.modules.setdefault("_quillon_encoder", ModuleType("_quillon_encoder"))
+    if getattr(held, "definition", None) != definition:
+        held.definition, held.encoder = definition, Encoder(definition)
+    return held.encoder
+
+
+def _encode(batches, definition: str):
+    encoder = remembered(definition)
     for batch in slices(batches):
         w = words_of(batch.column("text"))
         lower = lower_hashes(w)
@@ -429,8 +438,8 @@ def packed(docs: DataFrame, tokenizer_path: str | None = None, window: int = WIN
     itself, with their ids as they are. An empty table gives no rows. Other columns are not read.
     """
     sc = docs.sparkSession.sparkContext
-    memory = sc.broadcast({"definition": tokenizer_json(tokenizer_path)})
-    encoded = stored(docs.select("doc_id", "text").mapInArrow(lambda it: _encode(it, memory.value), "doc_id long, bytes long, hashes array<long>, ids binary"))
+    definition = sc.broadcast(tokenizer_json(tokenizer_path))
+    encoded = stored(docs.select("doc_id", "text").mapInArrow(lambda it: _encode(it, definition.value), "doc_id long, bytes long, hashes array<long>, ids binary"))
     corpus = sc.broadcast(corpus_terms(encoded))
     cells = cells_of(encoded, shard_bytes)
     leaves = cells.leaves()
