@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import LOWER, U64, Words, hash_spans, lists, mix, per_row, slices, table, words_of
+from .arrow_text import LOWER, U64, Words, hash_spans, lists, mix, per_row, slices, table, tidy, words_of
 from .scratch import stored
 
 WINDOW = 4096
@@ -35,7 +35,7 @@ LEVELS, SPLIT = 8, 16
 #: BM25's constants.
 K1, B = 1.2, 0.75
 #: Pieces of words that a worker remembers, places in its table of words (18 bytes each), and ids of such words.
-REMEMBERED, PLACES, MOST_IDS = 150_000, 1 << 20, 1 << 22
+REMEMBERED, PLACES, MOST_IDS = 100_000, 1 << 20, 1 << 22
 
 
 def lower_hashes(w: Words) -> np.ndarray:
@@ -142,6 +142,7 @@ def _terms(batches):
             more = np.bincount(counted(here)[0])
             n, more = (np.append(x, np.zeros(max(len(n), len(more)) - len(x), np.int64)) for x in (n, more))
             n = n + more
+    tidy()
     seen = np.flatnonzero(n)
     yield table({"term": np.append(seen, -1), "df": np.append(n[seen], docs), "tokens": np.append(np.zeros(len(seen), np.int64), tokens)}, DF)
 
@@ -418,7 +419,10 @@ def _pack(shard: pa.Table, window: int, corpus: tuple[int, float, np.ndarray]) -
         for doc, start, length in pieces:
             out.append((rows[doc][0], start, length, zlib.crc32(docs[doc][start : start + length].tobytes()), len(docs[doc]), base + k, offset))
             offset += length
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), PIECES)], schema=PIECES)
+    made = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), PIECES)], schema=PIECES)
+    del rows, docs, out
+    tidy()
+    return made
 
 
 def tokenizer_json(path: str | None = None) -> str:
