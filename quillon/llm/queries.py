@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, paragraph_dedup, quality_fm, quality_rules, url_filter
+from . import annular_codes, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, paragraph_dedup, quality_fm, quality_rules, sort_means, url_filter, vector_sql
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +57,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_mixing, op3_quality_rules, op4_ngram_join, op5_line_dedup, op6_url_filter, op7_language_id, op8_exact_dedup, op9_paragraph_dedup, op10_packing)}
+def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_means.assigned(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_annular_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annular_codes.coded(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_mixing, op3_quality_rules, op4_ngram_join, op5_line_dedup, op6_url_filter, op7_language_id, op8_exact_dedup, op9_paragraph_dedup, op10_packing, op11_sort_means, op13_annular_codes)}
 
 SQL = {
     "op4_ngram_join": r"""
@@ -79,4 +87,6 @@ SQL = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)""",
+    "op11_sort_means": vector_sql.sort_means(),
+    "op13_annular_codes": vector_sql.annular_codes(),
 }

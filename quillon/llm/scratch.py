@@ -36,25 +36,36 @@ class Scratch:
     """Intermediate tables of one operator. ``clear`` deletes them; what is still needed by then has to be stored elsewhere."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.of = spark, [], {}
 
     def stored(self, df: DataFrame) -> DataFrame:
         path = f"{scratch_dir(self.spark)}/{uuid.uuid4().hex}"
         self.paths.append(path)
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.of[id(table)] = table, path  # holds the table, so that its id stays its own
+        return table
+
+    def drop(self, table: DataFrame) -> None:
+        """Deletes one of the tables, which is no longer needed."""
+        path = self.of.pop(id(table))[1]
+        self.paths.remove(path)
+        self._delete([path])
 
     def settle(self) -> None:
         """Lets Spark's cleaner delete the shuffle files of finished jobs that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
-    def clear(self) -> None:
+    def _delete(self, paths: list[str]) -> None:
         sc = self.spark.sparkContext
-        for path in self.paths:
+        for path in paths:
             p = sc._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-        self.paths = []
+
+    def clear(self) -> None:
+        self._delete(self.paths)
+        self.paths, self.of = [], {}
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
