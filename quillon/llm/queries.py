@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annular_codes, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, paragraph_dedup, quality_fm, quality_rules, sort_means, url_filter, vector_sql
+from . import annular_codes, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, paragraph_dedup, quality_fm, quality_rules, sort_means, trie_lm, url_filter, vector_sql
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,11 +61,15 @@ def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sort_means.assigned(_read(spark, sf_dir, "embeddings"))
 
 
+def op12_trie_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_lm.scored(_read(spark, sf_dir, "documents"))
+
+
 def op13_annular_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annular_codes.coded(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_mixing, op3_quality_rules, op4_ngram_join, op5_line_dedup, op6_url_filter, op7_language_id, op8_exact_dedup, op9_paragraph_dedup, op10_packing, op11_sort_means, op13_annular_codes)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_mixing, op3_quality_rules, op4_ngram_join, op5_line_dedup, op6_url_filter, op7_language_id, op8_exact_dedup, op9_paragraph_dedup, op10_packing, op11_sort_means, op12_trie_lm, op13_annular_codes)}
 
 SQL = {
     "op4_ngram_join": r"""

@@ -52,6 +52,10 @@ class Scratch:
         self.paths.remove(path)
         self._delete([path])
 
+    def keep(self, table: DataFrame) -> None:
+        """Leaves one of the tables to the caller: ``clear`` doesn't delete it."""
+        self.paths.remove(self.of.pop(id(table))[1])
+
     def settle(self) -> None:
         """Lets Spark's cleaner delete the shuffle files of finished jobs that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
         gc.collect()
