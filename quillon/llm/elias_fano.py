@@ -152,7 +152,7 @@ def distinct(columns: list[np.ndarray], top: int) -> tuple[list[np.ndarray], np.
         rows = rows // top
         if seen is not None:
             rows = seen[rows]
-    return [rows, *reversed(out)], inverse
+    return [c.astype(np.int32 if top < 1 << 31 else np.int64) for c in (rows, *reversed(out))], inverse.astype(np.int32 if len(rows) < 1 << 31 else np.int64)
 
 
 def prefixes(columns: list[np.ndarray]) -> list[np.ndarray]:
@@ -162,7 +162,7 @@ def prefixes(columns: list[np.ndarray]) -> list[np.ndarray]:
     for c in columns:
         new = new.copy()
         new[1:] |= c[1:] != c[:-1]
-        out.append(np.cumsum(new) - 1)
+        out.append((np.cumsum(new) - 1).astype(np.int32 if len(new) < 1 << 31 else np.int64))
     return out
 
 

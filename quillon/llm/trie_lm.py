@@ -33,27 +33,34 @@ from .scratch import Scratch
 
 ORDER = 3
 #: Text bytes of a block, and windows of a shard.
-BLOCK, SHARD = 8 << 20, 4 << 20
+BLOCK, SHARD = 8 << 20, 3 << 20
 BEGIN, END, PAD = U64(1), U64(2), U64(3)
 
-BLOCKS = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("train", pa.list_(pa.bool_())), ("n", pa.list_(pa.int64())), ("words", pa.list_(pa.int64())), ("tokens", pa.binary()), ("size", pa.int64()), ("learned", pa.int64())])
-BLOCKS_DDL = "block long, doc_id array<long>, held_out array<boolean>, train array<boolean>, n array<long>, words array<long>, tokens binary, size long, learned long"
+BLOCKS = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("train", pa.list_(pa.bool_())), ("n", pa.list_(pa.int64())), ("words", pa.int64()), ("tokens", pa.binary()), ("size", pa.int64()), ("learned", pa.int64())])
+BLOCKS_DDL = "block long, doc_id array<long>, held_out array<boolean>, train array<boolean>, n array<long>, words long, tokens binary, size long, learned long"
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    raw = b"".join(a.tobytes() for a in arrays)
+    """Compressed arrays, each turned so that the bytes of one place stand together."""
+    raw = b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays if len(a))
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 class _Unpack:
     def __init__(self, packed):
-        raw = bytes(memoryview(packed))
+        raw = memoryview(packed)
         self.raw, self.at = pa.decompress(raw[8:], decompressed_size=int.from_bytes(raw[:8], "little"), codec="zstd"), 0
 
     def take(self, n: int, kind) -> np.ndarray:
-        out = np.frombuffer(self.raw, kind, n, self.at)
-        self.at += out.nbytes
-        return out
+        size = n * np.dtype(kind).itemsize
+        out = np.frombuffer(self.raw, np.uint8, size, self.at)
+        self.at += size
+        return np.ascontiguousarray(out.reshape(-1, n).T).view(kind).ravel() if n else np.empty(0, kind)
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """The first number, then differences; they wrap around."""
+    return np.diff(x, prepend=x.dtype.type(0))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
@@ -65,7 +72,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
         tokens = np.insert(token[:-1], w.rows[1:], end).astype(np.uint32)
         one = lambda column: pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), column if isinstance(column, pa.Array) else pa.array(column))
         train = np.asarray(batch.column("train").fill_null(False).to_numpy(zero_copy_only=False), bool)
-        yield pa.RecordBatch.from_arrays([pa.array([part + k]), one(batch.column("doc_id")), one(batch.column("held_out")), one(train), one(n), pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), pa.array(names.view(np.int64))), pa.array([_pack(tokens)], pa.binary()), pa.array([int(n.sum() + len(n))]), pa.array([int(n[train].sum())])], schema=BLOCKS)
+        yield pa.RecordBatch.from_arrays([pa.array([part + k]), one(batch.column("doc_id")), one(batch.column("held_out")), one(train), one(n), pa.array([len(names)]), pa.array([_pack(_steps(names), tokens)], pa.binary()), pa.array([int(n.sum() + len(n))]), pa.array([int(n[train].sum())])], schema=BLOCKS)
 
 
 class Block:
@@ -74,21 +81,23 @@ class Block:
     def __init__(self, row: dict, order: int):
         self.n = np.array(row["n"], np.int64)
         self.train = np.array(row["train"], bool)
-        names = np.array(row["words"], np.int64).view(U64)
-        tokens = _Unpack(row["tokens"]).take(int(self.n.sum()), np.uint32)
+        packed = _Unpack(row["tokens"])
+        names, tokens = np.cumsum(packed.take(row["words"], U64), dtype=U64), packed.take(int(self.n.sum()), np.uint32)
         # The marks are names like others.
         self.names = np.unique(np.concatenate([names, [BEGIN, END, PAD]]))
-        at = np.searchsorted(self.names, names)
+        at = np.searchsorted(self.names, names).astype(np.int32)
         begin, pad = np.searchsorted(self.names, [BEGIN, PAD])
         self.rows = np.concatenate([[0], np.cumsum(self.n + 1)])  # a text's begin mark
-        self.sequence = np.insert(at[tokens], self.rows[:-1] - np.arange(len(self.n)), begin)
-        self.text = np.repeat(np.arange(len(self.n)), self.n + 1)
-        self.place = np.arange(len(self.sequence)) - self.rows[:-1][self.text]
-        left = self.rows[1:][self.text] - np.arange(len(self.sequence))
+        self.text = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n + 1)
+        first = np.zeros(len(self.text), bool)
+        first[self.rows[:-1]] = True
+        self.sequence = np.full(len(self.text), begin, np.int32)
+        self.sequence[~first] = at[tokens]
         self.columns = [self.sequence]
         for k in range(1, order):
-            c = np.full(len(self.sequence), pad)
-            c[:-k or None][left[: len(c) - k] > k] = self.sequence[k:][left[: len(c) - k] > k]
+            c = np.full(len(self.text), pad, np.int32)
+            same = self.text[k:] == self.text[:-k]
+            c[: len(same)][same] = self.sequence[k:][same]
             self.columns.append(c)
 
     def hashes(self, columns: list[np.ndarray]) -> list[np.ndarray]:
@@ -128,7 +137,7 @@ def _block_rows(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[tuple
     for batch in batches:
         for i in range(batch.num_rows):
             row = {name: batch.column(name)[i] for name in batch.schema.names}
-            row = {k: v.values.to_numpy(zero_copy_only=False) if isinstance(v, pa.ListScalar) and k in ("n", "train", "words") else v.as_buffer() if k == "tokens" else v for k, v in row.items()}
+            row = {k: v.values.to_numpy(zero_copy_only=False) if k in ("n", "train") else v.as_buffer() if k == "tokens" else v.as_py() if k in ("block", "words") else v for k, v in row.items()}
             yield row, Block(row, order)
 
 
@@ -174,10 +183,13 @@ def _asked(batches, order: int, hot: list[np.ndarray], shards: int):
             columns = [g[mine] for g in block.grams]
             used = np.unique(np.concatenate(columns))
             at = [np.searchsorted(used, c).astype(np.uint32) for c in columns]
-            at[0] = np.diff(at[0], prepend=np.uint32(0)).astype(np.uint32)
-            out.append((shard, len(used), len(mine), _pack(block.names[used], *at, block.learned[mine].astype(np.uint32))))
+            # Windows are sorted: the first word's steps, and the second word's after the same first.
+            steps = _steps(at[0])
+            if order > 1:
+                at[1] = np.where(steps == 0, _steps(at[1]), at[1])
+            out.append((shard, len(used), len(mine), _pack(_steps(block.names[used]), steps, *at[1:], block.learned[mine].astype(np.uint32))))
         shard, words, n, packed = zip(*out)
-        yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array([row["block"].as_py()] * len(out)), pa.array(words, pa.int64()), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], ["shard", "block", "words", "windows", "packed"])
+        yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array([row["block"]] * len(out)), pa.array(words, pa.int64()), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], ["shard", "block", "words", "windows", "packed"])
 
 
 ANSWERS = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("packed", pa.binary()), ("level", pa.int32()), ("name", pa.int64()), ("n", pa.int64())])
@@ -186,22 +198,31 @@ ANSWERS_DDL = "block long, shard int, packed binary, level int, name long, n lon
 
 def _shard(asked: pa.Table, order: int, hot: list[dict[int, int]], images: bool = False) -> pa.Table:
     """Builds a shard's trie and answers each block. Rows without a block give, by level, words in the trie (level -1), and the nodes below hot prefixes."""
-    shard, packed = asked.column("shard")[0].as_py(), asked.column("packed").to_pylist()
+    shard, packed = asked.column("shard")[0].as_py(), asked.column("packed")
     words, windows = asked.column("words").to_numpy(), asked.column("windows").to_numpy()
-    names, columns, counts = [], [[] for _ in range(order)], []
-    base = 0
+    names, back = np.unique(np.concatenate([np.cumsum(_Unpack(raw.as_buffer()).take(w, U64), dtype=U64) for raw, w in zip(packed, words)]), return_inverse=True)
+    back = back.astype(np.int32)
+    columns, counts = [np.empty(windows.sum(), np.int32) for _ in range(order)], np.empty(windows.sum(), np.uint32)
+    base = at = 0
     for raw, w, n in zip(packed, words, windows):
-        part = _Unpack(raw)
-        names.append(part.take(w, U64))
+        part, own = _Unpack(raw.as_buffer()), back[base : base + w]
+        part.take(w, U64)
         for k in range(order):
             c = part.take(n, np.uint32)
-            columns[k].append((np.cumsum(c, dtype=np.int64) if k == 0 else c.astype(np.int64)) + base)
-        counts.append(part.take(n, np.uint32))
-        base += w
-    names, back = np.unique(np.concatenate(names), return_inverse=True)
-    grams, window = distinct([back[np.concatenate(c)] for c in columns], len(names))
-    del columns, packed
-    learned = np.bincount(window, np.concatenate(counts), len(grams[0])).astype(np.int64)
+            if k == 0:
+                begin = firsts(np.cumsum(c, dtype=np.int64))
+                c = np.cumsum(c, dtype=np.uint32)
+            elif k == 1:  # steps begin anew with each first word
+                total = np.cumsum(c, dtype=np.uint32)
+                c = total - np.repeat(total[begin] - c[begin], np.diff(begin, append=n))
+            columns[k][at : at + n] = own[c]
+        counts[at : at + n] = part.take(n, np.uint32)
+        base, at = base + w, at + n
+    del back
+    grams, window = distinct(columns, len(names))
+    del columns
+    learned = np.bincount(window, counts, len(grams[0])).astype(np.int64)
+    del counts
     seen = learned > 0
     own = [g[seen] for g in grams]
     used = np.unique(np.concatenate(own))
@@ -293,13 +314,13 @@ def _scores(blocks: pa.Table, answers: pa.Table, order: int, shards: int, hot: l
         own = count[place[0][at]]
         p = base = (own + 1) / (total + distinct_words + 1)
         for k in range(1, order):
-            begin = np.arange(len(at)) - k
-            inside = np.flatnonzero(block.place >= k)
-            gram, context = place[k][at[begin[inside]]], place[k - 1][at[begin[inside]]]
+            inside = np.flatnonzero(block.text[k:] == block.text[:-k]) + k  # the text began k tokens before, or earlier
+            gram, context = place[k][at[inside - k]], place[k - 1][at[inside - k]]
             q = p.copy()
             q[inside] = seen[k][gram] + weight[k - 1][context] * p[inside]
             p = q
-        token = block.place > 0
+        token = np.ones(len(at), bool)
+        token[block.rows[:-1]] = False
         sums = lambda x: np.add.reduceat(np.where(token, x, 0), block.rows[:-1]) if len(block.n) else np.zeros(0)
         out.append(pa.RecordBatch.from_arrays([row["doc_id"].values, row["held_out"].values, pa.array(block.n), pa.array(sums(own > 0).astype(np.int64)), pa.array(np.full(len(block.n), total)), pa.array(sums(np.log10(base))), pa.array(sums(np.log10(p)))], schema=SCORES))
     return pa.Table.from_batches(out, SCORES)
