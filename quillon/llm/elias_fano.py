@@ -215,7 +215,7 @@ class Trie:
             count = np.add.reduceat(counts, first) if n else np.zeros(0, np.int64)
             for i, c in (known[k] if known and k < order - 1 else {}).items():
                 count[i] = c
-            context = place[k - 1][first] if k else np.zeros(n, np.int64)
+            context = place[k - 1][first] if k else np.zeros(n, np.int32)
             out.append(Monotone.build(context.astype(U64) * U64(max(len(words), 1)) + grams[k][first].astype(U64), max(1, (len(total) if k else 1)) * max(len(words), 1)))
             seen = code((count - DISCOUNT) / total[context]) if k else np.zeros(n, np.uint16)
             weight = np.zeros(n, np.uint16)

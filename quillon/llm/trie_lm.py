@@ -27,13 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import U64, hash_spans, mix, slices, words_of
+from .arrow_text import U64, hash_spans, mix, slices, tidy, words_of
 from .elias_fano import DISCOUNT, Trie, code, distinct, firsts, prefixes, value
 from .scratch import Scratch
 
 ORDER = 3
 #: Text bytes of a block, and windows of a shard.
-BLOCK, SHARD = 8 << 20, 3 << 20
+BLOCK, SHARD = 8 << 20, 3 << 19
 BEGIN, END, PAD = U64(1), U64(2), U64(3)
 
 BLOCKS = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("train", pa.list_(pa.bool_())), ("n", pa.list_(pa.int64())), ("words", pa.int64()), ("tokens", pa.binary()), ("size", pa.int64()), ("learned", pa.int64())])
@@ -223,31 +223,34 @@ def _shard(asked: pa.Table, order: int, hot: list[dict[int, int]], images: bool
     del columns
     learned = np.bincount(window, counts, len(grams[0])).astype(np.int64)
     del counts
+    keys = [np.array(sorted(h), U64) for h in hot]
     seen = learned > 0
     own = [g[seen] for g in grams]
-    used = np.unique(np.concatenate(own))
-    own = [np.searchsorted(used, g) for g in own]
+    used = np.zeros(len(names), bool)
+    for g in own:
+        used[g] = True
+    at = (np.cumsum(used) - 1).astype(np.int32)
+    own = [at[g] for g in own]
     trie_words = names[used]
     known, stats = [], []
-    h, inside = mix(trie_words)[own[0]] if len(own[0]) else np.zeros(0, U64), np.ones(len(own[0]), bool)
     place = prefixes(own)
+    first = firsts(place[0])
+    h = mix(trie_words)[own[0][first]]  # of the level's nodes
+    inside = _among(h, keys[0]) if keys else np.zeros(len(h), bool)
+    stats.append((-1, 0, int((~inside & (trie_words[own[0][first]] != BEGIN)).sum())))
     for k in range(order - 1):
-        first = firsts(place[k])
-        keys = np.array(sorted(hot[k]), U64) if k < len(hot) else np.zeros(0, U64)
-        inside = inside & _among(h, keys)
-        below = mix(h + trie_words[own[k + 1]] * U64(0x9E3779B97F4A7C15) + U64(1))
-        known.append({int(i): hot[k][int(h[first[i]])] for i in np.flatnonzero(inside[first])})
+        known.append({int(i): hot[k][int(h[i])] for i in np.flatnonzero(inside)})
+        below = firsts(place[k + 1])
+        context = place[k][below]
+        lower = mix(h[context] + trie_words[own[k + 1][below]] * U64(0x9E3779B97F4A7C15) + U64(1))
+        deeper = inside[context] & _among(lower, keys[k + 1]) if k + 1 < len(keys) else np.zeros(len(lower), bool)
         # Nodes below a hot one; those that are hot themselves stand in several shards and are counted elsewhere.
-        deeper = _among(below, np.array(sorted(hot[k + 1]), U64)) if k + 1 < len(hot) else np.zeros(len(below), bool)
-        children = firsts(place[k + 1])
-        mine = children[inside[children] & ~deeper[children]]
-        for name, n in zip(*np.unique(h[mine], return_counts=True)):
+        for name, n in zip(*np.unique(h[context[inside[context] & ~deeper]], return_counts=True)):
             stats.append((k, int(name.view(np.int64)), int(n)))
-        h = below
-    first = firsts(place[0])
-    lone = ~_among(mix(trie_words)[own[0][first]], np.array(sorted(hot[0]), U64) if hot else np.zeros(0, U64)) & (trie_words[own[0][first]] != BEGIN) if len(first) else np.zeros(0, bool)
-    stats.append((-1, 0, int(lone.sum())))
+        h, inside = lower, deeper
+    del place, h, inside
     image = Trie.build(trie_words, own, learned[seen], known)
+    del own, learned
     trie = Trie(np.frombuffer(image, np.uint8))
     # Every distinct window that was asked for, level by level.
     place, nodes = prefixes(grams), None
@@ -270,6 +273,7 @@ def _shard(asked: pa.Table, order: int, hot: list[dict[int, int]], images: bool
             parts += [a[node] for a in answers[k][: 1 if k == order - 1 else 2]]
         out.append((block, shard, _pack(*parts), None, None, None))
     out += [(None, shard, None, *s) for s in stats]
+    tidy()
     if images:
         out.append((None, shard, image, None, None, len(trie_words)))
     return pa.Table.from_arrays([pa.array(c, ANSWERS.field(i).type) for i, c in enumerate(zip(*out))], schema=ANSWERS)
