@@ -34,6 +34,8 @@ from .scratch import Scratch
 ORDER = 3
 #: Text bytes of a block, and windows of a shard.
 BLOCK, SHARD = 8 << 20, 3 << 19
+#: Names that messages give by number: of the commonest words of a few blocks. This only shortens messages.
+COMMON, COMMON_BLOCKS = 1 << 16, 16
 BEGIN, END, PAD = U64(1), U64(2), U64(3)
 
 BLOCKS = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("train", pa.list_(pa.bool_())), ("n", pa.list_(pa.int64())), ("words", pa.int64()), ("tokens", pa.binary()), ("size", pa.int64()), ("learned", pa.int64())])
@@ -63,6 +65,20 @@ def _steps(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x.dtype.type(0))
 
 
+def _named(names: np.ndarray, common: np.ndarray) -> list[np.ndarray]:
+    """Sorted names: which are common, these by their numbers, and the others."""
+    is_common = _among(names, common)
+    return [np.packbits(is_common), _steps(np.searchsorted(common, names[is_common]).astype(np.uint32)), _steps(names[~is_common])]
+
+
+def _names(part: _Unpack, n: int, common: np.ndarray) -> np.ndarray:
+    is_common = np.unpackbits(part.take(-(-n // 8), np.uint8), count=n).astype(bool)
+    out, k = np.empty(n, U64), int(is_common.sum())
+    out[is_common] = common[np.cumsum(part.take(k, np.uint32))]
+    out[~is_common] = np.cumsum(part.take(n - k, U64), dtype=U64)
+    return out
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     part = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
     for k, batch in enumerate(slices(batches, limit=limit)):
@@ -174,7 +190,7 @@ def _hot(blocks: DataFrame, order: int, size: int, shards: int) -> list[dict[int
     return hot
 
 
-def _asked(batches, order: int, hot: list[np.ndarray], shards: int):
+def _asked(batches, order: int, hot: list[np.ndarray], shards: int, common: np.ndarray):
     """A block's windows for each shard."""
     for row, block in _block_rows(batches, order):
         block.windows()
@@ -187,7 +203,7 @@ def _asked(batches, order: int, hot: list[np.ndarray], shards: int):
             steps = _steps(at[0])
             if order > 1:
                 at[1] = np.where(steps == 0, _steps(at[1]), at[1])
-            out.append((shard, len(used), len(mine), _pack(_steps(block.names[used]), steps, *at[1:], block.learned[mine].astype(np.uint32))))
+            out.append((shard, len(used), len(mine), _pack(*_named(block.names[used], common), steps, *at[1:], block.learned[mine].astype(np.uint32))))
         shard, words, n, packed = zip(*out)
         yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array([row["block"]] * len(out)), pa.array(words, pa.int64()), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], ["shard", "block", "words", "windows", "packed"])
 
@@ -196,17 +212,17 @@ ANSWERS = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("packed", pa
 ANSWERS_DDL = "block long, shard int, packed binary, level int, name long, n long"
 
 
-def _shard(asked: pa.Table, order: int, hot: list[dict[int, int]], images: bool = False) -> pa.Table:
+def _shard(asked: pa.Table, order: int, hot: list[dict[int, int]], common: np.ndarray, images: bool = False) -> pa.Table:
     """Builds a shard's trie and answers each block. Rows without a block give, by level, words in the trie (level -1), and the nodes below hot prefixes."""
     shard, packed = asked.column("shard")[0].as_py(), asked.column("packed")
     words, windows = asked.column("words").to_numpy(), asked.column("windows").to_numpy()
-    names, back = np.unique(np.concatenate([np.cumsum(_Unpack(raw.as_buffer()).take(w, U64), dtype=U64) for raw, w in zip(packed, words)]), return_inverse=True)
+    names, back = np.unique(np.concatenate([_names(_Unpack(raw.as_buffer()), w, common) for raw, w in zip(packed, words)]), return_inverse=True)
     back = back.astype(np.int32)
     columns, counts = [np.empty(windows.sum(), np.int32) for _ in range(order)], np.empty(windows.sum(), np.uint32)
     base = at = 0
     for raw, w, n in zip(packed, words, windows):
         part, own = _Unpack(raw.as_buffer()), back[base : base + w]
-        part.take(w, U64)
+        _names(part, w, common)
         for k in range(order):
             c = part.take(n, np.uint32)
             if k == 0:
@@ -340,11 +356,24 @@ def default_split():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
 
 
-def _asked_of(blocks: DataFrame, order: int, size: int, per_shard: int) -> tuple[DataFrame, int, list[dict[int, int]]]:
+def _word_counts(batches):
+    for _, block in _block_rows(batches, 1):
+        n = np.bincount(block.sequence, minlength=len(block.names))
+        some = np.flatnonzero(n > 1)
+        yield pa.RecordBatch.from_arrays([pa.array(block.names[some].view(np.int64)), pa.array(n[some])], ["name", "n"])
+
+
+def _common(blocks: DataFrame) -> np.ndarray:
+    counts = blocks.orderBy("block").limit(COMMON_BLOCKS).mapInArrow(_word_counts, "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r["name"] for r in counts.orderBy(F.desc("n"), "name").limit(COMMON).select("name").collect()], np.int64).view(U64))
+
+
+def _asked_of(blocks: DataFrame, order: int, size: int, per_shard: int) -> tuple[DataFrame, int, list[dict[int, int]], np.ndarray]:
     shards = max(1, math.ceil(size / per_shard))
     hot = _hot(blocks, order, size, shards) if shards > 1 else []
     keys = [np.array(sorted(h), U64) for h in hot]
-    return blocks.mapInArrow(lambda it: _asked(it, order, keys, shards), "shard int, block long, words long, windows long, packed binary"), shards, hot
+    common = _common(blocks)
+    return blocks.mapInArrow(lambda it: _asked(it, order, keys, shards, common), "shard int, block long, words long, windows long, packed binary"), shards, hot, common
 
 
 def tries(docs: DataFrame, order: int = ORDER, held_out=None, per_shard: int = SHARD, block: int = BLOCK) -> DataFrame:
@@ -352,8 +381,8 @@ def tries(docs: DataFrame, order: int = ORDER, held_out=None, per_shard: int = S
     scratch = Scratch(docs.sparkSession)
     blocks = scratch.stored(blocks_of(docs, default_split() if held_out is None else held_out, block))
     size = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    asked, _, hot = _asked_of(blocks, order, size, per_shard)
-    made = asked.groupBy("shard").applyInArrow(lambda t: _shard(t, order, hot, True), ANSWERS_DDL)
+    asked, _, hot, common = _asked_of(blocks, order, size, per_shard)
+    made = asked.groupBy("shard").applyInArrow(lambda t: _shard(t, order, hot, common, True), ANSWERS_DDL)
     return made.where("block is null and packed is not null").select("shard", F.col("n").alias("words"), F.col("packed").alias("image"))
 
 
@@ -368,8 +397,8 @@ def scored(docs: DataFrame, order: int = ORDER, held_out=None, per_shard: int =
     scratch = Scratch(docs.sparkSession)
     blocks = scratch.stored(blocks_of(docs, default_split() if held_out is None else held_out, block))
     size, total = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("learned"), F.lit(0))).first()
-    asked, shards, hot = _asked_of(blocks, order, size, per_shard)
-    answers = scratch.stored(asked.groupBy("shard").applyInArrow(lambda t: _shard(t, order, hot), ANSWERS_DDL))
+    asked, shards, hot, common = _asked_of(blocks, order, size, per_shard)
+    answers = scratch.stored(asked.groupBy("shard").applyInArrow(lambda t: _shard(t, order, hot, common), ANSWERS_DDL))
     scratch.settle()
     stats = {(r["level"], r["name"]): r["n"] for r in answers.where("block is null").groupBy("level", "name").agg(F.sum("n").alias("n")).collect()}
     begin = int(mix(np.array([BEGIN]))[0])
