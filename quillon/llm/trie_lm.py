@@ -364,7 +364,8 @@ def _word_counts(batches):
 
 
 def _common(blocks: DataFrame) -> np.ndarray:
-    counts = blocks.orderBy("block").limit(COMMON_BLOCKS).mapInArrow(_word_counts, "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
+    some = [r["block"] for r in blocks.select("block").orderBy("block").limit(COMMON_BLOCKS).collect()]
+    counts = blocks.where(F.col("block").isin(some)).mapInArrow(_word_counts, "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
     return np.sort(np.array([r["name"] for r in counts.orderBy(F.desc("n"), "name").limit(COMMON).select("name").collect()], np.int64).view(U64))
 
 
