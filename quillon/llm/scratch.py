@@ -46,6 +46,16 @@ class Scratch:
         self.of[id(table)] = table, path  # holds the table, so that its id stays its own
         return table
 
+    def settled(self, df: DataFrame) -> DataFrame:
+        """As ``stored``; the shuffle files of the job are deleted when it ends, which the table replaces."""
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, "true")
+        try:
+            return self.stored(df)
+        finally:
+            self.spark.conf.set(key, before)
+
     def drop(self, table: DataFrame) -> None:
         """Deletes one of the tables, which is no longer needed."""
         path = self.of.pop(id(table))[1]

@@ -399,14 +399,13 @@ def scored(docs: DataFrame, order: int = ORDER, held_out=None, per_shard: int =
     blocks = scratch.stored(blocks_of(docs, default_split() if held_out is None else held_out, block))
     size, total = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("learned"), F.lit(0))).first()
     asked, shards, hot, common = _asked_of(blocks, order, size, per_shard)
-    answers = scratch.stored(asked.groupBy("shard").applyInArrow(lambda t: _shard(t, order, hot, common), ANSWERS_DDL))
-    scratch.settle()
+    answers = scratch.settled(asked.groupBy("shard").applyInArrow(lambda t: _shard(t, order, hot, common), ANSWERS_DDL))
     stats = {(r["level"], r["name"]): r["n"] for r in answers.where("block is null").groupBy("level", "name").agg(F.sum("n").alias("n")).collect()}
     begin = int(mix(np.array([BEGIN]))[0])
     distinct_words = stats.get((-1, 0), 0) + sum(c > 0 and name != begin for name, c in (hot[0] if hot else {}).items())
     weights = _hot_weights(blocks, order, hot, stats)
     replies = answers.where("block is not null").select("block", "shard", "packed")
-    done = scratch.stored(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda left, right: _scores(left, right, order, shards, hot, weights, total, distinct_words), SCORES_DDL))
+    done = scratch.settled(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda left, right: _scores(left, right, order, shards, hot, weights, total, distinct_words), SCORES_DDL))
     scratch.keep(done)
     scratch.clear()
     return done
