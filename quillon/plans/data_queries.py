@@ -133,16 +133,6 @@ def html_page_facts(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", *documents.page_facts(F.col("html")))
 
 
-@query()
-def html_blocks(spark, sf_dir):
-    return documents.blocks(read(spark, sf_dir, "pages"), "page_id", "html", "url")
-
-
-@query()
-def html_links(spark, sf_dir):
-    return documents.links(read(spark, sf_dir, "pages"), "page_id", "html", "url")
-
-
 @query(r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])(utm_[^&]*|gclid=[^&]*)(&|$)', '\1'), '[?&]$', '') AS canonical FROM pages""")
 def url_canonical(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", urls.canonical(F.col("url")).alias("canonical"))
