@@ -66,32 +66,32 @@ def nodes(records: DataFrame, key: str, document: str, depth: int = DEPTH, withi
 
 
 def evidence_items(records: DataFrame, key: str, document: str) -> DataFrame:
-    """(key, at, id, field_path, resolved) of each item of a document's evidence; looked up within the row, so that documents stay where they are."""
+    """(key, at, evidence_id, field_path, resolved) of each item of a document's evidence; looked up within the row, so that documents stay where they are."""
     items = F.try_variant_get(document, F.lit("$.evidence"), "array<struct<id string, field_path string>>")
-    looked = F.transform(items, lambda e, i: F.struct(i.alias("at"), e.id.alias("id"), e.field_path.alias("field_path"), looked_up(F.col(document), F.coalesce(e.field_path, F.lit(""))).isNotNull().alias("resolved")))
+    looked = F.transform(items, lambda e, i: F.struct(i.alias("at"), e.id.alias("evidence_id"), e.field_path.alias("field_path"), looked_up(F.col(document), F.coalesce(e.field_path, F.lit(""))).isNotNull().alias("resolved")))
     return records.select(key, F.inline(looked))
 
 
 def citations(records: DataFrame, key: str, document: str, depth: int = DEPTH) -> DataFrame:
-    """(key, path, id) of every cited id, path leading to the object that cites it."""
+    """(key, path, evidence_id) of every cited id, path leading to the object that cites it."""
     held = nodes(records, key, document, depth, within=lambda x: ~x["name"].isin("evidence", CITATIONS)).where(F.col("name") == CITATIONS)
-    ids = held.select(key, F.regexp_replace("pointer", "/[^/]*$", "").alias("path"), F.explode(F.try_variant_get("node", F.lit("$"), "array<string>")).alias("id"))
+    ids = held.select(key, F.regexp_replace("pointer", "/[^/]*$", "").alias("path"), F.explode(F.try_variant_get("node", F.lit("$"), "array<string>")).alias("evidence_id"))
     return ids.where(~F.col("path").startswith("/evidence/"))
 
 
 def evidence_findings(records: DataFrame, key: str, document: str, depth: int = DEPTH) -> DataFrame:
     """Findings (record_id, path, code, severity): evidence whose field is not there or whose id came before, citations of unknown evidence or of evidence for another field (of items with one id the last counts), and evidence that nothing cites (a warning)."""
     items, cited = materialised(evidence_items(records, key, document)), materialised(citations(records, key, document, depth))
-    n = F.row_number().over(Window.partitionBy(key, "id").orderBy("at"))
+    n = F.row_number().over(Window.partitionBy(key, "evidence_id").orderBy("at"))
     placed = items.withColumn("n", n)
     place = F.concat(F.lit("/evidence/"), F.col("at"))
 
     def rows(df, path, code, severity="error"):
         return df.select(F.col(key).cast("string").alias("record_id"), path.alias("path"), F.lit(code).alias("code"), F.lit(severity).alias("severity"))
 
-    known = items.groupBy(key, "id").agg(F.max_by("field_path", "at").alias("field_path"), F.max("at").alias("at"))
-    met = cited.join(known, [key, "id"], "left")
-    uncited = known.join(cited.select(key, "id").distinct(), [key, "id"], "left_anti")
+    known = items.groupBy(key, "evidence_id").agg(F.max_by("field_path", "at").alias("field_path"), F.max("at").alias("at"))
+    met = cited.join(known, [key, "evidence_id"], "left")
+    uncited = known.join(cited.select(key, "evidence_id").distinct(), [key, "evidence_id"], "left_anti")
     parts = [
         rows(placed.where("n > 1"), F.concat(place, F.lit("/id")), "evidence.duplicate_id"),
         rows(placed.where("not resolved"), F.concat(place, F.lit("/field_path")), "evidence.field_path_unresolved"),
