@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialised
 from . import rules as R
 from .availability import FAR
 
@@ -31,17 +32,21 @@ def leaf_truths(nodes: DataFrame, profiles: DataFrame, key: str, fields: dict[st
 
 
 def compact(nodes: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """One row for each rule: rule_id, leaves (each with the nodes from itself up to its top node, and its values normalised and as numbers), groups from the deepest up, and top nodes."""
-    depth = nodes.agg(F.max("depth")).first()[0] or 0
-    up = R.ancestors(nodes, depth).groupBy("rule_id", F.col("leaf").alias("node_id")).agg(F.collect_list("node_id").alias("up"))
-    kind = reduce(lambda rest, kv: F.when(F.col("field") == kv[0], kv[1]).otherwise(rest), fields.items(), F.lit(None).cast("string"))
-    theirs = F.transform("value_arr", lambda v: R.normalised(kind, v))
-    leaf = F.struct("node_id", F.col("kind").alias("type"), "field", "op", theirs.alias("theirs"), F.transform("value_arr", R.number).alias("numbers"), F.col("scale").try_cast("decimal(9,3)").alias("want_scale"), "up")
-    leaves = nodes.where(~F.col("kind").isin("all", "any")).join(up, ["rule_id", "node_id"]).groupBy("rule_id").agg(F.collect_list(leaf).alias("leaves"))
-    children = nodes.where("parent_id is not null").groupBy("rule_id", F.col("parent_id").alias("node_id")).agg(F.collect_list("node_id").alias("children"))
-    groups = nodes.where(F.col("kind").isin("all", "any")).join(children, ["rule_id", "node_id"]).groupBy("rule_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("up"), "node_id", "kind", "children"))).alias("groups"))
-    tops = nodes.where("parent_id is null").groupBy("rule_id").agg(F.collect_list("node_id").alias("tops"))
-    return tops.join(leaves, "rule_id").join(groups, "rule_id", "left").withColumn("groups", F.coalesce("groups", F.expr("array()").cast("array<struct<up:int,node_id:int,kind:string,children:array<int>>>")))
+    """One row for each rule: rule_id, leaves (each with the nodes from itself up to its top node, and its values normalised and as numbers), groups from the deepest up, and top nodes.
+
+    One shuffle by rule; a rule's tree is bounded (rules.MAX_DEPTH levels) and is taken apart within its row.
+    """
+    kind = lambda f: reduce(lambda rest, kv: F.when(f == kv[0], kv[1]).otherwise(rest), fields.items(), F.lit(None).cast("string"))
+    held = ("node_id", "parent_id", "depth", "kind", "field", "op", "value_arr", "scale")
+    trees = nodes.groupBy("rule_id").agg(F.collect_list(F.struct(*held)).alias("n"))
+    trees = trees.withColumn("parents", F.map_from_entries(F.transform("n", lambda x: F.struct(x.node_id, x.parent_id))))
+    is_group = lambda x: x["kind"].isin("all", "any")
+    above = lambda path: F.try_element_at("parents", F.element_at(path, -1))
+    up = lambda x: F.aggregate(F.sequence(F.lit(0), F.lit(R.MAX_DEPTH)), F.array(x.node_id), lambda path, _: F.when(above(path).isNull(), path).otherwise(F.concat(path, F.array(above(path)))))
+    leaf = lambda x: F.struct(x.node_id.alias("node_id"), x["kind"].alias("type"), x.field.alias("field"), x.op.alias("op"), F.transform(x.value_arr, lambda v: R.normalised(kind(x.field), v)).alias("theirs"), F.transform(x.value_arr, R.number).alias("numbers"), x.scale.try_cast("decimal(9,3)").alias("want_scale"), up(x).alias("up"))
+    group = lambda x: F.struct((-x.depth).alias("up"), x.node_id.alias("node_id"), x["kind"].alias("kind"), F.transform(F.filter("n", lambda y: y.parent_id == x.node_id), lambda y: y.node_id).alias("children"))
+    tops = F.transform(F.filter("n", lambda x: x.parent_id.isNull()), lambda x: x.node_id)
+    return trees.select("rule_id", F.transform(F.filter("n", lambda x: ~is_group(x)), leaf).alias("leaves"), F.array_sort(F.transform(F.filter("n", is_group), group)).alias("groups"), tops.alias("tops"))
 
 
 #: Rules that every executor may hold; more are joined without a broadcast.
@@ -56,7 +61,7 @@ def matched(nodes: DataFrame, profiles: DataFrame, key: str, fields: dict[str, s
     profiles don't have is missing.
     """
     mandatory = nodes.where("section in ('mandatory', 'unstructured')")
-    trees = compact(mandatory, fields)
+    trees = materialised(compact(mandatory, fields))  # counted, then joined
     kinds = dict(profiles.dtypes)
     as_array = lambda c: F.col(c).cast("array<string>") if kinds[c].startswith("array") else F.when(F.col(c).isNotNull(), F.array(F.col(c).cast("string")))
     said = F.create_map(*(x for f, k in fields.items() for x in (F.lit(f), F.struct(F.lit(k).alias("kind"), as_array(f).isNotNull().alias("said"), F.transform(as_array(f), lambda v: R.normalised(F.lit(k), v)).alias("mine"), R.number(F.get(as_array(f), 0)).alias("number")))))  # noqa: B023

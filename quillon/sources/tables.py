@@ -17,6 +17,13 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint() if sc.getCheckpointDir() else df.cache()
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder below the session's checkpoint folder, which a cluster's machines share; below the warehouse where none is set."""
+    sc = spark.sparkContext
+    base = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
+    return f"{base}/{uuid.uuid4().hex}"
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, line) of the non-blank lines of text files, from 1, without a byte-order mark. A file is split in one task: for files of bounded size."""
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", "^﻿", "").alias("value"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,11 +27,8 @@ def upserted(stored: DataFrame, batch: DataFrame, key: str, version: str) -> Dat
 
 
 def start_upserts(stream: DataFrame, path: str, checkpoint: str, key: str, version: str):
-    """A query that keeps the newest row of each key in versioned folders below path. Each micro-batch has a folder of its own number, so that one that runs again writes the same one."""
+    """A query that keeps the newest row of each key in a ``store.Store`` below path: a micro-batch rewrites the buckets that it touches."""
+    from .store import Store, start, upserts
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        now = upserted(spark.read.schema(batch.schema).parquet(f"{path}/{number - 1}"), batch, key, version) if number else newest(batch, key, version)
-        now.write.mode("overwrite").parquet(f"{path}/{number}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    schema = ", ".join(f"{name} {kind}" for name, kind in stream.dtypes)
+    return start(stream, upserts(Store(stream.sparkSession, path, schema, key), version), checkpoint)
