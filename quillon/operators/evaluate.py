@@ -35,12 +35,12 @@ def _renamed(values: Column, names: dict[str, str]) -> Column:
     return F.transform(values, lambda v: F.coalesce(F.try_element_at(table, v), v))
 
 
-def listing_rules(nodes: DataFrame, education: dict[str, str] | None = None) -> DataFrame:
+def listing_rules(nodes: DataFrame, education: dict[str, str] | None = None, rule_ids: DataFrame | None = None) -> DataFrame:
     """(rule_id, kind, children) of the listing's rules: a tree's top conditions in their order, each a predicate on a listed field or else unknown.
 
     nodes: as rules.flatten makes them. Only mandatory top predicates survive; groups and other fields become unknown. A rule
     without a known child, or without any, is unknown as a whole (children null). A single province is renamed, a list
-    of them stays as written.
+    of them stays as written. A tree without any node is in no node table: rule_ids (rule_id) names the rules that there are.
     """
     top = nodes.where("section = 'mandatory' and parent_id is null")
     listed = F.create_map(*(F.lit(x) for kv in LISTED.items() for x in kv))
@@ -50,7 +50,7 @@ def listing_rules(nodes: DataFrame, education: dict[str, str] | None = None) ->
               .when(F.col("field") == "education_level", _renamed(values, education or {})).otherwise(values))
     op = F.when(F.col("field") == "indigenous_identity", "overlaps").otherwise(F.col("op"))
     child = F.struct("node_id", field.alias("field"), F.when(field.isNotNull(), op).alias("op"), F.when(field.isNotNull(), values).alias("values"))
-    made = nodes.select("rule_id").distinct().join(top.groupBy("rule_id").agg(F.array_sort(F.collect_list(child)).alias("c")), "rule_id", "left")
+    made = (nodes if rule_ids is None else rule_ids).select("rule_id").distinct().join(top.groupBy("rule_id").agg(F.array_sort(F.collect_list(child)).alias("c")), "rule_id", "left")
     known = F.coalesce(F.exists("c", lambda x: x.field.isNotNull()), F.lit(False))
     children = F.transform("c", lambda x: F.struct(x.field.alias("field"), x.op.alias("op"), x["values"].alias("values")))
     return made.select("rule_id", F.when(known, "all").otherwise("unknown").alias("kind"), F.when(known, children).alias("children"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import data_queries, evidence_queries, match_queries, page_queries, record_queries, rule_queries, run_queries, search_queries  # noqa: F401  registers
+from .plans import data_queries, evidence_queries, import_queries, match_queries, page_queries, record_queries, rule_queries, run_queries, search_queries  # noqa: F401  registers
 from .plans.tables import QUERIES, SQL
 
 FLAGSHIP = "match_status_rank"

@@ -23,7 +23,7 @@ def test_only_listed_top_predicates_survive(spark):
 
 
 def test_evaluation(spark):
-    rule = evaluate.listing_rules(trees(spark, two={"mandatory": [p("study_status", "eq", "full_time"), p("institution_id", "in", ["u1", "u2"])]}, open={"mandatory": [p("study_status", "eq", "full_time"), {"type": "unknown"}]}, none={}))
+    rule = evaluate.listing_rules(trees(spark, two={"mandatory": [p("study_status", "eq", "full_time"), p("institution_id", "in", ["u1", "u2"])]}, open={"mandatory": [p("study_status", "eq", "full_time"), {"type": "unknown"}]}), rule_ids=spark.createDataFrame([("two",), ("open",), ("none",)], "rule_id string"))
     who = spark.createDataFrame([(1, "full_time", "u2"), (2, "part_time", None), (3, None, None), (4, "full_time", None)], "who int, study_mode string, institution_id string")
     got = {(r.who, r.rule_id): (r.match_status, r.missing) for r in evaluate.evaluated(rule, who, "who", ["study_mode", "institution_id"]).collect()}
     assert got[1, "two"] == ("potential_fit", []) and got[2, "two"] == ("not_eligible", []) and got[3, "two"] == ("needs_information", ["institution_id", "study_mode"]) and got[4, "two"] == ("needs_information", ["institution_id"])
