@@ -186,21 +186,34 @@ def close_window_unknown_tz(spark, sf_dir):
     return e.select("event_id", dates.utc_text(F.timestamp_seconds("w.earliest")).alias("earliest"), dates.utc_text(F.timestamp_seconds("w.latest")).alias("latest"), dates.state(F.col("w"), F.lit(dates.as_of_seconds("2024-01-16T12:00:00Z"))).alias("state"))
 
 
-DEADLINES = [
-    ("2026-10-07", None, "America/Vancouver", "2026-10-08T07:00:00Z", "2026-10-08T07:00:00Z", "", "end_of_local_day"),
-    ("2026-10-07", None, None, "2026-10-07T10:00:00Z", "2026-10-08T12:00:00Z", "timezone_unknown", "end_of_local_day"),
-    ("2026-07-15", "23:59", "Eastern Time", "2026-07-16T04:00:00Z", "2026-07-16T04:00:00Z", "", "stated_time"),
-    ("2026-07-15", "23:59", "EST", "2026-07-16T04:00:00Z", "2026-07-16T05:00:00Z", "timezone_ambiguous", "stated_time"),
-    ("2026-01-15", "12:00:00", "PST", "2026-01-15T20:00:01Z", "2026-01-15T20:00:01Z", "", "stated_time"),
-    ("2026-11-01", "01:30", "America/Toronto", "2026-11-01T05:31:00Z", "2026-11-01T06:31:00Z", "dst_repeated_local_time", "stated_time"),
-    ("2026-03-08", "02:29", "America/Toronto", "2026-03-08T06:30:00Z", "2026-03-08T07:30:00Z", "dst_skipped_local_time", "stated_time"),
-]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in d) + ")" for d in DEADLINES) + ') v("date", local_time, zone, earliest, latest, flags, basis)')
+def zoned_deadlines(spark, sf_dir):
+    """A deadline for each order, 31 years on: its zone by the priority, its time by the price; those of pending orders fall in the small hours of a day on which clocks change."""
+    c = F.col
+    price, day = F.floor("o_totalprice"), F.add_months(F.to_date("o_orderdate"), 12 * 31)
+    first = lambda month: F.make_date(F.year(day), F.lit(month), F.lit(1))
+    sunday = lambda d: F.date_add(d, (8 - F.dayofweek(d)) % 7)
+    change = F.when(F.month(day) <= 6, F.date_add(sunday(first(3)), 7)).otherwise(sunday(first(11)))
+    pending = c("o_orderstatus") == "P"
+    hour = F.when(pending, price % 4).otherwise(F.floor(price / 60) % 24)
+    time = F.when(c("o_orderstatus") != "F", F.format_string("%02d:%02d", hour, price % 60))
+    zone = F.when(c("o_orderpriority") == "1-URGENT", "America/Toronto").when(c("o_orderpriority") == "2-HIGH", "America/Halifax").when(c("o_orderpriority") == "3-MEDIUM", "America/Regina").when(c("o_orderpriority") == "5-LOW", "Eastern Time")
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.when(pending, change).otherwise(day).cast("string").alias("date"), time.alias("local_time"), zone.alias("zone"))
+
+
+@query("""WITH a AS (SELECT o_orderkey, o_orderstatus AS s, o_orderpriority AS p, CAST(floor(o_totalprice) AS BIGINT) AS x, CAST(CAST(o_orderdate AS DATE) + INTERVAL 31 YEAR AS DATE) AS d FROM orders),
+    b AS (SELECT *, make_date(year(d), 3, 1) AS mar, make_date(year(d), 11, 1) AS nov FROM a),
+    c AS (SELECT *, CAST(mar + CAST((7 - dayofweek(mar)) % 7 + 7 AS INTEGER) AS DATE) AS spring, CAST(nov + CAST((7 - dayofweek(nov)) % 7 AS INTEGER) AS DATE) AS autumn FROM b),
+    e AS (SELECT *, CASE WHEN s = 'P' THEN CASE WHEN month(d) <= 6 THEN spring ELSE autumn END ELSE d END AS day, CASE WHEN s = 'P' THEN x % 4 WHEN s <> 'F' THEN (x // 60) % 24 END AS h,
+        CASE p WHEN '1-URGENT' THEN 5 WHEN '5-LOW' THEN 5 WHEN '2-HIGH' THEN 4 WHEN '3-MEDIUM' THEN 6 END AS std FROM c),
+    f AS (SELECT *, CASE WHEN s = 'F' THEN CAST(day AS TIMESTAMP) + INTERVAL 1 DAY ELSE CAST(day AS TIMESTAMP) + to_hours(h) + to_minutes(x % 60) END AS l, CASE WHEN s = 'F' THEN INTERVAL 0 MINUTE ELSE INTERVAL 1 MINUTE END AS past FROM e),
+    g AS (SELECT *, CASE WHEN std IS NULL THEN 'unknown' WHEN std = 6 THEN 'std' WHEN l >= CAST(spring AS TIMESTAMP) + INTERVAL 2 HOUR AND l < CAST(spring AS TIMESTAMP) + INTERVAL 3 HOUR THEN 'skipped'
+        WHEN l >= CAST(autumn AS TIMESTAMP) + INTERVAL 1 HOUR AND l < CAST(autumn AS TIMESTAMP) + INTERVAL 2 HOUR THEN 'repeated' WHEN l >= CAST(spring AS TIMESTAMP) + INTERVAL 3 HOUR AND l < CAST(autumn AS TIMESTAMP) + INTERVAL 1 HOUR THEN 'dst' ELSE 'std' END AS k FROM f),
+    w AS (SELECT *, l + past + CASE k WHEN 'unknown' THEN -INTERVAL 14 HOUR WHEN 'std' THEN to_hours(std) ELSE to_hours(std - 1) END AS lo, l + past + CASE k WHEN 'unknown' THEN INTERVAL 12 HOUR WHEN 'dst' THEN to_hours(std - 1) ELSE to_hours(std) END AS hi FROM g)
+    SELECT o_orderkey, strftime(lo, '%Y-%m-%dT%H:%M:%SZ') AS earliest, strftime(hi, '%Y-%m-%dT%H:%M:%SZ') AS latest, CASE k WHEN 'unknown' THEN 'timezone_unknown' WHEN 'skipped' THEN 'dst_skipped_local_time' WHEN 'repeated' THEN 'dst_repeated_local_time' ELSE '' END AS flags,
+    CASE WHEN s = 'F' THEN 'end_of_local_day' ELSE 'stated_time' END AS basis FROM w""")
 def close_window_tz(spark, sf_dir):
-    d = spark.createDataFrame([x[:3] for x in DEADLINES], "date string, local_time string, zone string").withColumn("w", dates.close_window(F.lit("datetime"), F.col("date"), F.col("local_time"), F.col("zone")))
-    return d.select("date", "local_time", "zone", dates.utc_text(F.timestamp_seconds("w.earliest")).alias("earliest"), dates.utc_text(F.timestamp_seconds("w.latest")).alias("latest"), F.array_join("w.flags", ",").alias("flags"), "w.basis")
+    d = zoned_deadlines(spark, sf_dir).withColumn("w", dates.close_window(F.lit("datetime"), F.col("date"), F.col("local_time"), F.col("zone")))
+    return d.select("o_orderkey", dates.utc_text(F.timestamp_seconds("w.earliest")).alias("earliest"), dates.utc_text(F.timestamp_seconds("w.latest")).alias("latest"), F.array_join("w.flags", ",").alias("flags"), "w.basis")
 
 
 @query("""WITH o AS (SELECT o_orderkey, month(o_orderdate) AS m, day(o_orderdate) AS d FROM orders)
@@ -210,12 +223,15 @@ def next_annual_occurrence(spark, sf_dir):
     return o.select("o_orderkey", dates.next_annual(F.month("o_orderdate"), F.dayofmonth("o_orderdate"), F.lit("2026-06-15").cast("date")).cast("string").alias("next_on"))
 
 
-@query("""WITH l AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS pos FROM lineitem GROUP BY 1, 2) SELECT l.l_orderkey, string_agg(p.p_brand, ',' ORDER BY l.pos, p.p_brand) AS refs FROM l JOIN part p ON p.p_partkey = l.l_partkey WHERE p.p_size < 25 GROUP BY 1""")
+@query("""WITH l AS (SELECT l_orderkey, l_partkey, min((l_linenumber, l_suppkey, l_extendedprice)) AS pos FROM lineitem GROUP BY 1, 2) SELECT l.l_orderkey, string_agg(p.p_brand, ',' ORDER BY l.pos, l.l_partkey) AS refs FROM l JOIN part p ON p.p_partkey = l.l_partkey GROUP BY 1""")
 def evidence_refs_ordered(spark, sf_dir):
-    l = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("pos"))
-    part = read(spark, sf_dir, "part").where("p_size < 25").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    cited = l.join(part, "l_partkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("pos", "p_brand"))).alias("x"))
-    return cited.select("l_orderkey", F.array_join(F.transform("x", lambda x: x.p_brand), ",").alias("refs"))
+    # Every line of an order cites its part, some of them twice; an id that is no part is cited first.
+    l, part = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "part")
+    order = F.struct("l_linenumber", "l_suppkey", "l_extendedprice", "l_partkey")
+    cites = l.groupBy("l_orderkey").agg(F.concat(F.array(F.lit(-1).cast("bigint")), F.transform(F.array_sort(F.collect_list(order)), lambda x: x.l_partkey)).alias("ids"))
+    evidence = l.select("l_orderkey", F.col("l_partkey").alias("id")).distinct().join(part, F.col("id") == F.col("p_partkey")).select("l_orderkey", "id", "p_brand")
+    found = matching.cited(cites, evidence, "l_orderkey", F.col("ids"))
+    return found.select("l_orderkey", F.array_join(F.transform("refs", lambda x: x.p_brand), ",").alias("refs"))
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m') AS m FROM orders) SELECT a.o_orderkey, count(b.o_orderkey) AS n, coalesce(string_agg(CAST(b.o_orderkey AS VARCHAR), ',' ORDER BY b.o_orderkey), '') AS siblings

@@ -159,9 +159,9 @@ def region_summary(spark, sf_dir):
     return statistics.region_summary(o, "province", "o_totalprice", "o_orderpriority", F.year("o_orderdate"), F.col("o_totalprice") > 100000, ("AFRICA", "AMERICA", "EUROPE"))
 
 
-@query("""WITH c AS (SELECT p_brand AS name, count(*) AS n FROM part WHERE p_size < 20 GROUP BY 1), d AS (SELECT n, ntile(5) OVER (ORDER BY n) AS class FROM (SELECT DISTINCT n FROM c)) SELECT c.name, c.n, CAST(d.class AS INTEGER) AS class FROM c JOIN d USING (n)""")
+@query("""WITH c AS (SELECT p_brand AS name, count(*) AS n FROM part GROUP BY 1), d AS (SELECT n, ntile(5) OVER (ORDER BY n) AS class FROM (SELECT DISTINCT n FROM c)) SELECT c.name, c.n, CAST(d.class AS INTEGER) AS class FROM c JOIN d USING (n)""")
 def colour_classes(spark, sf_dir):
-    counts = read(spark, sf_dir, "part").where("p_size < 20").groupBy(F.col("p_brand").alias("name")).agg(F.count("*").alias("n"))
+    counts = read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name")).agg(F.count("*").alias("n"))
     return statistics.classes(counts, "n").select("name", "n", "class")
 
 

@@ -57,8 +57,9 @@ def absent(new: DataFrame, stored: DataFrame, key: str) -> DataFrame:
 
 
 def raw_store(files: DataFrame) -> DataFrame:
-    """Binary files (path, content) by their hash, each content once."""
-    return files.select(sha256("content").alias("raw_sha256"), "path", "content").dropDuplicates(["raw_sha256"])
+    """Binary files (path, content) by their hash, each content once, under its least path."""
+    each = files.select(sha256("content").alias("raw_sha256"), "path", "content")
+    return each.groupBy("raw_sha256").agg(F.min("path").alias("path"), F.any_value("content").alias("content"))
 
 
 def replaced(df: DataFrame, path: str) -> DataFrame:
