@@ -15,30 +15,47 @@ INTERNAL = ("content_fingerprint", "is_demo", "content_changed_at", "version")
 STORAGE = ("raw_path", "text_path")
 
 
-def nested(parents: DataFrame, children: DataFrame, key: str, name: str, position: str = "position") -> DataFrame:
+def nested(parents: DataFrame, children: DataFrame, key: str, name: str, position: str = "position", child_key: str | None = None) -> DataFrame:
     """Parents with their children (all columns but the key and the position) as an array of structs in order; an empty array without any. Children of no parent are left out."""
-    fields = [c for c in children.columns if c not in (key, position)]
-    lists = children.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(position).alias("at"), F.struct(*fields).alias("x")))).alias("_l"))
+    child_key = child_key or key
+    fields = [c for c in children.columns if c not in (child_key, position)]
+    lists = children.groupBy(F.col(child_key).alias("_parent")).agg(F.array_sort(F.collect_list(F.struct(F.col(position).alias("at"), F.struct(*fields).alias("x")))).alias("_l"))
     kind = F.array().cast(f"array<{children.select(F.struct(*fields).alias('x')).schema['x'].dataType.simpleString()}>")
-    return parents.join(lists, key, "left").withColumn(name, F.coalesce(F.transform("_l", lambda e: e.x), kind)).drop("_l")
+    return parents.join(lists, F.col(key) == F.col("_parent"), "left").withColumn(name, F.coalesce(F.transform("_l", lambda e: e.x), kind)).drop("_l", "_parent")
 
 
-def assembled(parents: DataFrame, cycles: DataFrame, evidence: DataFrame, key: str = "id") -> DataFrame:
-    """Records of their three tables, the inverse of taken_apart."""
-    return nested(nested(parents, cycles, key, "cycles"), evidence, key, "evidence")
+#: Lists of a record that have a table of their own.
+LISTS = ("cycles", "evidence", "source_refs")
+#: The record's key in these tables, whose rows may have ids of their own.
+RECORD = "record_id"
+
+
+def assembled(tables: Mapping[str, DataFrame], key: str = "id") -> DataFrame:
+    """Records of their tables, the inverse of taken_apart: opportunities with those of cycles, evidence and source_refs that are there. A list that the opportunity notes as absent is null."""
+    out = tables["opportunities"]
+    for name in LISTS:
+        if name in tables:
+            out = nested(out, tables[name], key, name, child_key=RECORD if RECORD in tables[name].columns else None)
+            if "absent" in out.columns:
+                out = out.withColumn(name, F.when(~F.array_contains("absent", name), F.col(name)))
+    return out.drop("absent")
 
 
 def unnested(records: DataFrame, key: str, name: str) -> DataFrame:
-    """The children of an array of structs with their position, from 0."""
-    return records.select(key, F.posexplode(name).alias("position", "_x")).select(key, "position", "_x.*")
+    """The children of an array of structs with their record (record_id) and their position, from 0."""
+    return records.select(F.col(key).alias(RECORD), F.posexplode(name).alias("position", "_x")).select(RECORD, "position", "_x.*")
 
 
-def taken_apart(records: DataFrame, key: str = "id") -> dict[str, DataFrame]:
-    """Tables of records with arrays cycles, evidence and source_refs, and application (group_id, group_label, url): opportunities, cycles, evidence, members of application groups, and source references."""
-    cycles = unnested(records, key, "cycles")
+def members_of(records: DataFrame, key: str = "id") -> DataFrame:
+    """(group_id, cycle_key, key, label, url) of the application group of each cycle that has one."""
     app = records.select(key, F.col("application.group_id").alias("_group"), F.col("application.group_label").alias("label"), F.col("application.url").alias("url"), F.explode("cycles").alias("c"))
-    members = app.select(effective_group(F.col("c.group_stated"), F.col("c.application_group_id"), F.col("_group")).alias("group_id"), "c.cycle_key", key, "label", "url").where("group_id <> ''")
-    return {"opportunities": records.drop("cycles", "evidence"), "cycles": cycles, "evidence": unnested(records, key, "evidence"), "members": members, "source_refs": unnested(records, key, "source_refs")}
+    return app.select(effective_group(F.col("c.group_stated"), F.col("c.application_group_id"), F.col("_group")).alias("group_id"), "c.cycle_key", key, "label", "url").where("group_id <> ''")
+
+
+def taken_apart(records: DataFrame, key: str = "id") -> dict[str, DataFrame]:
+    """Tables of records with arrays cycles, evidence and source_refs, and application (group_id, group_label, url): opportunities (with ``absent``, the lists that are null), cycles, evidence, source references, and members of application groups."""
+    absent = F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in LISTS)))
+    return {"opportunities": records.withColumn("absent", absent).drop(*LISTS), "members": members_of(records, key)} | {c: unnested(records, key, c) for c in LISTS}
 
 
 def effective_group(stated: Column, own: Column, shared: Column) -> Column:
@@ -46,13 +63,15 @@ def effective_group(stated: Column, own: Column, shared: Column) -> Column:
     return F.when(F.coalesce(stated, F.lit(False)), own).otherwise(shared)
 
 
-def round_trip_losses(records: DataFrame, key: str = "id") -> DataFrame:
-    """Records (key) that differ from what their tables give again; none, if nothing is lost."""
-    parts = taken_apart(records, key)
-    again = assembled(parts["opportunities"], parts["cycles"], parts["evidence"], key)
-    digest = lambda df: df.select(key, F.xxhash64(F.to_json(F.struct(*sorted(records.columns)))).alias("h"))
-    a, b = digest(records).withColumnRenamed("h", "before"), digest(again).withColumnRenamed("h", "after")
-    return a.join(b, key, "full").where(~F.col("before").eqNullSafe(F.col("after"))).select(key)
+def round_trip_losses(records: DataFrame, key: str = "id", tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """Records (key) that differ from what their tables (default: as taken_apart makes them) give again, or whose groups' members do; none, if nothing is lost."""
+    parts = tables or taken_apart(records, key)
+    again = assembled(parts, key)
+    digest = lambda df, name: df.select(key, F.xxhash64(F.to_json(F.struct(*sorted(records.columns)), {"ignoreNullFields": "false"})).alias(name))
+    changed = digest(records, "before").join(digest(again, "after"), key, "full").where(~F.col("before").eqNullSafe(F.col("after"))).select(key)
+    sides = members_of(records, key).withColumn("n", F.lit(1)).unionByName(parts["members"].withColumn("n", F.lit(-1)))
+    uneven = sides.groupBy("group_id", "cycle_key", key, "label", "url").agg(F.sum("n").alias("n")).where("n <> 0").select(key)
+    return changed.union(uneven).distinct()
 
 
 def with_defaults(records: DataFrame, defaults: Mapping[str, Column]) -> DataFrame:

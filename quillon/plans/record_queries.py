@@ -21,7 +21,7 @@ def lines(spark, sf_dir):
 def record_assembly(spark, sf_dir):
     parents = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
     children = lines(spark, sf_dir).withColumnRenamed("l_orderkey", "id")
-    whole = records.assembled(parents, children.select("id", "position", "l_partkey"), children.select("id", "position", "l_suppkey"))
+    whole = records.assembled({"opportunities": parents, "cycles": children.select("id", "position", "l_partkey"), "evidence": children.select("id", "position", "l_suppkey")})
     return whole.select(F.col("id").alias("o_orderkey"), F.array_join(F.transform("cycles", lambda c: c.l_partkey.cast("string")), ",").alias("parts"), F.size("evidence").alias("n"))
 
 
@@ -29,7 +29,7 @@ def record_assembly(spark, sf_dir):
 def record_child_rows(spark, sf_dir):
     parents = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
     whole = records.nested(parents, lines(spark, sf_dir).select("l_orderkey", "position", "l_partkey"), "l_orderkey", "cycles")
-    return records.unnested(whole, "l_orderkey", "cycles")
+    return records.unnested(whole, "l_orderkey", "cycles").withColumnRenamed("record_id", "l_orderkey")
 
 
 GATE = """CASE o_orderstatus WHEN 'P' THEN 'draft' ELSE 'published' END AS publication_status, CASE o_orderpriority WHEN '1-URGENT' THEN 'award_collection' ELSE 'award' END AS opportunity_type,

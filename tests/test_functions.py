@@ -79,3 +79,23 @@ def test_urls(spark):
 def test_canonical_json(spark):
     row = one(spark, hashing.canonical_json(F.lit('{"b": 1, "a": "é"}')), hashing.canonical_json(F.lit("{")), hashing.has_duplicate_keys(F.lit('{"a": {"b": 1, "b": 2}}')))
     assert list(row) == ['{"a":"é","b":1}', None, True]
+
+
+def test_windows_of_zones_and_hours(spark):
+    """Whole days, stated times, generic and abbreviated zones, repeated and skipped hours."""
+    cases = [
+        ("2026-10-07", None, "America/Vancouver", "2026-10-08T07:00:00Z", "2026-10-08T07:00:00Z", "", "end_of_local_day"),
+        ("2026-10-07", None, None, "2026-10-07T10:00:00Z", "2026-10-08T12:00:00Z", "timezone_unknown", "end_of_local_day"),
+        ("2026-07-15", "23:59", "Eastern Time", "2026-07-16T04:00:00Z", "2026-07-16T04:00:00Z", "", "stated_time"),
+        ("2026-07-15", "23:59", "EST", "2026-07-16T04:00:00Z", "2026-07-16T05:00:00Z", "timezone_ambiguous", "stated_time"),
+        ("2026-01-15", "12:00:00", "PST", "2026-01-15T20:00:01Z", "2026-01-15T20:00:01Z", "", "stated_time"),
+        ("2026-11-01", "01:30", "America/Toronto", "2026-11-01T05:31:00Z", "2026-11-01T06:31:00Z", "dst_repeated_local_time", "stated_time"),
+        ("2026-03-08", "02:29", "America/Toronto", "2026-03-08T06:30:00Z", "2026-03-08T07:30:00Z", "dst_skipped_local_time", "stated_time"),
+    ]
+    from pyspark.sql import functions as F
+
+    from quillon.functions import dates
+
+    d = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, date string, local_time string, zone string").withColumn("w", dates.close_window(F.lit("datetime"), F.col("date"), F.col("local_time"), F.col("zone")))
+    rows = d.select("date", "local_time", "zone", dates.utc_text(F.timestamp_seconds("w.earliest")), dates.utc_text(F.timestamp_seconds("w.latest")), F.array_join("w.flags", ","), "w.basis", "i").orderBy("i").collect()
+    assert [tuple(r)[:7] for r in rows] == cases
