@@ -225,3 +225,26 @@ def with_groups(details: DataFrame, entries: DataFrame, url: str) -> DataFrame:
     """Detail pages with the group that the directory names for their address (the last row's, empty ones as null); null where no row leads there."""
     named = entries.where("detail_url is not null").groupBy(urls.secure(F.col("detail_url")).alias("_to")).agg(F.max_by("indigenous_group", F.struct("row_ordinal", "indigenous_group")).alias("group"))
     return details.join(named, urls.secure(F.col(url)) == F.col("_to"), "left").drop("_to").withColumn("group", F.when(F.col("group") != "", F.col("group")))
+
+
+# Cues of sentences about how to apply, and how much of one is kept.
+POLICY_CUE = r"(?i)\b(deadline|one application|single application|apply once|shared|application form|documents?|transcript|intake|cycle|submit|eligib)\b"
+POLICY_CHARS = 400
+
+
+def policy_facts(blocks: DataFrame, key: str) -> DataFrame:
+    """(key, paragraph_index, heading, quote, dates, figures) of each paragraph that speaks of how to apply: the nearest heading above it, its beginning in canonical text, and the dates and dollar figures that it states. What they mean for single records is left to people."""
+    run = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    headed = blocks.withColumn("heading", F.last(F.when(F.col("level") > 0, F.col("text")), ignorenulls=True).over(run))
+    plain = texts.canonical(F.col("text"))
+    figures = F.regexp_extract_all(plain, F.lit(r"(\$\s?\d[\d,]*(?:\.\d+)?)"), 1)
+    return headed.where((F.col("level") == 0) & F.col("text").rlike(POLICY_CUE)).select(key, F.col("pos").alias("paragraph_index"), "heading", F.substring(plain, 1, POLICY_CHARS).alias("quote"), stated_dates(plain).alias("dates"), figures.alias("figures"))
+
+
+def page_triage(blocks: DataFrame, key: str) -> DataFrame:
+    """A row for each page: paragraphs with a deadline's words, with a stated date, with a dollar figure, and about who may apply; ``promising`` where a paragraph has both a deadline's words and a date, or where figures and conditions stand together on the page."""
+    text, level = F.col("text"), F.col("level")
+    cue, dated, money, told = text.rlike(DEADLINE_CUE), F.size(stated_dates(text)) > 0, text.rlike(r"\$\s?\d"), text.rlike(ELIGIBILITY_CUE)
+    count = lambda c: F.count_if((level == 0) & c)
+    made = blocks.groupBy(key).agg(count(cue).alias("deadline_words"), count(dated).alias("dated"), count(cue & dated).alias("dated_deadlines"), count(money).alias("figures"), count(told).alias("conditions"))
+    return made.withColumn("promising", (F.col("dated_deadlines") > 0) | ((F.col("figures") > 0) & (F.col("conditions") > 0)))

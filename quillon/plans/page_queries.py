@@ -137,3 +137,21 @@ def directory_details(spark, sf_dir):
     parts = sections.directory_parts(directory_pages(spark, sf_dir), "page", "html", "url")
     visits = sections.directory_links(parts, "page").select("page", "url")
     return sections.with_groups(visits, sections.directory_entries(parts, "page"), "url").select("page", "url", "group")
+
+
+#: All paragraphs of the customers' pages, with the heading of their order.
+PARAGRAPHS = """p AS (SELECT o_custkey AS c_custkey, o_orderdate, o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'Related' WHEN year(o_orderdate) < 1995 THEN o_orderpriority || ' (award no. ' || (o_orderkey + 1000) || ')' ELSE o_orderpriority END AS heading,
+        l_returnflag, l_linestatus, l_shipdate, l_partkey, l_suppkey, l_quantity, l_linenumber, l_extendedprice, l_orderkey FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey),
+    b AS (SELECT *, 2 + dense_rank() OVER (PARTITION BY c_custkey ORDER BY o_orderdate, o_orderkey) + count(l_orderkey) OVER (PARTITION BY c_custkey ORDER BY o_orderdate, o_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS pos,
+        CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'The deadline is ' || strftime(l_shipdate, '%B %-d, %Y') || '.' END AS due FROM p)"""
+
+
+@query(rf"""WITH {PARAGRAPHS} SELECT c_custkey, CAST(pos AS INTEGER) AS paragraph_index, heading, due AS quote, strftime(l_shipdate, '%Y-%m-%d') AS dates, 0 AS n_figures FROM b WHERE due IS NOT NULL""")
+def policy_facts(spark, sf_dir):
+    facts = sections.policy_facts(documents.blocks(award_pages(spark, sf_dir), "c_custkey", "html", "url"), "c_custkey")
+    return facts.select("c_custkey", "paragraph_index", "heading", "quote", F.array_join(F.transform("dates", lambda d: d.cast("string")), ",").alias("dates"), F.size("figures").alias("n_figures"))
+
+
+@query(rf"""WITH {PARAGRAPHS} SELECT c_custkey, count(due) AS deadline_words, count(due) AS dated, count(due) AS dated_deadlines, CAST(0 AS BIGINT) AS figures, count(*) FILTER (WHERE l_returnflag = 'R') AS conditions, count(due) > 0 AS promising FROM b GROUP BY c_custkey""")
+def page_triage(spark, sf_dir):
+    return sections.page_triage(documents.blocks(award_pages(spark, sf_dir), "c_custkey", "html", "url"), "c_custkey")

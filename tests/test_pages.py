@@ -118,3 +118,13 @@ def test_source_findings(spark):
     files = spark.createDataFrame([("s1", b"r", b"t"), ("s2", None, b"t")], "snapshot_id string, raw binary, text binary")
     refs = spark.createDataFrame([("a", 0, "s1", sha(b"r"), sha(b"u")), ("a", 1, "s2", sha(b"r"), sha(b"t")), ("b", 0, "s9", "", "")], "record_id string, at int, snapshot_id string, raw_sha256 string, text_sha256 string")
     assert sorted((r.path, r.code) for r in quotes.source_findings(refs, files).collect()) == [("/source_refs/0", "evidence.raw_missing"), ("/source_refs/0", "evidence.text_missing"), ("/source_refs/0/text_sha256", "source_ref.text_hash_mismatch"), ("/source_refs/1", "evidence.raw_missing")]
+
+
+def test_policy_facts_and_triage(spark):
+    b = blocks(spark, [(1, "<p>Submit one form.</p><h2>Deadline</h2><p>Due March 5, 2026 or April 31, 2026: $1,500.50 “each”</p><p>nothing</p>"), (2, "<p>$20 for residents</p>"), (3, "<p>due soon</p>")])
+    facts = sorted(sections.policy_facts(b, "page").collect())
+    assert [(f.page, f.paragraph_index, f.heading, f.quote) for f in facts] == [(1, 0, None, "Submit one form.")]
+    more = b.withColumn("text", F.concat(F.lit("Documents: "), "text"))
+    got = {(f.page, f.paragraph_index): f for f in sections.policy_facts(more, "page").collect()}
+    assert got[1, 2].heading == "Documents: Deadline" and [str(d) for d in got[1, 2].dates] == ["2026-03-05"] and got[1, 2].figures == ["$1,500.50"] and got[1, 2].quote.endswith('"each"')
+    assert {r.page: r.promising for r in sections.page_triage(b, "page").collect()} == {1: True, 2: True, 3: False}
