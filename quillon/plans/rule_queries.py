@@ -92,6 +92,40 @@ def rule_blame_lists(spark, sf_dir):
     return rules.blamed(folded, rules.ancestors(tree, 3), outcomes, "c_custkey")
 
 
+LABELS, PRETTY = {"segment": "Segment", "region": "Region", "level": "Balance"}, {"BUILDING": "buildings"}
+QUESTIONS = {"segment": "Which segment?", "level": "Which balance?"}
+BLAMED = f"""{TRUTH}, d(rule_id, leaf, f, says) AS (VALUES ('building', 0, 'segment', 'Segment is one of buildings, MACHINERY'), ('either', 1, 'region', 'Region is EUROPE'), ('either', 2, 'level', 'Balance is at least 5000'), ('nested', 1, 'segment', 'Segment is one of buildings, HOUSEHOLD'),
+        ('nested', 3, 'region', 'Region is ASIA'), ('nested', 4, 'level', 'Balance is at least 1000'), ('nested', 5, 'region', 'Region is one of ASIA, EUROPE, AMERICA'), ('open', 0, 'segment', 'Segment is AUTOMOBILE'), ('open', 1, NULL, 'as the provider decides')),
+    l AS (SELECT c_custkey, 'building' AS rule_id, 0 AS leaf, s1 AS x, true AS same FROM t UNION ALL SELECT c_custkey, 'either', 1, r1, r1 = greatest(r1, l1) FROM t UNION ALL SELECT c_custkey, 'either', 2, l1, l1 = greatest(r1, l1) FROM t
+        UNION ALL SELECT c_custkey, 'nested', 1, s2, s2 = least(s2, greatest(r2, l2)) FROM t UNION ALL SELECT c_custkey, 'nested', 3, r2, r2 = greatest(r2, l2) AND r2 = least(s2, greatest(r2, l2)) FROM t
+        UNION ALL SELECT c_custkey, 'nested', 4, l2, l2 = greatest(r2, l2) AND l2 = least(s2, greatest(r2, l2)) FROM t UNION ALL SELECT c_custkey, 'nested', 5, r3, true FROM t UNION ALL SELECT c_custkey, 'open', 0, s3, true FROM t UNION ALL SELECT c_custkey, 'open', 1, 1, true FROM t),
+    y AS (SELECT l.c_custkey, l.rule_id, w.truth, l.leaf, l.x, d.f, d.says FROM l JOIN w USING (c_custkey, rule_id) JOIN d USING (rule_id, leaf) WHERE same AND CASE WHEN w.truth = 1 THEN l.x > 0 ELSE l.x = w.truth END)"""
+
+
+@query(f"""{BLAMED}, z AS (SELECT w.c_custkey, w.rule_id, w.truth, CASE w.truth WHEN 0 THEN 'not_eligible' WHEN 2 THEN 'potential_fit' ELSE CASE WHEN w.rule_id = 'open' THEN 'needs_provider_confirmation' ELSE 'needs_information' END END AS match_status,
+        coalesce(string_agg(says, '; ' ORDER BY leaf) FILTER (WHERE x = 2), '') AS passed, coalesce(string_agg(says, '; ' ORDER BY leaf) FILTER (WHERE x = 0), '') AS failed, coalesce(string_agg(says, '; ' ORDER BY leaf) FILTER (WHERE x = 1), '') AS unknown,
+        coalesce(string_agg(f, ',' ORDER BY leaf) FILTER (WHERE x = 1 AND f IS NOT NULL), '') AS missing_fields, coalesce(string_agg('Which ' || CASE f WHEN 'level' THEN 'balance' ELSE f END || '?', ',' ORDER BY leaf) FILTER (WHERE x = 1 AND f IS NOT NULL), '') AS questions,
+        coalesce(string_agg('The source leaves this open: ' || says, ',') FILTER (WHERE x = 1 AND f IS NULL), '') AS uncertainties FROM w LEFT JOIN y USING (c_custkey, rule_id) GROUP BY ALL)
+    SELECT c_custkey, rule_id, match_status, passed, failed, unknown, missing_fields, questions, uncertainties, CASE match_status
+        WHEN 'not_eligible' THEN 'You do not appear to meet the recorded conditions. Check the failed rules and the official page in case your situation is an exception: https://o.example.org/' || rule_id
+        WHEN 'needs_information' THEN 'Answer the clarification questions so the remaining conditions can be checked.'
+        WHEN 'needs_provider_confirmation' THEN 'Some conditions can only be confirmed by the provider or administrator. Contact them via ' || CASE WHEN rule_id = 'open' THEN 'https://c.example.org/' ELSE 'https://o.example.org/' || rule_id END || '.'
+        ELSE CASE region WHEN 'ASIA' THEN 'You appear to meet the recorded conditions and the application window looks open. Review the official page and apply: ' || CASE rule_id WHEN 'building' THEN 'https://a.example.org/' ELSE 'https://o.example.org/' || rule_id END
+            WHEN 'EUROPE' THEN 'You appear to meet the recorded conditions, but applications have not opened yet. Check https://o.example.org/' || rule_id || ' for the opening date.'
+            WHEN 'AMERICA' THEN 'You appear to meet the recorded conditions, but this cycle has closed. Check https://o.example.org/' || rule_id || ' for the next intake.'
+            WHEN 'AFRICA' THEN 'You appear to meet the recorded conditions. The deadline is set locally; contact the administrator: ' || CASE rule_id WHEN 'building' THEN 'https://a.example.org/' ELSE 'https://o.example.org/' || rule_id END
+            ELSE 'You appear to meet the recorded conditions. Confirm the current application window on the official page: https://o.example.org/' || rule_id END END AS next_action FROM z JOIN p USING (c_custkey)""")
+def match_explained(spark, sf_dir):
+    who = profiles(spark, sf_dir)
+    found = matching.explained(nodes(spark), who, "c_custkey", KINDS, LABELS, QUESTIONS, PRETTY).join(who.select("c_custkey", "region"), "c_custkey")
+    region, rule = F.col("region"), F.col("rule_id")
+    window = F.when(region == "ASIA", "open").when(region == "EUROPE", "upcoming").when(region == "AMERICA", "closed").when(region == "AFRICA", "contact_administrator").otherwise("unknown")
+    action = matching.next_action(F.col("match_status"), window, F.concat(F.lit("https://o.example.org/"), rule), F.when(rule == "building", "https://a.example.org/"), F.when(rule == "open", "https://c.example.org/").otherwise(""))
+    words = lambda c, name: F.array_join(F.transform(c, lambda x: x.description), "; ").alias(name)
+    return found.select("c_custkey", "rule_id", "match_status", words("passed_rules", "passed"), words("failed_rules", "failed"), words("unknown_rules", "unknown"), F.array_join("missing_fields", ",").alias("missing_fields"),
+                        F.array_join("clarification_questions", ",").alias("questions"), F.array_join("source_uncertainties", ",").alias("uncertainties"), action.alias("next_action"))
+
+
 @query(f"""WITH {PROFILES} SELECT c_custkey, CAST(CASE WHEN segment IS NULL THEN 1 WHEN segment IN ('BUILDING', 'MACHINERY') THEN 2 ELSE 0 END AS INTEGER) AS in_segment,
     CAST(CASE WHEN level IS NULL THEN 1 WHEN level >= 5000 THEN 2 ELSE 0 END AS INTEGER) AS rich, CAST(CASE WHEN segment = 'BUILDING' THEN 2 ELSE 1 END AS INTEGER) AS named FROM p""")
 def kleene_rule_eval(spark, sf_dir):

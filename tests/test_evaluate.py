@@ -65,3 +65,24 @@ def test_first_mentions_and_first_predicates(spark):
     earlier = nodes.withColumn("cycle", F.lit(0)).withColumn("value_arr", F.array(F.lit("early"))).where("field = 'gpa'")
     assert [r.value_arr for r in evaluate.first_predicate(nodes, "campus").collect()] == [["x"]]
     assert [r.value_arr for r in evaluate.first_predicate(nodes.unionByName(earlier), "gpa").collect()] == [["early"]]
+
+
+def test_explained_matches(spark):
+    from quillon.operators import matching
+
+    cond = lambda field, op, value, *ids, **more: {**p(field, op, value), "evidence_ids": list(ids), **more}
+    nodes = trees(spark, r={"mandatory": [cond("education_level", "in", ["full_degree", "college"], "e2", "e1"), {"type": "any", "children": [cond("campus", "eq", "North", "e1"), cond("gpa", "gte", 3, "e3", scale="4.0")]}], "unstructured": [{"text": "ask us", "evidence_ids": ["e4"]}]})
+    who = spark.createDataFrame([(1, "college", "South", "2.0", "4.0"), (2, "none", None, None, None), (3, "college", "north ", "1", "4.0")], "who int, education_level string, campus string, gpa string, gpa_scale string")
+    kinds = {"education_level": "enum", "campus": "soft", "gpa": "decimal"}
+    got = {r.who: r for r in matching.explained(nodes, who, "who", kinds, {"gpa": "Average"}, {"campus": "Where?"}, {"college": "College"}, scale="gpa_scale").collect()}
+    one = got[1]
+    assert one.match_status == "needs_provider_confirmation" and [x.description for x in one.passed_rules] == ["education_level is one of full degree, College"]
+    assert [(x.path, x.reason) for x in one.unknown_rules] == [("/mandatory/1/children/0", "mapping_ambiguous"), ("/unstructured/0", "source_unknown")] and one.failed_rules == []
+    assert one.source_uncertainties == ["campus: your answer could not be matched to the rule by name; the provider must confirm (campus is North).", "The source leaves this open: ask us"]
+    assert one.cited == ["e2", "e1", "e4"] and one.missing_fields == []
+    assert got[2].match_status == "not_eligible" and [x.field for x in got[2].failed_rules] == ["education_level"] and got[2].unknown_rules == []
+    assert got[3].match_status == "needs_provider_confirmation" and [x.field for x in got[3].passed_rules] == ["education_level", "campus"]
+    two = {r.who: r for r in matching.explained(nodes.where("section = 'mandatory'"), who.withColumn("education_level", F.lit("college")), "who", kinds, {}, {"campus": "Where?", "gpa": "What?"}, scale="gpa_scale").collect()}
+    assert two[2].missing_fields == ["campus", "gpa"] and two[2].clarification_questions == ["Where?", "What?"] and two[2].match_status == "needs_information"
+    plain = {(r.who, r.rule_id): r.match_status for r in matching.matched(nodes, who, "who", kinds, "gpa_scale").collect()}
+    assert plain == {(k, "r"): r.match_status for k, r in got.items()}
