@@ -111,6 +111,10 @@ def block_headings(spark, sf_dir):
     return marked.select("doc_id", F.col("pos").cast("long").alias("pos"), "heading", "section")
 
 
+#: Quotes whose words every executor may hold.
+FEW_QUOTES = 100_000
+
+
 @query("SELECT d.doc_id, b.item_id, CAST(instr(d.text, b.text) - 1 AS INTEGER) AS text_start FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def quote_locate(spark, sf_dir):
     # Quotes meet texts at one word, their longest inner one; whether a text holds the whole quote is then looked up.
@@ -121,7 +125,10 @@ def quote_locate(spark, sf_dir):
     keyed = b.withColumn("word", F.get(F.array_sort(inner, lambda x, y: F.length(y) - F.length(x)), 0))
     # Texts stay out of the join by words: only ids and words are shuffled.
     words = d.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    pairs = words.join(keyed.where("word is not null").select("word", "item_id"), "word").select("doc_id", "item_id").distinct()
+    wanted = keyed.where("word is not null").select("word", "item_id")
+    # Few quotes go to the texts, so that no word is shuffled; many meet the words by a shuffle.
+    few = b.limit(FEW_QUOTES + 1).count() <= FEW_QUOTES
+    pairs = words.join(F.broadcast(wanted) if few else wanted, "word").select("doc_id", "item_id").distinct()
     held = F.contains("text", F.col("quote"))
     columns = ["doc_id", "text", "item_id", "quote"]
     hits = d.join(pairs, "doc_id").join(b, "item_id").where(held).select(columns).union(d.join(keyed.where("word is null"), held).select(columns))

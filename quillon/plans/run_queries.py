@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import documents, merge, runs
+from ..sources import tables as files
 from ..sources.tables import folder
 from ..streaming import store
 from .data_queries import SLICES, slices
@@ -90,3 +92,17 @@ def run_summaries(spark, sf_dir):
     t AS (SELECT * FROM r ORDER BY finished DESC NULLS LAST, run_id DESC LIMIT 25) SELECT run_id, CAST(errors AS VARCHAR) AS errors FROM t WHERE errors > 1 ORDER BY finished DESC NULLS LAST, run_id DESC LIMIT 1""")
 def latest_run(spark, sf_dir):
     return runs.latest(event_runs(spark, sf_dir), F.try_element_at("summary", F.lit("error")).try_cast("int") > 1).select("run_id", F.try_element_at("summary", F.lit("error")).alias("errors"))
+
+
+@query("""SELECT o_orderkey, o_custkey, o_orderpriority, CASE WHEN o_orderstatus = 'P' THEN 'json.duplicate_key' WHEN o_totalprice > 200000 THEN 'json.invalid' END AS issue, true AS in_order FROM orders""")
+def json_lines(spark, sf_dir):
+    """Orders written as JSON lines in files, pending ones with a key twice, dear ones cut short; read back with their line numbers."""
+    at = folder(spark)
+    o = read(spark, sf_dir, "orders")
+    line = F.to_json(F.struct("o_orderkey", "o_custkey", "o_orderpriority"))
+    line = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit('{"o_custkey":0,'), F.substring(line, 2, 10**6))).when(F.col("o_totalprice") > 200000, F.rtrim(F.substring(line, F.lit(1), F.length(line) - 1))).otherwise(line)
+    o.select("o_orderkey", line.alias("value")).repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").select("value").write.text(at)
+    back = files.parsed_lines(files.numbered_lines(spark, at), "o_orderkey long, o_custkey long, o_orderpriority string")
+    own = F.regexp_extract("line", r'"o_orderkey":(\d+)', 1).cast("long")
+    seen = back.withColumn("o_orderkey", own).withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("o_orderkey")))
+    return seen.join(o.select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey").select("o_orderkey", F.coalesce("record.o_custkey", "o_custkey").alias("o_custkey"), F.coalesce("record.o_orderpriority", "o_orderpriority").alias("o_orderpriority"), "issue", (F.col("_n") == F.col("line_no")).alias("in_order"))

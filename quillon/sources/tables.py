@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import canonical_json, has_duplicate_keys, sha256
@@ -25,10 +25,16 @@ def folder(spark: SparkSession) -> str:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, line) of the non-blank lines of text files, from 1, without a byte-order mark. A file is split in one task: for files of bounded size."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    lines = whole.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
-    return lines.where(F.trim("line") != "").select("path", (F.col("n") + 1).alias("line_no"), "line")
+    """(path, line_no, line) of the non-blank lines of text files, from 1, without a byte-order mark (the reader leaves it out).
+
+    Files are split as Spark splits them: lines are numbered within each block of a file, and a block's numbers begin after
+    those of the blocks before it, by one sum over as many rows as there are blocks.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.col("value"), F.monotonically_increasing_id().alias("_id"))
+    blocks = materialised(lines.groupBy("path", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")))
+    before = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = lines.join(before.select("path", "_block", "_first", "_before"), ["path", "_block"]).withColumn("line_no", (F.col("_before") + F.col("_id") - F.col("_first") + 1).cast("int"))
+    return numbered.select("path", "line_no", F.regexp_replace("value", "\r$", "").alias("line")).where(F.trim("line") != "")
 
 
 def parsed_lines(lines: DataFrame, schema) -> DataFrame:

@@ -93,3 +93,21 @@ def test_runs_are_merged_and_the_latest_found(spark):
     latest = lambda c: [r.run_id for r in runs.latest(runs.merged(old, new), c).collect()]
     assert latest(F.lit(True)) == ["c"] and latest(F.col("status") == "ok") == ["a"] and latest(F.lit(False)) == []
     assert [r.run_id for r in runs.latest(runs.merged(old, new), F.col("run_id") == "b", recent=2).collect()] == []
+
+
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    from quillon.sources.tables import numbered_lines
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_bytes("﻿".encode() + b"\r\n".join(b"" if i % 50 == 7 else b"line %d" % i for i in range(1, 4001)))
+    (tmp_path / "in" / "b.jsonl").write_text("x\n\n \ny")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = numbered_lines(spark, f"{tmp_path}/in")
+        assert lines.rdd.getNumPartitions() > 1
+        rows = [(r.path.rsplit("/", 1)[1], r.line_no, r.line) for r in lines.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(r[1:] for r in rows if r[0] == "b.jsonl") == [(1, "x"), (4, "y")]
+    assert sorted(r[1:] for r in rows if r[0] == "a.jsonl") == [(i, f"line {i}") for i in range(1, 4001) if i % 50 != 7]
