@@ -106,7 +106,7 @@ def match_group_pages(spark, sf_dir):
     last = at(max(one.total_groups - SIZE, 2 * SIZE))  # the last page, which does not begin before the third
     rows = one.rows.unionByName(two.rows).unionByName(last.rows)
     counts = F.array_join(F.array_sort(F.transform(F.map_entries("member_status_counts"), lambda e: F.concat(e.key, F.lit("="), e.value.cast("string")))), ",")
-    return rows.select("place", "group_id", "cycle_key", "first", F.array_join("members", ",").alias("members"), counts.alias("counts"), F.lit(one.total).alias("total"), F.lit(one.total_groups).alias("total_groups"), F.lit(one.excluded_closed_count).alias("excluded"))
+    return rows.select("place", "group_id", "cycle_key", "first", F.array_join("members", ",").alias("members"), counts.alias("counts"), F.lit(one.total).cast("long").alias("total"), F.lit(one.total_groups).cast("long").alias("total_groups"), F.lit(one.excluded_closed_count).cast("long").alias("excluded"))
 
 
 @query("""WITH p AS (SELECT l_orderkey, l_returnflag || l_linestatus AS f, min((l_linenumber, l_partkey, l_suppkey)) AS a FROM lineitem GROUP BY ALL) SELECT l_orderkey, string_agg(f, ',' ORDER BY a, f) AS fields FROM p GROUP BY l_orderkey""")

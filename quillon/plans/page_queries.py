@@ -126,7 +126,7 @@ def directory_entries(spark, sf_dir):
 
 
 @query(f"""WITH {DIRECTORY}, p AS (SELECT page, count(*) AS declared_count, max(c_acctbal) > 9900 AS more, count(*) FILTER (WHERE c_mktsegment <> 'MACHINERY') AS entries_observed FROM c GROUP BY page)
-    SELECT page, declared_count, entries_observed, round(entries_observed / declared_count, 4) AS coverage, CASE WHEN more THEN 1 ELSE 0 END AS pagination_links, entries_observed > 0 AND NOT more AND declared_count = entries_observed AS pagination_complete, more AS update_notice FROM p""")
+    SELECT page, declared_count, entries_observed, round(entries_observed / declared_count, 4) AS coverage, CAST(CASE WHEN more THEN 1 ELSE 0 END AS BIGINT) AS pagination_links, entries_observed > 0 AND NOT more AND declared_count = entries_observed AS pagination_complete, more AS update_notice FROM p""")
 def directory_coverage(spark, sf_dir):
     return sections.directory_coverage(sections.directory_parts(directory_pages(spark, sf_dir), "page", "html", "url"), "page")
 
