@@ -55,6 +55,13 @@ def _public_ip(s: pd.Series) -> pd.Series:
     return s.map(one, na_action="ignore").astype("object")
 
 
+def within(url: Column, domains: Column, prefixes: Column) -> Column:
+    """Whether a URL's host is one of the domains (``*.`` before one for its subdomains) and its path begins with one of the prefixes; false if either list is null."""
+    name, path = host(url), F.when(part(url, 3) == "", "/").otherwise(part(url, 3))
+    hosted = F.exists(domains, lambda d: (name == F.lower(d)) | (d.startswith("*.") & name.endswith(F.lower(F.substring(d, 2, 2**30)))))
+    return F.coalesce(hosted & F.exists(prefixes, lambda p: path.startswith(p)), F.lit(False))
+
+
 def refusal(url: Column, allowed: list[tuple[str, str]] | None = None) -> Column:
     """Why a URL may not be fetched: scheme, credentials, host, port, private, not_allowed; null if it may. allowed: (domain, path prefix), ``*.`` before a domain for its subdomains."""
     name, authority = host(url), part(url, 2)

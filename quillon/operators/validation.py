@@ -113,6 +113,33 @@ def cycle_codes(starts_on: Column, ends_on: Column) -> Column:
     return F.array_compact(F.array(F.when(dates.iso_date(starts_on) > dates.iso_date(ends_on), "cycle.dates_inverted")))
 
 
+#: Reviews after which a record may be published, and the seconds by which clocks may differ.
+REVIEWED = ("machine_checked", "human_reviewed")
+AHEAD = 5 * 60
+
+
+def status_codes(r: Column, mode: str | None = None, now: Column | None = None) -> Column:
+    """What a record's status, origin and times violate, as ``code:field``.
+
+    r: a struct with id, review_status, publication_status, extraction_method, is_demo, review (null if there is no
+    review), last_fetched_at and last_verified_at (ISO texts). mode: live or demo, if the data must be so. now: epoch seconds.
+    """
+    reviewed, published = r.review_status.isin(*REVIEWED), r.publication_status == "published"
+    checks = [
+        F.when((r.review_status == "human_reviewed") & r.review.isNull(), "review.record_missing:review"),
+        F.when((F.coalesce(r.last_verified_at, F.lit("")) != "") & ~reviewed, "verification.status_mismatch:last_verified_at"),
+        F.when(published & ~reviewed, "publication.not_reviewed:publication_status"),
+        F.when((r.extraction_method == "llm") & (published | (r.review_status == "machine_checked")), "publication.llm_unreviewed:extraction_method"),
+        F.when(r.is_demo != (r.extraction_method == "demo_synthetic"), "demo.method_mismatch:is_demo"),
+        F.when(r.is_demo & ~r.id.startswith("demo_"), "demo.id_prefix:id"),
+    ]
+    if mode is not None:
+        checks.append(F.when(r.is_demo, "mode.demo_in_live:is_demo") if mode == "live" else F.when(~r.is_demo, "mode.live_in_demo:is_demo"))
+    if now is not None:
+        checks += [F.when(F.unix_seconds(r[f].try_cast("timestamp")) > now + AHEAD, f"time.in_future:{f}") for f in ("last_fetched_at", "last_verified_at")]
+    return F.array_compact(F.array(*checks))
+
+
 def schema_codes(values: dict[str, Column], required: Sequence[str] = (), enums: dict[str, Sequence[str]] | None = None, patterns: dict[str, str] | None = None, most: dict[str, int] | None = None) -> Column:
     """What fields violate of a closed schema: required, enum, pattern and length, each as code:field."""
     checks = [F.when(values[f].isNull(), F.lit(f"schema.required:{f}")) for f in required]
