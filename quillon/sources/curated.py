@@ -27,16 +27,22 @@ LANGUAGE = "en"
 
 @F.pandas_udf(T.StringType())
 def yaml_json(text: pd.Series) -> pd.Series:
-    """The JSON of a YAML document; null where it can't be read. Dates become text. Where no YAML reader is installed, only YAML that is JSON is read."""
+    """The JSON of a YAML document; null where it can't be read. What is JSON is read as such. Dates become text. Where no YAML reader is installed, only JSON is read."""
     try:
-        from yaml import YAMLError, safe_load
+        import yaml
     except ModuleNotFoundError:
-        YAMLError, safe_load = ValueError, json.loads
+        yaml = None
+    failures = (ValueError, TypeError, RecursionError) + ((yaml.YAMLError,) if yaml else ())
+    loader = getattr(yaml, "CSafeLoader", None) or getattr(yaml, "SafeLoader", None)
 
     def one(x):
         try:
-            return json.dumps(safe_load(x), ensure_ascii=False, default=str)
-        except (YAMLError, ValueError, TypeError, RecursionError):
+            return json.dumps(json.loads(x), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            pass
+        try:
+            return json.dumps(yaml.load(x, loader), ensure_ascii=False, default=str) if yaml else None
+        except failures:
             return None
 
     return text.map(one, na_action="ignore").astype("object")
@@ -65,8 +71,7 @@ def _text(node: Column | str, key: str) -> Column:
 def mappings(files: DataFrame, key: str = "source_id") -> DataFrame:
     """(source_id, path, document): of all files that state a source the last by path, whole. Files without a document or source give nothing."""
     stated = files.select(_text("document", key).alias(key), "path", "document").where(F.col(key) != "")
-    last = stated.groupBy(key).agg(F.max("path").alias("path"))
-    return stated.join(last, [key, "path"]).select(key, "path", "document")
+    return stated.groupBy(key).agg(F.max("path").alias("path"), F.max_by("document", "path").alias("document"))
 
 
 def mapping_findings(files: DataFrame, key: str = "source_id") -> DataFrame:
