@@ -130,15 +130,16 @@ def close_window(kind: Column, date: Column, local_time: Column, zone: Column) -
         region = F.coalesce(x.zone.region, F.lit("UTC"))
         # The two readings of a repeated or skipped hour are those by the clock a day before and a day after.
         first, second = x.local - _offset(x.local - DAY, region), x.local - _offset(x.local + DAY, region)
-        settled = F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(x.local), region))
-        return F.struct(x.alias("x"), region.alias("region"), first.alias("first"), second.alias("second"), settled.alias("settled"))
+        return F.struct(x.alias("x"), region.alias("region"), first.alias("first"), second.alias("second"))
 
     def told(r):
         back = lambda instant: F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(instant), r.region))
-        # Where one reading gives the local time back and the other doesn't, the clock changed within a day, but not in this hour.
-        both = (back(r.first) == r.x.local) == (back(r.second) == r.x.local)
-        one, two = F.when(both, r.first).otherwise(r.settled), F.when(both, r.second).otherwise(r.settled)
-        return F.struct(r.x.alias("x"), one.alias("one"), two.alias("two"), (both & (r.first != r.second)).alias("changed"), (back(r.first) == r.x.local).alias("repeated"))
+        # On most days both readings are one. Where one gives the local time back and the other doesn't, the clock changed within a day, but not in this hour.
+        same = r.first == r.second
+        both = same | ((back(r.first) == r.x.local) == (back(r.second) == r.x.local))
+        settled = lambda: F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(r.x.local), r.region))
+        one, two = F.when(both, r.first).otherwise(settled()), F.when(both, r.second).otherwise(settled())
+        return F.struct(r.x.alias("x"), one.alias("one"), two.alias("two"), (~same & both).alias("changed"), (~same & (back(r.first) == r.x.local)).alias("repeated"))
 
     def window(t):
         x, status, region = t.x, t.x.zone.status, t.x.zone.region

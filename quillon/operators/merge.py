@@ -103,8 +103,10 @@ def applied(stored: DataFrame, incoming: DataFrame, planned: DataFrame, key: str
 def superseded(listed: DataFrame, preferred: DataFrame, key: str, title: str, provider: str) -> DataFrame:
     """Keys of listed rows that a preferred row replaces: by key, or by an equal title where one provider's name holds the other's. Titles and names come in comparison form."""
     by_key = listed.join(preferred.select(key), key, "left_semi").select(key)
-    p = preferred.select(F.col(title).alias(title), F.col(provider).alias("_other"))
-    by_title = listed.join(p, title).where(F.contains(F.col(provider), F.col("_other")) | F.contains(F.col("_other"), F.col(provider))).select(key)
+    # A semi join gives a row once, however many preferred rows share its title; repeated ones of these are one.
+    p = preferred.select(F.col(title).alias("_title"), F.col(provider).alias("_other")).distinct()
+    holds = F.contains(F.col(provider), F.col("_other")) | F.contains(F.col("_other"), F.col(provider))
+    by_title = listed.join(p, (F.col(title) == F.col("_title")) & holds, "left_semi").select(key)
     return by_key.union(by_title).distinct()
 
 

@@ -120,14 +120,15 @@ def page(rows: DataFrame, order: Sequence[Column], limit: int = 20, offset: int
     return rows.orderBy(*order).offset(offset).limit(limit), rows.count()
 
 
-def deadline_views(deadlines: Column, as_of: Column) -> Column:
-    """Each deadline with its window, its state at an instant and, where there is only one, its closing instant."""
+def deadline_views(deadlines: Column, as_of: Column, windows: Column | None = None) -> Column:
+    """Each deadline with its window, its state at an instant and, where there is only one, its closing instant. windows: their windows_of, if they are there already."""
 
-    def view(d: Column) -> Column:
-        window = dates.close_window(d.kind, d.date, d.local_time, d.timezone)
-        return dates.bound(window, lambda w: F.struct(d.alias("deadline"), dates.state(w, as_of).alias("state"), dates.exact_close(w).alias("closes_utc"), w.flags.alias("flags")))
+    def view(d: Column, w: Column) -> Column:
+        return F.struct(d.alias("deadline"), dates.state(w, as_of).alias("state"), dates.exact_close(w).alias("closes_utc"), w.flags.alias("flags"))
 
-    return F.transform(deadlines, view)
+    if windows is not None:
+        return F.zip_with(deadlines, windows, view)
+    return F.transform(deadlines, lambda d: dates.bound(dates.close_window(d.kind, d.date, d.local_time, d.timezone), lambda w: view(d, w)))
 
 
 def next_steps(official_url: Column, route: Column, url: Column, contact_url: Column, instructions: Column, documents: Column, siblings: Column) -> Column:
@@ -146,13 +147,13 @@ def detail(records: DataFrame, as_of: Column, key: str = "id") -> DataFrame:
 
     records: key, title, publication_status, application (group_id), cycles (cycle_key, starts_on, ends_on, deadlines, amount, group_stated, application_group_id).
     """
-    cycles = records.select(key, "title", "publication_status", F.col("application.group_id").alias("_group"), F.explode("cycles").alias("c")).select(key, "title", "publication_status", "_group", "c.*")
+    cycles = records.select(key, "title", "publication_status", F.col("application.group_id").alias("_group"), F.explode("cycles").alias("c")).select(key, "title", "publication_status", "_group", "c.*").withColumn("_windows", availability.windows_of(F.col("deadlines")))
     group = effective_group(F.col("group_stated"), F.col("application_group_id"), F.col("_group"))
-    seen = cycles.withColumn("group_id", F.when(group != "", group)).withColumn("availability", availability.availability(F.col("starts_on"), F.col("ends_on"), F.col("deadlines"), as_of))
+    seen = cycles.withColumn("group_id", F.when(group != "", group)).withColumn("availability", availability.availability(F.col("starts_on"), F.col("ends_on"), F.col("deadlines"), as_of, F.col("_windows")))
     place = availability.best_first(key, availability.rank(F.col("availability.status")), availability.latest_date(F.col("starts_on"), F.col("ends_on"), F.col("deadlines")), F.col("cycle_key"))
     seen = seen.withColumn("current", place == 1)
     members = seen.where("group_id is not null and publication_status = 'published'").groupBy("group_id", "cycle_key").agg(F.array_sort(F.collect_set(F.struct(F.col(key).alias("id"), "title"))).alias("_all"))
     joined = seen.join(members, ["group_id", "cycle_key"], "left")
     others = F.transform(F.filter("_all", lambda m: m.id != F.col(key)), lambda m: m.title)
     shared = F.when(F.col("current"), F.coalesce(others, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
-    return joined.select(key, "cycle_key", "current", "availability", deadline_views(F.col("deadlines"), as_of).alias("deadlines"), F.col("amount"), money.reading(F.col("amount.kind")).alias("amount_reading"), "group_id", shared.alias("shared_with"))
+    return joined.select(key, "cycle_key", "current", "availability", deadline_views(F.col("deadlines"), as_of, F.col("_windows")).alias("deadlines"), F.col("amount"), money.reading(F.col("amount.kind")).alias("amount_reading"), "group_id", shared.alias("shared_with"))

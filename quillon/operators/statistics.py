@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialised
+
 # Provinces and territories by code.
 REGIONS = {
     "BC": "British Columbia",
@@ -90,20 +92,18 @@ def figures(records: DataFrame, amount: Column, kind: Column | None = None, curr
     return records.where(keep).select(amount.try_cast("double").alias("x"))
 
 
-def running(values: DataFrame, x: str, bins: int = 64) -> DataFrame:
+def running(values: DataFrame, x: str) -> DataFrame:
     """(x, n, upto, total) of each distinct value: how many there are, how many up to it, and how many in all.
 
-    Distinct values are summed first, ranges of them get their offsets from totals of at most ``bins`` ranges, and each
-    range is summed by itself, so no task sees all of them.
+    Distinct values are counted first and sorted in ranges of about equal size, whatever their distribution; a range's
+    sums begin after those of the ranges before it, so no task sees all of them.
     """
     counts = values.where(F.col(x).isNotNull()).groupBy(x).agg(F.count("*").alias("n"))
-    ends = counts.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.sum("n").alias("total"))
-    width = (F.col("hi") - F.col("lo")) / bins
-    binned = counts.crossJoin(F.broadcast(ends)).withColumn("bin", F.when(width > 0, F.least(F.floor((F.col(x) - F.col("lo")) / width), F.lit(bins - 1))).otherwise(0))
-    sums = binned.groupBy("bin").agg(F.sum("n").alias("in_bin"))
-    before = sums.select("bin", (F.sum("in_bin").over(Window.orderBy("bin")) - F.col("in_bin")).alias("before"))  # at most `bins` rows
-    within = F.sum("n").over(Window.partitionBy("bin").orderBy(x))
-    return binned.join(F.broadcast(before), "bin").select(x, "n", (F.col("before") + within).alias("upto"), "total")
+    ordered = materialised(counts.orderBy(x).select(x, "n", F.spark_partition_id().alias("_range")))
+    sums = ordered.groupBy("_range").agg(F.sum("n").alias("_sum"))
+    before = sums.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_before"), F.sum("_sum").over(Window.partitionBy()).alias("total"))  # as many rows as ranges
+    within = F.sum("n").over(Window.partitionBy("_range").orderBy(x))
+    return ordered.join(F.broadcast(before), "_range").select(x, "n", (F.col("_before") + within).alias("upto"), "total")
 
 
 def quantiles(values: DataFrame, x: str, shares: Sequence[float]) -> DataFrame:
@@ -116,9 +116,9 @@ def quantiles(values: DataFrame, x: str, shares: Sequence[float]) -> DataFrame:
     return found.select(*((F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * part(q)).alias(f"q{round(q * 100):02d}") for i, q in enumerate(shares)))
 
 
-def ecdf(values: DataFrame, x: str, bins: int = 64) -> DataFrame:
+def ecdf(values: DataFrame, x: str) -> DataFrame:
     """(x, share): the share of values up to each distinct one."""
-    return running(values, x, bins).select(x, (F.col("upto") / F.col("total")).alias("share"))
+    return running(values, x).select(x, (F.col("upto") / F.col("total")).alias("share"))
 
 
 def density(values: DataFrame, x: str, points: int = 32) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import dates
 from quillon.operators import availability, documents, matching, merge, publishing, rules, search, statistics, validation
+from quillon.operators import records as nested_records
 from quillon.sources import tables
 
 D = "array<struct<kind:string,date:string,local_time:string,timezone:string>>"
@@ -189,3 +190,28 @@ def test_findings(spark):
     assert {(i.record_id, i.path, i.code) for i in issues.collect()} == {("a", "/kind", "schema.enum"), ("b", "/kind", "schema.required")}
     s = validation.summary(r, issues, "id").first()
     assert (s.total, s.valid, s.invalid, s.errors) == (2, 0, 2, 2)
+
+
+def test_running_counts_of_heavy_tails(spark):
+    values = [float(2**i) for i in range(40) for _ in range(i % 3 + 1)] + [0.5] * 50 + [None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [tuple(r) for r in statistics.running(df, "x").orderBy("x").collect()]
+    known = sorted(v for v in values if v is not None)
+    assert got == [(v, known.count(v), sum(u <= v for u in known), len(known)) for v in sorted(set(known))]
+    assert statistics.running(df.where("false"), "x").count() == 0
+    assert statistics.quantiles(df.where("x < 0"), "x", (0.5,)).first().q50 is None
+
+
+def test_superseded_by_key_or_by_title(spark):
+    listed = spark.createDataFrame([("a", "t", "north college"), ("b", "t", "college"), ("c", "t", "other"), ("d", "u", "x"), ("e", None, "college"), ("f", "t", None), ("g", "", "college")], "id string, title string, provider string")
+    preferred = spark.createDataFrame([("d", "v", "y"), ("p", "t", "college"), ("q", "t", "college"), ("r", None, "college"), ("s", "t", None)], "id string, title string, provider string")
+    assert sorted(r.id for r in merge.superseded(listed, preferred, "id", "title", "provider").collect()) == ["a", "b", "d"]
+
+
+def test_views_share_the_windows_of_availability(spark):
+    deadlines = [("date", "2026-03-08", None, "America/Toronto"), ("datetime", "2026-11-01", "01:30", "America/Toronto"), ("rolling", None, None, None)]
+    df = spark.createDataFrame([(deadlines,), ([],), (None,)], "d array<struct<kind:string,date:string,local_time:string,timezone:string>>")
+    as_of, none, d = F.lit(1_770_000_000), F.lit(None).cast("string"), F.col("d")
+    kept = df.withColumn("w", availability.windows_of(d))
+    for plain, given in ((availability.availability(none, none, d, as_of), availability.availability(none, none, d, as_of, F.col("w"))), (nested_records.deadline_views(d, as_of), nested_records.deadline_views(d, as_of, F.col("w")))):
+        assert [r.x for r in kept.select(given.alias("x")).collect()] == [r.x for r in df.select(plain.alias("x")).collect()]
