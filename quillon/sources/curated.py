@@ -58,7 +58,9 @@ def folder_files(spark: SparkSession, path: str, deep: bool = False, suffixes: S
     files = reader.option("recursiveFileLookup", str(deep).lower()).load(path).select("path", "content")
     plain = F.regexp_replace(F.when(F.is_valid_utf8("content"), F.col("content").cast("string")), "^\\x{FEFF}", "")
     texts = files.select("path", plain.alias("text"), F.col("path").endswith(".json").alias("_json"))
-    written = F.when(F.col("_json"), F.col("text")).otherwise(yaml_json(F.when(~F.col("_json"), F.col("text"))))
+    # Declared non-deterministic, as a filter on what it gives would else be pushed below it with a second call for each file.
+    read_yaml = yaml_json.asNondeterministic()
+    written = F.when(F.col("_json"), F.col("text")).otherwise(read_yaml(F.when(~F.col("_json"), F.col("text"))))
     empty = ~F.col("_json") & (written == "null")
     read = texts.withColumn("document", F.try_parse_json(F.when(empty, "{}").otherwise(written)))
     return read.select("path", "document", F.when(F.col("text").isNull(), "file.encoding").when(F.col("document").isNull(), "file.invalid").alias("issue"))
