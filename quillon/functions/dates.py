@@ -123,8 +123,9 @@ def close_window(kind: Column, date: Column, local_time: Column, zone: Column) -
         hms = F.split(F.trim(local_time), ":")
         stated = F.get(hms, 0).try_cast("int") * 3600 + F.get(hms, 1).try_cast("int") * 60 + F.coalesce(F.get(hms, 2).try_cast("double").cast("int"), F.lit(0))
         timed = F.coalesce(F.trim(local_time), F.lit("")) != ""
-        local = seconds_of(d) + F.when(timed, stated + F.when(F.size(hms) == 2, 60).otherwise(1)).otherwise(DAY)
-        return F.struct(local.alias("local"), timed.alias("timed"), zone_of(zone, d).alias("zone"))
+        # The clock is read at the stated time; the stated minute or second passes after that, also where the clock changes at its end.
+        local, past = seconds_of(d) + F.when(timed, stated).otherwise(DAY), F.when(timed, F.when(F.size(hms) == 2, 60).otherwise(1)).otherwise(0)
+        return F.struct(local.alias("local"), past.alias("past"), timed.alias("timed"), zone_of(zone, d).alias("zone"))
 
     def readings(x):
         region = F.coalesce(x.zone.region, F.lit("UTC"))
@@ -146,7 +147,7 @@ def close_window(kind: Column, date: Column, local_time: Column, zone: Column) -
         options = F.array(F.when(region.isNotNull(), t.one), F.when(region.isNotNull(), t.two), x.local - x.zone.minutes * 60, F.when(status == "unknown", x.local - 14 * 3600), F.when(status == "unknown", x.local + 12 * 3600))
         changed = region.isNotNull() & t.changed
         flags = F.array_sort(F.array_compact(F.array(F.when(status == "unknown", "timezone_unknown"), F.when(status == "ambiguous", "timezone_ambiguous"), F.when(changed & t.repeated, "dst_repeated_local_time"), F.when(changed & ~t.repeated, "dst_skipped_local_time"))))
-        return bound(options, lambda o: F.when(x.local.isNotNull(), F.struct(F.array_min(o).alias("earliest"), F.array_max(o).alias("latest"), flags.alias("flags"), F.when(x.timed, "stated_time").otherwise("end_of_local_day").alias("basis"))))
+        return bound(options, lambda o: F.when(x.local.isNotNull(), F.struct((F.array_min(o) + x.past).alias("earliest"), (F.array_max(o) + x.past).alias("latest"), flags.alias("flags"), F.when(x.timed, "stated_time").otherwise("end_of_local_day").alias("basis"))))
 
     dated = F.when(kind.isin("date", "datetime"), iso_date(date))
     return bound(dated, lambda d: F.when(d.isNotNull(), bound(local_of(d), lambda x: bound(readings(x), lambda r: bound(told(r), window)))))

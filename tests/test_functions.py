@@ -99,3 +99,18 @@ def test_windows_of_zones_and_hours(spark):
     d = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, date string, local_time string, zone string").withColumn("w", dates.close_window(F.lit("datetime"), F.col("date"), F.col("local_time"), F.col("zone")))
     rows = d.select("date", "local_time", "zone", dates.utc_text(F.timestamp_seconds("w.earliest")), dates.utc_text(F.timestamp_seconds("w.latest")), F.array_join("w.flags", ","), "w.basis", "i").orderBy("i").collect()
     assert [tuple(r)[:7] for r in rows] == cases
+
+
+@pytest.mark.parametrize(
+    "date,time,earliest,latest,flags",
+    [
+        ("2030-11-03", "01:59", "2030-11-03T06:00:00Z", "2030-11-03T07:00:00Z", ["dst_repeated_local_time"]),
+        ("2030-11-03", "00:59", "2030-11-03T05:00:00Z", "2030-11-03T05:00:00Z", []),
+        ("2030-03-10", "01:59", "2030-03-10T07:00:00Z", "2030-03-10T07:00:00Z", []),
+        ("2030-03-10", "02:59", "2030-03-10T07:00:00Z", "2030-03-10T08:00:00Z", ["dst_skipped_local_time"]),
+    ],
+)
+def test_last_minute_before_a_change_of_clocks(spark, date, time, earliest, latest, flags):
+    w = dates.close_window(F.lit("datetime"), F.lit(date), F.lit(time), F.lit("Eastern Time"))
+    row = spark.range(1).select(w.alias("w")).select(dates.utc_text(F.timestamp_seconds("w.earliest")), dates.utc_text(F.timestamp_seconds("w.latest")), "w.flags").first()
+    assert list(row) == [earliest, latest, flags]
