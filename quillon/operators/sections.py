@@ -13,6 +13,7 @@ from ..functions import text as texts
 from ..functions import urls
 from ..functions.dates import stated_dates
 from ..functions.hashing import row_fingerprint
+from .documents import whole_references
 
 # Headings that start no record, cues of sentences, a number at a title's end, a sponsor's line, the directory's columns and phrases.
 SKIPPED_HEADINGS = r"(?i)^(on this page|contents|table of contents|related|more information|share|menu|search|contact us|footer|navigation)$"
@@ -162,7 +163,7 @@ class DirectoryParts:
 
     def eval(self, html: str, url: str):
         page = _Tables()
-        page.feed(html or "")
+        page.feed(whole_references(html or ""))
         page.close()
         base = url or ""
 
