@@ -52,8 +52,11 @@ def evidence_index(spark, sf_dir):
 def pointer_lookups(spark, sf_dir):
     d = cited_documents(spark, sf_dir)
     items = F.try_variant_get("document", F.lit("$.evidence"), "array<struct<id string, field_path string>>")
-    found = F.transform(items, lambda e, i: F.struct(i.alias("at"), e.field_path.alias("field_path"), F.try_variant_get(pointers.looked_up(F.col("document"), e.field_path), F.lit("$.date"), "string").alias("date")))
-    return d.select("o_orderkey", F.inline(found)).select("o_orderkey", "at", "field_path", pointers.cycle_of(F.col("field_path")).alias("cycle"), "date")
+    read = d.select("o_orderkey", items.alias("items"), F.to_json("document").alias("json"))
+    read = read.withColumn("led", pointers.all_looked_up("json", F.transform("items", lambda e: e.field_path)))
+    each = read.select("o_orderkey", F.posexplode(F.arrays_zip(F.col("items.field_path").alias("field_path"), "led")).alias("at", "e")).select("o_orderkey", "at", "e.*")
+    date = F.try_variant_get(F.try_parse_json("led"), F.lit("$.date"), "string")
+    return each.select("o_orderkey", "at", "field_path", pointers.cycle_of(F.col("field_path")).alias("cycle"), date.alias("date"))
 
 
 #: Texts with pages, headings, wide spaces, curly quotes, soft hyphens and wide letters; one raw character of the given text becomes one or two.
