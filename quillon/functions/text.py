@@ -64,9 +64,19 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def composed(text: Column) -> Column:
+    """Compatibility-composed. ASCII is so already and stays out of Python."""
+    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
 def canonical(text: Column) -> Column:
     """Compatibility-composed, without zero-width characters, with plain quotes and dashes and single spaces; case is kept."""
-    plain = F.translate(F.regexp_replace(_nfkc(text), ZERO_WIDTH, ""), QUOTES + DASHES, PLAIN_QUOTES + "-" * len(DASHES))
+    return plain_form(composed(text))
+
+
+def plain_form(text: Column) -> Column:
+    """Composed text in its canonical form."""
+    plain = F.translate(F.regexp_replace(text, ZERO_WIDTH, ""), QUOTES + DASHES, PLAIN_QUOTES + "-" * len(DASHES))
     return collapse(plain)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import offsets
 from ..functions.hashing import sha256
-from ..functions.text import canonical
+from ..functions.text import canonical, composed, plain_form
 from .validation import exploded
 
 #: The longest quote, and what parts blocks and pages.
@@ -58,7 +58,10 @@ def findings(evidence: DataFrame, refs: DataFrame, files: DataFrame) -> DataFram
     page = F.when(F.col("pdf_page").isNull(), F.col("_body")).when(F.col("pdf_page") >= 1, F.get("_pages", F.col("pdf_page") - 1))
     e = e.withColumn("_page", page).withColumn("_blocks", F.split("_page", BLOCK))
     scope = F.when(F.col("paragraph_index").isNull(), F.col("_page")).when(F.col("paragraph_index") >= 0, F.get("_blocks", F.col("paragraph_index")))
-    e = e.withColumn("_scope", scope).withColumn("_plain", canonical(F.col("_scope"))).withColumn("_whole", canonical(F.replace("_body", F.lit(PAGE), F.lit(" "))))
+    # A text goes to Python once: what parts pages and blocks is neither made nor lost where characters are composed.
+    own_page = F.when(F.col("pdf_page").isNull(), F.col("_composed")).when(F.col("pdf_page") >= 1, F.get(F.split("_composed", PAGE), F.col("pdf_page") - 1))
+    own_scope = F.when(F.col("paragraph_index").isNull(), own_page).when(F.col("paragraph_index") >= 0, F.get(F.split(own_page, BLOCK), F.col("paragraph_index")))
+    e = e.withColumn("_scope", scope).withColumn("_composed", composed(F.col("_body"))).withColumn("_plain", plain_form(own_scope)).withColumn("_whole", plain_form(F.replace("_composed", F.lit(PAGE), F.lit(" "))))
     held = F.contains("_plain", F.col("_q"))
     own = F.coalesce("paragraph_index", F.array_position(F.transform("_blocks", lambda b: F.contains(F.regexp_replace(b, r"(?U)\s+", " "), F.col("_q"))), True) - 1)
     own = F.when(own < 0, F.size("_blocks") - 1).otherwise(own).cast("int")
