@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -80,6 +81,19 @@ def plain_form(text: Column) -> Column:
     return collapse(plain)
 
 
+_PLAIN = {ord(a): b for a, b in zip(QUOTES + DASHES, PLAIN_QUOTES + "-" * len(DASHES))} | dict.fromkeys(map(ord, ZERO_WIDTH[1:-1]))
+_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def canonical_text(text: str) -> str:
+    """What ``canonical`` gives, for a text that is in Python already."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text).translate(_PLAIN)
+    elif text.isprintable() and "  " not in text:
+        return text.strip(" ")
+    return _SPACES.sub(" ", text).strip(" ")
+
+
 def search_fold(text: Column) -> Column:
     """Canonical text, folded: the form in which listings are searched."""
     return _fold_nfkd(canonical(text))

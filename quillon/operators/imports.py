@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import evidence_id
-from ..functions.text import canonical
+from ..functions.text import canonical_text
 from .pointers import cycle_of
 
 # Fields that hold evidence, and the field that each speaks for (none: the object itself).
@@ -58,63 +60,109 @@ def merged_records(stored: DataFrame, incoming: DataFrame, key: str = "id", supe
 
 
 def _escaped(token: object) -> str:
-    return "/" + str(token).replace("~", "~0").replace("/", "~1")
+    token = str(token)
+    return "/" + (token.replace("~", "~0").replace("/", "~1") if "~" in token or "/" in token else token)
 
 
-def _walk(node, path: str, found: list | None, ids: list | None):
-    """Markers (objects with quote) in a document's evidence fields, in order: noted in found, or replaced by ids."""
-    if isinstance(node, dict):
-        out = {}
+def _places(node, path: str, out: list) -> list[tuple]:
+    """Markers (objects with quote) in the evidence fields of a document's object or list, in order: the list that holds each, its place there, and the path that it speaks for."""
+    if type(node) is dict:
         for name, value in node.items():
-            if name in EVIDENCE_FIELDS and isinstance(value, list):
-                own = EVIDENCE_FIELDS[name]
-                target = path + (_escaped(next((f for f in own if node.get(f)), own[-1])) if own else "")
-                items = []
-                for item in value:
-                    if isinstance(item, dict) and "quote" in item:
-                        if found is not None:
-                            found.append((len(found), target, str(item["quote"]), item.get("snapshot")))
-                        items.append(ids.pop(0) if ids is not None else item)
-                    else:
-                        items.append(item)
-                out[name] = items
-            else:
-                out[name] = _walk(value, path + _escaped(name), found, ids)
-        return out
-    if isinstance(node, list):
-        return [_walk(v, path + _escaped(v["cycle_key"] if path == "/cycles" and isinstance(v, dict) and "cycle_key" in v else i), found, ids) for i, v in enumerate(node)]
-    return node
-
-
-MARKERS = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("field_path", T.StringType()), T.StructField("quote", T.StringType()), T.StructField("snapshot", T.StringType())]))
-
-
-@F.pandas_udf(MARKERS)
-def _markers(s: pd.Series) -> pd.Series:
-    def one(document):
-        found: list = []
-        _walk(json.loads(document), "", found, None)
-        return found
-
-    return s.map(one, na_action="ignore")
+            kind = type(value)
+            if kind is list and name in EVIDENCE_FIELDS:
+                target = None
+                for i, item in enumerate(value):
+                    if type(item) is dict and "quote" in item:
+                        if target is None:
+                            own = EVIDENCE_FIELDS[name]
+                            target = path + (_escaped(next((f for f in own if node.get(f)), own[-1])) if own else "")
+                        out.append((value, i, target))
+            elif value and (kind is dict or kind is list):
+                _places(value, path + _escaped(name), out)
+    elif type(node) is list:
+        for i, v in enumerate(node):
+            if type(v) is dict or type(v) is list:
+                _places(v, path + _escaped(v["cycle_key"] if path == "/cycles" and type(v) is dict and "cycle_key" in v else i), out)
+    return out
+
+
+#: Markers that are passed on at once.
+AT_ONCE = 1 << 14
+
+
+def _markers(batches: Iterator[pa.RecordBatch], once: bool) -> Iterator[pa.RecordBatch]:
+    """A row for each marker of documents (key, own snapshot, document); if ``once``, without those that repeat an earlier one's path, snapshot and canonical quote."""
+    for batch in batches:
+        rows, found = [], []
+
+        def table():
+            columns = zip(*found)  # noqa: B023
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(next(columns), pa.int32()), *(pa.array(c, pa.string()) for c in columns)], names=[batch.schema.names[0], "at", "field_path", "quote", "plain", "snapshot"])  # noqa: B023
+
+        for row, (own, text) in enumerate(zip(batch.column(1), batch.column(2))):
+            if (text := text.as_py()) is None:
+                continue
+            own, seen = own.as_py(), set()
+            for at, (items, i, path) in enumerate(_places(json.loads(text), "", [])):
+                quote, snapshot = str(items[i]["quote"]), items[i].get("snapshot")
+                same = path, canonical_text(quote), own if snapshot is None else str(snapshot)
+                if not once or same not in seen:
+                    seen.add(same)
+                    rows.append(row)
+                    found.append((at, path, quote, *same[1:]))
+            if len(rows) >= AT_ONCE:
+                yield table()
+                rows, found = [], []
+        if rows:
+            yield table()
 
 
 @F.pandas_udf(T.StringType())
 def _replaced(s: pd.Series, ids: pd.Series) -> pd.Series:
-    return pd.Series([None if d is None else json.dumps(_walk(json.loads(d), "", None, list(i) if i is not None else []), ensure_ascii=False, separators=(",", ":")) for d, i in zip(s, ids)], dtype=object)
+    def one(text, ids):
+        if text is None:
+            return None
+        document = json.loads(text)
+        for (items, i, _), made in zip(_places(document, "", []), ids.split(",") if ids is not None else ()):
+            items[i] = made or None
+        return json.dumps(document, ensure_ascii=False, separators=(",", ":"))
+
+    return pd.Series([one(*x) for x in zip(s, ids)], dtype=object)
+
+
+def _named(records: DataFrame, snapshots: DataFrame, key: str, document: str, primary: str, how: str, once: bool = False) -> DataFrame:
+    """Markers (key, at, field_path, quote) with their snapshot's id and the evidence's; ids are null where the snapshot is unknown."""
+    asked = records.select(key, F.col(primary).cast("string"), F.col(document).cast("string"))
+    each = asked.mapInArrow(lambda batches: _markers(batches, once), f"`{key}` {dict(records.dtypes)[key]}, at int, field_path string, quote string, plain string, snapshot string")
+    named = each.join(snapshots.select("snapshot", "snapshot_id"), "snapshot", how)
+    made = evidence_id(F.col("field_path"), F.col("snapshot_id"), F.col("plain"))
+    return named.select(key, "at", "field_path", "quote", "snapshot_id", F.when(F.col("snapshot_id").isNotNull(), made).alias("id"))
+
+
+def attached_documents(records: DataFrame, snapshots: DataFrame, key: str, document: str, primary: str) -> DataFrame:
+    """The records of ``attached``. Only markers travel to the snapshots; documents are rewritten in place, by the ids in the markers' order."""
+    named = _named(records, snapshots, key, document, primary, "left")
+    ids = named.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x.id), ",", "").alias("_ids"))
+    return records.join(ids, key, "left").withColumn(document, _replaced(F.col(document), F.col("_ids"))).drop("_ids")
+
+
+def attached_evidence(records: DataFrame, snapshots: DataFrame, key: str, document: str, primary: str) -> DataFrame:
+    """The evidence of ``attached``.
+
+    Markers that repeat others of their document are left out where the document is read. What is left has the same id twice
+    only where a snapshot goes by several names (or is listed twice); only then markers are grouped by key and id.
+    """
+    known = snapshots.where("snapshot is not null and snapshot_id is not null")
+    named = _named(records, known, key, document, primary, "inner", once=True).withColumn("quote", F.trim("quote"))
+    if known.groupBy("snapshot_id").count().where("count > 1").isEmpty():
+        return named.select(key, "id", "field_path", "snapshot_id", "quote")
+    return named.groupBy(key, "id").agg(F.min_by(F.struct("field_path", "snapshot_id", "quote"), "at").alias("e")).select(key, "id", "e.*")
 
 
 def attached(records: DataFrame, snapshots: DataFrame, key: str, document: str, primary: str) -> tuple[DataFrame, DataFrame]:
     """Records whose documents (JSON) cite quotes by markers, ``{"quote": ..., "snapshot": ...}``, with these replaced by evidence ids; and the evidence: (key, id, field_path, snapshot_id, quote), each once.
 
-    A marker without a snapshot means the record's own (the column ``primary``). snapshots: snapshot, snapshot_id. A marker of
-    an unknown snapshot becomes null and gives no evidence. Only markers travel to the snapshots; documents are
-    rewritten in place, by the ids in the markers' order.
+    A marker without a snapshot means the record's own (the column ``primary``). snapshots: snapshot, snapshot_id; key: one
+    record each. A marker of an unknown snapshot becomes null and gives no evidence.
     """
-    each = records.select(key, F.col(primary).alias("_own"), F.explode(_markers(F.col(document))).alias("m")).select(key, "m.at", "m.field_path", "m.quote", F.coalesce("m.snapshot", "_own").alias("snapshot"))
-    named = each.join(snapshots.select("snapshot", "snapshot_id"), "snapshot", "left")
-    named = named.withColumn("id", F.when(F.col("snapshot_id").isNotNull(), evidence_id(F.col("field_path"), F.col("snapshot_id"), canonical(F.col("quote")))))
-    ids = named.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x.id).alias("_ids"))
-    out = records.join(ids, key, "left").withColumn(document, _replaced(F.col(document), F.col("_ids"))).drop("_ids")
-    evidence = named.where("id is not null").groupBy(key, "id").agg(F.min_by(F.struct("field_path", "snapshot_id", F.trim("quote").alias("quote")), "at").alias("e")).select(key, "id", "e.*")
-    return out, evidence
+    return attached_documents(records, snapshots, key, document, primary), attached_evidence(records, snapshots, key, document, primary)

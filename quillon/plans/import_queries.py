@@ -59,21 +59,22 @@ MARKED = """l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY
     h AS (SELECT *, left(sha256(field_path || chr(31) || snapshot_id || chr(31) || quote), 16) AS id FROM e)"""
 
 
-def attached(spark, sf_dir):
+def cited(spark, sf_dir):
+    """The documents, the snapshots that they may cite, and the columns' names."""
     c, s = read(spark, sf_dir, "customer"), read(spark, sf_dir, "supplier").where("s_acctbal >= 0")
     names = c.select(F.concat(F.lit("order"), "c_custkey").alias("snapshot")).union(s.select(F.concat(F.lit("s"), "s_suppkey")))
-    return imports.attached(marked_documents(spark, sf_dir), names.withColumn("snapshot_id", F.concat(F.lit("snap_"), "snapshot")), "o_orderkey", "document", "own")
+    return marked_documents(spark, sf_dir), names.withColumn("snapshot_id", F.concat(F.lit("snap_"), "snapshot")), "o_orderkey", "document", "own"
 
 
 @query(f"WITH {MARKED} SELECT o_orderkey, id, field_path, snapshot_id, quote FROM h")
 def evidence_attach(spark, sf_dir):
-    return attached(spark, sf_dir)[1]
+    return imports.attached_evidence(*cited(spark, sf_dir))
 
 
 @query(f"""WITH {MARKED}, n AS (SELECT m.o_orderkey, count(*) FILTER (WHERE s_acctbal < 0) AS nulls FROM m JOIN supplier ON s_suppkey = l_suppkey GROUP BY m.o_orderkey),
     t AS (SELECT o_orderkey, string_agg(id, ',' ORDER BY id) AS ids FROM h GROUP BY o_orderkey)
     SELECT o_orderkey, ids, nulls, 0 AS markers FROM t JOIN n USING (o_orderkey)""")
 def attached_documents(spark, sf_dir):
-    d = attached(spark, sf_dir)[0]
+    d = imports.attached_documents(*cited(spark, sf_dir))
     ids = F.array_sort(F.regexp_extract_all("document", F.lit(r'"([0-9a-f]{16})"'), 1))
     return d.select("o_orderkey", F.array_join(ids, ",").alias("ids"), F.regexp_count("document", F.lit('"kept",null')).cast("long").alias("nulls"), F.regexp_count("document", F.lit('"quote"')).alias("markers"))

@@ -3,6 +3,9 @@
 import hashlib
 import json
 
+from pyspark.sql import functions as F
+
+from quillon.functions.text import canonical, canonical_text
 from quillon.operators import imports
 
 SCHEMA = "id string, title string, cycles array<struct<cycle_key: string, v: string>>, evidence array<struct<id: string, field_path: string, v: string>>, source_refs array<struct<snapshot_id: string, v: string>>, last_fetched_at string"
@@ -47,3 +50,27 @@ def test_markers_become_ids(spark):
     assert json.loads(made[1]) == want and made[2] == "{}" and made[3] is None
     found = {r.id: (r.field_path, r.snapshot_id, r.quote) for r in evidence.collect()}
     assert len(found) == 4 and found[d] == ("/cycles/k~11/deadlines/0", "S1", "d")
+
+
+def test_snapshots_of_several_names_give_evidence_once(spark):
+    document = {"evidence_ids": [{"quote": " a"}, {"quote": "a", "snapshot": "own"}, {"quote": "a", "snapshot": "alias"}, {"quote": "b", "snapshot": "alias"}, {"quote": 7}]}
+    rows = spark.createDataFrame([(1, "own", json.dumps(document)), (2, "own", json.dumps(document)), (3, None, json.dumps(document))], "k int, own string, d string")
+    alone = spark.createDataFrame([("own", "S"), (None, "S"), ("gone", None)], "snapshot string, snapshot_id string")
+    alias = alone.union(spark.createDataFrame([("alias", "S"), ("own", "S")], alone.schema))
+    got = lambda names: sorted((r.k, r.quote) for r in imports.attached_evidence(rows, names, "k", "d", "own").collect())
+    assert got(alone) == [(1, "7"), (1, "a"), (2, "7"), (2, "a"), (3, "a")]
+    assert got(alias) == [(1, "7"), (1, "a"), (1, "b"), (2, "7"), (2, "a"), (2, "b"), (3, "a"), (3, "b")]
+
+
+def test_evidence_is_not_shuffled_by_its_ids(spark):
+    """Documents are whole where they are read, so markers that repeat others go there, and none is sorted by key and id."""
+    rows = spark.createDataFrame([(1, "own", "{}")], "k int, own string, d string")
+    names = spark.createDataFrame([("own", "S1"), ("other", "S2")], "snapshot string, snapshot_id string")
+    plan = imports.attached_evidence(rows, names, "k", "d", "own")._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_canonical_text_is_canonical(spark):
+    odd = ["", " ", "a  b", " a\tb\n", "\x1ca\x1db", "a\x0bb\x85c\xa0d", "‘x’ “y” –z−", "ｔｅ­xt​", "é é", " 　x ", "a\x00b", "½ ﬁ", "\U0001f600 \x7f", "﻿a ﻿ b "]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, x string").select("i", canonical(F.col("x")).alias("c")).collect()
+    assert {r.i: r.c for r in got} == {i: canonical_text(x) for i, x in enumerate(odd)}
