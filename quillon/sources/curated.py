@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions import urls
 from ..operators import freshness
 from ..operators.validation import found
+from .tables import materialised
 
 #: Suffixes of files that are read, keys that a source must have, its states of access, its default language.
 SUFFIXES = ("yaml", "yml", "json")
@@ -49,13 +50,18 @@ def yaml_json(text: pd.Series) -> pd.Series:
 
 
 def folder_files(spark: SparkSession, path: str, deep: bool = False, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
-    """(path, document, issue) of the files of a folder with the suffixes, of its subfolders too if ``deep``: JSON where the suffix is json, else YAML.
+    """(path, document, issue) of the files of a folder with the suffixes, of its subfolders too if ``deep``, as ``read_files`` gives them."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}")
+    return read_files(reader.option("recursiveFileLookup", str(deep).lower()).load(path))
+
 
-    document is a VARIANT, null with the issue ``file.encoding`` (no UTF-8) or ``file.invalid`` (no document, or a JSON
+def read_files(files: DataFrame) -> DataFrame:
+    """(path, document, issue) of files (path, content): JSON where the path ends in .json, else YAML.
+
+    The files may come from Spark's binary reader or from a table, into which a folder of very many small files is better
+    put: such a file alone costs a store more than its content. document is a VARIANT, null with the issue ``file.encoding`` (no UTF-8) or ``file.invalid`` (no document, or a JSON
     object with a key twice). A YAML file without content is an empty object; files of no bytes (which Spark leaves out) and those with other suffixes are not read.
     """
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}")
-    files = reader.option("recursiveFileLookup", str(deep).lower()).load(path).select("path", "content")
     plain = F.regexp_replace(F.when(F.is_valid_utf8("content"), F.col("content").cast("string")), "^\\x{FEFF}", "")
     texts = files.select("path", plain.alias("text"), F.col("path").endswith(".json").alias("_json"))
     # Declared non-deterministic, as a filter on what it gives would else be pushed below it with a second call for each file.
@@ -78,11 +84,13 @@ def mappings(files: DataFrame, key: str = "source_id") -> DataFrame:
 
 def mapping_findings(files: DataFrame, key: str = "source_id") -> DataFrame:
     """Findings (record_id, path, code, severity) about files, by their paths: not readable, without a source, replaced by a later file of the same source."""
-    used = mappings(files, key).select("path").withColumn("_used", F.lit(True))
-    code = F.when(F.col("issue").isNotNull(), F.col("issue")).when(F.coalesce(_text("document", key), F.lit("")) == "", "file.no_source").when(F.col("_used").isNull(), "file.replaced")
-    each = files.join(used, "path", "left").select("path", code.alias("_code"))
-    errors = found(each.where("_code in ('file.encoding', 'file.invalid')"), F.col("path"), F.lit(""), F.col("_code"))
-    return errors.unionByName(found(each.where("_code in ('file.no_source', 'file.replaced')"), F.col("path"), F.lit(""), F.col("_code"), "warning"))
+    # Documents are read once; only paths, sources and issues are kept.
+    stated = materialised(files.select("path", "issue", F.nullif(_text("document", key), F.lit("")).alias("_source")))
+    used = stated.where("_source is not null").groupBy("_source").agg(F.max("path").alias("path")).select("path", F.lit(True).alias("_used"))
+    code = F.when(F.col("issue").isNotNull(), F.col("issue")).when(F.col("_source").isNull(), "file.no_source").when(F.col("_used").isNull(), "file.replaced")
+    each = stated.join(used, "path", "left").select("path", code.alias("_code")).where("_code is not null")
+    severity = F.when(F.col("code").isin("file.encoding", "file.invalid"), "error").otherwise("warning")
+    return found(each, F.col("path"), F.lit(""), F.col("_code")).withColumn("severity", severity)
 
 
 def escapes(path: Column) -> Column:

@@ -1,6 +1,7 @@
 """Curated folders, configurations with includes, discovery outputs, status findings."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,3 +104,19 @@ def test_status_codes(spark, mode, changes, codes):
     row = {"id": "a", "review_status": "machine_checked", "publication_status": "published", "extraction_method": "adapter", "is_demo": False, "review": {"reviewer": "x"}, "last_fetched_at": None, "last_verified_at": "1970-01-01T00:00:00Z"} | changes
     df = spark.createDataFrame([(row,)], RECORD)
     assert df.select(validation.status_codes(F.col("r"), mode, F.lit(1000)).alias("c")).first().c == codes
+
+
+def test_files_may_lie_in_a_table(spark):
+    rows = [("a.json", b'\xef\xbb\xbf{"source_id": "x"}'), ("b.yaml", b'{"source_id": "x", "w": 1}'), ("c.json", b"{"), ("d.json", b"\xff"), ("e.json", b'{"source_id": ""}'), ("f.yaml", None)]
+    files = curated.read_files(spark.createDataFrame(rows, "path string, content binary"))
+    assert [(r.source_id, r.path) for r in curated.mappings(files).collect()] == [("x", "b.yaml")]
+    assert {(r.record_id, r.code, r.severity) for r in curated.mapping_findings(files).collect()} == {("a.json", "file.replaced", "warning"), ("c.json", "file.invalid", "error"), ("d.json", "file.encoding", "error"), ("e.json", "file.no_source", "warning"), ("f.yaml", "file.encoding", "error")}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_written_files_do_not_grow_with_sources(spark, tmp_path, monkeypatch):
+    from quillon.plans import curated_queries
+
+    monkeypatch.setattr(curated_queries, "folder", lambda spark: str(tmp_path / "files"))
+    assert curated_queries.curated_mappings(spark, "/root/testdata/sf0.01").select("source_id").distinct().count() > 80
+    assert len(list((tmp_path / "files").rglob("part-*"))) < 20
