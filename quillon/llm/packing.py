@@ -34,8 +34,8 @@ SHARD_BYTES = 4 << 20
 LEVELS, SPLIT = 8, 16
 #: BM25's constants.
 K1, B = 1.2, 0.75
-#: Pieces of words that a worker remembers, places in its table of words (18 bytes each), and ids of such words.
-REMEMBERED, PLACES, MOST_IDS = 100_000, 1 << 20, 1 << 22
+#: Pieces of words that a worker remembers (as many as twice, some 200 bytes each), places in its table of words (18 bytes each), and ids of such words.
+REMEMBERED, PLACES, MOST_IDS = 200_000, 1 << 20, 1 << 22
 
 
 def lower_hashes(w: Words) -> np.ndarray:
@@ -205,15 +205,17 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.pieces: dict[str, bytes] = {}
+        self.pieces, self.before = {}, {}  # the later and the earlier ones; what is met again becomes a later one
         self.key, self.check = np.zeros(PLACES, U64), np.zeros(PLACES, np.uint32)
         self.begin, self.size = np.zeros(PLACES, np.uint32), np.zeros(PLACES, np.uint16)
         self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
 
     def piece(self, text: str) -> bytes:
         if (ids := self.pieces.get(text)) is None:
-            written = text if text.isascii() else text.translate(self.letters)
-            ids = self.pieces[text] = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+            if (ids := self.before.get(text)) is None:
+                written = text if text.isascii() else text.translate(self.letters)
+                ids = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+            self.pieces[text] = ids
         return ids
 
     def words(self, words: list[str]) -> list[bytes]:
@@ -222,9 +224,12 @@ class Encoder:
         other = []
         known, piece, plain = self.pieces, self.piece, PLAIN.fullmatch
         for i, x in enumerate(words):
-            if plain(x) and not ("<" in x and any(t in x for t in self.special)):
+            if x.isascii() and x.isalpha():  # one piece
                 y = x.lower()
-                if y.isalpha():  # one piece
+                out[i] = known.get(y) or piece(y)
+            elif plain(x) and not ("<" in x and any(t in x for t in self.special)):
+                y = x.lower()
+                if y.isalpha():
                     out[i] = known.get(y) or piece(y)
                 else:
                     out[i] = b"".join([known.get(p) or piece(p) for p in PIECE.findall(y)])
@@ -260,7 +265,7 @@ class Encoder:
     def texts(self, w: Words, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and the first of each text, one more than texts; without the closing ids. lower: lower_hashes of the words."""
         if len(self.pieces) > REMEMBERED:
-            self.pieces = {}
+            self.before, self.pieces = self.pieces, {}
         if self.used > MOST_IDS:
             self.forget()
         h, check = hash_spans(w.data, w.starts, w.ends, 11), lower.astype(np.uint32)
@@ -339,14 +344,14 @@ class Index:
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         tf = counts.astype(float)
         weights = idf[self.place] * tf * (K1 + 1) / (tf + np.repeat(K1 * (1 - B + B * length / mean), size))
-        order = (np.sort(self.place.astype(U64) << U64(32) | np.arange(len(terms), dtype=U64)) & U64(0xFFFFFFFF)).astype(np.int64)
+        order = np.argsort(self.place.astype(np.uint16) if len(used) <= 1 << 16 else self.place, kind="stable")  # by counting, where 16 bits suffice
         self.doc, self.weight = np.repeat(np.arange(len(docs)), size)[order], weights[order]
         self.listed = len(docs)
 
     def keep(self, free: np.ndarray) -> None:
-        """Lists free documents only, once half of the listed ones are not."""
+        """Lists free documents only, once a fifth of the listed ones are not."""
         n = int(free.sum())
-        if 2 * n > self.listed:
+        if 5 * n > 4 * self.listed:
             return
         some = free[self.doc]
         self.first = np.concatenate([[0], np.cumsum(some)])[self.first]
