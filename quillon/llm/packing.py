@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import LOWER, U64, Words, hash_spans, lists, mix, per_row, slices, table, tidy, words_of
-from .scratch import stored
+from .scratch import small_batches, stored
 
 WINDOW = 4096
 END_ID = 2
@@ -449,8 +449,9 @@ def packed(docs: DataFrame, tokenizer_path: str | None = None, window: int = WIN
     sc = docs.sparkSession.sparkContext
     definition = sc.broadcast(tokenizer_json(tokenizer_path))
     encoded = stored(docs.select("doc_id", "text").mapInArrow(lambda it: _encode(it, definition.value), "doc_id long, bytes long, hashes array<long>, ids binary"))
-    corpus = sc.broadcast(corpus_terms(encoded))
-    cells = cells_of(encoded, shard_bytes)
+    with small_batches(docs.sparkSession):
+        corpus = sc.broadcast(corpus_terms(encoded))
+        cells = cells_of(encoded, shard_bytes)
     leaves = cells.leaves()
     first, number = np.zeros(len(cells.base), np.int64), np.ones(len(cells.base), np.int64)
     first[leaves], number[leaves] = shards(cells.sizes[leaves], shard_bytes)

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of two longs that may be broadcast: at most some 32 MB on each executor.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of a batch of rows that goes to Python: Java, the worker and what either keeps for the next batch hold several times as much. Spark's own limit is 10,000 rows or 64 MB.
+BATCH_BYTES = 4 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -24,11 +29,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return base
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside send rows to Python in batches of BATCH_BYTES at most (or the session's own limit, if that is less)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    number, unit = re.fullmatch(r"(-?\d+)([kmgt]?)b?", before.lower()).groups()
+    limit = int(number) << 10 * " kmgt".index(unit or " ")
+    spark.conf.set(key, str(min(limit, BATCH_BYTES) if limit > 0 else BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows, written as Parquet to the shared folder and read from there: later jobs don't recompute them, and they outlive lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -41,7 +61,8 @@ class Scratch:
     def stored(self, df: DataFrame) -> DataFrame:
         path = f"{scratch_dir(self.spark)}/{uuid.uuid4().hex}"
         self.paths.append(path)
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         self.of[id(table)] = table, path  # holds the table, so that its id stays its own
         return table
