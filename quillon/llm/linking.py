@@ -29,6 +29,8 @@ GATHERED, DEALT_TO = 1 << 19, 1 << 20
 STARS, FEW = 2, 4
 #: Nodes of a list whose pairs the prefix join looks at, one by one, to make those that may be similar; longer lists are split first.
 WIDE = 4096
+#: Tokens of all nodes of a list that one task compares whole (8 bytes each).
+HELD = 1 << 20
 #: A frequent token is combined with another one; those that more nodes have with two others.
 COMMON = 32 * CAP
 #: Places in a table of bits for the signatures of long lists; 64 of them are a row that comes to the driver.
@@ -296,9 +298,64 @@ def _about(pairs: DataFrame, kept: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(of, "b").join(sets.select(F.col("node").alias("a"), "tokens"), "a").select(F.col("b").alias("node"), F.col("a").alias("centre"), F.size(F.array_intersect("own", "tokens")).alias("inside"))
 
 
-def prefix_join(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
+def forest(nodes: np.ndarray, comps: np.ndarray, sizes: np.ndarray, rows: np.ndarray, tokens: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Of a list's nodes, each with the size of its set, links that join the components which all its similar pairs join: one fewer than it joins at most.
+
+    tokens: the distinct ones of each node that may be common to another, from ``rows`` on (one more than nodes). Overlaps
+    are exact: each node's are counted along its tokens' own lists.
+    """
+    c = len(nodes)
+    _, token = np.unique(tokens, return_inverse=True)
+    order = np.argsort(token, kind="stable")
+    holder = np.repeat(np.arange(c), np.diff(rows))[order]
+    first = np.searchsorted(token[order], np.arange(len(token) and token.max() + 2))
+    _, comp = np.unique(comps, return_inverse=True)
+    left, out = comp.max(initial=0), []
+    for i in range(c):
+        if not left:
+            break
+        own = token[rows[i] : rows[i + 1]]
+        size = first[own + 1] - first[own]
+        at = np.repeat(first[own] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(own) else own
+        both = np.bincount(holder[at], minlength=c)
+        for j in np.flatnonzero(((100 + percent) * both >= percent * (sizes[i] + sizes)) & (comp != comp[i])).tolist():
+            if comp[i] != comp[j]:
+                out.append((int(nodes[min(i, j)]), int(nodes[max(i, j)])))
+                comp[comp == comp[j]] = comp[i]
+                left -= 1
+    return out
+
+
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _forests(batches, percent: int):
+    for batch in batches:
+        column = batch.column("held")
+        cuts, flat = np.asarray(column.offsets), column.values
+        node, comp, n = (np.asarray(flat.field(x)) for x in ("node", "comp", "n"))
+        of, tokens = np.asarray(flat.field("tokens").offsets), np.asarray(flat.field("tokens").values)
+        links = [x for a, b in zip(cuts, cuts[1:]) for x in forest(node[a:b], comp[a:b], n[a:b].astype(np.int64), of[a : b + 1] - of[a], tokens[of[a] : of[b]], percent)]
+        yield table({"a": np.array([x[0] for x in links], np.int64), "b": np.array([x[1] for x in links], np.int64)}, LINKS)
+    tidy()
+
+
+def _compared(now: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) from lists that are compared whole, one of those that hold the same nodes."""
+    same = now.groupBy("sig").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"), F.count("*").alias("k"))
+    one = same.groupBy("x", "y", "k").agg(F.min("sig").alias("sig")).select("sig")
+    tokens = kept.select("node", "n", F.transform("kept", lambda x: x.t).alias("tokens"))
+    rows = now.select("sig", "node", "comp").join(one, "sig", "left_semi").join(tokens, "node")
+    held = rows.groupBy("sig").agg(F.collect_list(F.struct("node", "comp", "n", "tokens")).alias("held")).select("held")
+    return held.mapInArrow(lambda it: _forests(it, percent), "a long, b long").distinct()
+
+
+def prefix_join(sets: DataFrame, percent: int, scratch: Scratch, whole: bool = False) -> DataFrame | None:
     """Links (a, b) that join every component of the stored sets (node, tokens) under the similarity; None if there are none.
 
+    whole: for sets so small that each list may hold them; lists of up to WIDE nodes and HELD tokens are then compared by
+    one task each, which gives links and no pairs. Longer ones go on as without it.
+
     Two sets that are similar share a token of their prefixes. If they share none that CAP nodes or fewer have, then all
     that they share are frequent tokens: by the number of these, most nodes of long lists are seen to have no partner.
     """
@@ -313,6 +370,17 @@ def prefix_join(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame |
     scratch.settle()
     links, joined, tried, about = None, None, None, None
     now = _open(_with_comp(rows, None), percent, scratch)
+    if whole:
+        light = now.groupBy("sig").agg(F.count("*").alias("k"), F.sum("l").alias("tokens")).where((F.col("k") <= WIDE) & (F.col("tokens") <= HELD)).select("sig")
+        compared = scratch.stored(_compared(now.join(light, "sig", "left_semi"), kept, percent))
+        if not compared.isEmpty():
+            links = compared
+            joined = components(links, scratch)
+        now = scratch.stored(now.join(light, "sig", "left_anti"))
+        if now.isEmpty():
+            return links
+        if joined is not None:
+            now = _open(_with_comp(now.drop("comp", "c"), joined), percent, scratch)
     for k in range(STARS):
         lengths = now.groupBy("sig").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * F.col("c")).alias("pairs"), F.sum("c").alias("rows")).first()
         if not lengths["rows"] or lengths["pairs"] <= FEW * lengths["rows"]:
@@ -441,6 +509,7 @@ def connect(
     again: Callable[[DataFrame, np.ndarray], DataFrame] | None = None,
     sigs: int | None = None,
     width: int = 8,
+    whole: bool = False,
 ) -> DataFrame:
     """Verified links (a, b), a table of scratch; their components are those of all links.
 
@@ -450,7 +519,7 @@ def connect(
     that left tokens out. sets_of: the sets of rows (node), or what has the methods of TokenSets. sketches: (node, sketch) of all nodes.
     Nodes of long lists and busy ones are compared by ``prefix_join``; with again they are signed once more before, as
     (node, sigs, n, busy) from rows (node, tokens) and ``long_places``: in an order in which tokens of long lists come
-    last, or by more selective signatures.
+    last, or by more selective signatures. whole: as for ``prefix_join``.
     """
     found = scratch.stored(met(signed, percent, sigs, width))
     scratch.settle()
@@ -468,6 +537,6 @@ def connect(
     links = scratch.stored(sets.verified(pairs, percent))
     scratch.settle()
     if not long.isEmpty():
-        more = prefix_join(scratch.stored(sets.of(long)), percent, scratch)
+        more = prefix_join(scratch.stored(sets.of(long)), percent, scratch, whole)
         links = links if more is None else links.union(more)
     return scratch.stored(links.distinct())

@@ -161,7 +161,7 @@ def similar(read: DataFrame, spans: DataFrame, kind: Kind, one: Kind, percent: i
     def again(sets: DataFrame, _) -> DataFrame:
         return sets.mapInArrow(_sign_again, "node long, sigs array<long>, n long, busy boolean")
 
-    return components(connect(signed, sets_of, scratch, percent, again=again, sigs=spans.count() * shape[0], width=WIDTH), scratch)
+    return components(connect(signed, sets_of, scratch, percent, again=again, sigs=spans.count() * shape[0], width=WIDTH, whole=True), scratch)
 
 
 def long_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
