@@ -302,7 +302,7 @@ def forest(nodes: np.ndarray, comps: np.ndarray, sizes: np.ndarray, rows: np.nda
     """Of a list's nodes, each with the size of its set, links that join the components which all its similar pairs join: one fewer than it joins at most.
 
     tokens: the distinct ones of each node that may be common to another, from ``rows`` on (one more than nodes). Overlaps
-    are exact: each node's are counted along its tokens' own lists.
+    are exact: each node's are counted along its tokens' own lists, but for nodes that the largest component has by then.
     """
     c = len(nodes)
     _, token = np.unique(tokens, return_inverse=True)
@@ -310,10 +310,14 @@ def forest(nodes: np.ndarray, comps: np.ndarray, sizes: np.ndarray, rows: np.nda
     holder = np.repeat(np.arange(c), np.diff(rows))[order]
     first = np.searchsorted(token[order], np.arange(len(token) and token.max() + 2))
     _, comp = np.unique(comps, return_inverse=True)
-    left, out = comp.max(initial=0), []
-    for i in range(c):
+    left, out, main = comp.max(initial=0), [], -1
+    for k, i in enumerate(np.argsort(sizes, kind="stable")):
         if not left:
             break
+        if k == 1:  # of two nodes that are apart, one at least is outside the largest component
+            main = np.bincount(comp).argmax()
+        if comp[i] == main:
+            continue
         own = token[rows[i] : rows[i + 1]]
         size = first[own + 1] - first[own]
         at = np.repeat(first[own] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(own) else own
@@ -321,7 +325,8 @@ def forest(nodes: np.ndarray, comps: np.ndarray, sizes: np.ndarray, rows: np.nda
         for j in np.flatnonzero(((100 + percent) * both >= percent * (sizes[i] + sizes)) & (comp != comp[i])).tolist():
             if comp[i] != comp[j]:
                 out.append((int(nodes[min(i, j)]), int(nodes[max(i, j)])))
-                comp[comp == comp[j]] = comp[i]
+                one, other = (comp[j], comp[i]) if comp[j] == main else (comp[i], comp[j])
+                comp[comp == other] = one
                 left -= 1
     return out
 
@@ -370,17 +375,6 @@ def prefix_join(sets: DataFrame, percent: int, scratch: Scratch, whole: bool = F
     scratch.settle()
     links, joined, tried, about = None, None, None, None
     now = _open(_with_comp(rows, None), percent, scratch)
-    if whole:
-        light = now.groupBy("sig").agg(F.count("*").alias("k"), F.sum("l").alias("tokens")).where((F.col("k") <= WIDE) & (F.col("tokens") <= HELD)).select("sig")
-        compared = scratch.stored(_compared(now.join(light, "sig", "left_semi"), kept, percent))
-        if not compared.isEmpty():
-            links = compared
-            joined = components(links, scratch)
-        now = scratch.stored(now.join(light, "sig", "left_anti"))
-        if now.isEmpty():
-            return links
-        if joined is not None:
-            now = _open(_with_comp(now.drop("comp", "c"), joined), percent, scratch)
     for k in range(STARS):
         lengths = now.groupBy("sig").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * F.col("c")).alias("pairs"), F.sum("c").alias("rows")).first()
         if not lengths["rows"] or lengths["pairs"] <= FEW * lengths["rows"]:
@@ -402,6 +396,17 @@ def prefix_join(sets: DataFrame, percent: int, scratch: Scratch, whole: bool = F
         links = found if links is None else links.union(found)
         joined = components(links, scratch)
         now = _open(_with_comp(now.drop("comp", "c"), joined), percent, scratch)
+    if whole:
+        light = now.groupBy("sig").agg(F.count("*").alias("k"), F.sum("l").alias("tokens")).where((F.col("k") <= WIDE) & (F.col("tokens") <= HELD)).select("sig")
+        compared = scratch.stored(_compared(now.join(light, "sig", "left_semi"), kept, percent))
+        if not compared.isEmpty():
+            links = compared if links is None else links.union(compared)
+        now = scratch.stored(now.join(light, "sig", "left_anti"))
+        if now.isEmpty():
+            return links
+        if links is not None:
+            joined = components(links, scratch)
+            now = _open(_with_comp(now.drop("comp", "c"), joined), percent, scratch)
     pairs = _pairs(now.where(F.col("c") <= CAP), percent)
     if about is not None:
         wide = now.where((F.col("c") > CAP) & (F.col("c") <= WIDE)).join(about, "node", "left").withColumns({"centre": F.coalesce("centre", "node"), "inside": F.coalesce("inside", "l")})
