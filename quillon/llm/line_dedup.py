@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import LOWER, SPACE, U64, mix, utf8_bytes
+from .arrow_text import U64, mix, utf8_bytes
 from .minhash import tuned
 from .scratch import Scratch, stored
 from .spans import Spans, found, long_hashes, similar
@@ -26,7 +26,7 @@ BANDS = tuned(PERCENT / 100, 0.999, 144)
 def split_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes (A-Z lower-cased), and start, end, row and number in its row of each line that holds a character other than white space."""
     raw, offsets = utf8_bytes(texts)
-    data = LOWER[raw]
+    data = raw + ((raw - np.uint8(65)) < 26).view(np.uint8) * np.uint8(32)  # A-Z
     breaks = np.flatnonzero(data == 10)
     starts = np.union1d(offsets[:-1], breaks + 1)
     starts = starts[starts < len(data)] if len(data) else starts[:0]
@@ -35,7 +35,8 @@ def split_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     ends = ends - ((ends > starts) & (data[ends - 1] == 10)) if len(data) else ends
     first = np.searchsorted(row, np.arange(len(offsets) - 1))
     number = np.arange(len(starts)) - first[row] if len(starts) else np.empty(0, np.int64)
-    solid = np.concatenate([[0], np.cumsum(~SPACE[data])])
+    solid = np.zeros(len(data) + 1, np.int32)
+    np.cumsum((data != 32) & ((data - np.uint8(9)) >= 5), out=solid[1:])
     some = solid[ends] > solid[starts]
     return data, starts[some], ends[some], row[some], number[some]
 
@@ -43,14 +44,16 @@ def split_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points of UTF-8 bytes, and the first byte of each."""
     if not len(data) or data.max() < 0x80:
-        return data.astype(U64), np.arange(len(data))
+        return data.astype(np.uint32), np.arange(len(data))
     at = np.flatnonzero((data & 0xC0) != 0x80)
-    code = data[at].astype(U64)
+    code = data[at].astype(np.uint32)
+    long = np.flatnonzero(code >= 0xC0)
+    bytes_ = np.append(at, len(data))[long + 1] - at[long]
     for size, mask in ((2, 0x1F), (3, 0x0F), (4, 0x07)):
-        those = np.flatnonzero((code >= (0xC0, 0xE0, 0xF0)[size - 2]) & (code < (0xE0, 0xF0, 0x100)[size - 2]) & (np.diff(np.append(at, len(data))) == size))
-        x = data[at[those]].astype(U64) & U64(mask)
+        those = long[(bytes_ == size) & (code[long] >= (0xC0, 0xE0, 0xF0)[size - 2]) & (code[long] < (0xE0, 0xF0, 0x100)[size - 2])]
+        x = code[those] & mask
         for k in range(1, size):
-            x = x << U64(6) | (data[at[those] + k].astype(U64) & U64(0x3F))
+            x = x << 6 | (data[at[those] + k] & 0x3F)
         code[those] = x
     return code, at
 
@@ -58,15 +61,31 @@ def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def char_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each span's shingles of SHINGLE characters, with repetitions, and each span's first; a shorter span is one shingle."""
     code, at = code_points(data)
-    c = np.concatenate([code, np.zeros(SHINGLE, U64)])
-    pack = lambda v, w, x, y, z: mix((v | w << U64(21) | x << U64(42)) ^ mix(y | z << U64(21)))
-    every = pack(*(c[k : len(code) + k] for k in range(SHINGLE)))
     a, b = (at.searchsorted(x) if len(code) < len(data) else x for x in (starts, ends))
     n = np.maximum(b - a - SHINGLE + 1, 1)
     rows = np.concatenate([[0], np.cumsum(n)])
-    out = every[np.repeat(a - rows[:-1], n) + np.arange(rows[-1])]
+    # Five characters of Latin-1 are a number of 40 bits.
+    small = np.concatenate([code.astype(np.uint8), np.zeros(8, np.uint8)])
+    every = np.ndarray((len(code) + 1,), "<u8", small, strides=(1,))
+    if (np.diff(a) >= n[:-1]).all():  # in order, as spans of lines are
+        edge = np.zeros(len(code) + 2, np.int8)
+        np.add.at(edge, a, 1)
+        np.add.at(edge, a + n, -1)
+        out = every[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+    else:
+        out = every[np.repeat(a - rows[:-1], n) + np.arange(rows[-1])]
     short = np.flatnonzero(b - a < SHINGLE)
-    out[rows[short]] = pack(*(np.where(a[short] + k < b[short], c[a[short] + k], U64(0)) for k in range(SHINGLE)))
+    out[rows[short]] &= ~U64(0) >> (U64(64) - U64(8) * np.maximum(b[short] - a[short], 1).astype(U64))
+    out &= U64((1 << 8 * SHINGLE) - 1)
+    if len(code) and code.max() > 0xFF:
+        first = np.repeat(a - rows[:-1], n) + np.arange(rows[-1])
+        wide = np.concatenate([[0], np.cumsum(code > 0xFF)])
+        last = np.minimum(first + SHINGLE, np.repeat(b, n))
+        those = np.flatnonzero(wide[last] > wide[first])
+        c = np.concatenate([code, np.zeros(SHINGLE, np.uint32)])
+        v, w, x, y, z = (np.where(first[those] + k < last[those], c[first[those] + k].astype(U64), U64(0)) for k in range(SHINGLE))
+        out[those] = mix((v | w << U64(21) | x << U64(42)) ^ mix(y | z << U64(21)))
+    out *= U64(0x9E3779B97F4A7C15)
     return out, rows
 
 

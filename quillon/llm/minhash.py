@@ -2,49 +2,59 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 
 from .arrow_text import U64, mix
 
+#: Of a bin without a hash; a hash that ends so is left out.
+NONE = np.uint32(0xFFFFFFFF)
+
+
 def bands(hashes: np.ndarray, rows: np.ndarray, n_bands: int, band_rows: int) -> np.ndarray:
     """A 64-bit key of each band of each row (rows x n_bands). rows: first hash of each row, one more than rows; no row is empty.
 
     One permutation: each hash falls in one of n_bands * band_rows bins, each bin keeps its least, and an empty bin
     borrows from the first that isn't in an order of its own, so that bins of a band borrow from different ones. So all
-    hashes are computed and sorted once.
+    hashes are computed once.
     """
     n, bins = len(rows) - 1, n_bands * band_rows
-    lenders = np.argsort(mix(np.arange(bins * bins, dtype=np.uint64)).reshape(bins, bins), 1)
+    lenders = _lenders(bins)
+    factors = mix(np.arange(band_rows, dtype=np.uint64) + U64(77)) | U64(1)
     out = np.empty((n, n_bands), U64)
     # As many rows at once as keep the place of row and bin in 32 bits and the work in a core's cache.
-    cuts = np.unique(np.concatenate([[0, n], np.searchsorted(rows, np.arange(1 << 18, rows[-1], 1 << 18))])) if n else [0]
+    cuts = np.unique(np.concatenate([[0, n], np.searchsorted(rows, np.arange(1 << 16, rows[-1], 1 << 16))])) if n else [0]
     for a, b in zip(cuts, cuts[1:]):
         x = mix(hashes[rows[a] : rows[b]])
-        row = np.repeat(np.arange(b - a, dtype=np.uint64), np.diff(rows[a : b + 1]))
-        place = row * U64(bins) + (x >> U64(32)) % U64(bins)
-        key = np.sort(place << U64(32) | x & U64(0xFFFFFFFF))
-        where = (key >> U64(32)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-        least = np.full((b - a) * bins, -1, np.int64)
-        least[where[first]] = (key[first] & U64(0xFFFFFFFF)).astype(np.int64)
-        least = least.reshape(b - a, bins)
-        value = least.ravel().copy()
-        empty = np.flatnonzero(value < 0)
+        place = np.repeat(np.arange(b - a) * bins, np.diff(rows[a : b + 1]))
+        place += ((x >> U64(32)) * U64(bins) >> U64(32)).view(np.int64)
+        least = np.full((b - a) * bins, NONE, np.uint32)
+        np.minimum.at(least, place, x.astype(np.uint32))
+        value = least.copy()
+        empty = np.flatnonzero(value == NONE)
+        bin_ = empty % bins
         for turn in range(bins):
             if not len(empty):
                 break
-            lent = least.ravel()[empty - empty % bins + lenders[empty % bins, turn]]
+            lent = least[empty - bin_ + lenders[turn][bin_]]
             value[empty] = lent
-            empty = empty[lent < 0]
-        value = value.reshape(b - a, bins).astype(U64)
-        for band in range(n_bands):
-            h = np.full(b - a, band + 1, U64)
-            for k in range(band * band_rows, (band + 1) * band_rows):
-                h = mix(h * U64(0x100000001B3) ^ value[:, k])
-            out[a:b, band] = h
+            still = lent == NONE
+            empty, bin_ = empty[still], bin_[still]
+        value = value.reshape(b - a, n_bands, band_rows)
+        h = np.zeros((b - a, n_bands), U64) + np.arange(1, n_bands + 1, dtype=np.uint64) * U64(0x100000001B3)
+        for k in range(band_rows):
+            h += value[:, :, k] * factors[k]
+        out[a:b] = mix(h)
     return out
 
 
+@cache
+def _lenders(bins: int) -> np.ndarray:
+    """By turns, the bin from which each bin borrows."""
+    return np.ascontiguousarray(np.argsort(mix(np.arange(bins * bins, dtype=np.uint64)).reshape(bins, bins), 1).T)
+
+
 def recall(similarity: float, n_bands: int, band_rows: int) -> float:
     """Share of pairs of that similarity that meet in a band."""
     return 1 - (1 - similarity**band_rows) ** n_bands

@@ -14,7 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import linking
 from .arrow_text import U64, lists, mix, slices, table
+from .families import NODES, TOKENS, compared, edges, families
 from .linking import components, connect
 from .minhash import bands
 from .ngram_join import SETS, SETS_DDL
@@ -62,7 +64,7 @@ def _sign(batches, kind: Kind, shape: tuple[int, int]):
         yield table({"node": s.h1[fresh].view(np.int64), "sigs": lists(keys.view(np.int64).ravel(), np.arange(len(fresh) + 1) * shape[0], pa.int64()), "n": np.ones(len(fresh), np.int64)}, SIGNED)
 
 
-TEXTS = pa.schema([("node", pa.int64()), ("text", pa.string())])
+TEXTS = pa.schema([("family", pa.int64()), ("node", pa.int64()), ("text", pa.string())])
 
 
 AGAIN = pa.schema([*SIGNED, ("busy", pa.bool_())])
@@ -84,11 +86,19 @@ def _texts(batches, kind: Kind):
     """The texts of wanted spans; they are as long as their spans, where sets would take eight bytes a token."""
     for batch in slices(batches, limit=AT_ONCE):
         s = kind(batch.column("text"))
-        at = {x: k for k, x in enumerate(zip(s.row.tolist(), s.place.tolist()))}
-        node = s.h1.view(np.int64)
-        pick = [at[i, w["place"]] for i, ws in enumerate(batch.column("wanted").to_pylist()) for w in ws if (i, w["place"]) in at and node[at[i, w["place"]]] == w["node"]]
+        wanted = batch.column("wanted")
+        flat = wanted.flatten()
+        row, place, node, family = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(wanted.offsets))), *(np.asarray(flat.field(c)) for c in ("place", "node", "family"))
+        key = s.row.astype(np.int64) << 32 | s.place
+        order = np.argsort(key, kind="stable")
+        at = np.minimum(np.searchsorted(key[order], row << 32 | place), max(len(key) - 1, 0))
+        if not len(key):
+            continue
+        pick = order[at]
+        own = (key[pick] == row << 32 | place) & (s.h1.view(np.int64)[pick] == node)  # else it is of another row of that doc_id
         raw = s.data.tobytes()
-        yield table({"node": node[pick], "text": pa.array([raw[a:b].decode() for a, b in zip(s.start[pick].tolist(), s.end[pick].tolist())], pa.string())}, TEXTS)
+        texts = [raw[a:b].decode() for a, b in zip(s.start[pick[own]].tolist(), s.end[pick[own]].tolist())]
+        yield table({"family": family[own], "node": node[own], "text": pa.array(texts, pa.string())}, TEXTS)
 
 
 #: Bits of a token by which tokens of one text, or of a pair of texts, are told apart; the others hold the row.
@@ -148,20 +158,42 @@ def found(read: DataFrame, kind: Kind) -> DataFrame:
     return read.mapInArrow(lambda it: _find(it, kind), FOUND_DDL)
 
 
-def similar(read: DataFrame, spans: DataFrame, kind: Kind, one: Kind, percent: int, shape: tuple[int, int], scratch: Scratch) -> DataFrame:
-    """(node, comp) of the classes of the stored spans of read that links of that similarity join; node is their h1. one: the kind in which a span's own text is one span."""
-    signed = read.select("text").mapInArrow(lambda it: _sign(it, kind, shape), "node long, sigs array<long>, n long")
+def _compare(batches, one: Kind, percent: int):
+    def distinct(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        key = _distinct(texts, one)
+        return key & U64((1 << TOKEN_BITS) - 1), np.searchsorted(key >> U64(TOKEN_BITS), np.arange(len(texts) + 1, dtype=U64))
 
-    def sets_of(need: DataFrame) -> TextSets:
-        of_node = only(spans.select(F.col("h1").alias("node"), F.struct("doc_id", "place").alias("at")), need, "node").groupBy("node").agg(F.min("at").alias("at"))
-        wanted = scratch.stored(of_node.groupBy("at.doc_id").agg(F.collect_list(F.struct("at.place", "node")).alias("wanted")))
-        texts = read.join(F.broadcast(wanted) if small(need, 200_000) else wanted, "doc_id").select("text", "wanted").mapInArrow(lambda it: _texts(it, kind), "node long, text string")
-        return TextSets(scratch.stored(texts.dropDuplicates(["node"])), one)
+    return compared(_few(batches, "text", AT_ONCE), distinct, percent)
 
-    def again(sets: DataFrame, _) -> DataFrame:
-        return sets.mapInArrow(_sign_again, "node long, sigs array<long>, n long, busy boolean")
 
-    return components(connect(signed, sets_of, scratch, percent, again=again, sigs=spans.count() * shape[0], width=WIDTH, whole=True), scratch)
+def similar(read: DataFrame, spans: DataFrame, kind: Kind, one: Kind, percent: int, shape: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """(node, comp) of the classes of the stored spans of read that links of that similarity join; node is their h1. one: the kind in which a span's own text is one span.
+
+    Spans that shared signatures join are a family. Its texts go to one task, if they are within the limits; spans of
+    larger ones are signed again and go by ``connect``.
+    """
+    signed = read.select("text").mapInArrow(lambda it: _sign(it, kind, shape), "node long, sigs array<long>, n long")
+    met = scratch.settled(edges(signed, spans.count() * shape[0], WIDTH))
+    family = families(met, scratch)
+    if small(family, 200_000):
+        family = F.broadcast(family)
+    of = spans.withColumnRenamed("h1", "node").join(family, "node").groupBy("node").agg(F.min(F.struct("doc_id", "place", "size")).alias("at"), F.first("family").alias("family"))
+    found_at = scratch.settled(of)
+    wanted = scratch.settled(found_at.groupBy("at.doc_id").agg(F.collect_list(F.struct("at.place", "node", "family")).alias("wanted")))
+    texts = read.join(F.broadcast(wanted) if small(wanted, 20_000) else wanted, "doc_id").select("text", "wanted").mapInArrow(lambda it: _texts(it, kind), "family long, node long, text string")
+    large = scratch.stored(found_at.groupBy("family").agg(F.sum("at.size").alias("tokens"), F.count("*").alias("nodes")).where((F.col("tokens") > TOKENS * linking.HELD) | (F.col("nodes") > NODES * linking.WIDE)).select("family"))
+    if large.isEmpty():
+        held = texts
+    else:
+        texts = scratch.stored(texts)
+        held = texts.join(F.broadcast(large) if small(large) else large, "family", "left_anti")
+    joined = scratch.settled(held.repartition("family").sortWithinPartitions("family", "node").mapInArrow(lambda it: _compare(it, one, percent), "node long, comp long"))
+    if large.isEmpty():
+        return joined
+    sets = TextSets(scratch.stored(only(texts, large, "family").select("node", "text").dropDuplicates(["node"])), one)
+    again = sets.of(sets.held.select("node")).mapInArrow(_sign_again, "node long, sigs array<long>, n long, busy boolean")
+    links = connect(scratch.stored(again), lambda _: sets, scratch, percent, whole=True)
+    return joined.union(components(links, scratch))
 
 
 def long_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
