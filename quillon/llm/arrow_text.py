@@ -23,6 +23,16 @@ LOWER[65:91] += 32
 SLICE_BYTES = 1 << 20
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lower-cased, by arithmetic: several times faster than a look-up of each."""
+    return data + ((data - np.uint8(65)) < 26).view(np.uint8) * np.uint8(32)
+
+
+def solid_of(data: np.ndarray) -> np.ndarray:
+    """Per byte: not white space."""
+    return (data != 32) & ((data - np.uint8(9)) >= 5)
+
+
 def tidy() -> None:
     """Gives memory that a Python worker no longer needs back to the system; workers wait for other tasks while others run."""
     pa.default_memory_pool().release_unused()
@@ -74,7 +84,7 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     data, offsets = utf8_bytes(texts)
     if lower:
         data = LOWER[data]
-    solid = ~SPACE[data]
+    solid = solid_of(data)
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     starts = solid.copy()

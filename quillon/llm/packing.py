@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import LOWER, U64, Words, hash_spans, lists, mix, per_row, slices, table, tidy, words_of
+from .arrow_text import U64, Words, hash_spans, lists, lower, mix, per_row, slices, table, tidy, words_of
 from .scratch import small_batches, stored
 
 WINDOW = 4096
@@ -40,7 +40,7 @@ REMEMBERED, PLACES, MOST_IDS = 200_000, 1 << 20, 1 << 22
 
 def lower_hashes(w: Words) -> np.ndarray:
     """Of each word, A-Z lower-cased."""
-    return hash_spans(LOWER[w.data], w.starts, w.ends)
+    return hash_spans(lower(w.data), w.starts, w.ends)
 
 
 def locality(w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,12 +223,11 @@ class Encoder:
         out: list[bytes | None] = [None] * len(words)
         other = []
         known, piece, plain = self.pieces, self.piece, PLAIN.fullmatch
-        for i, x in enumerate(words):
+        # Lower-cased all at once; of plain words each letter's lower case is its own.
+        for i, (x, y) in enumerate(zip(words, "\n".join(words).lower().split("\n"))):
             if x.isascii() and x.isalpha():  # one piece
-                y = x.lower()
                 out[i] = known.get(y) or piece(y)
             elif plain(x) and not ("<" in x and any(t in x for t in self.special)):
-                y = x.lower()
                 if y.isalpha():
                     out[i] = known.get(y) or piece(y)
                 else:
@@ -245,8 +244,7 @@ class Encoder:
         """Place in ids and number of ids of words that aren't known yet; they are put in the table."""
         _, first, which = np.unique(h[new], return_index=True, return_inverse=True)
         one = new[first]
-        raw = w.data.tobytes()
-        ids = self.words([raw[a:b].decode() for a, b in zip(w.starts[one].tolist(), w.ends[one].tolist())])
+        ids = self.words(written(w.data, w.starts[one], w.ends[one]))
         size = np.array([len(x) // 4 for x in ids], np.int32)
         flat = np.frombuffer(b"".join(ids), "<u4")
         begin = self.used + np.concatenate([[0], np.cumsum(size)])[:-1]
@@ -281,6 +279,17 @@ class Encoder:
         return out, total[w.rows]
 
 
+def written(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+    """Words of UTF-8 bytes, none of which holds white space; they are decoded all at once."""
+    if not len(starts):
+        return []
+    size = ends - starts + 1
+    last = np.cumsum(size)
+    raw = np.append(data, np.uint8(0))[np.repeat(starts - last + size, size) + np.arange(last[-1])]
+    raw[last - 1] = 10
+    return raw[:-1].tobytes().decode().split("\n")
+
+
 def places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h % U64(PLACES)).astype(np.int64), (h >> U64(40)).astype(np.int64) % PLACES
 
@@ -304,9 +313,9 @@ def _encode(batches, definition: str):
     encoder = remembered(definition)
     for batch in slices(batches):
         w = words_of(batch.column("text"))
-        lower = lower_hashes(w)
-        hashes, size = locality(w, lower)
-        ids, rows = encoder.texts(w, lower)
+        h = lower_hashes(w)
+        hashes, size = locality(w, h)
+        ids, rows = encoder.texts(w, h)
         narrow_, wide = ids.astype("<u2"), np.maximum.reduceat(np.append(ids, 0), rows[:-1]) >= 65536 if len(ids) else np.zeros(len(size), bool)
         # Ids of the vocabulary need 16 bits; wider ones keep 32.
         made = [WIDE + ids[a:b].tobytes() + WIDE_END if x else NARROW + narrow_[a:b].tobytes() + NARROW_END for a, b, x in zip(rows.tolist(), rows[1:].tolist(), wide.tolist())]
