@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pandas as pd
@@ -23,6 +24,11 @@ def evidence_id(field_path: Column, snapshot: Column, quote: Column) -> Column:
     return F.substring(sha256(F.concat_ws("\u001f", field_path, snapshot, quote)), 1, 16)
 
 
+def evidence_id_of(field_path: str, snapshot: str, quote: str) -> str:
+    """What ``evidence_id`` gives, for values that are in Python already."""
+    return hashlib.sha256("\x1f".join((field_path, snapshot, quote)).encode()).hexdigest()[:16]
+
+
 def row_fingerprint(*values: Column) -> Column:
     """16 digits of a hash of the values; a null counts as empty."""
     return F.substring(F.sha1(F.concat_ws("|", *(F.coalesce(v.cast("string"), F.lit("")) for v in values))), 1, 16)

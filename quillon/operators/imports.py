@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import evidence_id
+from ..functions.hashing import evidence_id, evidence_id_of
 from ..functions.text import canonical_text
 from .pointers import cycle_of
 
@@ -80,9 +82,13 @@ def _places(node, path: str, out: list) -> list[tuple]:
             elif value and (kind is dict or kind is list):
                 _places(value, path + _escaped(name), out)
     elif type(node) is list:
+        keyed = path == "/cycles"
         for i, v in enumerate(node):
-            if type(v) is dict or type(v) is list:
-                _places(v, path + _escaped(v["cycle_key"] if path == "/cycles" and type(v) is dict and "cycle_key" in v else i), out)
+            kind = type(v)
+            if kind is dict:
+                _places(v, path + _escaped(v["cycle_key"]) if keyed and "cycle_key" in v else f"{path}/{i}", out)
+            elif kind is list:
+                _places(v, f"{path}/{i}", out)
     return out
 
 
@@ -90,8 +96,8 @@ def _places(node, path: str, out: list) -> list[tuple]:
 AT_ONCE = 1 << 14
 
 
-def _markers(batches: Iterator[pa.RecordBatch], once: bool) -> Iterator[pa.RecordBatch]:
-    """A row for each marker of documents (key, own snapshot, document); if ``once``, without those that repeat an earlier one's path, snapshot and canonical quote."""
+def _markers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each marker of documents (key, own snapshot, document), without those that repeat an earlier one's path, snapshot and canonical quote."""
     for batch in batches:
         rows, found = [], []
 
@@ -106,7 +112,7 @@ def _markers(batches: Iterator[pa.RecordBatch], once: bool) -> Iterator[pa.Recor
             for at, (items, i, path) in enumerate(_places(json.loads(text), "", [])):
                 quote, snapshot = str(items[i]["quote"]), items[i].get("snapshot")
                 same = path, canonical_text(quote), own if snapshot is None else str(snapshot)
-                if not once or same not in seen:
+                if same not in seen:
                     seen.add(same)
                     rows.append(row)
                     found.append((at, path, quote, *same[1:]))
@@ -117,33 +123,73 @@ def _markers(batches: Iterator[pa.RecordBatch], once: bool) -> Iterator[pa.Recor
             yield table()
 
 
-@F.pandas_udf(T.StringType())
-def _replaced(s: pd.Series, ids: pd.Series) -> pd.Series:
-    def one(text, ids):
+_STATED = re.compile(r'"snapshot"\s*:\s*"([^"]*)"')
+
+
+def _snapshots(text: str) -> set[str]:
+    """Names of the snapshots that a document's markers cite, perhaps with others."""
+    if "\\" not in text:  # then a string ends at the next quotation mark
+        stated = _STATED.findall(text)
+        if len(stated) == text.count('"snapshot"'):
+            return set(stated)
+    names = set()
+    json.loads(text, object_hook=lambda x: names.add(str(x["snapshot"])) if x.get("snapshot") is not None else None)
+    return names
+
+
+def _cited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document (key, own snapshot, document) and snapshot that it may cite."""
+    for batch in batches:
+        rows, names = [], []
+        for row, (own, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2))):
+            if (text := text.as_py()) is not None:
+                cited = _snapshots(text) | ({own} if own is not None else set())
+                rows.extend([row] * len(cited))
+                names.extend(cited)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(names, pa.string())], names=[batch.schema.names[0], "snapshot"])
+
+
+_written = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
+
+
+@F.arrow_udf(T.StringType())
+def _replaced(documents: pa.Array, own: pa.Array, names: pa.Array, ids: pa.Array) -> pa.Array:
+    """Documents with evidence ids in their markers' places; names and ids: the known ones of the snapshots that each cites."""
+
+    def one(text, own, names, ids):
         if text is None:
             return None
+        known = dict(zip(names, ids))
+        if len(known) < len(names):  # a name that is listed twice stands for its least id
+            known = dict(sorted(zip(names, ids), reverse=True))
         document = json.loads(text)
-        for (items, i, _), made in zip(_places(document, "", []), ids.split(",") if ids is not None else ()):
-            items[i] = made or None
-        return json.dumps(document, ensure_ascii=False, separators=(",", ":"))
+        for items, i, path in _places(document, "", []):
+            marker = items[i]
+            snapshot = marker.get("snapshot")
+            found = known.get(own if snapshot is None else str(snapshot))
+            items[i] = None if found is None else evidence_id_of(path, found, canonical_text(str(marker["quote"])))
+        return _written(document)
 
-    return pd.Series([one(*x) for x in zip(s, ids)], dtype=object)
+    # Lists come flat: taking each out of Arrow costs more than the work on it.
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(names), 0).to_numpy(zero_copy_only=False)).tolist()
+    plain = lambda a: a.to_numpy(zero_copy_only=False).tolist()
+    names, ids = plain(names.flatten()), plain(ids.flatten())
+    texts = (x.as_py() for x in documents)  # one at a time
+    return pa.array([one(text, mine, names[a:b], ids[a:b]) for text, mine, a, b in zip(texts, plain(own), [0, *ends], ends)], pa.string())
 
 
-def _named(records: DataFrame, snapshots: DataFrame, key: str, document: str, primary: str, how: str, once: bool = False) -> DataFrame:
-    """Markers (key, at, field_path, quote) with their snapshot's id and the evidence's; ids are null where the snapshot is unknown."""
-    asked = records.select(key, F.col(primary).cast("string"), F.col(document).cast("string"))
-    each = asked.mapInArrow(lambda batches: _markers(batches, once), f"`{key}` {dict(records.dtypes)[key]}, at int, field_path string, quote string, plain string, snapshot string")
-    named = each.join(snapshots.select("snapshot", "snapshot_id"), "snapshot", how)
-    made = evidence_id(F.col("field_path"), F.col("snapshot_id"), F.col("plain"))
-    return named.select(key, "at", "field_path", "quote", "snapshot_id", F.when(F.col("snapshot_id").isNotNull(), made).alias("id"))
+def _asked(records: DataFrame, key: str, document: str, primary: str) -> DataFrame:
+    return records.select(key, F.col(primary).cast("string"), F.col(document).cast("string"))
 
 
 def attached_documents(records: DataFrame, snapshots: DataFrame, key: str, document: str, primary: str) -> DataFrame:
-    """The records of ``attached``. Only markers travel to the snapshots; documents are rewritten in place, by the ids in the markers' order."""
-    named = _named(records, snapshots, key, document, primary, "left")
-    ids = named.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x.id), ",", "").alias("_ids"))
-    return records.join(ids, key, "left").withColumn(document, _replaced(F.col(document), F.col("_ids"))).drop("_ids")
+    """The records of ``attached``. Only the names of cited snapshots travel, each once for a document; documents are read and rewritten in place, where their ids are made."""
+    kind = dict(records.dtypes)[key]
+    cited = _asked(records, key, document, primary).mapInArrow(_cited, f"`{key}` {kind}, snapshot string")
+    known = cited.join(snapshots.select("snapshot", "snapshot_id").where("snapshot_id is not null"), "snapshot")
+    found = known.groupBy(key).agg(F.collect_list(F.struct("snapshot", "snapshot_id")).alias("_known"))
+    ids = _replaced(F.col(document).cast("string"), F.col(primary).cast("string"), F.col("_known.snapshot"), F.col("_known.snapshot_id"))
+    return records.join(found, key, "left").withColumn(document, ids).drop("_known")
 
 
 def attached_evidence(records: DataFrame, snapshots: DataFrame, key: str, document: str, primary: str) -> DataFrame:
@@ -153,7 +199,9 @@ def attached_evidence(records: DataFrame, snapshots: DataFrame, key: str, docume
     only where a snapshot goes by several names (or is listed twice); only then markers are grouped by key and id.
     """
     known = snapshots.where("snapshot is not null and snapshot_id is not null")
-    named = _named(records, known, key, document, primary, "inner", once=True).withColumn("quote", F.trim("quote"))
+    each = _asked(records, key, document, primary).mapInArrow(_markers, f"`{key}` {dict(records.dtypes)[key]}, at int, field_path string, quote string, plain string, snapshot string")
+    made = evidence_id(F.col("field_path"), F.col("snapshot_id"), F.col("plain")).alias("id")
+    named = each.join(known.select("snapshot", "snapshot_id"), "snapshot").select(key, "at", made, "field_path", "snapshot_id", F.trim("quote").alias("quote"))
     if known.groupBy("snapshot_id").count().where("count > 1").isEmpty():
         return named.select(key, "id", "field_path", "snapshot_id", "quote")
     return named.groupBy(key, "id").agg(F.min_by(F.struct("field_path", "snapshot_id", "quote"), "at").alias("e")).select(key, "id", "e.*")

@@ -46,7 +46,7 @@ def marked_documents(spark, sf_dir):
     marker = lambda quote, snapshot=None: F.concat(F.lit('{"quote":"'), quote, F.lit('"'), *([] if snapshot is None else [F.lit(',"snapshot":"'), snapshot, F.lit('"')]), F.lit("}"))
     place = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag", F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"))
     cycle = lambda x, i: F.concat(F.lit('{"cycle_key":"'), i.cast("string"), F.lit("/"), x.l_partkey.cast("string"), F.lit('","starts_on":'), F.when(x.l_returnflag == "R", F.concat(F.lit('"'), x.day, F.lit('"'))).otherwise("null"), F.lit(',"window_evidence_ids":['), marker(F.concat(F.lit("window "), x.day)), F.lit('],"deadlines":[{"evidence_ids":["kept",'), marker(F.concat(F.lit("due "), x.day), F.concat(F.lit("s"), (x.l_suppkey).cast("string"))), F.lit("]}]}"))
-    lines = l.groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(place)), cycle), ",").alias("cycles"))
+    lines = l.groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(place)), cycle), ",").alias("cycles"))
     made = F.concat(F.lit('{"application":{"application_group_id":"g","group_evidence_ids":['), marker(c("o_orderpriority")), F.lit(']},"cycles":['), "cycles", F.lit("]}"))
     return o.join(lines, "o_orderkey").select("o_orderkey", F.concat(F.lit("order"), "o_custkey").alias("own"), made.alias("document"))
 
@@ -76,5 +76,5 @@ def evidence_attach(spark, sf_dir):
     SELECT o_orderkey, ids, nulls, 0 AS markers FROM t JOIN n USING (o_orderkey)""")
 def attached_documents(spark, sf_dir):
     d = imports.attached_documents(*cited(spark, sf_dir))
-    ids = F.array_sort(F.regexp_extract_all("document", F.lit(r'"([0-9a-f]{16})"'), 1))
+    ids = F.sort_array(F.regexp_extract_all("document", F.lit(r'"([0-9a-f]{16})"'), 1))
     return d.select("o_orderkey", F.array_join(ids, ",").alias("ids"), F.regexp_count("document", F.lit('"kept",null')).cast("long").alias("nulls"), F.regexp_count("document", F.lit('"quote"')).alias("markers"))

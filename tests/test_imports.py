@@ -74,3 +74,34 @@ def test_canonical_text_is_canonical(spark):
     odd = ["", " ", "a  b", " a\tb\n", "\x1ca\x1db", "a\x0bb\x85c\xa0d", "‘x’ “y” –z−", "ｔｅ­xt​", "é é", " 　x ", "a\x00b", "½ ﬁ", "\U0001f600 \x7f", "﻿a ﻿ b "]
     got = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, x string").select("i", canonical(F.col("x")).alias("c")).collect()
     assert {r.i: r.c for r in got} == {i: canonical_text(x) for i, x in enumerate(odd)}
+
+
+def test_only_names_of_snapshots_travel(spark):
+    """What is shuffled for documents is a row for each snapshot that one cites: no path, no quote, and no id of a marker."""
+    rows = spark.createDataFrame([(1, "own", "{}")], "k int, own string, d string")
+    names = spark.createDataFrame([("own", "S1")], "snapshot string, snapshot_id string")
+    plan = imports.attached_documents(rows, names, "k", "d", "own")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "field_path" not in plan and "sha2" not in plan
+
+
+def test_odd_names_of_snapshots_are_read(spark):
+    """Names with escapes, keys that are escaped, names that are no strings, the word as a value, names that are listed twice."""
+    texts = [
+        '{"evidence_ids": [{"quote": "a", "snapshot": "two\\u0020words"}, {"quote": "b", "snapshot" : "x\\"y"}]}',
+        '{"evidence_ids": [{"quote": "a", "snap\\u0073hot": "one"}, {"quote": "b"}]}',
+        '{"evidence_ids": [{"quote": 7, "snapshot": 7}, {"quote": "t", "snapshot": true}, {"quote": "n", "snapshot": null}, {"quote": "e", "snapshot": ""}]}',
+        '{"snapshot": "snapshot", "evidence_ids": [{"quote": "snapshot", "snapshot":"one"}, {"quote": "s", "snapshot":"snapshot"}]}',
+        '{"a/b~": [[{"evidence_ids": [{"quote": "deep", "snapshot": "twice"}, {"quote": "gone", "snapshot": "lost"}, {"quote": "null", "snapshot": "empty"}]}]]}',
+    ]
+    rows = spark.createDataFrame([(i, "own" if i != 1 else None, t) for i, t in enumerate(texts)] + [(None, "own", texts[1]), (9, "own", None)], "k int, own string, d string")
+    ids = {"two words": "A", 'x"y': "B", "one": "C", "own": "D", "7": "E", "True": "F", "": "G", "snapshot": "H", "twice": "I"}
+    names = spark.createDataFrame([*ids.items(), ("twice", "J"), ("empty", None), (None, "K"), ("unused", "L")], "snapshot string, snapshot_id string")
+    made = {r.k: r.d for r in imports.attached_documents(rows, names, "k", "d", "own").collect()}
+    id_of = lambda p, s, q: hashlib.sha256("\x1f".join([p, ids[s], q]).encode()).hexdigest()[:16]
+    got = {k: json.loads(d) for k, d in made.items() if d is not None and k is not None}
+    assert got[0]["evidence_ids"] == [id_of("", "two words", "a"), id_of("", 'x"y', "b")]
+    assert got[1]["evidence_ids"] == [id_of("", "one", "a"), None]
+    assert got[2]["evidence_ids"] == [id_of("", "7", "7"), id_of("", "True", "t"), id_of("", "own", "n"), id_of("", "", "e")]
+    assert got[3]["evidence_ids"] == [id_of("", "one", "snapshot"), id_of("", "snapshot", "s")]
+    assert got[4]["a/b~"][0][0]["evidence_ids"] == [id_of("/a~1b~0/0/0", "twice", "deep"), None, None]
+    assert made[9] is None and len(made) == 7
