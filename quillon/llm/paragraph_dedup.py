@@ -27,7 +27,7 @@ from .arrow_text import U64, Words, hash_spans, lists, mix, slices, table, windo
 from .linking import components
 from .minhash import tuned
 from .ngram_join import SHINGLE
-from .scratch import Scratch, small, stored
+from .scratch import Scratch, met, small, stored
 from .spans import Spans, found, similar
 
 LEAST, MOST, REACH = 40, 160, 30
@@ -270,7 +270,8 @@ def _exact(read: DataFrame, scratch: Scratch) -> DataFrame:
         asked = one if asked is None else asked.union(one)
     scratch.settle()
     wanted = scratch.stored(asked.distinct().groupBy("doc_id").agg(F.collect_list("start").alias("wanted")))
-    context = scratch.stored(read.join(F.broadcast(wanted) if small(runs, 200_000) else wanted, "doc_id").mapInArrow(_context, "doc_id long, start int, key long, left binary, right binary").dropDuplicates(["doc_id", "start"]))
+    holders = read.join(F.broadcast(wanted), "doc_id") if small(runs, 200_000) else met(read, wanted, "doc_id")
+    context = scratch.stored(holders.mapInArrow(_context, "doc_id long, start int, key long, left binary, right binary").dropDuplicates(["doc_id", "start"]))
     both = runs
     for (d, p), side, name in zip(ends, ("left", "right", "left", "right"), ("left", "right", "keep_left", "keep_right")):
         both = both.join(context.select(F.col("doc_id").alias(d), F.col("start").alias(p), F.col(side).alias(name)), [d, p])

@@ -112,3 +112,22 @@ def only(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> Dat
     """Rows of df whose key is among the stored ids (left_anti: is not). The ids are broadcast if a count shows that they are few; else both sides are shuffled."""
     ids = ids.select(key)
     return df.join(F.broadcast(ids) if small(ids) else ids, key, how)
+
+
+#: Bits for each key of a side that is shuffled; of the other side's rows that don't meet it, one in eight goes along at most (more, where all bits would be over the limit).
+BITS = 8
+
+
+def asked(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows of df but for those that the bits of a stored table's keys rule out. The bits are broadcast, at most BROADCAST_ROWS longs."""
+    bits = min(1 << max(6, (BITS * wanted.count() - 1).bit_length()), 64 * BROADCAST_ROWS)
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
+    words = wanted.groupBy(F.shiftright(place, 6).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    held = df.withColumn("_word", F.shiftright(place, 6)).join(F.broadcast(words), "_word")
+    return held.where(F.col("_bits").bitwiseAND(bit) != 0).select(df.columns)
+
+
+def met(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows of df joined to those of a stored table by its distinct keys, by a shuffle. What the keys' bits rule out stays where it is."""
+    return asked(df, wanted, key).join(wanted, key)

@@ -20,7 +20,7 @@ from .families import NODES, TOKENS, compared, edges, families
 from .linking import components, connect
 from .minhash import bands
 from .ngram_join import SETS, SETS_DDL
-from .scratch import Scratch, only, small
+from .scratch import Scratch, met, only, small
 
 #: Text bytes that are signed at once: their shingles take some hundred times as much.
 AT_ONCE = 1 << 20
@@ -173,14 +173,14 @@ def similar(read: DataFrame, spans: DataFrame, kind: Kind, one: Kind, percent: i
     larger ones are signed again and go by ``connect``.
     """
     signed = read.select("text").mapInArrow(lambda it: _sign(it, kind, shape), "node long, sigs array<long>, n long")
-    met = scratch.settled(edges(signed, spans.count() * shape[0], WIDTH))
-    family = families(met, scratch)
+    family = families(scratch.settled(edges(signed, spans.count() * shape[0], WIDTH)), scratch)
     if small(family, 200_000):
         family = F.broadcast(family)
     of = spans.withColumnRenamed("h1", "node").join(family, "node").groupBy("node").agg(F.min(F.struct("doc_id", "place", "size")).alias("at"), F.first("family").alias("family"))
     found_at = scratch.settled(of)
     wanted = scratch.settled(found_at.groupBy("at.doc_id").agg(F.collect_list(F.struct("at.place", "node", "family")).alias("wanted")))
-    texts = read.join(F.broadcast(wanted) if small(wanted, 20_000) else wanted, "doc_id").select("text", "wanted").mapInArrow(lambda it: _texts(it, kind), "family long, node long, text string")
+    asked = read.join(F.broadcast(wanted), "doc_id") if small(wanted, 20_000) else met(read, wanted, "doc_id")
+    texts = asked.select("text", "wanted").mapInArrow(lambda it: _texts(it, kind), "family long, node long, text string")
     large = scratch.stored(found_at.groupBy("family").agg(F.sum("at.size").alias("tokens"), F.count("*").alias("nodes")).where((F.col("tokens") > TOKENS * linking.HELD) | (F.col("nodes") > NODES * linking.WIDE)).select("family"))
     if large.isEmpty():
         held = texts
